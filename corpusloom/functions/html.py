@@ -1,10 +1,12 @@
-"""HTML to text as column expressions.
-
-Comments, scripts and styles go first in one pass. Container subtrees and the
-chosen content element are found by folding over the few places where such a
-tag opens or closes, so nested containers are removed as a whole. What the
-expressions do not repair is broken markup: an element that is never closed
-reaches to the end of the page, and ``>`` inside an attribute ends the tag.
+"""HTML to text as SQL expressions.
+
+Every function takes and returns the text of an expression, so a whole page
+projection is handed to Spark in a few strings. Comments, scripts and styles go
+first in one pass. Container subtrees and the chosen content element are found
+by folding over the few places where such a tag opens or closes, so nested
+containers are removed as a whole. What the expressions do not repair is broken
+markup: an element that is never closed reaches to the end of the page, and
+``>`` inside an attribute ends the tag.
 """
 
 from __future__ import annotations
@@ -12,11 +14,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from html.entities import name2codepoint
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from corpusloom.functions.text import col, strip
-
 # Containers that hold no content, and the order in which a
 # page is searched for its main content.
 BOILERPLATE_TAGS = ("nav", "header", "footer", "aside")
@@ -36,51 +33,50 @@ VOID_TAGS = (
     "link", "meta", "source", "track", "wbr",
 )
 
-RAW_BLOCKS = (
-    r"(?is)<!--.*?-->"
-    r"|<script\b[^>]*>.*?</script\s*>"
-    r"|<style\b[^>]*>.*?</style\s*>"
-)
+RAW_BLOCKS = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
 ANY_TAG = r"</?[A-Za-z][^>]*>|<[!?][^>]*>"
 TAG_END = r"(?=[\s/>])"
+REFERENCE = r"\A(#[xX][0-9A-Fa-f]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*)"
+NAME_END = "(?![A-Za-z0-9])"
+USUAL_REFERENCES = ("lt", "gt", "quot", "nbsp", "copy", "middot", "amp")  # the ampersand stays last
+EDGES = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+NO_TEXTS = "cast(array() AS array<string>)"
 
 
-def without_raw_blocks(html: Column | str) -> Column:
-    return F.regexp_replace(col(html), RAW_BLOCKS, "")
+def pattern(regex: str) -> str:
+    """A regular expression as a raw SQL literal."""
+    return "r'" + regex.replace("'", r"\x27") + "'"
 
 
-def without_containers(html: Column | str, tags: Sequence[str] = BOILERPLATE_TAGS) -> Column:
-    """Drop every subtree whose root is one of ``tags``, nested ones included."""
-    html = col(html)
-    names = "|".join(tags)
-    pieces = F.split(html, rf"(?i)(?=</?(?:{names}){TAG_END})")
-    start = F.struct(
-        F.lit("").alias("open"), F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept")
-    )
+def let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-    def step(state: Column, piece: Column) -> Column:
-        tag = F.lower(F.regexp_extract(piece, rf"(?i)\A</?({names}){TAG_END}", 1))
-        closing = piece.startswith("</")
-        outside = state["depth"] == 0
-        change = (
-            F.when(tag == "", F.lit(0))
-            .when(outside, F.when(closing, F.lit(0)).otherwise(F.lit(1)))
-            .when(tag == state["open"], F.when(closing, F.lit(-1)).otherwise(F.lit(1)))
-            .otherwise(F.lit(0))
-        )
-        depth = state["depth"] + change
-        rest = F.when(tag == "", piece).otherwise(F.regexp_replace(piece, r"(?s)\A<[^>]*>", ""))
-        return F.struct(
-            F.when(depth == 0, F.lit("")).when(outside, tag).otherwise(state["open"]).alias("open"),
-            depth.alias("depth"),
-            F.when(depth == 0, F.concat(state["kept"], F.array(rest)))
-            .otherwise(state["kept"])
-            .cast("array<string>")
-            .alias("kept"),
-        )
 
-    folded = F.aggregate(pieces, start, step, lambda state: F.array_join(state["kept"], ""))
-    return F.when(html.rlike(rf"(?i)<(?:{names}){TAG_END}"), folded).otherwise(html)
+def without_raw_blocks(html: str) -> str:
+    return f"regexp_replace({html}, {pattern(RAW_BLOCKS)}, '')"
+
+
+def without_containers(html: str, tags: Sequence[str] = BOILERPLATE_TAGS) -> str:
+    """Drop every subtree whose root is one of ``tags``, nested ones included."""
+    names = "|".join(tags)
+    tag = f"lower(regexp_extract(piece, {pattern(rf'(?i)\A</?({names}){TAG_END}')}, 1))"
+    depth = """state.depth + CASE
+        WHEN tag = '' THEN 0
+        WHEN state.depth = 0 THEN if(startswith(piece, '</'), 0, 1)
+        WHEN tag = state.open THEN if(startswith(piece, '</'), -1, 1)
+        ELSE 0 END"""
+    rest = rf"if(tag = '', piece, regexp_replace(piece, {pattern(r'(?s)\A<[^>]*>')}, ''))"
+    after = f"""named_struct(
+        'open', CASE WHEN depth = 0 THEN '' WHEN state.depth = 0 THEN tag ELSE state.open END,
+        'depth', depth,
+        'kept', if(depth = 0, concat(state.kept, array({rest})), state.kept))"""
+    step = let("tag", tag, let("depth", depth, after))
+    pieces = f"split(page, {pattern(rf'(?i)(?=</?(?:{names}){TAG_END})')})"
+    folded = f"""aggregate({pieces}, named_struct('open', '', 'depth', 0, 'kept', {NO_TEXTS}),
+        (state, piece) -> {step}, state -> array_join(state.kept, ''))"""
+    present = pattern(rf"(?i)<(?:{names}){TAG_END}")
+    return let("page", html, f"CASE WHEN page RLIKE {present} THEN {folded} ELSE page END")
 
 
 def selector_pattern(selector: str) -> str:
@@ -89,95 +85,102 @@ def selector_pattern(selector: str) -> str:
         return rf"(?i:<{selector}){TAG_END}"
     name = selector[1:].replace("-", r"\-")
     if selector[0] == "#":
-        value = rf"""(?:"{name}"|'{name}'|{name}(?=[\s>]))"""
         attribute = "id"
+        forms = (rf'"{name}"', rf"'{name}'", rf"{name}(?=[\s>])")
     else:
-        value = (
-            rf"""(?:"(?:[^"]*\s)?{name}(?:\s[^"]*)?"|'(?:[^']*\s)?{name}(?:\s[^']*)?'|{name}(?=[\s>]))"""
-        )
         attribute = "class"
-    return rf"(?i:<[a-z][a-z0-9]*)(?=\s)[^>]*?\s(?i:{attribute})\s*=\s*{value}"
+        forms = (
+            rf'"(?:[^"]*\s)?{name}(?:\s[^"]*)?"',
+            rf"'(?:[^']*\s)?{name}(?:\s[^']*)?'",
+            rf"{name}(?=[\s>])",
+        )
+    return rf"(?i:<[a-z][a-z0-9]*)(?=\s)[^>]*?\s(?i:{attribute})\s*=\s*(?:{'|'.join(forms)})"
 
 
-def from_selector(html: Column | str, selector: str) -> Column:
+def from_selector(html: str, selector: str) -> str:
     """The page from the first element matched by ``selector`` on, else NULL."""
-    return F.regexp_substr(col(html), F.lit(rf"(?s){selector_pattern(selector)}.*"))
+    found = f"regexp_extract({html}, {pattern(rf'(?s){selector_pattern(selector)}.*')}, 0)"
+    return let("found", found, "if(found = '', NULL, found)")
 
 
-def first_element(rest: Column | str) -> Column:
-    """Inner HTML of the element that ``rest`` starts with."""
-    rest = col(rest)
-    name = F.lower(F.regexp_extract(rest, r"\A<([A-Za-z][A-Za-z0-9]*)", 1))
-    pieces = F.call_function("split", rest, F.concat(F.lit("(?i)(?=</?"), name, F.lit(f"{TAG_END})")))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("kept"))
-
-    def step(state: Column, piece: Column) -> Column:
-        depth = state["depth"] + F.when(piece.startswith("</"), F.lit(-1)).otherwise(F.lit(1))
-        done = state["done"] | (depth <= 0)
-        return F.struct(
-            F.when(state["done"], state["depth"]).otherwise(depth).alias("depth"),
-            done.alias("done"),
-            F.when(done, state["kept"])
-            .otherwise(F.concat(state["kept"], F.array(piece)))
-            .cast("array<string>")
-            .alias("kept"),
-        )
-
-    folded = F.aggregate(pieces, start, step, lambda state: F.array_join(state["kept"], ""))
-    return F.when(name.isin(*VOID_TAGS), F.lit("")).otherwise(folded)
+def first_match(html: str, selectors: Sequence[str] = CONTENT_SELECTORS) -> str:
+    """The page from the element of the first selector that matches anything."""
+    return f"coalesce({', '.join(from_selector(html, s) for s in selectors)})"
 
 
-def decode_entities(text: Column | str) -> Column:
+def first_element(rest: str) -> str:
+    """Inner HTML of the element that ``rest`` starts with."""
+    name = rf"lower(regexp_extract(rest, {pattern(r'\A<([A-Za-z][A-Za-z0-9]*)')}, 1))"
+    pieces = f"split(rest, concat('(?i)(?=</?', name, {pattern(TAG_END + ')')}))"
+    depth = "state.depth + if(startswith(piece, '</'), -1, 1)"
+    after = """named_struct(
+        'depth', if(state.done, state.depth, depth),
+        'done', state.done OR depth <= 0,
+        'kept', if(state.done OR depth <= 0, state.kept, concat(state.kept, array(piece))))"""
+    folded = f"""aggregate({pieces}, named_struct('depth', 0, 'done', false, 'kept', {NO_TEXTS}),
+        (state, piece) -> {let("depth", depth, after)}, state -> array_join(state.kept, ''))"""
+    void = ", ".join(f"'{tag}'" for tag in VOID_TAGS)
+    return let("rest", rest, let("name", name, f"CASE WHEN name IN ({void}) THEN '' ELSE {folded} END"))
+
+
+def decode_entities(text: str) -> str:
     """Numeric and named character references, decoded once from left to right.
 
     A name that is not known stays as it is, with or without a semicolon.
+    Texts that hold none but the usual references take a few replacements, the
+    ampersand last; all others are decoded piece by piece.
     """
-    text = col(text)
-    names = F.create_map(
-        *[F.lit(part) for name, code in sorted(name2codepoint.items()) for part in (name, chr(code))]
+    simple = "text"
+    for name in USUAL_REFERENCES:
+        simple = f"regexp_replace({simple}, {pattern(f'&{name}{NAME_END};?')}, '{chr(name2codepoint[name])}')"
+    usual = "|".join(USUAL_REFERENCES)
+    other = pattern(rf"&(?!(?:{usual}){NAME_END})(?:[A-Za-z]|#[0-9]|#[xX][0-9A-Fa-f])")
+    return let(
+        "text",
+        text,
+        f"""CASE WHEN NOT contains(text, '&') THEN text
+        WHEN text RLIKE {other} THEN {_decoded_pieces()} ELSE {simple} END""",
+    )
+
+
+def _decoded_pieces() -> str:
+    # One constant map; the table is the one of HTML 4 from the standard library.
+    table = ",".join(f"{name}={chr(code)}" for name, code in sorted(name2codepoint.items()))
+    usual = " ".join(f"WHEN '{name}' THEN '{chr(name2codepoint[name])}'" for name in USUAL_REFERENCES)
+    digits = "if(lower(substring(ref, 2, 1)) = 'x', conv(substring(ref, 3, 6), 16, 10), substring(ref, 2, 7))"
+    numeric = let(
+        "code",
+        f"CAST({digits} AS bigint)",
+        "if(code BETWEEN 1 AND 55295 OR code BETWEEN 57344 AND 1114111,"
+        " decode(unhex(lpad(hex(code), 8, '0')), 'UTF-32'), NULL)",
     )
-    reference = r"\A(#[xX][0-9A-Fa-f]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*)"
-    pieces = F.split(text, "&")
-
-    def decode(piece: Column) -> Column:
-        ref = F.regexp_extract(piece, reference, 1)
-        tail = F.regexp_replace(piece, reference + ";?", "")
-        digits = F.when(
-            F.lower(F.substring(ref, 2, 1)) == "x", F.conv(F.substring(ref, 3, 6), 16, 10)
-        ).otherwise(F.substring(ref, 2, 7))
-        code = F.when(ref.startswith("#"), digits.cast("bigint"))
-        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        numeric = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
-        char = F.coalesce(numeric, F.try_element_at(names, ref))
-        return F.coalesce(F.concat(char, tail), F.concat(F.lit("&"), piece))
-
-    decoded = F.concat(
-        F.element_at(pieces, 1),
-        F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), decode), ""),
+    char = f"""CASE WHEN ref = '' THEN NULL WHEN startswith(ref, '#') THEN {numeric}
+        ELSE coalesce(CASE ref {usual} END, try_element_at(str_to_map('{table}', ',', '='), ref)) END"""
+    rest = rf"regexp_replace(substring(piece, length(ref) + 1), {pattern(r'\A;')}, '')"
+    decoded = let(
+        "ref",
+        f"regexp_extract(piece, {pattern(REFERENCE)}, 1)",
+        f"coalesce(concat({char}, {rest}), concat('&', piece))",
     )
-    return F.when(text.contains("&"), decoded).otherwise(text)
+    return f"array_join(transform(split(text, '&'), (piece, at) -> if(at = 0, piece, {decoded})), '')"
 
 
-def plain_text(html: Column | str) -> Column:
+def plain_text(html: str) -> str:
     """Text of a fragment: tags vanish without a separator, entities decoded."""
-    return decode_entities(F.regexp_replace(col(html), ANY_TAG, ""))
+    return decode_entities(f"regexp_replace({html}, {pattern(ANY_TAG)}, '')")
 
 
-def title_text(html: Column | str) -> Column:
+def title_text(html: str) -> str:
     """Trimmed text of the first title; empty when missing or when it holds tags."""
-    inner = F.regexp_extract(col(html), r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
-    return strip(F.when(inner.rlike(ANY_TAG), F.lit("")).otherwise(decode_entities(inner)))
+    inner = rf"regexp_extract({html}, {pattern(r'(?is)<title\b[^>]*>(.*?)</title\s*>')}, 1)"
+    text = let("inner", inner, f"if(inner RLIKE {pattern(ANY_TAG)}, '', {decode_entities('inner')})")
+    return f"regexp_replace({text}, {pattern(EDGES)}, '')"
 
 
-def meta_description(html: Column | str) -> Column:
+def meta_description(html: str) -> str:
     """``content`` of the first description meta tag, in either attribute order."""
     name = r"""\s(?i:name)\s*=\s*(?:"description"|'description'|description(?=[\s/>]))"""
-    tag = F.regexp_extract(col(html), rf"(?i:<meta)(?=\s)[^>]*?{name}[^>]*>", 0)
-    value = F.regexp_extract(
-        tag, r"""(?is)\scontent\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", 1
-    )
-    single = F.regexp_extract(tag, r"""(?is)\scontent\s*=\s*'([^']*)'""", 1)
-    bare = F.regexp_extract(tag, r"""(?is)\scontent\s*=\s*([^\s"'>]+)""", 1)
-    return decode_entities(
-        F.when(value != "", value).when(single != "", single).otherwise(bare)
-    )
+    tag = f"regexp_extract({html}, {pattern(rf'(?i:<meta)(?=\s)[^>]*?{name}[^>]*>')}, 0)"
+    forms = (r'"([^"]*)"', r"'([^']*)'", r"""([^\s"'>]+)""")
+    found = [rf"nullif(regexp_extract(tag, {pattern(rf'(?is)\scontent\s*=\s*{form}')}, 1), '')" for form in forms]
+    return let("tag", tag, decode_entities(f"coalesce({', '.join(found)}, '')"))

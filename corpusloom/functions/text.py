@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column | str, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(col(value)), use), F.lit(0))
+
+
 def squash(text: Column | str) -> Column:
     """Every run of whitespace becomes one space; the ends are trimmed."""
     return F.trim(F.regexp_replace(col(text), WHITESPACE, " "))
@@ -45,11 +52,19 @@ def words(squashed: Column | str) -> Column:
     return F.when(squashed == "", F.array().cast("array<string>")).otherwise(F.split(squashed, " "))
 
 
+def squashed_word_count(squashed: Column | str) -> Column:
+    """Words of a normalised text, as bigint."""
+
+    def count(text: Column) -> Column:
+        spaces = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+        return F.when(text == "", F.lit(0)).otherwise(spaces + 1).cast("bigint")
+
+    return bind(squashed, count)
+
+
 def word_count(text: Column | str) -> Column:
     """Whitespace-separated words of a raw text, as bigint."""
-    squashed = squash(text)
-    spaces = F.length(squashed) - F.length(F.replace(squashed, F.lit(" "), F.lit("")))
-    return F.when(squashed == "", F.lit(0)).otherwise(spaces + 1).cast("bigint")
+    return squashed_word_count(squash(text))
 
 
 def char_count(text: Column | str) -> Column:

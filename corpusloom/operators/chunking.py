@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,20 +24,29 @@ TEXT_TYPES = ("Text", "Title", "SectionHeader", "ListItem")
 MARGIN_TYPES = ("PageHeader", "PageFooter")
 
 
-def word_chunks(words: str, size: int = CHUNK_WORDS) -> Column:
-    """Array of ``chunk_index, plain_content, word_count`` over an array column."""
-    count = F.size(words)
+def word_chunks(text: Column | str, size: int = CHUNK_WORDS, minimum_chars: int = MIN_CHUNK_CHARS) -> Column:
+    """Struct of ``chunks`` (``chunk_index, plain_content, word_count``) and ``total``.
 
-    def piece(start: Column) -> Column:
-        part = F.slice(words, start + 1, F.lit(size))
-        return F.struct(
-            F.call_function("div", start, F.lit(size)).alias("chunk_index"),
-            F.array_join(part, " ").alias("plain_content"),
-            F.least(F.lit(size), count - start).cast("bigint").alias("word_count"),
-        )
+    A chunk shorter than ``minimum_chars`` is dropped with its text; the index
+    and the total still count it.
+    """
+
+    def cut(words: Column) -> Column:
+        count = F.size(words)
+
+        def piece(start: Column) -> Column:
+            return F.struct(
+                F.call_function("div", start, F.lit(size)).alias("chunk_index"),
+                F.array_join(F.slice(words, start + 1, F.lit(size)), " ").alias("plain_content"),
+                F.least(F.lit(size), count - start).cast("bigint").alias("word_count"),
+            )
+
+        starts = F.when(count > 0, F.sequence(F.lit(0), count - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
+        kept = F.filter(F.transform(starts, piece), lambda c: F.length(c["plain_content"]) >= minimum_chars)
+        total = F.call_function("div", count + (size - 1), F.lit(size))
+        return F.struct(kept.alias("chunks"), total.alias("total"))
 
-    starts = F.sequence(F.lit(0), count - 1, F.lit(size))
-    return F.when(count > 0, F.transform(starts, piece)).otherwise(F.array())
+    return T.bind(T.bind(T.squash(text), T.words), cut)
 
 
 def chunk_rows(
@@ -44,17 +55,9 @@ def chunk_rows(
     size: int = CHUNK_WORDS,
     minimum_chars: int = MIN_CHUNK_CHARS,
 ) -> DataFrame:
-    """Add ``chunks`` (kept ones only) and ``total_chunks`` to every row.
-
-    A chunk shorter than ``minimum_chars`` is dropped with its text; the index
-    and the total still count it.
-    """
-    split = df.withColumn("_words", T.words(T.squash(text_col)))
-    cut = split.withColumn("_all", word_chunks("_words", size)).withColumn(
-        "total_chunks", F.size("_all").cast("bigint")
-    )
-    kept = F.filter("_all", lambda c: F.length(c["plain_content"]) >= minimum_chars)
-    return cut.withColumn("chunks", kept).drop("_words", "_all")
+    """Add ``chunks`` (kept ones only) and ``total_chunks`` to every row."""
+    cut = df.withColumn("_cut", word_chunks(text_col, size, minimum_chars))
+    return cut.withColumn("chunks", F.col("_cut.chunks")).withColumn("total_chunks", F.col("_cut.total")).drop("_cut")
 
 
 def explode_chunks(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -145,10 +148,8 @@ def pack_segments(
     JVM; the chunk borders come back as offsets.
     """
 
-    def chunk_starts(counts):
-        import numpy as np
-        import pandas as pd
-
+    @F.pandas_udf("array<int>")
+    def chunk_starts(counts: pd.Series) -> pd.Series:
         def borders(sizes):
             ends = np.cumsum(sizes)
             starts, at, used = [], 0, 0
@@ -160,8 +161,6 @@ def pack_segments(
             return starts
 
         return pd.Series([borders(c) if c is not None else None for c in counts])
-
-    chunk_starts = F.pandas_udf(chunk_starts, "array<int>", F.PandasUDFType.SCALAR)
     held = df.select(*keys, T.col(segments).alias("_segments"))
     held = held.withColumn("_tokens", F.transform("_segments", tokens))
     held = held.withColumn("_starts", chunk_starts("_tokens"))

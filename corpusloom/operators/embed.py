@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
@@ -49,17 +50,14 @@ def model_embedder(load: Callable[[], Callable], batch: int = 256) -> Embedder:
     function from a list of texts to a list of vectors."""
 
     def embed(df: DataFrame, text: str, output: str) -> DataFrame:
-        def run(chunks):
-            import pandas as pd
-
+        @F.pandas_udf("array<float>")
+        def run(chunks: Iterator[pd.Series]) -> Iterator[pd.Series]:
             encode = load()
             for texts in chunks:
                 vectors = []
                 for at in range(0, len(texts), batch):
                     vectors.extend(encode(texts.iloc[at : at + batch].fillna("").tolist()))
                 yield pd.Series(vectors)
-
-        run = F.pandas_udf(run, "array<float>", F.PandasUDFType.SCALAR_ITER)
         return df.withColumn(output, run(F.col(text)))
 
     return embed

@@ -46,13 +46,19 @@ NO_SUCCESS = "No successful test results"
 DIMENSIONS = ("embedding_model", "search_algorithm", "llm_model", "chunk_size")
 
 
+def literal_table(spark: SparkSession, names: tuple, rows) -> DataFrame:
+    """A few fixed rows as a table that needs no data from the driver at run time."""
+    structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+
+
 def price_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(PRICES), "model string, kind string, usd_per_million double")
+    return literal_table(spark, ("model", "kind", "usd_per_million"), PRICES)
 
 
 def preset_table(spark: SparkSession) -> DataFrame:
     rows = [(at, *preset) for at, preset in enumerate(PRESETS)]
-    return spark.createDataFrame(rows, "position int, name string, embedding string, llm string, chunks int")
+    return literal_table(spark, ("position", "name", "embedding", "llm", "chunks"), rows)
 
 
 def experiment_grid(

@@ -46,11 +46,11 @@ def running_start(
     earlier_rows = (
         Window.partitionBy(*keys).orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
     )
-    inside = placed.withColumn("_before", F.coalesce(F.sum("_amount").over(earlier_rows), F.lit(0)))
+    inside = placed.withColumn("_ahead", F.coalesce(F.sum("_amount").over(earlier_rows), F.lit(0)))
     return (
         inside.join(shifts, keys)
-        .withColumn(name, (F.col("_before") + F.col("_shift")).cast("bigint"))
-        .drop("_place", "_amount", "_run", "_before", "_shift")
+        .withColumn(name, (F.col("_ahead") + F.col("_shift")).cast("bigint"))
+        .drop("_place", "_amount", "_run", "_ahead", "_shift")
     )
 
 

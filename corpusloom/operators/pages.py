@@ -27,38 +27,35 @@ def extract_pages(
     A page without HTML is a failed fetch and is dropped; a page whose text is
     too short stays, with empty content. One projection, no shuffle.
     """
-    stripped = pages.filter(F.col("html").isNotNull()).select(
-        "page_id", "url", H.without_containers(H.without_raw_blocks("html")).alias("markup")
-    )
-    chosen = F.coalesce(*[H.from_selector("markup", s) for s in selectors])
-    picked = stripped.select(
-        "page_id",
-        "url",
-        "markup",
-        H.plain_text(H.first_element(chosen)).alias("chosen_text"),
+    marked = pages.filter("html IS NOT NULL").selectExpr(
+        "page_id", "url", H.without_containers(H.without_raw_blocks("html")) + " AS markup"
     )
+    picked = marked.selectExpr(
+        "page_id", "url", "markup",
+        H.plain_text(H.first_element(H.first_match("markup", selectors))) + " AS chosen",
+    )
     # The body is only searched when the chosen element has no text at all.
-    raw = F.when(
-        F.coalesce(F.col("chosen_text"), F.lit("")) == "",
-        F.coalesce(H.plain_text(H.first_element(H.from_selector("markup", "body"))), F.lit("")),
-    ).otherwise(F.col("chosen_text"))
+    body = H.plain_text(H.first_element(H.from_selector("markup", "body")))
     texts = picked.select(
         "page_id",
         "url",
-        H.title_text("markup").alias("title"),
-        H.meta_description("markup").alias("description"),
-        T.squash(raw).alias("squashed"),
+        F.expr(H.title_text("markup")).alias("title"),
+        F.expr(H.meta_description("markup")).alias("description"),
+        T.squash(
+            F.expr(f"CASE WHEN coalesce(chosen, '') = '' THEN coalesce({body}, '') ELSE chosen END")
+        ).alias("squashed"),
     )
-    kept = T.substantial("squashed", minimum_length)
     return texts.select(
+        "page_id", "url", "title", "description", T.substantial("squashed", minimum_length).alias("content")
+    ).select(
         "page_id",
         "url",
         "title",
-        kept.alias("content"),
+        "content",
         "description",
         F.lit(scraped_at).cast("timestamp").alias("scraped_at"),
-        T.word_count(kept).alias("word_count"),
-        T.char_count(kept).alias("char_count"),
+        T.squashed_word_count("content").alias("word_count"),
+        T.char_count("content").alias("char_count"),
         T.url_hash("url").alias("url_hash"),
         T.url_domain("url").alias("domain"),
     )

@@ -79,16 +79,20 @@ def pack_segments(spark, folder):
 
 
 _SEGMENTS = rf"""
+    raw AS (
+      SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+        generate_subscripts(string_split(text, chr(10)), 1) AS j FROM documents),
     lines AS (
-      SELECT doc_id, source, list_filter(string_split(text, chr(10)), x -> {squash("x")} <> '') AS ls FROM documents),
+      SELECT doc_id, source, line, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i
+      FROM raw WHERE {squash("line")} <> ''),
     segments AS (
-      SELECT doc_id, source, i, ls[i] AS line,
-        CASE WHEN contains(ls[i], ' | ') THEN 'Table'
-             WHEN regexp_matches(ls[i], '\A#{{1,6}} ') THEN 'SectionHeader'
-             WHEN regexp_matches(ls[i], '\A(?:[-*•·] |\d+[.)] )') THEN 'ListItem'
-             WHEN regexp_matches(ls[i], '\APage \d+') THEN 'PageFooter'
-             WHEN i = 1 AND length(ls[i]) <= 60 THEN 'Title' ELSE 'Text' END AS segment_type
-      FROM lines, unnest(range(1, len(ls) + 1)) AS u(i))
+      SELECT doc_id, source, i, line,
+        CASE WHEN contains(line, ' | ') THEN 'Table'
+             WHEN regexp_matches(line, '\A#{{1,6}} ') THEN 'SectionHeader'
+             WHEN regexp_matches(line, '\A(?:[-*•·] |\d+[.)] )') THEN 'ListItem'
+             WHEN regexp_matches(line, '\APage \d+') THEN 'PageFooter'
+             WHEN i = 1 AND length(line) <= 60 THEN 'Title' ELSE 'Text' END AS segment_type
+      FROM lines)
 """
 
 
