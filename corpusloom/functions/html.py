@@ -14,6 +14,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from html.entities import name2codepoint
 
+from corpusloom.functions.text import EDGES
+
 # Containers that hold no content, and the order in which a
 # page is searched for its main content.
 BOILERPLATE_TAGS = ("nav", "header", "footer", "aside")
@@ -39,7 +41,6 @@ TAG_END = r"(?=[\s/>])"
 REFERENCE = r"\A(#[xX][0-9A-Fa-f]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*)"
 NAME_END = "(?![A-Za-z0-9])"
 USUAL_REFERENCES = ("lt", "gt", "quot", "nbsp", "copy", "middot", "amp")  # the ampersand stays last
-EDGES = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 NO_TEXTS = "cast(array() AS array<string>)"
 
 

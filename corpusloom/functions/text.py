@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The whitespace class (every Unicode space plus the four
 # separator controls), the minimum text length, key and preview lengths.
-WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
-EDGE_WHITESPACE = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+SPACE = r"[\s\x1c-\x1f]"
 MIN_TEXT_LENGTH = 20
 URL_KEY_LENGTH = 12
 HIT_PREVIEW_LENGTH = 200
 ELLIPSIS = "..."
 
+RUN = rf"(?U){SPACE}+"
+EDGES = rf"(?U)\A{SPACE}+|{SPACE}+\z"
+
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -28,16 +30,27 @@ def bind(value: Column | str, use: Callable[[Column], Column]) -> Column:
 
 def squash(text: Column | str) -> Column:
     """Every run of whitespace becomes one space; the ends are trimmed."""
-    return F.trim(F.regexp_replace(col(text), WHITESPACE, " "))
+    return F.trim(F.regexp_replace(col(text), RUN, " "))
 
 
 def strip(text: Column | str) -> Column:
     """Remove Unicode whitespace at both ends only."""
-    return F.regexp_replace(col(text), EDGE_WHITESPACE, "")
+    return F.regexp_replace(col(text), EDGES, "")
 
 
 def is_blank(text: Column | str) -> Column:
-    return squash(text) == ""
+    return ~col(text).rlike(r"(?U)[^\s\x1c-\x1f]")
+
+
+def rows_of(df: DataFrame, keep: list, items: Column | str, name: str, position: str | None = None) -> DataFrame:
+    """One row per item of an array; empty arrays give none.
+
+    The outer form with a filter after it keeps the optimizer from adding a
+    size check below, which would compute the array a second time.
+    """
+    if position is None:
+        return df.select(*keep, F.explode_outer(items).alias(name)).filter(F.col(name).isNotNull())
+    return df.select(*keep, F.posexplode_outer(items).alias(position, name)).filter(F.col(name).isNotNull())
 
 
 def substantial(squashed: Column | str, minimum: int = MIN_TEXT_LENGTH) -> Column:

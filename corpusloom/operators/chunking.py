@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import render as R
 from corpusloom.functions import text as T
 from corpusloom.operators.numbering import running_start
-from corpusloom.session import stage
+from corpusloom.session import spread, stage
 
 # Words per chunk, shortest chunk kept, token budget of a packed
 # chunk, and how segment types are counted.
@@ -63,7 +63,7 @@ def chunk_rows(
 def explode_chunks(df: DataFrame, keep: list[str]) -> DataFrame:
     """One row per kept chunk of :func:`chunk_rows` output."""
     chunk = F.col("chunk")
-    return df.select(*keep, "total_chunks", F.explode("chunks").alias("chunk")).select(
+    return T.rows_of(df, [*keep, "total_chunks"], "chunks", "chunk").select(
         *keep,
         chunk["chunk_index"].alias("chunk_index"),
         chunk["plain_content"].alias("plain_content"),
@@ -124,7 +124,8 @@ def chunk_pages(
 
 def chunk_documents(documents: DataFrame, size: int = CHUNK_WORDS, minimum_chars: int = MIN_CHUNK_CHARS) -> DataFrame:
     """Word chunks of a document table; a projection and an explode, no shuffle."""
-    chunked = chunk_rows(documents.select("doc_id", "source", "text"), "text", size, minimum_chars)
+    rows = spread(documents.select("doc_id", "source", "text"), "doc_id")
+    chunked = chunk_rows(rows, "text", size, minimum_chars)
     return explode_chunks(chunked, ["doc_id", "source"])
 
 
@@ -161,13 +162,12 @@ def pack_segments(
             return starts
 
         return pd.Series([borders(c) if c is not None else None for c in counts])
-    held = df.select(*keys, T.col(segments).alias("_segments"))
+    held = spread(df, keys[0]).select(*keys, T.col(segments).alias("_segments"))
     held = held.withColumn("_tokens", F.transform("_segments", tokens))
     held = held.withColumn("_starts", chunk_starts("_tokens"))
     held = held.withColumn("_stops", F.concat(F.slice("_starts", F.lit(2), F.size("_starts")), F.array(F.size("_segments"))))
-    held = held.select(
-        *keys, "_segments", "_tokens", F.posexplode(F.arrays_zip("_starts", "_stops")).alias("chunk_id", "_span")
-    )
+    spans = F.arrays_zip("_starts", "_stops")
+    held = T.rows_of(held, [*keys, "_segments", "_tokens"], spans, "_span", "chunk_id")
     start, length = F.col("_span._starts"), F.col("_span._stops") - F.col("_span._starts")
     total = F.aggregate(F.slice("_tokens", start + 1, length), F.lit(0), lambda a, x: a + x)
     return held.select(
@@ -218,7 +218,7 @@ def layout_chunks(chunks: DataFrame) -> DataFrame:
 
 def segment_counts(chunks: DataFrame, group: list[str], segments: str = "segments") -> DataFrame:
     """Text and table segments per group; other types count in neither."""
-    rows = chunks.select(*group, F.explode(segments).alias("segment"))
+    rows = T.rows_of(chunks, group, segments, "segment")
     kind = F.col("segment.segment_type")
     return rows.groupBy(*group).agg(
         F.count_if(kind.isin(*TEXT_TYPES)).alias("text_segments"),

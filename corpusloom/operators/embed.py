@@ -12,6 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import spread
+
 DIMENSIONS = 256
 TOKEN_PATTERN = r"(?U)[^\p{L}\p{N}]+"
 
@@ -36,11 +38,11 @@ class HashedTfIdf:
             IDF(inputCol="_tf", outputCol="_weights"),
             Normalizer(inputCol="_weights", outputCol="_unit", p=2.0),
         ]
-        held = texts.select(F.coalesce(F.col(text), F.lit("")).alias("_text"))
+        held = spread(texts.select(F.coalesce(F.col(text), F.lit("")).alias("_text")), "_text")
         return HashedTfIdf(Pipeline(stages=stages).fit(held))
 
     def __call__(self, df: DataFrame, text: str, output: str) -> DataFrame:
-        held = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+        held = spread(df, text).withColumn("_text", F.coalesce(F.col(text), F.lit("")))
         embedded = self.model.transform(held).withColumn(output, vector_to_array("_unit", "float32"))
         return embedded.drop("_text", "_tokens", "_tf", "_weights", "_unit")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import html as H
 from corpusloom.functions import text as T
+from corpusloom.session import spread
 
 # The agent the crawl policy is evaluated for and the agent
 # name that stands for everyone.
@@ -27,7 +28,8 @@ def extract_pages(
     A page without HTML is a failed fetch and is dropped; a page whose text is
     too short stays, with empty content. One projection, no shuffle.
     """
-    marked = pages.filter("html IS NOT NULL").selectExpr(
+    landed = spread(pages.filter("html IS NOT NULL").select("page_id", "url", "html"), "page_id")
+    marked = landed.selectExpr(
         "page_id", "url", H.without_containers(H.without_raw_blocks("html")) + " AS markup"
     )
     picked = marked.selectExpr(

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import render as R
 from corpusloom.functions import text as X
+from corpusloom.functions.vectors import normalized
 from corpusloom.operators.numbering import first_per_group
 
 # Result sizes used by the reference configurations.
@@ -347,15 +348,16 @@ def build_prompts(contexts: DataFrame, question: Column | str, opening: str = R.
     return contexts.withColumn("prompt", R.prompt("context", question, opening))
 
 
-def group_means(vectors: DataFrame, group: str, query_id: str = "query_id") -> DataFrame:
-    """Mean vector of every group, as queries: ``query_id, query_vector``."""
+def group_directions(vectors: DataFrame, group: str, query_id: str = "query_id") -> DataFrame:
+    """Unit-length mean vector of every group, as queries: ``query_id, query_vector``."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
     held = vectors.select(group, array_to_vector("embedding").alias("_v"))
-    return held.groupBy(F.col(group).alias(query_id)).agg(
-        vector_to_array(Summarizer.mean(F.col("_v"))).alias("query_vector")
+    means = held.groupBy(F.col(group).alias(query_id)).agg(
+        vector_to_array(Summarizer.mean(F.col("_v"))).alias("_mean")
     )
+    return means.select(query_id, normalized("_mean").alias("query_vector"))
 
 
 Strategy = Callable[..., DataFrame]

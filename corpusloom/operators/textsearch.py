@@ -4,26 +4,22 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import col
+from corpusloom.functions.text import col, rows_of
 from corpusloom.operators.numbering import first_per_group
-from corpusloom.session import stage
+from corpusloom.session import spread, stage
 
 NOT_LETTERS = "[^a-zà-ÿ]+"
 MAX_BROADCAST_TERMS = 200_000
 
 
-def terms(text: Column | str) -> Column:
-    """Lower-case letter runs of a text."""
-    return F.filter(F.split(F.lower(col(text)), NOT_LETTERS), lambda t: t != "")
-
-
 def term_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, term, tf``. A text is one row, so its counts are complete before
+    """``key, term, tf`` over lower-case letter runs. A text is one row, so its counts are complete before
     the shuffle and only distinct pairs travel."""
-    exploded = rows.select(key, F.explode(terms(text)).alias("term"))
+    pieces = F.split(F.lower(col(text)), NOT_LETTERS)
+    exploded = rows_of(spread(rows.select(key, text), key), [key], pieces, "term").filter("term <> ''")
     return exploded.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 

@@ -1,4 +1,4 @@
-"""Queries over vectors and text search. The mean vector of every label (or of
+"""Queries over vectors and text search. The mean direction of every label (or of
 every source) asks the questions, so each query reads the whole vector table."""
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ def _means(rows: str, group: str) -> str:
     return f"""
     parts AS (
       SELECT {group} AS query_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM {rows}),
+    means AS (SELECT query_id, i, avg(x) AS x FROM parts GROUP BY query_id, i),
     asked AS (
-      SELECT query_id, list(x ORDER BY i) AS v FROM (SELECT query_id, i, avg(x) AS x FROM parts GROUP BY query_id, i)
-      GROUP BY query_id)
+      SELECT query_id, list(x / norm ORDER BY i) AS v
+      FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY query_id)) AS norm FROM means) GROUP BY query_id)
 """
 
 
@@ -50,7 +51,7 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def label_queries(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings").select(F.col("label").cast("bigint").alias("label"), "embedding")
-    return search.group_means(rows, "label")
+    return search.group_directions(rows, "label")
 
 
 def _knn(spark, folder, metric):
@@ -84,7 +85,7 @@ _SOURCED = """sourced AS (
 def knn_by_source(spark, folder):
     sources = table(spark, folder, "documents").select(F.col("doc_id").alias("vec_id"), "source")
     sourced = vectors(spark, folder).join(sources, "vec_id")
-    asked = search.group_means(sourced, "source").withColumn("scope", F.col("query_id"))
+    asked = search.group_directions(sourced, "source").withColumn("scope", F.col("query_id"))
     return search.search_own_source(sourced, asked)
 
 
