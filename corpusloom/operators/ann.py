@@ -41,7 +41,7 @@ SEED = 42
 KMEANS_ITERATIONS = 10
 RERANK = 50
 HASH_TABLES = 8
-BUCKET_LENGTH = 0.5
+BUCKET_LENGTH = 0.1
 
 
 def cell_count(vectors: int) -> int:

@@ -246,13 +246,13 @@ def nearest_tiled(
         F.col("query_vector").cast("array<double>").alias("query_vector"),
         (F.col(query_keys) if query_keys else F.lit(None).cast(wanted_type)).alias("keys"),
         F.pmod(F.xxhash64("query_id"), F.lit(query_tiles)).alias("query_tile"),
-        F.explode(F.sequence(F.lit(0), F.lit(corpus_tiles - 1))).cast("bigint").alias("corpus_tile"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(corpus_tiles - 1).cast("bigint"))).alias("corpus_tile"),
     )
     right = corpus.filter(F.col("embedding").isNotNull()).select(
         "vec_id",
         "embedding",
         (F.col(row_keys) if row_keys else F.lit(None).cast(key_type)).alias("keys"),
-        F.explode(F.sequence(F.lit(0), F.lit(query_tiles - 1))).cast("bigint").alias("query_tile"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(query_tiles - 1).cast("bigint"))).alias("query_tile"),
         F.pmod(F.xxhash64("vec_id"), F.lit(corpus_tiles)).alias("corpus_tile"),
     )
     keyed = row_keys is not None

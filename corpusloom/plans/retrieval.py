@@ -12,7 +12,7 @@ from corpusloom.operators.evaluation import index_footprint as footprint
 from corpusloom.operators.textsearch import tfidf_search as text_search
 from corpusloom.plans.registry import query, strip, table
 
-PROBES = 8
+PROBES = 25
 CODE_BITS = 4
 
 
