@@ -21,9 +21,13 @@ def write_table(chunks: DataFrame, path: str, partition: str = "source") -> None
 
 
 def write_chunk_files(chunks: DataFrame, path: str) -> None:
-    """Export of one text file per chunk under ``source=…/chunk_id=…``."""
-    rows = chunks.select("source", "chunk_id", "content")
-    rows.write.mode("overwrite").partitionBy("source", "chunk_id").option("lineSep", "").text(path)
+    """Export of one text file per chunk under ``source=…/chunk_id=…``.
+
+    Every file ends with one line break, which the text writer adds.
+    """
+    body = F.regexp_replace("content", r"\n\z", "")
+    rows = chunks.select("source", "chunk_id", body.alias("content"))
+    rows.write.mode("overwrite").partitionBy("source", "chunk_id").text(path)
 
 
 def _plain_timestamps(df: DataFrame) -> DataFrame:

@@ -131,11 +131,11 @@ def document_files(spark: SparkSession, path: str) -> DataFrame:
     read, never the content.
     """
     single = path.lower().endswith(DOCUMENT_SUFFIX)
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", False)
+    # The recursive listing also sees a folder next to name=value folders as it is.
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if not single:
         reader = reader.option("pathGlobFilter", f"*{DOCUMENT_SUFFIX}")
     files = reader.load(path).select("path", "length", "modificationTime")
-    # A folder partitioned by name=value directories would be read recursively.
     if not single:
         inside = F.regexp_extract(F.regexp_replace("path", r"\Afile:/*", "/"), _below(path), 1)
         files = files.filter((inside != "") & ~inside.contains("/"))
