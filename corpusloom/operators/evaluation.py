@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -261,6 +263,7 @@ def report_lines(runs: DataFrame) -> DataFrame:
     head = lines(
         summary,
         1,
+        F.lit("# RAG Agent Performance Test Results"),
         F.lit("## Test Summary"),
         F.concat(F.lit("- **Total Tests:** "), F.col("total_tests").cast("string")),
         F.concat(F.lit("- **Successful Tests:** "), F.col("successful_tests").cast("string")),
@@ -292,7 +295,17 @@ def report_lines(runs: DataFrame) -> DataFrame:
     by_value = Window.partitionBy("dimension").orderBy("value")
     table = compared.select(
         (order[F.col("dimension")] + 4).alias("section"),
-        F.row_number().over(by_value).alias("line_no"),
+        (F.row_number().over(by_value) + 2).alias("line_no"),
         F.concat(F.lit("| "), cells, F.lit(" |")).alias("line"),
     )
-    return head.unionByName(metrics).unionByName(best).unionByName(table)
+    titled = [
+        lines(
+            summary.filter("successful_tests > 0"),
+            at + 4,
+            F.lit("### By " + dimension.replace("_", " ").title()),
+            F.lit("| Model | Avg Time (s) | Min Time (s) | Max Time (s) |"),
+            F.lit("|-------|--------------|--------------|---------------|"),
+        )
+        for at, dimension in enumerate(DIMENSIONS)
+    ]
+    return reduce(DataFrame.unionByName, [head, metrics, best, *titled, table])

@@ -177,7 +177,7 @@ def sample_first_n(spark, folder):
     "unified_corpus",
     f"""WITH {PAGES_CLEAN}
     SELECT concat('document-', doc_id) AS chunk_key, text AS content, 'document' AS source_type,
-      source AS content_source, NULL::VARCHAR AS title FROM documents
+      source AS content_source, '' AS title FROM documents
     UNION ALL
     SELECT concat('page-', page_id), content, 'web', domain, title FROM pages_clean""",
 )
@@ -195,7 +195,7 @@ def unified_corpus(spark, folder):
         F.col("domain").alias("content_source"),
         "title",
     )
-    return documents.unionByName(web, allowMissingColumns=True)
+    return documents.unionByName(web, allowMissingColumns=True).fillna("", ["title"])
 
 
 @query("embed_documents")

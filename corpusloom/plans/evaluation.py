@@ -123,8 +123,9 @@ def run_ranking(spark, folder):
     "run_report",
     f"""WITH {_RUNS}, {_SUMMARY}, {_BY_DIMENSION}, best AS (
       SELECT * FROM runs WHERE success ORDER BY total_time, run_id LIMIT 1)
-    SELECT 1 AS section, unnest(range(4))::INTEGER AS line_no, unnest(['## Test Summary',
-      concat('- **Total Tests:** ', total_tests), concat('- **Successful Tests:** ', successful_tests),
+    SELECT 1 AS section, unnest(range(5))::INTEGER AS line_no, unnest(['# RAG Agent Performance Test Results',
+      '## Test Summary', concat('- **Total Tests:** ', total_tests),
+      concat('- **Successful Tests:** ', successful_tests),
       printf('- **Success Rate:** %.1f%%', success_rate)]) AS line FROM summary
     UNION ALL
     SELECT 2, unnest(range(6))::INTEGER, unnest(['## Performance Metrics',
@@ -139,8 +140,14 @@ def run_ranking(spark, folder):
       concat('- **LLM Model:** ', llm_model), concat('- **Chunk Size:** ', chunk_size),
       printf('- **Total Time:** %.3fs', total_time)]) FROM best
     UNION ALL
+    SELECT 4 + i, unnest(range(3))::INTEGER,
+      unnest([concat('### By ', ['Embedding Model', 'Search Algorithm', 'Llm Model', 'Chunk Size'][i + 1]),
+        '| Model | Avg Time (s) | Min Time (s) | Max Time (s) |',
+        '|-------|--------------|--------------|---------------|'])
+    FROM summary, unnest(range(4)) AS u(i)
+    UNION ALL
     SELECT 3 + list_position(['embedding_model', 'search_algorithm', 'llm_model', 'chunk_size'], dimension),
-      row_number() OVER (PARTITION BY dimension ORDER BY value)::INTEGER,
+      2 + row_number() OVER (PARTITION BY dimension ORDER BY value)::INTEGER,
       printf('| %s | %.3f | %.3f | %.3f |', value, mean_time, min_time, max_time) FROM by_dimension""",
 )
 def run_report(spark, folder):
@@ -170,7 +177,7 @@ def experiment_grid(spark, folder):
     e(embedding, price) AS (VALUES ('text-embedding-3-small', 0.02), ('text-embedding-3-large', 0.13),
       ('text-embedding-ada-002', 0.10)),
     l(llm, price) AS (VALUES ('gpt-3.5-turbo', 0.50), ('gpt-4o-mini', 0.15), ('gpt-4o', 5.00))
-    SELECT config_name, embedding, llm, runs,
+    SELECT config_name, coalesce(embedding, '') AS embedding, coalesce(llm, '') AS llm, runs,
       round((500 / 1e6::DOUBLE * coalesce(e.price, 0.02)::DOUBLE + 1500 / 1e6::DOUBLE * coalesce(l.price, 0.50)::DOUBLE)
         * 1000, 6) AS cost_per_1000
     FROM counts LEFT JOIN presets USING (config_name) LEFT JOIN e USING (embedding) LEFT JOIN l USING (llm)""",
@@ -180,7 +187,7 @@ def cost_model(spark, folder):
     named = table(spark, folder, "events").select(
         F.element_at(names, (F.col("user_id") % 4 + 1).cast("int")).alias("config_name")
     )
-    return E.cost_by_config(named, E.preset_table(spark), E.price_table(spark))
+    return E.cost_by_config(named, E.preset_table(spark), E.price_table(spark)).fillna("", ["embedding", "llm"])
 
 
 def index_runs(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors as V
-from corpusloom.operators import ann, search
+from corpusloom.operators import ann, knowledge, search
+from corpusloom.operators.embed import HashedTfIdf
 from corpusloom.operators.evaluation import index_footprint as footprint
 from corpusloom.operators.textsearch import tfidf_search as text_search
 from corpusloom.plans.registry import query, strip, table
@@ -186,6 +187,16 @@ def build_prompts(spark, folder):
     return search.build_prompts(contexts.join(asked, "query_id"), "question").select("query_id", "hits", "prompt")
 
 
+@query("knowledge_search")
+def knowledge_search(spark, folder):
+    """Every benchmark passage is asked, against the embedded documents."""
+    documents = table(spark, folder, "documents").select("doc_id", "source", "text")
+    embedder = HashedTfIdf.fit(documents, "text")
+    index = embedder(documents, "text", "embedding").select(F.col("doc_id").alias("vec_id"), "embedding", "source")
+    asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return knowledge.contexts(asked, index, documents, embedder)
+
+
 @query(
     "normalize_vectors",
     """SELECT vec_id, i::INTEGER AS position,

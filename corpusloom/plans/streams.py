@@ -29,7 +29,7 @@ def stream_dedup_pages(spark, folder):
     return spark.read.parquet(f"{path}/table")
 
 
-@query("stream_upsert_pages", f"SELECT page_id, url, TIMESTAMP '{_SECOND}' AS scraped_at, html FROM pages")
+@query("stream_upsert_pages", f"SELECT page_id, url, '{_SECOND}' AS scraped_at, html FROM pages")
 def stream_upsert_pages(spark, folder):
     """Two crawls of every page; the later one is what is read."""
 
@@ -38,7 +38,9 @@ def stream_upsert_pages(spark, folder):
 
     path = fresh_path(spark, "stream-versions")
     _finish(upsert_pages(crawl(_FIRST).unionByName(crawl(_SECOND)), f"{path}/table", f"{path}/checkpoint"))
-    return read_latest(spark, f"{path}/table").select("page_id", "url", "scraped_at", "html")
+    return read_latest(spark, f"{path}/table").select(
+        "page_id", "url", F.date_format("scraped_at", "yyyy-MM-dd HH:mm:ss").alias("scraped_at"), "html"
+    )
 
 
 @query("stream_threads", "SELECT conv_id, turn, role, text FROM conversations")

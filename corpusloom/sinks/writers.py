@@ -3,6 +3,8 @@ range-sorted part files, so no task gathers a whole report or source."""
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,8 +121,12 @@ def write_index(vectors: DataFrame, documents: DataFrame, path: str) -> None:
     documents.write.mode("overwrite").parquet(f"{path}/docs")
 
 
-def write_results(runs: DataFrame, path: str, prefix: str) -> None:
-    """Raw rows as JSON, successful rows as CSV, the analysis tables as JSON."""
+def write_results(runs: DataFrame, path: str, prefix: str | None = None) -> None:
+    """Raw rows as JSON, successful rows as CSV, the analysis tables as JSON.
+
+    Without a prefix the names carry the time of the call.
+    """
+    prefix = prefix or datetime.now().strftime("performance_test_%Y%m%d_%H%M%S")
     base = f"{path}/{prefix}"
     runs.write.mode("overwrite").option("ignoreNullFields", False).json(f"{base}_results.json")
     kinds = dict(runs.dtypes)

@@ -32,7 +32,7 @@ def test_all_failed(spark):
     row = E.run_summary(df).first()
     assert row["error"] == "No successful test results" and row["avg_total_time"] is None
     assert E.best_configs(df).count() == 0 and E.runs_by_dimension(df).count() == 0
-    assert E.report_lines(df).count() == 4
+    assert E.report_lines(df).count() == 5
 
 
 def test_by_dimension(spark):

@@ -2,6 +2,7 @@ import csv
 import glob
 import json
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,17 +162,17 @@ def test_index_round_trip(spark, tmp_path):
     hits = search_cells(index, queries, 3, probes=4)
     assert hits.collect() == search.nearest(vectors, queries, "l2", 3).collect()
     pruned = search_cells(index, queries, 3, probes=1)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(cell" in pruned or "PartitionFilters: [(cell" in pruned or "cell#" in pruned
+    assert re.search(r"PartitionFilters: \[[^\]]*cell#", pruned)
 
 
 def test_results(spark, tmp_path):
     runs = spark.createDataFrame([run(1), run(2, ok=False)], schemas.RUNS)
     sinks.write_results(runs, str(tmp_path), "t")
     raw = [json.loads(line) for line in lines_of(f"{tmp_path}/t_results.json")]
-    assert {r["run_id"]: r["success"] for r in raw} == {1: True, 2: False} and raw[0]["error"] is None or True
+    assert {r["run_id"]: (r["success"], r["error"]) for r in raw} == {1: (True, None), 2: (False, "boom")}
     table = [row for part in glob.glob(f"{tmp_path}/t_results.csv/part-*") for row in csv.DictReader(open(part))]
     assert [r["run_id"] for r in table] == ["1"] and table[0]["relevance_scores"] == "[0.0]"
     assert os.path.isdir(f"{tmp_path}/t_analysis/summary")
     sinks.write_report(runs, f"{tmp_path}/report")
-    assert lines_of(f"{tmp_path}/report")[:2] == ["## Test Summary", "- **Total Tests:** 2"]
+    assert lines_of(f"{tmp_path}/report")[1:3] == ["## Test Summary", "- **Total Tests:** 2"]
     assert E.run_summary(runs).first()["total_tests"] == 2
