@@ -11,6 +11,8 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -25,6 +27,7 @@ from corpusloom.operators.search import (
     _scanner,
     first_per_group,
     nearest,
+    nearest_tiled,
     small_queries,
     strategy,
 )
@@ -64,8 +67,6 @@ class CellIndex:
 
 
 def build_cells(corpus: DataFrame, cells: int | None = None) -> CellIndex:
-    import numpy as np
-
     cells = cells or cell_count(corpus.count())
     features = corpus.withColumn("_features", array_to_vector("embedding"))
     model = _fit(features.select("_features"), cells, "_features")
@@ -73,21 +74,19 @@ def build_cells(corpus: DataFrame, cells: int | None = None) -> CellIndex:
     return CellIndex(rows, np.array(model.clusterCenters()))
 
 
-def probe_cells(small: QuerySet, centroids, probes: int) -> list[list[int]]:
-    """The ``probes`` nearest cells of every query."""
-    import numpy as np
-
-    if not len(small.ids):
-        return []
-    gaps = ((small.matrix[:, None, :] - centroids[None, :, :]) ** 2).sum(axis=2)
-    return np.argsort(gaps, axis=1, kind="stable")[:, :probes].tolist()
+def with_probes(queries: DataFrame, centroids, probes: int, name: str = "cells") -> DataFrame:
+    """Add the ``probes`` nearest cells of every query."""
 
+    @F.pandas_udf("array<int>")
+    def cells(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        rows = np.array(vectors.tolist(), dtype=np.float64)
+        gaps = (centroids * centroids).sum(axis=1)[None, :] - 2.0 * rows @ centroids.T
+        return pd.Series(np.argsort(gaps, axis=1, kind="stable")[:, :probes].tolist())
 
-def _bounded(queries: DataFrame) -> QuerySet:
-    small = small_queries(queries)
-    if small is None:
-        raise ValueError("too many queries for one approximate pass; search in batches")
-    return small
+    known = queries.filter(F.col("query_vector").isNotNull())
+    return known.withColumn(name, cells(F.col("query_vector").cast("array<double>")))
 
 
 def search_cells(index: CellIndex, queries: DataFrame, k: int = DEFAULT_K, probes: int = DEFAULT_PROBES) -> DataFrame:
@@ -96,12 +95,8 @@ def search_cells(index: CellIndex, queries: DataFrame, k: int = DEFAULT_K, probe
     The probed cells also filter the scan: an index written by cell
     (:func:`corpusloom.sinks.write_index`) is pruned to those folders.
     """
-    small = _bounded(queries)
-    small.keys = probe_cells(small, index.centroids, probes)
-    probed = sorted({cell for own in small.keys for cell in own})
-    rows = index.rows.filter(F.col("cell").isin(probed)).select("vec_id", "embedding", "cell")
-    hits = rows.mapInArrow(_scanner(small, "l2", k, "cell"), HIT_SCHEMA.format(qtype=small.id_type))
-    return _ranked(hits, "l2", k)
+    asked = with_probes(queries, index.centroids, probes)
+    return nearest(index.rows, asked, "l2", k, row_keys="cell", query_keys="cells")
 
 
 @strategy("ivf_flat")
@@ -122,8 +117,6 @@ def build_codes(
     corpus: DataFrame, cells: int | None = None, parts: int = SUB_VECTORS, bits: int = CODE_BITS
 ) -> CodeIndex:
     """Cell and product code of every vector; the dimension must divide by ``parts``."""
-    import numpy as np
-
     width = corpus.select(F.size("embedding")).first()[0]
     if width % parts:
         raise ValueError(f"dimension {width} does not divide by {parts}")
@@ -138,7 +131,6 @@ def build_codes(
         books = list(pool.map(book, range(parts)))
 
     def encode(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
@@ -169,18 +161,22 @@ def search_codes(
     probes: int = DEFAULT_PROBES,
     rerank: int = RERANK,
 ) -> DataFrame:
-    """Best ``rerank`` rows per query by their codes, then exact L2 among them."""
-    import numpy as np
+    """Best ``rerank`` rows per query by their codes, then exact L2 among them.
 
-    small = _bounded(queries)
-    keys = probe_cells(small, index.centroids, probes)
+    A query side beyond the bound is scored exactly in its probed cells instead.
+    """
+    asked = with_probes(queries, index.centroids, probes)
+    small = small_queries(asked, "cells")
+    if small is None:
+        held = corpus.select("vec_id", "embedding").join(index.rows.select("vec_id", "cell"), "vec_id")
+        return nearest_tiled(held, asked, "l2", k, row_keys="cell", query_keys="cells")
+    keys = small.keys
     probed = sorted({cell for own in keys for cell in own})
     ids, matrix, books = small.ids, small.matrix, index.books
     keep = max(k, rerank)
     step = matrix.shape[1] // len(books) if len(ids) else 1
 
     def shortlist(batches):
-        import numpy as np
         import pyarrow as pa
 
         tables = [

@@ -82,7 +82,8 @@ def chunk_pages(
     """Web chunks with ids that are dense per source in page order.
 
     The chunked pages are staged once. Ids come from a narrow job over
-    (source, page, number of chunks); the texts shuffle once, on the page.
+    (source, page, number of chunks); the texts shuffle once, on a row key that
+    the staged table fixes.
     """
     chunked = stage(
         chunk_rows(
@@ -92,15 +93,17 @@ def chunk_pages(
             "content",
             size,
             minimum_chars,
-        ).drop("content"),
+        )
+        .drop("content")
+        .withColumn("row_id", F.monotonically_increasing_id()),
         "chunked-pages",
     )
     counts = chunked.filter(F.size("chunks") > 0).select(
-        "source", "page_id", F.size("chunks").alias("kept")
+        "source", "page_id", "row_id", F.size("chunks").alias("kept")
     )
-    starts = running_start(counts, ["page_id"], ["source"], "kept", "start").select("page_id", "start")
-    numbered = chunked.join(starts, "page_id").select(
-        "source", "page_id", "start", "url", "title", "domain", "scraped_at", "total_chunks",
+    starts = running_start(counts, ["page_id", "row_id"], ["source"], "kept", "start").select("row_id", "start")
+    numbered = chunked.join(starts, "row_id").select(
+        "source", "start", "url", "title", "domain", "scraped_at", "total_chunks",
         F.posexplode("chunks").alias("offset", "chunk"),
     )
     chunk_id = F.col("start") + F.col("offset")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,10 +49,13 @@ def running_start(
         Window.partitionBy(*keys).orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
     )
     inside = placed.withColumn("_ahead", F.coalesce(F.sum("_amount").over(earlier_rows), F.lit(0)))
+    # Null-safe, so rows without a group are numbered as one more group.
+    shifts = shifts.select("_shift", *[F.col(key).alias(f"_of_{key}") for key in keys])
+    same = reduce(and_, [F.col(key).eqNullSafe(F.col(f"_of_{key}")) for key in keys])
     return (
-        inside.join(shifts, keys)
+        inside.join(shifts, same)
         .withColumn(name, (F.col("_ahead") + F.col("_shift")).cast("bigint"))
-        .drop("_place", "_amount", "_run", "_ahead", "_shift")
+        .drop("_place", "_amount", "_run", "_ahead", "_shift", *[f"_of_{key}" for key in keys])
     )
 
 

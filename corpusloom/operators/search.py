@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from corpusloom.functions import render as R
 from corpusloom.functions import text as X
@@ -30,6 +31,7 @@ K_CHOICES = (3, 5, 7, 10)
 MAX_QUERY_ROWS = 4096
 MAX_QUERY_BYTES = 64 * 1024 * 1024
 TILE_ROWS = 50_000
+MAX_PRUNED_KEYS = 1000
 DECIMALS = 6
 ASCENDING = {"l2": True, "ip": False, "cosine": False}
 HIT_SCHEMA = "query_id {qtype}, vec_id bigint, score double"
@@ -215,6 +217,11 @@ def nearest(
     if small is None:
         return nearest_tiled(corpus, queries, metric, k, row_keys, query_keys, max_query_rows)
     columns = ["vec_id", "embedding"] + ([F.col(row_keys).alias("keys")] if row_keys else [])
+    if row_keys and not isinstance(corpus.schema[row_keys].dataType, ArrayType):
+        # The keys asked for also prune the scan: folders of cells, or row groups.
+        asked = {key for own in small.keys for key in own}
+        if len(asked) <= MAX_PRUNED_KEYS:
+            corpus = corpus.filter(F.col(row_keys).isin(list(asked)))
     hits = corpus.filter(F.col("embedding").isNotNull()).select(*columns).mapInArrow(
         _scanner(small, metric, k, row_keys), HIT_SCHEMA.format(qtype=small.id_type)
     )

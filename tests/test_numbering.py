@@ -35,3 +35,9 @@ def test_with_next_crosses_blocks_and_gaps(spark):
     for block in (1, 2, 3, 4096):
         got = with_next(df, "c", "t", ["x"], block).collect()
         assert {(r["c"], r["t"]): r["next"]["x"] if r["next"] else None for r in got} == expected
+
+
+def test_rows_without_a_group_are_numbered(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "g string, o bigint")
+    got = running_start(df, ["o"], ["g"]).collect()
+    assert {(r["g"], r["o"]): r["start"] for r in got} == {(None, 1): 0, (None, 2): 1, ("a", 3): 0}

@@ -184,3 +184,14 @@ def test_contexts(spark):
 def test_preview_lines(spark):
     hits = spark.createDataFrame([(1, 1, 9, None, "a\nb")], "query_id int, rank int, vec_id int, source string, text string")
     assert search.previews(hits).first()["line"] == "1. [unknown] a b..."
+
+
+def test_many_queries_go_through_tiles_for_approximate_search_too(data, monkeypatch):
+    corpus, queries, matrix, asked, _ = data
+    expected = brute(matrix, asked, "l2", 5)
+    monkeypatch.setattr(search, "MAX_QUERY_ROWS", 2)
+    monkeypatch.setattr(ann, "small_queries", lambda q, keys: search.small_queries(q, keys, 2))
+    monkeypatch.setattr(ann, "nearest", lambda *a, **o: search.nearest(*a, **o, max_query_rows=2))
+    same(result(ann.ivf_flat(corpus, queries, 5, cells=4, probes=4)), expected)
+    same(result(ann.ivf_pq(corpus, queries, 5, cells=4, probes=4, bits=2)), expected)
+    assert set(result(ann.lsh(corpus, queries, 5, tables=2, length=1000.0))) <= set(expected)
