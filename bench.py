@@ -57,12 +57,12 @@ def main() -> None:
     seconds, details, seen = {}, {}, -1
     for name in only:
         start = time.perf_counter()
-        rows = QUERIES[name](spark, folder).collect()
+        result = QUERIES[name](spark, folder).toArrow()
         seconds[name] = round(time.perf_counter() - start, 3)
         totals, seen = stage_totals(spark, seen)
-        details[name] = {"output_rows": len(rows), **totals}
+        details[name] = {"output_rows": result.num_rows, **totals}
         if name in HEADLINE_EXTRA:
-            details[name]["recall_at_5"] = {r["index_type"]: r[HEADLINE_EXTRA[name]] for r in rows}
+            details[name]["recall_at_5"] = {r["index_type"]: r[HEADLINE_EXTRA[name]] for r in result.to_pylist()}
         print(f"{name}: {seconds[name]}s {details[name]}", file=sys.stderr)
         spark.catalog.clearCache()
     scale = re.search(r"sf([0-9.]+)$", folder)

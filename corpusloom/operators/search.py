@@ -24,7 +24,7 @@ from corpusloom.functions import text as X
 from corpusloom.functions.vectors import normalized
 from corpusloom.operators.numbering import first_per_group
 
-# Result sizes used by the reference configurations.
+# The usual result size and the sizes an experiment compares.
 DEFAULT_K = 5
 K_CHOICES = (3, 5, 7, 10)
 

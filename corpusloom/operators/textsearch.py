@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import col, rows_of
@@ -23,6 +23,12 @@ def term_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
     return exploded.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+def _unit(weight: str, text: str) -> Column:
+    """Weight divided by the length of the weights of its text; NULL for length 0."""
+    squares = F.sum(F.col(weight) * F.col(weight)).over(Window.partitionBy(text))
+    return F.try_divide(F.col(weight), F.sqrt(squares))
+
+
 def tfidf_search(
     documents: DataFrame,
     queries: DataFrame,
@@ -47,11 +53,9 @@ def tfidf_search(
     # Reading tf here keeps both uses on the same exchange.
     frequency = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     idf = F.log((n_docs + F.lit(1.0)) / (F.col("df") + F.lit(1.0)))
-    weighted = tf.join(frequency, "term").select(
-        doc_id, "term", (F.col("tf") * idf).alias("dw"), idf.alias("idf")
-    )
-    squares = F.sum(F.col("dw") * F.col("dw")).over(Window.partitionBy(doc_id))
-    laid_out = weighted.select(doc_id, "term", "idf", "dw").repartition(doc_id).withColumn("d_norm", F.sqrt(squares))
+    weighted = tf.join(frequency, "term").select(doc_id, "term", (F.col("tf") * idf).alias("dw"))
+    laid_out = weighted.select(doc_id, "term", "dw").repartition(doc_id)
+    laid_out = laid_out.select(doc_id, "term", _unit("dw", doc_id).alias("dw"))
 
     asked = term_counts(queries, query_id, text)
     blocks = -(-asked.count() // max_broadcast_terms) or 1
@@ -62,14 +66,12 @@ def tfidf_search(
         part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block)
         part = part.select(query_id, "term", F.col("tf").alias("q_tf"))
         known = part.join(frequency, "term").select(query_id, "term", (F.col("q_tf") * idf).alias("qw"))
-        q_squares = F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy(query_id))
-        wanted = known.withColumn("q_norm", F.sqrt(q_squares))
+        wanted = known.select(query_id, "term", _unit("qw", query_id).alias("qw"))
         dots = (
             laid_out.join(F.broadcast(wanted), "term")
-            .groupBy(doc_id, query_id, "d_norm", "q_norm")
-            .agg(F.sum(F.col("qw") * F.col("dw")).alias("dot"))
+            .groupBy(doc_id, query_id)
+            .agg(F.round(F.sum(F.col("qw") * F.col("dw")), 6).alias("score"))
         )
-        score = F.round(F.try_divide(F.try_divide("dot", "q_norm"), F.col("d_norm")), 6)
-        found.append(dots.select(query_id, doc_id, score.alias("score")).filter("score > 0"))
+        found.append(dots.select(query_id, doc_id, "score").filter("score > 0"))
     scored = reduce(DataFrame.unionByName, found)
     return first_per_group(scored, [query_id], [F.col("score").desc(), F.col(doc_id)], k)
