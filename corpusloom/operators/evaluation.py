@@ -212,16 +212,12 @@ def index_ranking(index_runs: DataFrame) -> DataFrame:
 
 
 def with_cost(configs: DataFrame, prices: DataFrame, embedding: str = "embedding", chat: str = "llm") -> DataFrame:
-    """Add ``cost_per_1000``; a model without a price takes the default one.
-
-    The price list is a fixed small table.
-    """
+    """Add ``cost_per_1000``; a model without a price takes the default one."""
 
     def price(kind, key, name):
-        listed = prices.filter(F.col("kind") == kind).groupBy(F.col("model").alias(key)).agg(
-            F.first("usd_per_million").alias(name)
+        return prices.filter(F.col("kind") == kind).groupBy(F.col("model").alias(key)).agg(
+            F.min("usd_per_million").alias(name)
         )
-        return F.broadcast(listed)
 
     priced = configs.join(price("embedding", embedding, "_e"), embedding, "left").join(
         price("chat", chat, "_c"), chat, "left"
@@ -243,7 +239,7 @@ def cost_by_config(runs: DataFrame, presets: DataFrame, prices: DataFrame, name:
     first = Window.partitionBy("name").orderBy("position")
     unique = presets.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
     known = unique.select(F.col("name").alias(name), "embedding", "llm")
-    return with_cost(counts.join(F.broadcast(known), name, "left"), prices)
+    return with_cost(counts.join(known, name, "left"), prices)
 
 
 def report_lines(runs: DataFrame) -> DataFrame:

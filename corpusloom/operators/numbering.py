@@ -80,14 +80,14 @@ def with_next(
     crossing = heads.select(
         group, "_block", F.lead("_head").over(by_block).alias("_next_head")
     ).filter("_next_head is not null")
+    here = rows.select(F.col(group).alias("_group"), F.col(order).alias("_order"), payload.alias("_carried"))
     carried = crossing.join(
-        rows.select(F.col(group), F.col(order).alias("_next_head"), payload.alias("_carried")),
-        [group, "_next_head"],
-    ).drop("_next_head")
+        here, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_next_head") == F.col("_order"))
+    ).select("_group", F.col("_block").alias("_end"), "_carried")
     return (
-        inside.join(carried, [group, "_block"], "left")
+        inside.join(carried, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_block") == F.col("_end")), "left")
         .withColumn("next", F.coalesce("_next", "_carried"))
-        .drop("_block", "_next", "_carried")
+        .drop("_block", "_next", "_carried", "_group", "_end")
     )
 
 

@@ -67,12 +67,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give every core a share before costly row work.
 
-    Only an input with fewer splits than cores is moved, such as one small
+    Only an input with far fewer splits than cores is moved, such as one small
     file; an input of many splits is left where it is, without a shuffle.
     """
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() * 2 > cores:
         return df
     return df.repartition(cores, key)

@@ -26,10 +26,11 @@ def test_running_start_over_all_rows_with_ties(spark):
 def test_with_next_crosses_blocks_and_gaps(spark):
     rows = [(c, t, f"{c}-{t}") for c in (1, 2, 3) for t in [0, 1, 2, 5, 6, 40, 41, 99][: 2 + 3 * (c - 1)]]
     rows.append((4, 7, "alone"))
+    rows.extend((None, t, f"none-{t}") for t in (0, 5, 6))
     df = spark.createDataFrame(rows, "c int, t int, x string")
     expected = {}
     for c in {r[0] for r in rows}:
-        own = sorted(r for r in rows if r[0] == c)
+        own = sorted((r for r in rows if r[0] == c), key=lambda r: r[1])
         for a, b in zip(own, own[1:] + [None]):
             expected[a[0], a[1]] = b[2] if b else None
     for block in (1, 2, 3, 4096):
