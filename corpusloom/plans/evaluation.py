@@ -140,13 +140,13 @@ def run_ranking(spark, folder):
       concat('- **LLM Model:** ', llm_model), concat('- **Chunk Size:** ', chunk_size),
       printf('- **Total Time:** %.3fs', total_time)]) FROM best
     UNION ALL
-    SELECT 4 + i, unnest(range(3))::INTEGER,
+    SELECT (4 + i)::INTEGER, unnest(range(3))::INTEGER,
       unnest([concat('### By ', ['Embedding Model', 'Search Algorithm', 'Llm Model', 'Chunk Size'][i + 1]),
         '| Model | Avg Time (s) | Min Time (s) | Max Time (s) |',
         '|-------|--------------|--------------|---------------|'])
     FROM summary, unnest(range(4)) AS u(i)
     UNION ALL
-    SELECT 3 + list_position(['embedding_model', 'search_algorithm', 'llm_model', 'chunk_size'], dimension),
+    SELECT (3 + list_position(['embedding_model', 'search_algorithm', 'llm_model', 'chunk_size'], dimension))::INTEGER,
       2 + row_number() OVER (PARTITION BY dimension ORDER BY value)::INTEGER,
       printf('| %s | %.3f | %.3f | %.3f |', value, mean_time, min_time, max_time) FROM by_dimension""",
 )
