@@ -1,18 +1,20 @@
 """Token ids of whole texts from a public tokenizer file, with a memory of words.
 
 A cut before a space that stands between two visible characters never changes
-the pieces a tokenizer sees, so a text is encoded word by word and the ids of
-words met before are reused. A text with other runs of white space is encoded
-as a whole.
+the pieces a tokenizer sees, nor does one around a line break between such
+characters, or one between a letter or digit and a full stop or comma. So a
+text is encoded word by word, a word part by part, and the ids of what was met
+before are reused. A text with other runs of white space is encoded as a whole.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
+from itertools import islice
 
-import numpy as np
-
-MEMORY = 250_000
+WORDS_KEPT = 600_000
+MARKS = (".", ",")
 _ENCODERS: dict = {}
 
 
@@ -27,37 +29,50 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.first: dict[str, bytes | None] = {}
         self.later: dict[str, bytes | None] = {}
+        self.marks = dict(zip(MARKS, self._ids(list(MARKS)), strict=True))
+        self.line = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [
-            np.asarray(found.ids, dtype="<u4").tobytes()
-            for found in self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        ]
+        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        return [array("I", one.ids).tobytes() for one in found]
 
     def _learn(self, words: set[str], memory: dict, lead: str) -> None:
-        fresh = list(words.difference(memory.keys()))
-        if len(memory) + len(fresh) > MEMORY:
+        fresh = words.difference(memory)
+        if len(memory) + 2 * len(fresh) > WORDS_KEPT:  # forget the older half
+            kept = list(islice(memory.items(), len(memory) // 2, None)) if len(fresh) < WORDS_KEPT // 4 else []
             memory.clear()
-            fresh = list(words)
-        for word, ids in zip(fresh, self._ids([lead + word for word in fresh]), strict=True):
-            open_end = word[-1:].isspace() or (lead and (not word or word[0].isspace()))
-            memory[word] = None if open_end else ids
+            memory.update(kept)
+            fresh = words.difference(memory)
+        marks = self.marks
+        ended = [word for word in fresh if word[-1:] in marks and word[-2:-1].isalnum()]
+        wanted = fresh.difference(ended)
+        wanted.update([word[:-1] for word in ended])
+        new = list(wanted.difference(memory))
+        memory.update(zip(new, self._ids([lead + word for word in new] if lead else new), strict=True))
+        for word in ended:
+            start = memory[word[:-1]]
+            memory[word] = start and start + marks[word[-1]]
+        for word in new:
+            if not word or word[0].isspace() or word[-1].isspace():
+                memory[word] = None if word or lead else b""
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [text.split(" ") for text in texts]
-        self._learn({words[0] for words in split}, self.first, "")
-        self._learn({word for words in split for word in words[1:]}, self.later, " ")
-        first, later, out, whole = self.first, self.later, [], []
-        for at, words in enumerate(split):
-            head = first[words[0]]
-            tail = [later[word] for word in words[1:]]
-            if (head is None and tail) or None in tail:
+        """Ids of each text. A word next to white space other than one space or line break stands for the whole text."""
+        lines = [text.split("\n") for text in texts]
+        words = [[line.split(" ") for line in own] for own in lines]
+        heads = {line[0] for own in words for line in own}
+        tails = [[line[1:] for line in own] for own in words]
+        self._learn(heads, self.first, "")
+        self._learn(set().union(*[line for own in tails for line in own]), self.later, " ")
+        first, later, out, whole = self.first, self.later.__getitem__, [], []
+        for at, (own, rest) in enumerate(zip(words, tails, strict=True)):
+            try:
+                if len(own) > 1 and [""] in own:
+                    raise TypeError("an empty line")
+                out.append(self.line.join([first[line[0]] + b"".join(map(later, tail)) for line, tail in zip(own, rest, strict=True)]))
+            except TypeError:
                 whole.append(at)
                 out.append(b"")
-            elif head is None:
-                out.append(self._ids([texts[at]])[0])
-            else:
-                out.append(head + b"".join(tail))
         for at, ids in zip(whole, self._ids([texts[at] for at in whole]), strict=True):
             out[at] = ids
         return out
