@@ -53,8 +53,8 @@ class Network:
     def scores(self, rows: np.ndarray) -> np.ndarray:
         return sigmoid(self.logits(rows) / self.temperature)
 
-    def fit(self, rows: np.ndarray, labels: np.ndarray, epochs: int = 40, size: int = 256, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> None:
-        """Adam on the log loss; a fifth of the rows is kept for the temperature."""
+    def fit(self, rows: np.ndarray, labels: np.ndarray, epochs: int = 40, steps: int = 1500, size: int = 256, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> None:
+        """Adam on the log loss, over ``epochs`` passes and ``steps`` steps at least; a fifth of the rows is kept for the temperature."""
         draw = np.random.default_rng(seed)
         order = draw.permutation(len(rows))
         cut = len(rows) // 5
@@ -63,7 +63,7 @@ class Network:
         self.scale = np.maximum(rows[use].std(axis=0), 1e-3)
         x, y = np.clip((rows[use] - self.mean) / self.scale, -8, 8), labels[use].astype(float)
         first, second = ([np.zeros_like(w) for w in self.weights] for _ in range(2))
-        step = 0
+        epochs, step = max(epochs, -(-steps // -(-len(x) // size))), 0
         for epoch in range(epochs):
             turn = draw.permutation(len(x))
             for at in range(0, len(x), size):
