@@ -12,7 +12,7 @@ markup: an element that is never closed reaches to the end of the page, and
 from __future__ import annotations
 
 from collections.abc import Sequence
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from corpusloom.functions.text import EDGES
 
@@ -38,7 +38,7 @@ VOID_TAGS = (
 RAW_BLOCKS = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
 ANY_TAG = r"</?[A-Za-z][^>]*>|<[!?][^>]*>"
 TAG_END = r"(?=[\s/>])"
-REFERENCE = r"\A(#[xX][0-9A-Fa-f]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*)"
+REFERENCE = r"\A(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[^\t\n\f <&#;]{1,32};?)"
 NAME_END = "(?![A-Za-z0-9])"
 USUAL_REFERENCES = ("lt", "gt", "quot", "nbsp", "copy", "middot", "amp")  # the ampersand stays last
 NO_TEXTS = "cast(array() AS array<string>)"
@@ -127,7 +127,8 @@ def first_element(rest: str) -> str:
 def decode_entities(text: str) -> str:
     """Numeric and named character references, decoded once from left to right.
 
-    A name that is not known stays as it is, with or without a semicolon.
+    A name that is not known stays as it is, with or without a semicolon; old
+    names are known without one.
     Texts that hold none but the usual references take a few replacements, the
     ampersand last; all others are decoded piece by piece.
     """
@@ -144,24 +145,44 @@ def decode_entities(text: str) -> str:
     )
 
 
+def _literal(text: str) -> str:
+    """A SQL string; characters that SQL would read otherwise as Unicode escapes."""
+    return "'" + "".join(c if c.isalnum() or ord(c) > 127 else f"\\u{ord(c):04x}" for c in text) + "'"
+
+
 def _decoded_pieces() -> str:
-    # One constant map; the table is the one of HTML 4 from the standard library.
-    table = ",".join(f"{name}={chr(code)}" for name, code in sorted(name2codepoint.items()))
-    usual = " ".join(f"WHEN '{name}' THEN '{chr(name2codepoint[name])}'" for name in USUAL_REFERENCES)
-    digits = "if(lower(substring(ref, 2, 1)) = 'x', conv(substring(ref, 3, 6), 16, 10), substring(ref, 2, 7))"
+    """The rules of HTML 5 as the standard library states them: names first as they
+    stand, then the longest old name that needs no semicolon; numbers of the
+    Windows-1252 block as its characters, numbers that are no character as the
+    replacement mark, controls as nothing."""
+    # One constant map; the table is the one of HTML 5 from the standard library.
+    table = _literal("\x01".join(f"{name}\x02{text}" for name, text in sorted(html5.items())))
+    known = rf"try_element_at(str_to_map({table}, {_literal(chr(1))}, {_literal(chr(2))}), %s)"
+    old = "|".join(sorted((name for name in html5 if not name.endswith(";")), key=lambda name: (-len(name), name)))
+    usual = " ".join(f"WHEN '{name};' THEN '{chr(name2codepoint[name])}'" for name in USUAL_REFERENCES)
+    block = ", ".join(_literal(bytes([c]).decode("cp1252", "ignore") or chr(c)) for c in range(128, 160))
+    hexadecimal = "lower(substring(ref, 2, 1)) = 'x'"
+    digits = rf"regexp_replace(regexp_replace(ref, {pattern('^#[xX]?0*')}, ''), ';$', '')"
     numeric = let(
         "code",
-        f"CAST({digits} AS bigint)",
-        "if(code BETWEEN 1 AND 55295 OR code BETWEEN 57344 AND 1114111,"
-        " decode(unhex(lpad(hex(code), 8, '0')), 'UTF-32'), NULL)",
+        let("digits", digits, f"if(length(digits) > 7, 9999999, CAST(if({hexadecimal}, conv(digits, 16, 10), if(digits = '', '0', digits)) AS bigint))"),
+        f"""CASE WHEN code IS NULL OR code = 0 OR code > 1114111 OR code BETWEEN 55296 AND 57343 THEN '�'
+        WHEN code BETWEEN 128 AND 159 THEN element_at(array({block}), CAST(code - 127 AS int))
+        WHEN code < 9 OR code = 11 OR code BETWEEN 14 AND 31 OR code = 127
+          OR code BETWEEN 64976 AND 65007 OR code % 65536 >= 65534 THEN ''
+        ELSE decode(unhex(lpad(hex(code), 8, '0')), 'UTF-32') END""",
+    )
+    rest = "substring(piece, length(ref) + 1)"
+    prefix = let(
+        "head",
+        f"regexp_extract(ref, {pattern(f'^(?:{old})')}, 0)",
+        f"if(head = '', concat('&', piece), concat({known % 'head'}, substring(piece, length(head) + 1)))",
     )
-    char = f"""CASE WHEN ref = '' THEN NULL WHEN startswith(ref, '#') THEN {numeric}
-        ELSE coalesce(CASE ref {usual} END, try_element_at(str_to_map('{table}', ',', '='), ref)) END"""
-    rest = rf"regexp_replace(substring(piece, length(ref) + 1), {pattern(r'\A;')}, '')"
     decoded = let(
         "ref",
-        f"regexp_extract(piece, {pattern(REFERENCE)}, 1)",
-        f"coalesce(concat({char}, {rest}), concat('&', piece))",
+        f"regexp_extract(piece, {pattern(REFERENCE)}, 0)",
+        f"""CASE WHEN ref = '' THEN concat('&', piece) WHEN startswith(ref, '#') THEN concat({numeric}, {rest})
+        ELSE coalesce(concat(coalesce(CASE ref {usual} END, {known % 'ref'}), {rest}), {prefix}) END""",
     )
     return f"array_join(transform(split(text, '&'), (piece, at) -> if(at = 0, piece, {decoded})), '')"
 

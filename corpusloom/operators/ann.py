@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,12 +23,12 @@ from pyspark.sql import functions as F
 from corpusloom.operators.search import (
     DEFAULT_K,
     HIT_SCHEMA,
+    MAX_QUERY_ROWS,
     QuerySet,
     _ranked,
     _scanner,
     first_per_group,
     nearest,
-    nearest_tiled,
     small_queries,
     strategy,
 )
@@ -160,16 +161,26 @@ def search_codes(
     k: int = DEFAULT_K,
     probes: int = DEFAULT_PROBES,
     rerank: int = RERANK,
+    max_rows: int = MAX_QUERY_ROWS,
+    depth: int = 0,
 ) -> DataFrame:
     """Best ``rerank`` rows per query by their codes, then exact L2 among them.
 
-    A query side beyond the bound is scored exactly in its probed cells instead.
+    A query side beyond the bound is worked off in blocks of queries, each by
+    the same steps, so its size never changes a result.
     """
     asked = with_probes(queries, index.centroids, probes)
-    small = small_queries(asked, "cells")
+    small = small_queries(asked, "cells", max_rows)
     if small is None:
-        held = corpus.select("vec_id", "embedding").join(index.rows.select("vec_id", "cell"), "vec_id")
-        return nearest_tiled(held, asked, "l2", k, row_keys="cell", query_keys="cells")
+        if depth > 8:
+            raise ValueError("too many rows share a query id")
+        blocks = 2 * -(-queries.count() // max_rows)
+        place = F.pmod(F.xxhash64(F.lit(depth), "query_id"), F.lit(blocks))
+        found = [
+            search_codes(index, corpus, queries.filter(place == block), k, probes, rerank, max_rows, depth + 1)
+            for block in range(blocks)
+        ]
+        return reduce(DataFrame.unionByName, found)
     keys = small.keys
     probed = sorted({cell for own in keys for cell in own})
     ids, matrix, books = small.ids, small.matrix, index.books

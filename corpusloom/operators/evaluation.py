@@ -141,7 +141,10 @@ def best_configs(runs: DataFrame, order: str = "run_id") -> DataFrame:
         "fastest_overall": "total_time",
     }
     found = ok.agg(
-        *[F.min_by(whole, F.struct(metric, order)).alias(title) for title, metric in titles.items()]
+        *[
+            F.min_by(F.when(F.col(metric).isNotNull(), whole), F.when(F.col(metric).isNotNull(), F.struct(metric, order))).alias(title)
+            for title, metric in titles.items()
+        ]
     )
     rows = F.array(*[F.struct(F.lit(t).alias("metric"), F.col(t).alias("run")) for t in titles])
     return found.select(F.inline(rows)).filter("run is not null").select("metric", "run.*")

@@ -146,7 +146,10 @@ def _scanner(queries: QuerySet, metric: str, k: int, row_keys: str | None):
                 continue
             row_ids = batch.column(0).to_numpy(zero_copy_only=False)
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            rows = flat.reshape(batch.num_rows, -1).astype(np.float64)
+            width = wanted.shape[1]
+            if not (np.diff(batch.column(1).offsets.to_numpy()) == width).all():
+                raise ValueError(f"a vector of the corpus does not have the {width} dimensions of the queries")
+            rows = flat.reshape(batch.num_rows, width).astype(np.float64)
             if metric == "cosine":
                 rows = unit(rows)
             if keys is None:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from corpusloom.functions import render as R
 from corpusloom.functions import text as T
 from corpusloom.operators.chunking import CHUNK_WORDS, MIN_CHUNK_CHARS, chunk_rows
-from corpusloom.session import spread
 
 # Fixed value: the source name of a document without one.
 MISSING_SOURCE = "unknown"
@@ -26,7 +25,7 @@ def source_stats(documents: DataFrame, source: str = "source") -> DataFrame:
 
 def corpus_totals(documents: DataFrame, text: str = "text") -> DataFrame:
     """Documents, words, characters and the integer average of words."""
-    return spread(documents.select(text), text).agg(
+    return documents.select(text).agg(
         F.count("*").alias("total_documents"),
         F.coalesce(F.sum(T.word_count(text)), F.lit(0)).alias("total_words"),
         F.coalesce(F.sum(T.char_count(text)), F.lit(0)).alias("total_chars"),
@@ -34,7 +33,7 @@ def corpus_totals(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def file_stats(documents: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
-    measured = spread(documents.select(source, text), text).select(
+    measured = documents.select(source, text).select(
         F.col(source).alias("source"), T.word_count(text).alias("words"), T.char_count(text).alias("chars")
     )
     return measured.groupBy("source").agg(

@@ -11,12 +11,12 @@ from corpusloom.functions.text import col, rows_of
 from corpusloom.operators.numbering import first_per_group
 from corpusloom.session import spread, stage
 
-NOT_LETTERS = "[^a-zà-ÿ]+"
+NOT_LETTERS = r"[^\p{L}\p{N}]+"
 MAX_BROADCAST_TERMS = 200_000
 
 
 def term_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, term, tf`` over lower-case letter runs. A text is one row, so its counts are complete before
+    """``key, term, tf`` over lower-case runs of letters and digits. A text is one row, so its counts are complete before
     the shuffle and only distinct pairs travel."""
     pieces = F.split(F.lower(col(text)), NOT_LETTERS)
     exploded = rows_of(spread(rows.select(key, text), key), [key], pieces, "term").filter("term <> ''")

@@ -209,13 +209,13 @@ def embed_documents(spark, folder):
     """WITH last AS (
       SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back,
         count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
-    SELECT conv_id, turn, (least(n, 3) - back + 1)::INTEGER AS position, role,
+    SELECT conv_id, turn, (least(n, 10) - back + 1)::INTEGER AS position, role,
       concat(CASE WHEN role IN ('human', 'user') THEN '🧑 ' ELSE '🤖 ' END,
              upper(substr(role, 1, 1)), lower(substr(role, 2)), ': ', substr(text, 1, 200), '...') AS line
-    FROM last WHERE back <= 3""",
+    FROM last WHERE back <= 10""",
 )
 def conversation_tail(spark, folder):
-    return conversations.tail(table(spark, folder, "conversations"), 3)
+    return conversations.tail(table(spark, folder, "conversations"))
 
 
 @query(

@@ -14,7 +14,6 @@ from corpusloom.operators.textsearch import tfidf_search as text_search
 from corpusloom.plans.registry import query, strip, table
 
 PROBES = 25
-CODE_BITS = 4
 
 
 def _means(rows: str, group: str) -> str:
@@ -139,15 +138,15 @@ def rag_context_trunc(spark, folder):
     return long.join(search.assemble_short_context(found, asked, 400).drop("hits"), "query_id")
 
 
-_TERMS = """
+_TERMS = r"""
     n AS (SELECT count(*) AS n FROM documents),
     doc_terms AS (
       SELECT doc_id, term, count(*) AS tf FROM (
-        SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-zà-ÿ]+')) AS term FROM documents)
+        SELECT doc_id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS term FROM documents)
       WHERE term <> '' GROUP BY doc_id, term),
     asked_terms AS (
       SELECT item_id, term, count(*) AS tf FROM (
-        SELECT item_id, unnest(string_split_regex(lower(text), '[^a-zà-ÿ]+')) AS term FROM benchmark)
+        SELECT item_id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS term FROM benchmark)
       WHERE term <> '' GROUP BY item_id, term),
     idf AS (SELECT term, ln((n + 1.0::DOUBLE) / (count(*) + 1.0::DOUBLE)) AS idf FROM doc_terms, n GROUP BY term, n),
     dw AS (SELECT doc_id, term, tf * idf AS w FROM doc_terms JOIN idf USING (term)),
@@ -227,7 +226,7 @@ def ann_ivf(spark, folder):
 
 @query("ann_ivfpq")
 def ann_ivfpq(spark, folder):
-    return search.search("ivf_pq", vectors(spark, folder), label_queries(spark, folder), probes=PROBES, bits=CODE_BITS)
+    return search.search("ivf_pq", vectors(spark, folder), label_queries(spark, folder), probes=PROBES)
 
 
 @query("ann_lsh")
@@ -237,5 +236,5 @@ def ann_lsh(spark, folder):
 
 @query("index_comparison")
 def index_comparison(spark, folder):
-    options = {"ivf_flat": {"probes": PROBES}, "ivf_pq": {"probes": PROBES, "bits": CODE_BITS}}
+    options = {"ivf_flat": {"probes": PROBES}, "ivf_pq": {"probes": PROBES}}
     return ann.compare_indexes(vectors(spark, folder), label_queries(spark, folder), options=options)

@@ -15,6 +15,7 @@ from corpusloom.sources.readers import (
     read_web_chunks_json,
     sources_without_chunks,
     summary_files,
+    unreadable_chunks,
 )
 
 __all__ = [
@@ -32,4 +33,5 @@ __all__ = [
     "read_web_chunks_json",
     "sources_without_chunks",
     "summary_files",
+    "unreadable_chunks",
 ]

@@ -46,7 +46,8 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def read_chunk_corpus(spark: SparkSession, root: str) -> DataFrame:
     """One row per ``<root>/<source>/chunks/**/*.md`` file.
 
-    Files that cannot be read are skipped; sources without a chunk folder give
+    Files that cannot be read are skipped and found by
+    :func:`unreadable_chunks`; sources without a chunk folder give
     no rows (see :func:`sources_without_chunks`).
     """
 
@@ -77,6 +78,20 @@ def read_chunk_corpus(spark: SparkSession, root: str) -> DataFrame:
     return _or_empty(spark, CORPUS, read)
 
 
+def unreadable_chunks(spark: SparkSession, root: str) -> DataFrame:
+    """Rejects of :func:`read_chunk_corpus`: ``path`` of every chunk file it returns no row for."""
+    listed = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", f"*{CHUNK_SUFFIX}")
+        .load(root)
+        .select(F.regexp_replace(decoded_path("path"), r"\Afile:/*", "/").alias("path"))
+    )
+    parts = F.split(F.regexp_extract("path", _below(root), 1), "/")
+    chunks = listed.filter(F.get(parts, F.lit(1)) == CHUNK_FOLDER)
+    return chunks.join(read_chunk_corpus(spark, root).select("path"), "path", "left_anti")
+
+
 def _below(root: str) -> str:
     """Pattern that captures the part of a path below ``root``."""
     import re
@@ -171,18 +186,19 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "pages").select("page_id", "url", "html")
 
 
-def read_pages_json(spark: SparkSession, path: str) -> DataFrame:
-    """A page artifact: an array of objects, or JSON lines."""
-    return _json(spark, path, S.PAGES_JSON)
+def read_pages_json(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """A page artifact: an object a line as the writer makes it, or, with ``lines=False``, an array of objects."""
+    return _json(spark, path, S.PAGES_JSON, lines)
 
 
-def read_web_chunks_json(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, path, S.WEB_CHUNKS_JSON)
+def read_web_chunks_json(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    return _json(spark, path, S.WEB_CHUNKS_JSON, lines)
 
 
-def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    rows = spark.read.schema(schema).option("multiLine", True).json(path)
-    return rows.withColumn("scraped_at", F.try_to_timestamp("scraped_at"))
+def _json(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
+    """What is no object of the asked form is an error, so no record goes unseen."""
+    reader = spark.read.schema(schema).option("multiLine", not lines).option("mode", "FAILFAST")
+    return reader.json(path).withColumn("scraped_at", F.try_to_timestamp("scraped_at"))
 
 
 def read_parse_tasks(spark: SparkSession, path: str) -> DataFrame:

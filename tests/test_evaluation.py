@@ -104,3 +104,11 @@ def test_footprint(spark):
     df = spark.createDataFrame([(n, [0.0] * 8) for n in range(3)], "vec_id bigint, embedding array<float>")
     assert tuple(E.index_footprint(df).first()) == (3, 8, round(96 / 1048576, 6))
     assert E.index_footprint(df.filter(F.lit(False))).first()["memory_usage_mb"] is None
+
+
+def test_a_missing_timing_never_wins(spark):
+    df = runs(spark, [run(1, retrieval=2.0), run(2, retrieval=3.0)]).withColumn(
+        "retrieval_time", F.expr("CASE WHEN run_id = 2 THEN NULL ELSE retrieval_time END")
+    )
+    best = {r["metric"]: r["run_id"] for r in E.best_configs(df).collect()}
+    assert best["fastest_retrieval"] == 1

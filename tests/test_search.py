@@ -195,3 +195,20 @@ def test_many_queries_go_through_tiles_for_approximate_search_too(data, monkeypa
     same(result(ann.ivf_flat(corpus, queries, 5, cells=4, probes=4)), expected)
     same(result(ann.ivf_pq(corpus, queries, 5, cells=4, probes=4, bits=2)), expected)
     assert set(result(ann.lsh(corpus, queries, 5, tables=2, length=1000.0))) <= set(expected)
+
+
+def test_ragged_vectors_are_refused(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0, 4.0])], "vec_id bigint, embedding array<float>")
+    queries = spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "query_id bigint, query_vector array<double>")
+    with pytest.raises(Exception, match="dimensions"):
+        search.nearest(corpus, queries).collect()
+
+
+def test_codes_do_not_depend_on_the_number_of_queries(spark, data):
+    corpus, _, matrix, _, _ = data
+    asked = spark.createDataFrame([(n, [float(x) for x in matrix[n]]) for n in range(20)], "query_id bigint, query_vector array<double>")
+    index = ann.build_codes(corpus, cells=4, parts=4, bits=4)
+    index.rows.cache()
+    whole = ann.search_codes(index, corpus, asked, k=3, probes=2)
+    blocks = ann.search_codes(index, corpus, asked, k=3, probes=2, max_rows=7)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, blocks.collect()))

@@ -114,7 +114,7 @@ def test_web_artifacts(spark, web, tmp_path):
     assert "Tïtle" in text and text.count("\n") == 4
     array = tmp_path / "array.json"
     array.write_text("[" + ",".join(text.strip().split("\n")) + "]", encoding="utf-8")
-    rows = sources.read_web_chunks_json(spark, str(array)).collect()
+    rows = sources.read_web_chunks_json(spark, str(array), lines=False).collect()
     assert len(rows) == 4 and all(r["scraped_at"] is not None for r in rows)
 
 
@@ -176,3 +176,18 @@ def test_results(spark, tmp_path):
     sinks.write_report(runs, f"{tmp_path}/report")
     assert lines_of(f"{tmp_path}/report")[1:3] == ["## Test Summary", "- **Total Tests:** 2"]
     assert E.run_summary(runs).first()["total_tests"] == 2
+
+
+def test_json_lines_keep_every_record(spark, web, tmp_path):
+    clean, _ = web
+    sinks.write_pages_json(clean.drop("page_id").coalesce(1), f"{tmp_path}/pages")
+    parts = glob.glob(f"{tmp_path}/pages/*.json")
+    assert len(parts) == 1 and sources.read_pages_json(spark, parts[0]).count() == clean.count() == 4
+    broken = tmp_path / "broken.json"
+    broken.write_text('{"url": "u"}\n{"url"\n', encoding="utf-8")
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|Malformed"):
+        sources.read_pages_json(spark, str(broken)).collect()
+
+
+def test_unreadable_chunks(spark, corpus):
+    assert sources.unreadable_chunks(spark, corpus).count() == 0

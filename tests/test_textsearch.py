@@ -12,7 +12,7 @@ ASKED = ["cat sat", "DOG", "nothing known here", "élan"]
 
 
 def brute(docs, asked, k):
-    tokens = [[t for t in re.split("[^a-zà-ÿ]+", d.lower()) if t] for d in docs]
+    tokens = [[t for t in re.split(r"[\W_]+", d.lower()) if t] for d in docs]
     df = Counter(t for own in tokens for t in set(own))
     idf = {t: math.log((len(docs) + 1) / (n + 1)) for t, n in df.items()}
 
@@ -22,7 +22,7 @@ def brute(docs, asked, k):
     held = [weights(own) for own in tokens]
     found = {}
     for q, text in enumerate(asked):
-        query = weights([t for t in re.split("[^a-zà-ÿ]+", text.lower()) if t])
+        query = weights([t for t in re.split(r"[\W_]+", text.lower()) if t])
         scores = []
         for d, doc in enumerate(held):
             dot = sum(w * doc[t] for t, w in query.items() if t in doc)
@@ -61,3 +61,10 @@ def test_own_model(spark):
     docs = spark.createDataFrame([(1, "abc"), (2, None)], "doc_id bigint, text string")
     rows = {r["doc_id"]: r["v"] for r in embed_documents(docs, model_embedder(load, 1), output="v").collect()}
     assert rows == {1: [3.0, 1.0], 2: [0.0, 1.0]}
+
+
+def test_terms_of_any_script_and_digits(spark):
+    docs = spark.createDataFrame([(1, "привет мир"), (2, "2024 東京"), (3, "other words")], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(1, "ПРИВЕТ"), (2, "東京 2024")], "item_id bigint, text string")
+    found = {r["item_id"]: r["doc_id"] for r in tfidf_search(docs, asked, 1).collect()}
+    assert found == {1: 1, 2: 2}
