@@ -193,7 +193,7 @@ def test_network_learns_and_calibrates():
     x = draw.normal(size=(3000, 6))
     y = (x[:, 0] * x[:, 1] + 0.3 * draw.normal(size=3000) > 0).astype(float)
     net = learn.Network(6)
-    net.fit(x[:2500], y[:2500])
+    net.fit(x[:2500], y[:2500], epochs=400)
     p = net.scores(x[2500:])
     assert ((p > 0.5) == y[2500:]).mean() > 0.85
     sure = p > 0.8
