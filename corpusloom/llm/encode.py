@@ -33,7 +33,7 @@ class Encoder:
         self.line = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", one.ids).tobytes() for one in found]
 
     def _learn(self, words: set[str], memory: dict, lead: str) -> None:
