@@ -1,17 +1,20 @@
 """Cross-entropy difference of documents under two n-gram models.
 
 The target model is made from the benchmark's passages, the background model
-from all documents. Both share one vocabulary: the words that all documents
-use most, in lower case, and one class for the rest; both have the same form
-and smoothing: bigrams over unigrams over the uniform distribution, each level
-by absolute discounting. A document's score is the mean over its words of the
+from all documents. Both share one vocabulary, all words of the two in lower
+case, and have the same form and smoothing: bigrams over unigrams over the
+uniform distribution over the vocabulary and one class of words in neither; a
+text's first word has no bigram. A document's score is the mean over its words of the
 target's loss less the background's, in nats: the lower, the more it reads like
 the target. The background leaves out the counts of the document it scores.
 
-Counts cover every text. Words are counted exactly over the cluster to choose
-the vocabulary; bigrams are counted in a table of ``PAIRS`` places by hash. A
-task holds one table, Spark adds tables by place, and the merged tables, whose
-size is fixed by parameters, are sent to all tasks.
+Counts are exact and cover every text; their number grows with the corpus, so
+no task and not the driver holds them all. Documents are written in blocks of
+bounded size. Each block sends every word and bigram it holds once, as a 64-bit
+key with its count, to the place where the key is summed; the sums come back to
+the blocks that hold the key, but for keys of one block alone, which that block
+counts itself. A key, however frequent, meets in as many rows as there are
+blocks. The driver sees four totals.
 
 Empty and null texts have score 0 and no words. Rows that repeat are counted
 and scored as rows of their own, null ids too. An empty target makes the target
@@ -21,165 +24,191 @@ model uniform. An empty table gives no rows. Extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import batches_of, mix64, per_batch, ship
+from corpusloom.llm.common import batches_of, mix64, ship, stage
 
-VOCABULARY = 1 << 15
-PAIRS = 1 << 19
-DISCOUNT = 0.75
+DISCOUNT, LEAN = 0.75, 8.0
+BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 1 << 16
+WORDS_KEPT = 300_000
+#: The place before a text's first word; it has no counts.
+START = 0
+TARGET = -1
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-class Tally:
-    """Counts of words, emitted when too many differ."""
+class Keys(dict):
+    """Keys of words: 64-bit hashes, even and not ``START``."""
 
-    def __init__(self, bound: int = 200_000):
-        self.counts: dict[bytes, int] = {}
-        self.bound = bound
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        key = int.from_bytes(blake2b(word, digest_size=8).digest(), "little") & ~1 or 2
+        self[word] = key
+        return key
 
-    def add(self, words: list[bytes]) -> pa.RecordBatch | None:
-        counts = self.counts
-        for word in words:
-            counts[word] = counts.get(word, 0) + 1
-        return self.out() if len(counts) >= self.bound else None
 
-    def out(self) -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays(
-            [pa.array(list(self.counts), pa.binary()), pa.array(list(self.counts.values()), pa.int64())], names=["word", "n"]
-        )
-        self.counts.clear()
-        return batch
+_KEYS = Keys()
+
+
+def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Keys of bigrams, odd."""
+    return mix64(mix64(left + np.uint64(1)) + right) | np.uint64(1)
+
+
+class Coded:
+    """Texts as one run of words: the number of the text, the keys of each word, the word before and the bigram."""
+
+    def __init__(self, texts: list[str | None]):
+        words = [words_of(text) for text in texts]
+        self.sizes = np.array([len(found) for found in words], dtype=np.int64)
+        self.owner = np.repeat(np.arange(len(texts)), self.sizes)
+        keys = map(_KEYS.__getitem__, (word for found in words for word in found))
+        self.word = np.fromiter(keys, dtype=np.uint64, count=int(self.sizes.sum()))
+        self.before = np.concatenate([np.array([START], dtype=np.uint64), self.word[:-1]])[: len(self.word)]
+        self.before[np.cumsum(self.sizes)[self.sizes > 0] - self.sizes[self.sizes > 0]] = START
+        self.pair = pair_keys(self.before, self.word)
 
+    def counts(self, pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and how often they occur."""
+        return np.unique(np.concatenate([self.word, self.pair]) if pairs else self.word, return_counts=True)
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts, counted per task before anything moves."""
+
+def blocks(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
+    """(block, doc_id, text): documents numbered by blocks of about ``size`` bytes."""
     ship(docs.sparkSession)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
+        block, held, rows = TaskContext.get().partitionId() << 32, 0, 0
         for batch in stream:
-            for some in batches_of(batch, 256, "text"):
-                for text in some.column("text").to_pylist():
-                    if (full := tally.add(words_of(text))) is not None:
-                        yield full
-        yield tally.out()
+            for some in batches_of(batch, 256, "text", 1):
+                more = some.column("text").nbytes
+                if rows and (held + more > size or rows + some.num_rows > BLOCK_ROWS):
+                    block, held, rows = block + 1, 0, 0
+                held, rows = held + more, rows + some.num_rows
+                number = pa.array(np.full(some.num_rows, block, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([number, *some.columns], names=["block", "doc_id", "text"])
 
-    return docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "block bigint, doc_id bigint, text string")
 
 
-def vocabulary(docs: DataFrame, size: int) -> list[bytes]:
-    """The ``size`` most frequent words, ties by bytes."""
-    rows = word_counts(docs).orderBy(F.desc("n"), "word").limit(size).toArrow()
-    return rows.column("word").to_pylist()
+def key_counts(placed: DataFrame, pairs: bool = True) -> DataFrame:
+    """(block, key, n) of the words, and bigrams, of each block, counted before anything moves."""
+    ship(placed.sparkSession)
 
+    def out(block: int, texts: list) -> pa.RecordBatch:
+        keys, n = Coded(texts).counts(pairs)
+        columns = [np.full(len(keys), block, dtype=np.int64), keys.view(np.int64), n]
+        return pa.RecordBatch.from_arrays([pa.array(column) for column in columns], names=["block", "key", "n"])
 
-class Numbers(dict):
-    """Numbers of words; 0 is the class of all others, as is the place before a text's first word."""
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, texts, held = None, [], 0
+        for batch in stream:
+            for number, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if texts and (number != block or held > 2 * BLOCK_BYTES):
+                    yield out(block, texts)
+                    texts, held = [], 0
+                block = number
+                texts.append(text)
+                held += len(text or "")
+        if texts:
+            yield out(block, texts)
 
-    def __missing__(self, word: bytes) -> int:
-        return 0
+    return placed.select("block", "text").mapInArrow(run, "block bigint, key bigint, n bigint")
 
 
-def coded(text: str | None, numbers: dict) -> np.ndarray:
-    words = words_of(text)
-    return np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words))
+def _near() -> F.Column:
+    return F.when(F.col("block") == TARGET, F.col("n")).otherwise(0)
 
 
-def place(left: np.ndarray, right: np.ndarray, pairs: int) -> np.ndarray:
-    key = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
-    return (mix64(key + np.uint64(1)) % np.uint64(pairs)).astype(np.int64)
+def _far() -> F.Column:
+    return F.when(F.col("block") == TARGET, 0).otherwise(F.col("n"))
 
 
-def tables(docs: DataFrame, words: list[bytes], pairs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the words and of the places of bigrams over all texts."""
-    ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(words)
-    size = len(words) + 1
+def totals(placed: DataFrame) -> dict[str, int]:
+    """Words and different words of target and documents, and of both together."""
+    words = key_counts(placed, pairs=False)
+    per_word = words.groupBy("key").agg(F.sum(_near()).alias("near"), F.sum(_far()).alias("far"))
+    return per_word.agg(
+        F.count("*").alias("vocabulary"),
+        *(F.coalesce(F.sum(side), F.lit(0)).alias(side) for side in ("near", "far")),
+        *(F.count(F.when(F.col(side) > 0, 1)).alias(f"{side}_words") for side in ("near", "far")),
+    ).first().asDict()
 
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers((word, at + 1) for at, word in enumerate(shared.value))
-        counts = np.zeros(size + pairs, dtype=np.int64)
-        for batch in stream:
-            for some in batches_of(batch, 256, "text"):
-                for text in some.column("text").to_pylist():
-                    ids = coded(text, numbers)
-                    if len(ids):
-                        np.add.at(counts, ids, 1)
-                        np.add.at(counts, size + place(np.concatenate([[0], ids[:-1]]), ids, pairs), 1)
-        used = np.flatnonzero(counts)
-        for at in range(0, len(used), 65536):
-            part = used[at : at + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], names=["at", "n"])
-
-    found = docs.select("text").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(size + pairs, dtype=np.int64)
-    total[found.column("at").to_numpy()] = found.column("n").to_numpy()
-    return total[:size], total[size:]
+
+def shared_counts(placed: DataFrame) -> DataFrame:
+    """(block, key, near, far): counts in target and documents of the keys that a block does not hold alone."""
+    by_key = Window.partitionBy("key")
+    counted = key_counts(placed).select(
+        "block", "key", "n", F.sum(_near()).over(by_key).alias("near"), F.sum(_far()).over(by_key).alias("far")
+    )
+    return counted.where((F.col("block") != TARGET) & ((F.col("near") > 0) | (F.col("far") > F.col("n")))).drop("n")
 
 
 class Model:
     """Interpolated bigrams: the more often the word before was seen, the more its bigrams count.
 
-    Unigrams are discounted and share the rest evenly with the vocabulary. A
-    bigram's place may be shared by others, so its count is held at that of the
-    word before.
+    Unigrams are discounted and share the rest evenly with the vocabulary.
     """
 
-    def __init__(self, words: np.ndarray, pairs: np.ndarray, discount: float = DISCOUNT, lean: float = 8.0):
-        self.total, self.discount, self.lean = max(1, int(words.sum())), discount, lean
-        rest = discount * int((words > 0).sum()) / self.total if words.sum() else 1.0
-        self.rest = rest / len(words)
-        self.words, self.pairs = words.astype(np.float64), pairs.astype(np.float64)
-
-    def losses(self, ids: np.ndarray, held_in: bool = False) -> np.ndarray:
-        """-log p of each word after the one before it; a document ``held_in`` the counts is left out of them."""
-        before = np.concatenate([[0], ids[:-1]])
-        at = place(before, ids, len(self.pairs))
-        count, total, pair, held = self.words[ids], self.total, self.pairs[at], self.words[before]
-        if held_in:
-            _, back, times = np.unique(ids, return_inverse=True, return_counts=True)
-            count, total = count - times[back], max(1, total - len(ids))
-            _, back, times = np.unique(at, return_inverse=True, return_counts=True)
-            pair = pair - times[back]
-            _, back, times = np.unique(before, return_inverse=True, return_counts=True)
-            held = np.maximum(held - times[back], 0)
-        single = np.maximum(count - self.discount, 0) / total + self.rest
-        return -np.log((np.minimum(pair, held) + self.lean * single) / (held + self.lean))
-
-
-def score(
-    docs: DataFrame, target: DataFrame, size: int = VOCABULARY, pairs: int = PAIRS
-) -> DataFrame:
+    def __init__(self, total: int, seen: int, vocabulary: int):
+        self.total = max(1, total)
+        self.rest = (DISCOUNT * seen / self.total if total else 1.0) / (vocabulary + 1)
+
+    def losses(self, single: np.ndarray, pair: np.ndarray, held: np.ndarray, left_out: np.ndarray | int = 0) -> np.ndarray:
+        """-log p of words by their counts, their bigrams' and those of the words before; ``left_out`` words are not counted."""
+        base = np.maximum(single - DISCOUNT, 0) / np.maximum(self.total - left_out, 1) + self.rest
+        return -np.log((np.minimum(pair, held) + LEAN * base) / (held + LEAN))
+
+
+def _own(owner: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """How often each entry's key occurs in its own text."""
+    _, back, times = np.unique(owner * width + at, return_inverse=True, return_counts=True)
+    return times[back]
+
+
+SCHEMA = "doc_id bigint, n_words bigint, target_loss double, background_loss double"
+
+
+def score(docs: DataFrame, target: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, target_loss, background_loss, score) for each row of ``docs``; ``target`` has a ``text`` column."""
-    words = vocabulary(docs, size - 1)
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((words, tables(target, words, pairs), tables(docs, words, pairs)))
-
-    def make():
-        held, near, far = shared.value
-        numbers = Numbers((word, at + 1) for at, word in enumerate(held))
-        models = Model(*near), Model(*far)
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out: list[list] = [[], [], []]
-            for text in batch.column("text").to_pylist():
-                ids = coded(text, numbers)
-                losses = [float(model.losses(ids, k == 1).mean()) if len(ids) else 0.0 for k, model in enumerate(models)]
-                for column, value in zip(out, (len(ids), *losses), strict=True):
-                    column.append(value)
-            n, a, b = (pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.float64(), pa.float64()), strict=True))
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), n, a, b], names=["doc_id", "n_words", "target_loss", "background_loss"])
-
-        return step
+    staged = stage(blocks(docs, block_bytes), "blocks")
+    passages = target.select(F.lit(TARGET).cast("bigint").alias("block"), F.lit(None).cast("bigint").alias("doc_id"), "text")
+    both = staged.unionByName(passages)
+    found = totals(both)
+    near_model = Model(found["near"], found["near_words"], found["vocabulary"])
+    far_model = Model(found["far"], found["far_words"], found["vocabulary"])
+
+    def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        coded = Coded(texts.column("text").to_pylist())
+        keys, here = coded.counts()
+        # The first entry is for ``START``, below all keys.
+        keys, far = np.insert(keys, 0, START), np.insert(here.astype(np.int64), 0, 0)
+        near = np.zeros(len(keys), dtype=np.int64)
+        at = np.searchsorted(keys, counts.column("key").to_numpy().view(np.uint64))
+        near[at], far[at] = counts.column("near").to_numpy(), counts.column("far").to_numpy()
+        word, pair, before = (np.searchsorted(keys, some) for some in (coded.word, coded.pair, coded.before))
+        own = [_own(coded.owner, some, len(keys)) for some in (word, pair, before)]
+        losses = (
+            near_model.losses(near[word], near[pair], near[before]),
+            far_model.losses(
+                far[word] - own[0], far[pair] - own[1], np.maximum(far[before] - own[2], 0), coded.sizes[coded.owner]
+            ),
+        )
+        sums = [np.bincount(coded.owner, weights=loss, minlength=len(coded.sizes)) for loss in losses]
+        means = [total / np.maximum(coded.sizes, 1) for total in sums]
+        columns = [texts.column("doc_id"), pa.array(coded.sizes), *map(pa.array, means)]
+        return pa.Table.from_arrays(columns, names=[part.split()[0] for part in SCHEMA.split(", ")])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    found = per_batch(rows, make, "doc_id bigint, n_words bigint, target_loss double, background_loss double", 256, "text")
-    return found.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    scored = staged.groupBy("block").cogroup(shared_counts(both).groupBy("block")).applyInArrow(run, SCHEMA)
+    return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))

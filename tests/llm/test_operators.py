@@ -193,9 +193,10 @@ def test_network_learns_and_calibrates():
     x = draw.normal(size=(3000, 6))
     y = (x[:, 0] * x[:, 1] + 0.3 * draw.normal(size=3000) > 0).astype(float)
     net = learn.Network(6)
-    net.fit(x[:2500], y[:2500], epochs=400)
+    net.fit(x[:2500], y[:2500])
     p = net.scores(x[2500:])
-    assert ((p > 0.5) == y[2500:]).mean() > 0.85
+    # The rule that made the labels, without its noise, is right for 84 of 100 rows.
+    assert ((p > 0.5) == y[2500:]).mean() > ((x[2500:, 0] * x[2500:, 1] > 0) == y[2500:]).mean() - 0.03
     sure = p > 0.8
     assert abs(p[sure].mean() - y[2500:][sure].mean()) < 0.12
 
@@ -357,7 +358,8 @@ def test_lm_scores_by_hand(spark, odd, empty):
     docs = spark.createDataFrame([(1, "a b a b c"), (2, "c c d"), (3, "a b a b a b")], "doc_id bigint, text string")
     target = spark.createDataFrame([("a b a b",)], "text string")
     found = {row["doc_id"]: row for row in rows(lmscore.score(docs, target))}
-    assert found[3]["score"] < found[1]["score"] < found[2]["score"]
+    assert found[3]["score"] < found[1]["score"]
+    assert found[3]["target_loss"] < found[1]["target_loss"] < found[2]["target_loss"]
     # Target: counts a 2, b 2 of 4; five classes (four words and the rest); document 1 by hand.
     rest = 0.75 * 2 / 4 / 5
     single = {"a": (2 - 0.75) / 4 + rest, "b": (2 - 0.75) / 4 + rest, "c": rest}
@@ -372,6 +374,50 @@ def test_lm_scores_by_hand(spark, odd, empty):
     assert all(row["score"] == 0 for row in rows(lmscore.score(odd, target)) if row["n_words"] == 0)
 
 
+def test_lm_scores_by_brute_force(spark):
+    """Counts of all documents, whatever block they are in."""
+    documents = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    target = spark.read.parquet(f"{FOLDER}/benchmark.parquet").select("text")
+    texts = {row["doc_id"]: (row["text"] or "").encode().lower().split() for row in rows(documents.select("doc_id", "text"))}
+    passages = [(row["text"] or "").encode().lower().split() for row in rows(target)]
+
+    def count(lists):
+        words, pairs = defaultdict(int), defaultdict(int)
+        for found in lists:
+            for at, word in enumerate(found):
+                words[word] += 1
+                if at:
+                    pairs[found[at - 1], word] += 1
+        return words, pairs
+
+    near, far = count(passages), count(texts.values())
+    size = len(set(near[0]) | set(far[0])) + 1
+
+    def loss(found, model, own):
+        words, pairs = model
+        total = sum(words.values())
+        rest, total, out = 0.75 * len(words) / total / size, total - len(found) if own else total, []
+        mine = count([found]) if own else (defaultdict(int), defaultdict(int))
+        # A document's own last word is not before any other.
+        left = count([found[:-1]])[0] if own else mine[0]
+        for at, word in enumerate(found):
+            base = max(words.get(word, 0) - mine[0][word] - 0.75, 0) / total + rest
+            before = found[at - 1] if at else None
+            held = words.get(before, 0) - left[before] if at else 0
+            pair = pairs.get((before, word), 0) - mine[1][before, word] if at else 0
+            out.append(-np.log((pair + 8 * base) / (held + 8)))
+        return float(np.mean(out)) if out else 0.0
+
+    whole = {row["doc_id"]: row for row in rows(lmscore.score(documents, target))}
+    split = {row["doc_id"]: row for row in rows(lmscore.score(documents.repartition(3), target, block_bytes=50_000))}
+    assert set(whole) == set(texts)
+    for doc_id, found in texts.items():
+        row = whole[doc_id]
+        assert row["n_words"] == len(found) and abs(row["score"] - split[doc_id]["score"]) < 1e-9
+        assert abs(row["target_loss"] - loss(found, near, False)) < 1e-9
+        assert abs(row["background_loss"] - loss(found, far, True)) < 1e-9
+
+
 # 9 and 10
 
 
