@@ -1,20 +1,21 @@
 """Cross-entropy difference of documents under two n-gram models.
 
 The target model is made from the benchmark's passages, the background model
-from all documents. Both share one vocabulary, all words of the two in lower
-case, and have the same form and smoothing: bigrams over unigrams over the
-uniform distribution over the vocabulary and one class of words in neither; a
-text's first word has no bigram. A document's score is the mean over its words of the
+from all documents. Both share one vocabulary: the words that all documents
+use most, in lower case, and one class for the rest; both have the same form
+and smoothing: bigrams over unigrams over the uniform distribution. A text's
+first word has no bigram. A document's score is the mean over its words of the
 target's loss less the background's, in nats: the lower, the more it reads like
 the target. The background leaves out the counts of the document it scores.
 
-Counts are exact and cover every text; their number grows with the corpus, so
-no task and not the driver holds them all. Documents are written in blocks of
-bounded size. Each block sends every word and bigram it holds once, as a 64-bit
-key with its count, to the place where the key is summed; the sums come back to
-the blocks that hold the key, but for keys of one block alone, which that block
-counts itself. A key, however frequent, meets in as many rows as there are
-blocks. The driver sees four totals.
+Counts are exact and cover every text. Words are counted over the cluster to
+choose the vocabulary, whose size is a parameter; the number of bigrams grows
+with the corpus, so no task and not the driver holds them all. Documents are
+written as codes of words, in blocks of bounded size. Each block sends every
+bigram it holds once, with its count, to the place where it is summed; the sums
+come back to the blocks that hold the bigram, but for bigrams of one block
+alone, which that block counts itself. A bigram, however frequent, meets in as
+many rows as there are blocks.
 
 Empty and null texts have score 0 and no words. Rows that repeat are counted
 and scored as rows of their own, null ids too. An empty target makes the target
@@ -24,7 +25,6 @@ model uniform. An empty table gives no rows. Extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -32,127 +32,165 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import batches_of, mix64, ship, stage
+from corpusloom.llm.common import batches_of, ship, stage
 
+#: At most 65,536, as a word's code has 16 bits.
+VOCABULARY = 1 << 15
 DISCOUNT, LEAN = 0.75, 8.0
-BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 1 << 16
-WORDS_KEPT = 300_000
-#: The place before a text's first word; it has no counts.
-START = 0
+BLOCK_WORDS, BLOCK_ROWS = 1 << 20, 1 << 16
 TARGET = -1
+CODE = np.dtype("<u2")
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-class Keys(dict):
-    """Keys of words: 64-bit hashes, even and not ``START``."""
+class Tally:
+    """Counts of words, emitted when too many differ."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        key = int.from_bytes(blake2b(word, digest_size=8).digest(), "little") & ~1 or 2
-        self[word] = key
-        return key
+    def __init__(self, bound: int = 200_000):
+        self.counts: dict[bytes, int] = {}
+        self.bound = bound
 
+    def add(self, words: list[bytes]) -> pa.RecordBatch | None:
+        counts = self.counts
+        for word in words:
+            counts[word] = counts.get(word, 0) + 1
+        return self.out() if len(counts) >= self.bound else None
 
-_KEYS = Keys()
+    def out(self) -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(list(self.counts), pa.binary()), pa.array(list(self.counts.values()), pa.int64())], names=["word", "n"]
+        )
+        self.counts.clear()
+        return batch
 
 
-def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Keys of bigrams, odd."""
-    return mix64(mix64(left + np.uint64(1)) + right) | np.uint64(1)
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) over all texts, counted per task before anything moves."""
+    ship(docs.sparkSession)
 
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+        for batch in stream:
+            for some in batches_of(batch, 256, "text"):
+                for text in some.column("text").to_pylist():
+                    if (full := tally.add(words_of(text))) is not None:
+                        yield full
+        yield tally.out()
 
-class Coded:
-    """Texts as one run of words: the number of the text, the keys of each word, the word before and the bigram."""
+    return docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
-    def __init__(self, texts: list[str | None]):
-        words = [words_of(text) for text in texts]
-        self.sizes = np.array([len(found) for found in words], dtype=np.int64)
-        self.owner = np.repeat(np.arange(len(texts)), self.sizes)
-        keys = map(_KEYS.__getitem__, (word for found in words for word in found))
-        self.word = np.fromiter(keys, dtype=np.uint64, count=int(self.sizes.sum()))
-        self.before = np.concatenate([np.array([START], dtype=np.uint64), self.word[:-1]])[: len(self.word)]
-        self.before[np.cumsum(self.sizes)[self.sizes > 0] - self.sizes[self.sizes > 0]] = START
-        self.pair = pair_keys(self.before, self.word)
 
-    def counts(self, pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and how often they occur."""
-        return np.unique(np.concatenate([self.word, self.pair]) if pairs else self.word, return_counts=True)
+def vocabulary(docs: DataFrame, size: int) -> list[bytes]:
+    """The ``size`` most frequent words, ties by bytes."""
+    rows = word_counts(docs).orderBy(F.desc("n"), "word").limit(size).toArrow()
+    return rows.column("word").to_pylist()
 
 
-def blocks(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
-    """(block, doc_id, text): documents numbered by blocks of about ``size`` bytes."""
-    ship(docs.sparkSession)
+class Codes(dict):
+    """Codes of words; 0 is the class of all others."""
+
+    def __missing__(self, word: bytes) -> int:
+        return 0
+
+
+def blocks(texts: DataFrame, words: list[bytes], size: int = BLOCK_WORDS, number: int | None = None) -> DataFrame:
+    """(block, doc_id, codes): the words of each text, numbered by blocks of about ``size`` words, or all by ``number``."""
+    ship(texts.sparkSession)
+    shared = texts.sparkSession.sparkContext.broadcast(words)  # at most 65,535 words
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Codes((word, at + 1) for at, word in enumerate(shared.value))
         block, held, rows = TaskContext.get().partitionId() << 32, 0, 0
         for batch in stream:
             for some in batches_of(batch, 256, "text", 1):
-                more = some.column("text").nbytes
+                codes = []
+                for text in some.column("text").to_pylist():
+                    found = words_of(text)
+                    codes.append(np.fromiter(map(known.__getitem__, found), dtype=CODE, count=len(found)).tobytes())
+                more = sum(map(len, codes)) // CODE.itemsize
                 if rows and (held + more > size or rows + some.num_rows > BLOCK_ROWS):
                     block, held, rows = block + 1, 0, 0
                 held, rows = held + more, rows + some.num_rows
-                number = pa.array(np.full(some.num_rows, block, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([number, *some.columns], names=["block", "doc_id", "text"])
+                place = np.full(some.num_rows, block if number is None else number, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(place), some.column("doc_id"), pa.array(codes, pa.binary())], names=["block", "doc_id", "codes"]
+                )
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "block bigint, doc_id bigint, text string")
+    rows = texts.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "block bigint, doc_id bigint, codes binary")
 
 
-def key_counts(placed: DataFrame, pairs: bool = True) -> DataFrame:
-    """(block, key, n) of the words, and bigrams, of each block, counted before anything moves."""
-    ship(placed.sparkSession)
+def word_sums(coded: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often target and documents use each code."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, far = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+        for batch in stream:
+            for block, codes in zip(batch.column("block").to_pylist(), batch.column("codes").to_pylist(), strict=True):
+                side = near if block == TARGET else far
+                side += np.bincount(np.frombuffer(codes, CODE), minlength=size)
+        used = np.flatnonzero(near + far)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (used, near[used], far[used])], names=["code", "near", "far"])
 
-    def out(block: int, texts: list) -> pa.RecordBatch:
-        keys, n = Coded(texts).counts(pairs)
-        columns = [np.full(len(keys), block, dtype=np.int64), keys.view(np.int64), n]
-        return pa.RecordBatch.from_arrays([pa.array(column) for column in columns], names=["block", "key", "n"])
+    sums = coded.select("block", "codes").mapInArrow(run, "code bigint, near bigint, far bigint")
+    found = sums.groupBy("code").agg(F.sum("near").alias("near"), F.sum("far").alias("far")).toArrow()  # at most ``size`` rows
+    out = np.zeros((2, size), dtype=np.int64)
+    for side, name in enumerate(("near", "far")):
+        out[side, found.column("code").to_numpy()] = found.column(name).to_numpy()
+    return out[0], out[1]
+
+
+class Run:
+    """The words of texts one after the other, and the bigrams of all but their first words."""
+
+    def __init__(self, texts: list[bytes]):
+        self.sizes = np.array([len(codes) // CODE.itemsize for codes in texts], dtype=np.int64)
+        self.owner = np.repeat(np.arange(len(texts)), self.sizes)
+        self.word = np.frombuffer(b"".join(texts), CODE).astype(np.int64)
+        self.first = np.ones(len(self.word), dtype=bool)
+        self.first[1:] = self.owner[1:] != self.owner[:-1]
+        self.before = np.concatenate([self.word[:1], self.word[:-1]])
+        self.pair = self.before << 16 | self.word
+
+
+def pair_counts(coded: DataFrame) -> DataFrame:
+    """(block, pair, n) of the bigrams of each block, counted before anything moves."""
+
+    def out(block: int, texts: list[bytes]) -> pa.RecordBatch:
+        found = Run(texts)
+        pairs, n = np.unique(found.pair[~found.first], return_counts=True)
+        columns = [np.full(len(pairs), block, dtype=np.int64), pairs, n.astype(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(column) for column in columns], names=["block", "pair", "n"])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, texts, held = None, [], 0
         for batch in stream:
-            for number, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if texts and (number != block or held > 2 * BLOCK_BYTES):
+            for number, codes in zip(batch.column("block").to_pylist(), batch.column("codes").to_pylist(), strict=True):
+                if texts and (number != block or held > 2 * BLOCK_WORDS):
                     yield out(block, texts)
                     texts, held = [], 0
                 block = number
-                texts.append(text)
-                held += len(text or "")
+                texts.append(codes)
+                held += len(codes) // CODE.itemsize
         if texts:
             yield out(block, texts)
 
-    return placed.select("block", "text").mapInArrow(run, "block bigint, key bigint, n bigint")
-
-
-def _near() -> F.Column:
-    return F.when(F.col("block") == TARGET, F.col("n")).otherwise(0)
-
-
-def _far() -> F.Column:
-    return F.when(F.col("block") == TARGET, 0).otherwise(F.col("n"))
-
-
-def totals(placed: DataFrame) -> dict[str, int]:
-    """Words and different words of target and documents, and of both together."""
-    words = key_counts(placed, pairs=False)
-    per_word = words.groupBy("key").agg(F.sum(_near()).alias("near"), F.sum(_far()).alias("far"))
-    return per_word.agg(
-        F.count("*").alias("vocabulary"),
-        *(F.coalesce(F.sum(side), F.lit(0)).alias(side) for side in ("near", "far")),
-        *(F.count(F.when(F.col(side) > 0, 1)).alias(f"{side}_words") for side in ("near", "far")),
-    ).first().asDict()
+    return coded.select("block", "codes").mapInArrow(run, "block bigint, pair bigint, n bigint")
 
 
-def shared_counts(placed: DataFrame) -> DataFrame:
-    """(block, key, near, far): counts in target and documents of the keys that a block does not hold alone."""
-    by_key = Window.partitionBy("key")
-    counted = key_counts(placed).select(
-        "block", "key", "n", F.sum(_near()).over(by_key).alias("near"), F.sum(_far()).over(by_key).alias("far")
+def shared_counts(coded: DataFrame) -> DataFrame:
+    """(block, pair, near, far): counts in target and documents of the bigrams that a block does not hold alone."""
+    by_pair = Window.partitionBy("pair")
+    aim = F.col("block") == TARGET
+    counted = pair_counts(coded).select(
+        "block", "pair", "n",
+        F.sum(F.when(aim, F.col("n")).otherwise(0)).over(by_pair).alias("near"),
+        F.sum(F.when(aim, 0).otherwise(F.col("n"))).over(by_pair).alias("far"),
     )
-    return counted.where((F.col("block") != TARGET) & ((F.col("near") > 0) | (F.col("far") > F.col("n")))).drop("n")
+    return counted.where(~aim & ((F.col("near") > 0) | (F.col("far") > F.col("n")))).drop("n")
 
 
 class Model:
@@ -161,53 +199,58 @@ class Model:
     Unigrams are discounted and share the rest evenly with the vocabulary.
     """
 
-    def __init__(self, total: int, seen: int, vocabulary: int):
-        self.total = max(1, total)
-        self.rest = (DISCOUNT * seen / self.total if total else 1.0) / (vocabulary + 1)
+    def __init__(self, words: np.ndarray):
+        self.words, self.total = words, max(1, int(words.sum()))
+        self.rest = (DISCOUNT * int((words > 0).sum()) / self.total if words.any() else 1.0) / len(words)
 
-    def losses(self, single: np.ndarray, pair: np.ndarray, held: np.ndarray, left_out: np.ndarray | int = 0) -> np.ndarray:
+    def losses(self, word: np.ndarray, pair: np.ndarray, held: np.ndarray, left_out: np.ndarray | int = 0) -> np.ndarray:
         """-log p of words by their counts, their bigrams' and those of the words before; ``left_out`` words are not counted."""
-        base = np.maximum(single - DISCOUNT, 0) / np.maximum(self.total - left_out, 1) + self.rest
+        base = np.maximum(word - DISCOUNT, 0) / np.maximum(self.total - left_out, 1) + self.rest
         return -np.log((np.minimum(pair, held) + LEAN * base) / (held + LEAN))
 
 
-def _own(owner: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """How often each entry's key occurs in its own text."""
-    _, back, times = np.unique(owner * width + at, return_inverse=True, return_counts=True)
-    return times[back]
+def _own(owner: np.ndarray, at: np.ndarray, where: np.ndarray | None = None) -> np.ndarray:
+    """How often the value of each entry occurs in its own text, among the entries ``where`` holds; 0 elsewhere."""
+    where = slice(None) if where is None else where
+    _, back, times = np.unique(owner[where] << 32 | at[where], return_inverse=True, return_counts=True)
+    out = np.zeros(len(at), dtype=np.int64)
+    out[where] = times[back]
+    return out
 
 
 SCHEMA = "doc_id bigint, n_words bigint, target_loss double, background_loss double"
 
 
-def score(docs: DataFrame, target: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, target: DataFrame, size: int = VOCABULARY, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, n_words, target_loss, background_loss, score) for each row of ``docs``; ``target`` has a ``text`` column."""
-    staged = stage(blocks(docs, block_bytes), "blocks")
-    passages = target.select(F.lit(TARGET).cast("bigint").alias("block"), F.lit(None).cast("bigint").alias("doc_id"), "text")
-    both = staged.unionByName(passages)
-    found = totals(both)
-    near_model = Model(found["near"], found["near_words"], found["vocabulary"])
-    far_model = Model(found["far"], found["far_words"], found["vocabulary"])
+    words = vocabulary(docs, size - 1)
+    staged = stage(blocks(docs, words, block_words), "coded")
+    both = staged.unionByName(blocks(target.select(F.lit(None).alias("doc_id"), "text"), words, number=TARGET))
+    near_model, far_model = map(Model, word_sums(both, len(words) + 1))
 
     def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        coded = Coded(texts.column("text").to_pylist())
-        keys, here = coded.counts()
-        # The first entry is for ``START``, below all keys.
-        keys, far = np.insert(keys, 0, START), np.insert(here.astype(np.int64), 0, 0)
-        near = np.zeros(len(keys), dtype=np.int64)
-        at = np.searchsorted(keys, counts.column("key").to_numpy().view(np.uint64))
+        found = Run(texts.column("codes").to_pylist())
+        word, before, later = found.word, found.before, ~found.first
+        pairs, back, here = np.unique(found.pair[later], return_inverse=True, return_counts=True)
+        near, far = np.zeros(len(pairs), dtype=np.int64), here.astype(np.int64)
+        at = np.searchsorted(pairs, counts.column("pair").to_numpy())
         near[at], far[at] = counts.column("near").to_numpy(), counts.column("far").to_numpy()
-        word, pair, before = (np.searchsorted(keys, some) for some in (coded.word, coded.pair, coded.before))
-        own = [_own(coded.owner, some, len(keys)) for some in (word, pair, before)]
+        near_pair, far_pair = np.zeros((2, len(word)), dtype=np.int64)
+        near_pair[later], far_pair[later] = near[back], far[back]
+        # A text's first word has none before it.
+        near_held, far_held = near_model.words[before] * later, far_model.words[before] * later
+        numbers = np.zeros(len(word), dtype=np.int64)
+        numbers[later] = back
         losses = (
-            near_model.losses(near[word], near[pair], near[before]),
+            near_model.losses(near_model.words[word], near_pair, near_held),
             far_model.losses(
-                far[word] - own[0], far[pair] - own[1], np.maximum(far[before] - own[2], 0), coded.sizes[coded.owner]
+                far_model.words[word] - _own(found.owner, word), far_pair - _own(found.owner, numbers, later),
+                far_held - _own(found.owner, before, later), found.sizes[found.owner],
             ),
         )
-        sums = [np.bincount(coded.owner, weights=loss, minlength=len(coded.sizes)) for loss in losses]
-        means = [total / np.maximum(coded.sizes, 1) for total in sums]
-        columns = [texts.column("doc_id"), pa.array(coded.sizes), *map(pa.array, means)]
+        sums = [np.bincount(found.owner, weights=loss, minlength=len(found.sizes)) for loss in losses]
+        means = [total / np.maximum(found.sizes, 1) for total in sums]
+        columns = [texts.column("doc_id"), pa.array(found.sizes), *map(pa.array, means)]
         return pa.Table.from_arrays(columns, names=[part.split()[0] for part in SCHEMA.split(", ")])
 
     scored = staged.groupBy("block").cogroup(shared_counts(both).groupBy("block")).applyInArrow(run, SCHEMA)

@@ -390,8 +390,10 @@ def test_lm_scores_by_brute_force(spark):
                     pairs[found[at - 1], word] += 1
         return words, pairs
 
-    near, far = count(passages), count(texts.values())
-    size = len(set(near[0]) | set(far[0])) + 1
+    known = {word for found in texts.values() for word in found}
+    assert len(known) < lmscore.VOCABULARY
+    near, far = count([[word if word in known else None for word in found] for found in passages]), count(texts.values())
+    size = len(known) + 1
 
     def loss(found, model, own):
         words, pairs = model
@@ -402,14 +404,14 @@ def test_lm_scores_by_brute_force(spark):
         left = count([found[:-1]])[0] if own else mine[0]
         for at, word in enumerate(found):
             base = max(words.get(word, 0) - mine[0][word] - 0.75, 0) / total + rest
-            before = found[at - 1] if at else None
+            before = found[at - 1] if at else b""
             held = words.get(before, 0) - left[before] if at else 0
             pair = pairs.get((before, word), 0) - mine[1][before, word] if at else 0
             out.append(-np.log((pair + 8 * base) / (held + 8)))
         return float(np.mean(out)) if out else 0.0
 
     whole = {row["doc_id"]: row for row in rows(lmscore.score(documents, target))}
-    split = {row["doc_id"]: row for row in rows(lmscore.score(documents.repartition(3), target, block_bytes=50_000))}
+    split = {row["doc_id"]: row for row in rows(lmscore.score(documents.repartition(3), target, block_words=5_000))}
     assert set(whole) == set(texts)
     for doc_id, found in texts.items():
         row = whole[doc_id]
