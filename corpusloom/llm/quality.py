@@ -23,6 +23,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ from corpusloom.llm.learn import Network, sample
 BUCKETS, DIM, ENTRIES, REACH = 1 << 14, 48, 4, 2
 SAMPLE = 20_000
 THRESHOLD = 0.3
-WORDS_KEPT = 200_000
+WORDS_KEPT = 400_000
 _SPLIT = re.compile(r"^(\W*)(.*?)(\W*)$", re.DOTALL)
 
 
@@ -53,7 +55,13 @@ class Parts(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= WORDS_KEPT:
             self.clear()
-        before, core, after = _SPLIT.match(word).groups()
+        # Most words have no marks, or one behind them; the pattern is slower.
+        if word.isalnum():
+            before, core, after = "", word, ""
+        elif (last := word[-1]) != "_" and not last.isalnum() and word[:-1].isalnum():
+            before, core, after = "", word[:-1], last
+        else:
+            before, core, after = _SPLIT.match(word).groups()
         rows = [_bucket(core.lower())] if core else []
         for mark, side in ((before, "\0<"), (after, "\0>")):
             if mark:
@@ -69,9 +77,12 @@ _PARTS = Parts()
 
 def rows_of(text: str | None) -> np.ndarray:
     """Table rows of the words of a text, in order."""
+    words = (text or "").split()
+    if not any(map(eq, words, islice(words, 1, None))):
+        return np.array(list(chain.from_iterable(map(_PARTS.__getitem__, words))), dtype=np.int64)
     out: list[int] = []
     last = None
-    for word in (text or "").split():
+    for word in words:
         out += _PARTS[word]
         if word == last:
             out.append(REPEATED)
