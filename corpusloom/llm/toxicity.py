@@ -36,7 +36,7 @@ FEATURES = 1 << 18
 INPUTS = 1024
 SAMPLE = 30_000
 THRESHOLD = 0.5
-WORDS_KEPT = 200_000
+WORDS_KEPT = 400_000
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*\n?|[.!?\n]+")
 WORD = re.compile(r"[^\W_]+")
 HEADS = (3, 4, 5)
@@ -47,14 +47,19 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in SENTENCE.finditer(text)] or [(0, 0)]
 
 
-class Features(dict):
+def rows_of(word: str) -> tuple[int, ...]:
     """Table rows of a word in lower case: the word, and its heads."""
+    names = [f"w{word}", *[f"{n}{word[:n]}" for n in HEADS if len(word) > n]]
+    return tuple([zlib.crc32(name.encode("utf-8", "surrogatepass")) % FEATURES for name in names])
+
+
+class Features(dict):
+    """Table rows of the words met so far."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= WORDS_KEPT:
             self.clear()
-        names = [f"w{word}", *(f"{n}{word[:n]}" for n in HEADS if len(word) > n)]
-        self[word] = found = tuple(zlib.crc32(name.encode("utf-8", "surrogatepass")) % FEATURES for name in names)
+        self[word] = found = rows_of(word)
         return found
 
 
@@ -124,7 +129,7 @@ class Weighed(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= WORDS_KEPT:
             self.clear()
-        self[word] = found = tuple(row for row in _FEATURES[word] if row in self.weights)
+        self[word] = found = tuple([row for row in rows_of(word) if row in self.weights])
         return found
 
 
