@@ -1,21 +1,23 @@
 """Cross-entropy difference of documents under two n-gram models.
 
 The target model is made from the benchmark's passages, the background model
-from all documents. Both share one vocabulary: the words that all documents
-use most, in lower case, and one class for the rest; both have the same form
-and smoothing: bigrams over unigrams over the uniform distribution. A text's
-first word has no bigram. A document's score is the mean over its words of the
-target's loss less the background's, in nats: the lower, the more it reads like
-the target. The background leaves out the counts of the document it scores.
-
-Counts are exact and cover every text. Words are counted over the cluster to
-choose the vocabulary, whose size is a parameter; the number of bigrams grows
-with the corpus, so no task and not the driver holds them all. Documents are
-written as codes of words, in blocks of bounded size. Each block sends every
-bigram it holds once, with its count, to the place where it is summed; the sums
-come back to the blocks that hold the bigram, but for bigrams of one block
-alone, which that block counts itself. A bigram, however frequent, meets in as
-many rows as there are blocks.
+from all documents. Both share one vocabulary, all words of all documents in
+lower case, and one class for words of the target that no document has; both
+have the same form and smoothing: bigrams over unigrams over the uniform
+distribution. A text's first word has no bigram. A document's score is the mean
+over its words of the target's loss less the background's, in nats: the lower,
+the more it reads like the target. The background leaves out the counts of the
+document it scores. Every word scored is a word of the vocabulary.
+
+Counts are exact and cover every word of every text; their number grows with
+the corpus, so no task and not the driver holds them all. Documents are written
+in blocks of bounded size, as codes into the list of the block's own words.
+Each block sends every word and bigram it holds once, as a 64-bit key with its
+count, to the bucket where the key is summed; the sums come back to the blocks
+that hold the key, but for keys of one block alone, which that block counts
+itself. A bucket is a range of keys, and the number of buckets follows the
+words; a key, however frequent, meets as often as there are blocks. The driver
+sees a few totals.
 
 Empty and null texts have score 0 and no words. Rows that repeat are counted
 and scored as rows of their own, null ids too. An empty target makes the target
@@ -25,172 +27,173 @@ model uniform. An empty table gives no rows. Extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import batches_of, ship, stage
+from corpusloom.llm.common import batches_of, mix64, ship, stage
 
-#: At most 65,536, as a word's code has 16 bits.
-VOCABULARY = 1 << 15
+#: Words one block can tell apart; the vocabulary of all blocks has no bound.
+VOCABULARY = 1 << 31
 DISCOUNT, LEAN = 0.75, 8.0
 BLOCK_WORDS, BLOCK_ROWS = 1 << 20, 1 << 16
-TARGET = -1
-CODE = np.dtype("<u2")
+BUCKETS, BUCKET_KEYS = 1 << 8, 1 << 20
+CODED = "block bigint, doc_id bigint, codes binary, keys binary"
+COUNTED = "bucket bigint, block bigint, keys binary, n binary"
+SUMMED = "block bigint, keys binary, near binary, far binary, totals array<bigint>"
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-class Tally:
-    """Counts of words, emitted when too many differ."""
+def word_key(word: bytes) -> int:
+    """64-bit hashes, even."""
+    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little") & ~1
 
-    def __init__(self, bound: int = 200_000):
-        self.counts: dict[bytes, int] = {}
-        self.bound = bound
 
-    def add(self, words: list[bytes]) -> pa.RecordBatch | None:
-        counts = self.counts
-        for word in words:
-            counts[word] = counts.get(word, 0) + 1
-        return self.out() if len(counts) >= self.bound else None
+def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Keys of bigrams, odd."""
+    return mix64(mix64(left + np.uint64(1)) + right) | np.uint64(1)
 
-    def out(self) -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays(
-            [pa.array(list(self.counts), pa.binary()), pa.array(list(self.counts.values()), pa.int64())], names=["word", "n"]
-        )
-        self.counts.clear()
-        return batch
 
+def names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts, counted per task before anything moves."""
-    ship(docs.sparkSession)
 
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
-        for batch in stream:
-            for some in batches_of(batch, 256, "text"):
-                for text in some.column("text").to_pylist():
-                    if (full := tally.add(words_of(text))) is not None:
-                        yield full
-        yield tally.out()
+def pack(numbers: np.ndarray, width: int = 8) -> bytes:
+    """Numbers of ``width`` bytes, all first bytes before all second ones, which compresses better."""
+    return numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
 
-    return docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
+def unpack(packed: bytes, width: int = 8) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
 
-def vocabulary(docs: DataFrame, size: int) -> list[bytes]:
-    """The ``size`` most frequent words, ties by bytes."""
-    rows = word_counts(docs).orderBy(F.desc("n"), "word").limit(size).toArrow()
-    return rows.column("word").to_pylist()
+
+def unpack_all(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype=np.uint64), *map(unpack, column.to_pylist())])
 
 
 class Codes(dict):
-    """Codes of words; 0 is the class of all others."""
+    """Codes of words in the order in which they are met."""
 
     def __missing__(self, word: bytes) -> int:
-        return 0
+        self[word] = code = len(self)
+        return code
+
 
+def blocks(texts: DataFrame, size: int = BLOCK_WORDS, aim: bool = False) -> DataFrame:
+    """(block, doc_id, codes, keys): texts in blocks of about ``size`` words, then the keys of each block's words by code.
 
-def blocks(texts: DataFrame, words: list[bytes], size: int = BLOCK_WORDS, number: int | None = None) -> DataFrame:
-    """(block, doc_id, codes): the words of each text, numbered by blocks of about ``size`` words, or all by ``number``."""
+    Blocks of the target (``aim``) have negative numbers.
+    """
     ship(texts.sparkSession)
-    shared = texts.sparkSession.sparkContext.broadcast(words)  # at most 65,535 words
+
+    def out(block: int, ids: pa.Array, codes: list[bytes | None], keys: list[bytes | None]) -> pa.RecordBatch:
+        place = np.full(len(codes), -1 - block if aim else block, dtype=np.int64)
+        columns = [pa.array(place), ids, pa.array(codes, pa.binary()), pa.array(keys, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=names(CODED))
+
+    def last(block: int, known: Codes) -> pa.RecordBatch:
+        keys = np.fromiter(map(word_key, known), dtype="<u8", count=len(known))
+        return out(block, pa.nulls(1, pa.int64()), [None], [pack(keys)])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Codes((word, at + 1) for at, word in enumerate(shared.value))
-        block, held, rows = TaskContext.get().partitionId() << 32, 0, 0
+        block, held, rows, known = TaskContext.get().partitionId() << 32, 0, 0, Codes()
         for batch in stream:
             for some in batches_of(batch, 256, "text", 1):
-                codes = []
-                for text in some.column("text").to_pylist():
-                    found = words_of(text)
-                    codes.append(np.fromiter(map(known.__getitem__, found), dtype=CODE, count=len(found)).tobytes())
-                more = sum(map(len, codes)) // CODE.itemsize
+                found = [words_of(text) for text in some.column("text").to_pylist()]
+                more = sum(map(len, found))
                 if rows and (held + more > size or rows + some.num_rows > BLOCK_ROWS):
-                    block, held, rows = block + 1, 0, 0
+                    yield last(block, known)
+                    block, held, rows, known = block + 1, 0, 0, Codes()
                 held, rows = held + more, rows + some.num_rows
-                place = np.full(some.num_rows, block if number is None else number, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(place), some.column("doc_id"), pa.array(codes, pa.binary())], names=["block", "doc_id", "codes"]
-                )
+                codes = [pack(np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words)), 4) for words in found]
+                yield out(block, some.column("doc_id"), codes, [None] * len(codes))
+        if rows:
+            yield last(block, known)
 
     rows = texts.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "block bigint, doc_id bigint, codes binary")
+    return rows.mapInArrow(run, CODED)
 
 
-def word_sums(coded: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """How often target and documents use each code."""
+class Run:
+    """The texts of a block one after the other: the codes of words, and the bigrams of all but the texts' first words."""
+
+    def __init__(self, texts: pa.Table):
+        codes, keys = texts.column("codes").to_pylist(), texts.column("keys").to_pylist()
+        #: Rows of texts; the other row has the keys of words.
+        self.rows = np.array([some is not None for some in codes], dtype=bool)
+        self.keys = np.concatenate([unpack(some) for some in keys if some is not None])
+        found = [unpack(some, 4).astype(np.int64) for some in codes if some is not None]
+        self.sizes = np.array(list(map(len, found)), dtype=np.int64)
+        self.owner = np.repeat(np.arange(len(found)), self.sizes)
+        self.word = np.concatenate([*found, np.zeros(0, dtype=np.int64)])
+        self.later = np.zeros(len(self.word), dtype=bool)
+        self.later[1:] = self.owner[1:] == self.owner[:-1]
+        self.before = np.concatenate([self.word[:1], self.word[:-1]])
+        pairs, self.pair, times = np.unique(
+            (self.before << 32 | self.word)[self.later], return_inverse=True, return_counts=True
+        )
+        self.singles = len(self.keys)
+        #: Words, then bigrams: their keys and how often the block has them.
+        self.all_keys = np.concatenate([self.keys, pair_keys(self.keys[pairs >> 32], self.keys[pairs & 0xFFFFFFFF])])
+        self.counts = np.concatenate([np.bincount(self.word, minlength=self.singles), times]).astype(np.int64)
 
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near, far = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
-        for batch in stream:
-            for block, codes in zip(batch.column("block").to_pylist(), batch.column("codes").to_pylist(), strict=True):
-                side = near if block == TARGET else far
-                side += np.bincount(np.frombuffer(codes, CODE), minlength=size)
-        used = np.flatnonzero(near + far)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (used, near[used], far[used])], names=["code", "near", "far"])
 
-    sums = coded.select("block", "codes").mapInArrow(run, "code bigint, near bigint, far bigint")
-    found = sums.groupBy("code").agg(F.sum("near").alias("near"), F.sum("far").alias("far")).toArrow()  # at most ``size`` rows
-    out = np.zeros((2, size), dtype=np.int64)
-    for side, name in enumerate(("near", "far")):
-        out[side, found.column("code").to_numpy()] = found.column(name).to_numpy()
-    return out[0], out[1]
+def key_counts(coded: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, block, keys, n) of the words and bigrams of each block, counted before anything moves; ``buckets`` is a power of two."""
+    shift = np.uint64(64 - (buckets.bit_length() - 1))
 
+    def run(texts: pa.Table) -> pa.Table:
+        found = Run(texts)
+        order = np.argsort(found.all_keys)
+        keys, n = found.all_keys[order], found.counts[order]
+        bucket, starts = np.unique(keys >> shift, return_index=True)
+        place = np.full(len(bucket), texts.column("block")[0].as_py(), dtype=np.int64)
+        packed = [pa.array([pack(part) for part in np.split(some, starts)[1:]], pa.binary()) for some in (keys, n)]
+        return pa.Table.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(place), *packed], names=names(COUNTED))
 
-class Run:
-    """The words of texts one after the other, and the bigrams of all but their first words."""
-
-    def __init__(self, texts: list[bytes]):
-        self.sizes = np.array([len(codes) // CODE.itemsize for codes in texts], dtype=np.int64)
-        self.owner = np.repeat(np.arange(len(texts)), self.sizes)
-        self.word = np.frombuffer(b"".join(texts), CODE).astype(np.int64)
-        self.first = np.ones(len(self.word), dtype=bool)
-        self.first[1:] = self.owner[1:] != self.owner[:-1]
-        self.before = np.concatenate([self.word[:1], self.word[:-1]])
-        self.pair = self.before << 16 | self.word
+    return coded.groupBy("block").applyInArrow(run, COUNTED)
 
 
-def pair_counts(coded: DataFrame) -> DataFrame:
-    """(block, pair, n) of the bigrams of each block, counted before anything moves."""
+def summed_counts(counted: DataFrame) -> DataFrame:
+    """(block, keys, near, far, totals): counts in target and documents of the keys a block of documents does not hold alone.
 
-    def out(block: int, texts: list[bytes]) -> pa.RecordBatch:
-        found = Run(texts)
-        pairs, n = np.unique(found.pair[~found.first], return_counts=True)
-        columns = [np.full(len(pairs), block, dtype=np.int64), pairs, n.astype(np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(column) for column in columns], names=["block", "pair", "n"])
+    A row without a block has the totals of its bucket: words of target and
+    documents, different words of documents, of both, and of the target alone.
+    """
 
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, texts, held = None, [], 0
-        for batch in stream:
-            for number, codes in zip(batch.column("block").to_pylist(), batch.column("codes").to_pylist(), strict=True):
-                if texts and (number != block or held > 2 * BLOCK_WORDS):
-                    yield out(block, texts)
-                    texts, held = [], 0
-                block = number
-                texts.append(codes)
-                held += len(codes) // CODE.itemsize
-        if texts:
-            yield out(block, texts)
-
-    return coded.select("block", "codes").mapInArrow(run, "block bigint, pair bigint, n bigint")
-
-
-def shared_counts(coded: DataFrame) -> DataFrame:
-    """(block, pair, near, far): counts in target and documents of the bigrams that a block does not hold alone."""
-    by_pair = Window.partitionBy("pair")
-    aim = F.col("block") == TARGET
-    counted = pair_counts(coded).select(
-        "block", "pair", "n",
-        F.sum(F.when(aim, F.col("n")).otherwise(0)).over(by_pair).alias("near"),
-        F.sum(F.when(aim, 0).otherwise(F.col("n"))).over(by_pair).alias("far"),
-    )
-    return counted.where(~aim & ((F.col("near") > 0) | (F.col("far") > F.col("n")))).drop("n")
+    def run(pieces: pa.Table) -> pa.Table:
+        blocks = pieces.column("block").to_pylist()
+        parts = [unpack(some) for some in pieces.column("keys").to_pylist()]
+        keys, n = np.concatenate(parts), unpack_all(pieces.column("n")).astype(np.int64)
+        ends = np.cumsum(list(map(len, parts)))
+        aim = np.repeat(np.array(blocks) < 0, np.diff(ends, prepend=0))
+        single, back = np.unique(keys, return_inverse=True)
+        near, far = np.zeros((2, len(single)), dtype=np.int64)
+        np.add.at(near, back[aim], n[aim])
+        np.add.at(far, back[~aim], n[~aim])
+        word = single & np.uint64(1) == 0  # keys of words are even
+        a, b = near[word], far[word]
+        totals = [a.sum(), b.sum(), (b > 0).sum(), ((a > 0) & (b > 0)).sum(), ((a > 0) & (b == 0)).sum()]
+        out = [(None, None, None, None, list(map(int, totals)))]
+        for block, start, end in zip(blocks, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            if block >= 0:
+                at = back[start:end]
+                kept = np.flatnonzero((near[at] > 0) | (far[at] > n[start:end]))
+                if len(kept):
+                    at = at[kept]
+                    out.append((block, pack(single[at]), pack(near[at]), pack(far[at]), None))
+        types = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+        columns = [pa.array(column, of) for column, of in zip(zip(*out, strict=True), types, strict=True)]
+        return pa.Table.from_arrays(columns, names=names(SUMMED))
+
+    return counted.groupBy("bucket").applyInArrow(run, SUMMED)
 
 
 class Model:
@@ -199,9 +202,9 @@ class Model:
     Unigrams are discounted and share the rest evenly with the vocabulary.
     """
 
-    def __init__(self, words: np.ndarray):
-        self.words, self.total = words, max(1, int(words.sum()))
-        self.rest = (DISCOUNT * int((words > 0).sum()) / self.total if words.any() else 1.0) / len(words)
+    def __init__(self, total: int, seen: int, vocabulary: int):
+        self.total = max(1, total)
+        self.rest = (DISCOUNT * seen / self.total if total else 1.0) / vocabulary
 
     def losses(self, word: np.ndarray, pair: np.ndarray, held: np.ndarray, left_out: np.ndarray | int = 0) -> np.ndarray:
         """-log p of words by their counts, their bigrams' and those of the words before; ``left_out`` words are not counted."""
@@ -221,37 +224,44 @@ def _own(owner: np.ndarray, at: np.ndarray, where: np.ndarray | None = None) ->
 SCHEMA = "doc_id bigint, n_words bigint, target_loss double, background_loss double"
 
 
-def score(docs: DataFrame, target: DataFrame, size: int = VOCABULARY, block_words: int = BLOCK_WORDS) -> DataFrame:
+def score(docs: DataFrame, target: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, n_words, target_loss, background_loss, score) for each row of ``docs``; ``target`` has a ``text`` column."""
-    words = vocabulary(docs, size - 1)
-    staged = stage(blocks(docs, words, block_words), "coded")
-    both = staged.unionByName(blocks(target.select(F.lit(None).alias("doc_id"), "text"), words, number=TARGET))
-    near_model, far_model = map(Model, word_sums(both, len(words) + 1))
+    passages = target.select(F.lit(None).alias("doc_id"), "text")
+    both = stage(blocks(docs, block_words).unionByName(blocks(passages, block_words, aim=True)), "coded")
+    # Four bytes a word; a text has at most twice as many keys as words.
+    most = (both.agg(F.sum(F.octet_length("codes"))).first()[0] or 0) // 2
+    summed = stage(summed_counts(key_counts(both, max(BUCKETS, 1 << (most // BUCKET_KEYS).bit_length()))), "summed")
+    sums = summed.where("block IS NULL").agg(*(F.coalesce(F.sum(F.col("totals")[at]), F.lit(0)) for at in range(5))).first()
+    near_words, far_words, words, common, alone = sums
+    # One class more: the words that only the target has.
+    near_model = Model(near_words, common + (alone > 0), words + 1)
+    far_model = Model(far_words, words, words + 1)
 
     def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        found = Run(texts.column("codes").to_pylist())
-        word, before, later = found.word, found.before, ~found.first
-        pairs, back, here = np.unique(found.pair[later], return_inverse=True, return_counts=True)
-        near, far = np.zeros(len(pairs), dtype=np.int64), here.astype(np.int64)
-        at = np.searchsorted(pairs, counts.column("pair").to_numpy())
-        near[at], far[at] = counts.column("near").to_numpy(), counts.column("far").to_numpy()
-        near_pair, far_pair = np.zeros((2, len(word)), dtype=np.int64)
-        near_pair[later], far_pair[later] = near[back], far[back]
+        found = Run(texts)
+        word, before, later, singles = found.word, found.before, found.later, found.singles
+        near, far = np.zeros(len(found.counts), dtype=np.int64), found.counts
+        order = np.argsort(found.all_keys)
+        at = order[np.searchsorted(found.all_keys, unpack_all(counts.column("keys")), sorter=order)]
+        near[at], far[at] = unpack_all(counts.column("near")), unpack_all(counts.column("far"))
+        near_pair, far_pair, numbers = np.zeros((3, len(word)), dtype=np.int64)
+        numbers[later] = found.pair
+        near_pair[later], far_pair[later] = near[singles:][found.pair], far[singles:][found.pair]
         # A text's first word has none before it.
-        near_held, far_held = near_model.words[before] * later, far_model.words[before] * later
-        numbers = np.zeros(len(word), dtype=np.int64)
-        numbers[later] = back
+        near_held, far_held = near[before] * later, far[before] * later
         losses = (
-            near_model.losses(near_model.words[word], near_pair, near_held),
+            near_model.losses(near[word], near_pair, near_held),
             far_model.losses(
-                far_model.words[word] - _own(found.owner, word), far_pair - _own(found.owner, numbers, later),
+                far[word] - _own(found.owner, word), far_pair - _own(found.owner, numbers, later),
                 far_held - _own(found.owner, before, later), found.sizes[found.owner],
             ),
         )
         sums = [np.bincount(found.owner, weights=loss, minlength=len(found.sizes)) for loss in losses]
         means = [total / np.maximum(found.sizes, 1) for total in sums]
-        columns = [texts.column("doc_id"), pa.array(found.sizes), *map(pa.array, means)]
-        return pa.Table.from_arrays(columns, names=[part.split()[0] for part in SCHEMA.split(", ")])
+        columns = [texts.column("doc_id").filter(pa.array(found.rows)), pa.array(found.sizes), *map(pa.array, means)]
+        return pa.Table.from_arrays(columns, names=names(SCHEMA))
 
-    scored = staged.groupBy("block").cogroup(shared_counts(both).groupBy("block")).applyInArrow(run, SCHEMA)
+    coded = both.where(F.col("block") >= 0)
+    shared = summed.where("block IS NOT NULL").drop("totals")
+    scored = coded.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(run, SCHEMA)
     return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -420,6 +420,21 @@ def test_lm_scores_by_brute_force(spark):
         assert abs(row["background_loss"] - loss(found, far, True)) < 1e-9
 
 
+def test_lm_tells_every_word_apart(spark):
+    """Rare words keep their own counts, however many words are more frequent."""
+    common = [f"w{n}" for n in range(40_000)]
+    texts = [" ".join(common)] * 2 + ["rareone raretwo", "zedone zedtwo"]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")
+    target = spark.createDataFrame([("rareone raretwo",), ("onlyhere",)], "text string")
+    found = {row["doc_id"]: row for row in rows(lmscore.score(docs, target))}
+    size = 40_004 + 1
+    rest = 0.75 * 3 / 3 / size
+    single = (1 - 0.75) / 3 + rest
+    assert abs(found[2]["target_loss"] - np.mean([-np.log(single), -np.log((1 + 8 * single) / 9)])) < 1e-9
+    assert abs(found[3]["target_loss"] + np.log(rest)) < 1e-9
+    assert found[2]["score"] < found[3]["score"]
+
+
 # 9 and 10
 
 
