@@ -2,8 +2,11 @@
 
 The patterns are run over the text itself and over every layer that decoding
 uncovers: percent escapes and Unicode escapes rewrite a whole layer, a base64
-run or compressed data (gzip, zlib, bzip2, xz) opens a layer of its own. A
-worklist holds the layers still to be read; a layer seen before at the same
+run, also one wrapped over lines, or compressed data (gzip, zlib, bzip2, xz, all
+members) opens a layer of its own. A run that is not plain text as a whole is
+decoded from each of its first four characters, so that what is glued to it does
+not hide it; compressed data is looked for after each line break and each of the
+characters ``+/_-`` too. A worklist holds the layers still to be read; a layer seen before at the same
 place (a cycle) is not read again, and the list runs until it is empty. Each
 character of a layer knows the range of the original text it came from, so
 every span is given in code points of the original.
@@ -16,13 +19,14 @@ read otherwise.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +45,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|((?:\\u[0-9A-Fa-f]{4})+)|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)+={0,2}")
+PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
+GLUE = re.compile(r"[+/_-]")
+UNCLEAN = re.compile("[\x00-\x08\x0e-\x1f\x7f\udc80-\udcff]")
+LEAST = 16
+STEP_BYTES = 1 << 20
 LAYER_BYTES = 64 << 20
 
 Span = tuple[str, int, int]
@@ -53,26 +63,74 @@ def base_spans(text: str) -> list[Span]:
     return found + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
-def _unpack(data: bytes, limit: int) -> bytes | None:
-    """Decompressed data, at most ``limit`` bytes of it; None if it is not compressed."""
-    try:
-        if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 1 and (data[0] << 8 | data[1]) % 31 == 0):
-            return zlib.decompressobj(47).decompress(data, limit)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, limit)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, limit)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError):
-        return None
+def _unpacker(head: bytes):
+    """What unpacks data that begins like this; None if it is not compressed."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:1] == b"\x78" and len(head) > 1 and (head[0] << 8 | head[1]) % 31 == 0:
+        return zlib.decompressobj(15)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
     return None
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\t\n\r\f\v" for c in text) else None
+def _members(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The plain data of all compressed members, piece by piece, as far as it can be unpacked."""
+    held, unpacker = b"", None
+    for chunk in itertools.chain(chunks, [None]):
+        held += chunk or b""
+        while held:
+            if unpacker is None:
+                # xz pads with zeros between members.
+                held = held.lstrip(b"\0")
+                if len(held) < 6 and chunk is not None:
+                    break
+                unpacker = _unpacker(held)
+                if unpacker is None:
+                    return
+            try:
+                while not unpacker.eof:
+                    out = unpacker.decompress(held, STEP_BYTES)
+                    held = getattr(unpacker, "unconsumed_tail", b"")
+                    if out:
+                        yield out
+                    elif not held:
+                        break
+            except (zlib.error, OSError, EOFError, lzma.LZMAError):
+                return
+            if not unpacker.eof:
+                break
+            held, unpacker = unpacker.unused_data, None
+
+
+def _plain(data: Iterator[bytes]) -> Iterator[bytes]:
+    """Plain data of compressed data; nested compression has no text in between."""
+    chunks, seen = _members(data), set()
+    while (first := next(chunks, None)) is not None:
+        chunks = itertools.chain([first], chunks)
+        if first in seen or next(_members(iter([first])), None) is None:
+            yield from chunks
+            return
+        seen.add(first)
+        chunks = _members(chunks)
+
+
+def _text(data: bytes) -> str:
+    """Bytes that are not UTF-8 become lone surrogates, which no pattern has."""
+    return data.decode("utf-8", "surrogateescape")
+
+
+def _texts(chunks: Iterator[bytes], limit: int) -> Iterator[str]:
+    """The first ``limit`` bytes as text."""
+    held = b""
+    for chunk in chunks:
+        held += chunk
+        if len(held) >= limit:
+            break
+    if held:
+        yield _text(held[:limit])
 
 
 class Layer:
@@ -150,39 +208,76 @@ def _escape(match: re.Match):
     return [(chr(code), 0, match.end() - match.start())]
 
 
-def _opened(layer: Layer, limit: int):
+def _runs(text: str) -> Iterator[tuple[str, list[range], int, bool]]:
+    """Base64 runs of ``text``: characters, their places by piece, the end with its padding, whether it was wrapped."""
+    for match in WRAPPED.finditer(text):
+        pieces = [range(*found.span()) for found in PIECE.finditer(text, *match.span())]
+        if sum(map(len, pieces)) >= LEAST:
+            yield "".join(text[piece.start : piece.stop] for piece in pieces), pieces, match.end(), True
+    for match in BASE64.finditer(text):
+        body = match.group().rstrip("=")
+        yield body, [range(match.start(), match.start() + len(body))], match.end(), False
+
+
+def _decoded(body: str) -> bytes:
+    if len(body) % 4 == 1:
+        body = body[:-1]
+    return binascii.a2b_base64(body + "=" * (-len(body) % 4))
+
+
+def _decoded_pieces(body: str, at: int) -> Iterator[bytes]:
+    """``body`` from ``at`` on, so that what proves not to be compressed is not decoded to its end."""
+    for start in range(at, len(body), STEP_BYTES >> 4):
+        yield _decoded(body[start : start + (STEP_BYTES >> 4)])
+
+
+def _worth(text: str) -> bool:
+    """Whether a pattern or a further encoding could be in ``text``."""
+    patterns = (ASSIGN, ACCESS, HEX, PERCENT, ESCAPE, BASE64, WRAPPED)
+    return any(pattern.search(text) for pattern in patterns)
+
+
+def _opened(layer: Layer, limit: int) -> Iterator[Layer]:
     """Layers inside the base64 runs of ``layer``."""
-    for match in BASE64.finditer(layer.text):
-        run = match.group()
-        body = run.rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            body = body[:-1]
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        plain = _unpack(data, limit)
-        if plain is not None:
-            # Nested compression has no text in between.
-            while (more := _unpack(plain, limit)) is not None and more != plain:
-                plain = more
-            text = _readable(plain)
-            if text is not None:
-                start, end = layer.original(match.start(), match.end())
+    whole: list[tuple[int, int]] = []
+    for run, pieces, stop, wrapped in _runs(layer.text):
+        if not wrapped:
+            # Lines of a wrapped run that was read as a whole are not read again.
+            while whole and whole[0][1] <= pieces[0].start:
+                whole.pop(0)
+            if whole and whole[0][0] <= pieces[0].start:
+                continue
+        body = run.replace("-", "+").replace("_", "/")
+        places = pieces[0] if len(pieces) == 1 else list(itertools.chain(*pieces))
+        breaks = itertools.accumulate(map(len, pieces[:-1]))
+        unpacked = None
+        for at in sorted({0, 1, 2, 3, *breaks, *(found.end() for found in GLUE.finditer(run))}):
+            if len(body) - at < 4 or _unpacker(_decoded(body[at : at + 12])) is None:
+                continue
+            start, end = layer.original(places[at], stop)
+            for text in _texts(_plain(_decoded_pieces(body, at)), limit):
+                unpacked = at if unpacked is None else unpacked
                 yield Layer(text, [start] * len(text), [end] * len(text))
+        if unpacked == 0:
+            if wrapped:
+                whole.append((places[0], stop))
             continue
-        text = _readable(data)
-        if text is None:
-            continue
-        starts, ends, at = [], [], 0
-        for char in text:
-            size = len(char.encode("utf-8"))
-            low, high = match.start() + at * 4 // 3, match.start() + min(len(run), -(-(at + size) * 4 // 3))
-            start, end = layer.original(low, high)
-            starts.append(start)
-            ends.append(end)
-            at += size
-        yield Layer(text, starts, ends)
+        for phase in range(4):
+            text = _text(_decoded(body[phase:]))
+            if _worth(text):
+                starts, ends, at = [], [], 0
+                for char in text:
+                    size = len(char.encode("utf-8", "surrogateescape"))
+                    low, high = phase + at * 4 // 3, phase - (-(at + size) * 4 // 3)
+                    start, end = layer.original(places[low], places[min(len(places), high) - 1] + 1)
+                    starts.append(start)
+                    ends.append(end)
+                    at += size
+                yield Layer(text, starts, ends)
+            if phase == 0 and not UNCLEAN.search(text):
+                if wrapped:
+                    whole.append((places[0], stop))
+                break
 
 
 def all_spans(text: str, limit: int = LAYER_BYTES) -> list[Span]:

@@ -173,6 +173,31 @@ def test_layers_map_to_the_original():
     assert secrets.all_spans("the plain words of an ordinarylongcompoundword stay 100% clean") == []
 
 
+def test_layers_in_wrapped_and_glued_runs():
+    import base64
+    import bz2
+    import gzip
+    import lzma
+
+    secret = b"password=hunter2222"
+    noise = bytes(np.random.default_rng(2).integers(33, 127, 400, dtype=np.uint8)).replace(b"=", b"x")
+    glued = base64.b64encode(secret).decode()
+    texts = [f"{prefix}{glued}" for prefix in ("cb/", "key_", "a-b-", "api/v1/blobs/", "x+")]
+    for packed in (gzip.compress(noise + secret), bz2.compress(noise + secret), lzma.compress(noise + secret)):
+        texts += [base64.encodebytes(packed).decode(), "cb/" + base64.b64encode(packed).decode()]
+    for member in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        texts.append(base64.b64encode(member(b"first ") + member(secret)).decode())
+    for shift in range(30, 60):
+        lines = base64.encodebytes(b"." * shift + secret + b" and more").decode()
+        texts += [lines, lines.replace("\n", "\r\n"), f"see\n{lines}Thanks\n"]
+    for text in texts:
+        spans = [s for s in secrets.all_spans(f"before {text} after") if s[0] == "assign"]
+        assert spans and all(7 <= start < end <= 7 + len(text) for _, start, end in spans), text
+    lines = base64.encodebytes(b"." * 50 + secret + b" and more").decode()
+    ((_, start, end),) = secrets.all_spans(lines)
+    assert (start, end) == (50 * 4 // 3, 1 - (-69 * 4 // 3)) and "\n" in lines[start:end]
+
+
 def test_secret_scan_of_documents(spark, odd, empty, documents):
     found = {row["doc_id"]: row for row in rows(queries.op3_secret_scan(spark, FOLDER))}
     for doc_id, text, _ in documents:
