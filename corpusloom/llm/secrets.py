@@ -6,7 +6,7 @@ run, also one wrapped over lines, or compressed data (gzip, zlib, bzip2, xz, all
 members) opens a layer of its own. A run that is not plain text as a whole is
 decoded from each of its first four characters, so that what is glued to it does
 not hide it; compressed data is looked for after each line break and each of the
-characters ``+/_-`` too. A worklist holds the layers still to be read; a layer seen before at the same
+characters ``+/_-`` too. Bytes that are no text hide nothing else. A worklist holds the layers still to be read; a layer seen before at the same
 place (a cycle) is not read again, and the list runs until it is empty. Each
 character of a layer knows the range of the original text it came from, so
 every span is given in code points of the original.
@@ -51,7 +51,10 @@ GLUE = re.compile(r"[+/_-]")
 UNCLEAN = re.compile("[\x00-\x08\x0e-\x1f\x7f\udc80-\udcff]")
 LEAST = 16
 STEP_BYTES = 1 << 20
-LAYER_BYTES = 64 << 20
+#: Bytes of compressed data that are scanned at a time.
+LAYER_BYTES = 1 << 20
+#: No pattern has one of these characters, nor a single blank between words; no encoded run either.
+CUT = re.compile(rb"[!#$&()*,;<>?@\[\]^`|~]|[A-Za-z0-9+/_-] (?=[A-Za-z0-9+/_-])")
 
 Span = tuple[str, int, int]
 
@@ -122,15 +125,25 @@ def _text(data: bytes) -> str:
     return data.decode("utf-8", "surrogateescape")
 
 
-def _texts(chunks: Iterator[bytes], limit: int) -> Iterator[str]:
-    """The first ``limit`` bytes as text."""
-    held = b""
+def _texts(chunks: Iterator[bytes], size: int) -> Iterator[str]:
+    """Plain data as texts of ``size`` bytes and more, cut only where no pattern and no encoded run goes on."""
+    held, searched = bytearray(), 0
     for chunk in chunks:
         held += chunk
-        if len(held) >= limit:
-            break
+        if len(held) < size:
+            continue
+        cut = 0
+        for back in (1 << 12, 1 << 16, len(held)):
+            for found in CUT.finditer(held, max(searched, len(held) - back)):
+                cut = found.end()
+            if cut:
+                yield _text(held[:cut])
+                del held[:cut]
+                break
+        # A cut needs up to three bytes.
+        searched = 0 if cut else max(0, len(held) - 2)
     if held:
-        yield _text(held[:limit])
+        yield _text(held)
 
 
 class Layer:
@@ -176,13 +189,9 @@ def _rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
 
 
 def _percent(match: re.Match):
-    try:
-        text = bytes.fromhex(match.group().replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
     pieces, at = [], 0
-    for char in text:
-        size = 3 * len(char.encode("utf-8"))
+    for char in _text(bytes.fromhex(match.group().replace("%", ""))):
+        size = 3 * len(char.encode("utf-8", "surrogateescape"))
         pieces.append((char, at, at + size))
         at += size
     return pieces
@@ -191,14 +200,9 @@ def _percent(match: re.Match):
 def _escape(match: re.Match):
     braced, run, long, byte = match.groups()
     if run:
-        units = bytes.fromhex(run.replace("\\u", ""))
-        try:
-            text = units.decode("utf-16-be")
-        except UnicodeDecodeError:
-            return None
         pieces, at = [], 0
-        for char in text:
-            size = 6 * (len(char.encode("utf-16-be")) // 2)
+        for char in bytes.fromhex(run.replace("\\u", "")).decode("utf-16-be", "surrogatepass"):
+            size = 6 * (len(char.encode("utf-16-be", "surrogatepass")) // 2)
             pieces.append((char, at, at + size))
             at += size
         return pieces
@@ -283,14 +287,16 @@ def _opened(layer: Layer, limit: int) -> Iterator[Layer]:
 def all_spans(text: str, limit: int = LAYER_BYTES) -> list[Span]:
     """Base spans and those of every decoded layer, sorted by start, kind and end.
 
-    ``limit`` bounds the bytes one compressed layer may unpack to; what exceeds
-    it stays unread.
+    Compressed layers are unpacked and scanned to their end, about ``limit``
+    bytes at a time.
     """
     rank = {kind: at for at, kind in enumerate(KINDS)}
     found: set[Span] = set()
-    work, seen = [Layer(text)], set()
+    work, seen = [iter([Layer(text)])], set()
     while work:
-        layer = work.pop()
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
         if layer.starts is not None:
             place = (layer.starts[0], layer.ends[-1]) if layer.starts else (0, 0)
             mark = (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), place)
@@ -300,10 +306,10 @@ def all_spans(text: str, limit: int = LAYER_BYTES) -> list[Span]:
         for kind, start, end in base_spans(layer.text):
             found.add((kind, *layer.original(start, end)))
         if "%" in layer.text and (plain := _rewritten(layer, PERCENT, _percent)):
-            work.append(plain)
+            work.append(iter([plain]))
         if "\\" in layer.text and (plain := _rewritten(layer, ESCAPE, _escape)):
-            work.append(plain)
-        work.extend(_opened(layer, limit))
+            work.append(iter([plain]))
+        work.append(_opened(layer, limit))
     return sorted(found, key=lambda span: (span[1], rank[span[0]], span[2]))
 
 

@@ -198,6 +198,37 @@ def test_layers_in_wrapped_and_glued_runs():
     assert (start, end) == (50 * 4 // 3, 1 - (-69 * 4 // 3)) and "\n" in lines[start:end]
 
 
+def test_layers_with_characters_that_are_no_text():
+    import base64
+    import gzip
+    from urllib.parse import quote
+
+    secret = "password=hunter2222"
+    layers = [f"{odd} {secret}".encode() for odd in ("\u00a0", "\u00ad", "\u200b", "\u2028", "\ufeff", "\x00")]
+    layers += [b"\xff\xfe " + secret.encode(), f"\u00e9 {secret}".encode("latin-1")]
+    texts = [base64.b64encode(pack(layer)).decode() for layer in layers for pack in (bytes, gzip.compress)]
+    escaped = "".join(f"\\u{ord(c):04x}" for c in secret)
+    texts += ["%E9" + "".join(f"%{ord(c):02X}" for c in secret), "\\ud83d" + escaped, escaped + "\\udc00", escaped + "\\ud83d"]
+    for text in texts:
+        spans = [s for s in secrets.all_spans(f"before {text} after") if s[0] == "assign"]
+        assert spans and all(7 <= start < end <= 7 + len(text) for _, start, end in spans), text
+    exact = f"%E9{quote('token=', safe='')}abcdefgh"
+    assert secrets.all_spans(exact) == [("assign", 3, len(exact))]
+
+
+def test_compressed_layers_are_read_to_their_end():
+    import base64
+    import gzip
+
+    secret = b"password=hunter2222"
+    inner = base64.b64encode(gzip.compress(bytes(np.random.default_rng(3).integers(0, 256, 3 << 20, dtype=np.uint8)) + secret))
+    for plain in (b"\xc3\xa9" * 5000 + secret, b"plain words " * 500 + secret, b"a, " * 1000 + inner + b", b" * 1000):
+        text = base64.b64encode(gzip.compress(plain)).decode()
+        assert secrets.all_spans(text, 1001) == [("assign", 0, len(text))] == secrets.all_spans(text)
+    text = base64.b64encode(gzip.compress(b"all is well, " * (6 << 20) + secret)).decode()
+    assert secrets.all_spans(text) == [("assign", 0, len(text))]
+
+
 def test_secret_scan_of_documents(spark, odd, empty, documents):
     found = {row["doc_id"]: row for row in rows(queries.op3_secret_scan(spark, FOLDER))}
     for doc_id, text, _ in documents:
