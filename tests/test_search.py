@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors as V
 from corpusloom.operators import ann, search
+from corpusloom.plans import retrieval
 
 DIM = 16
 
@@ -145,6 +146,18 @@ def test_probing_fewer_cells_loses_little(data):
     assert 0.3 <= got <= 1.0
 
 
+@pytest.mark.parametrize("kind", ["ivf_flat", "ivf_pq", "hnsw"])
+def test_recall_of_the_registered_settings(spark, kind):
+    corpus = retrieval.vectors(spark, "/root/testdata/sf0.1")
+    queries = corpus.where("vec_id % 20 = 0").select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query_vector")
+    )
+    exact = search.search("flat_l2", corpus, queries)
+    some = search.search(kind, corpus, queries, **retrieval.OPTIONS.get(kind, {}))
+    got = ann.recall(some, exact).agg(F.count("*"), F.avg("recall")).first()
+    assert got[0] == 100 and got[1] >= 0.9
+
+
 def test_codes_with_reranking(data):
     corpus, queries, matrix, asked, _ = data
     full = search.search("ivf_pq", corpus, queries, 5, cells=2, probes=2, bits=2, rerank=300)
