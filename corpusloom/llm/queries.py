@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, each over its whole table."""
+"""Registered queries of the operators, each over its whole table, and SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import (
-    fingerprints, lmscore, minhash, mixing, packing, quality, secrets, tokenids, toxicity, vectors,
+    fingerprints, lmscore, minhash, mixing, packing, quality, secrets, suffixes, tokenids, toxicity, vectors,
 )
 from corpusloom.llm.common import table
 
@@ -65,12 +65,44 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.gather(folder, manifest)
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.removed(table(spark, sf_dir, "documents"))
+    return found.select(*suffixes.digest_columns(found))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_mix_sources, op2_vector_near_dedup, op3_secret_scan, op4_quality, op5_fingerprints, op6_minhash_near_dedup,
-        op7_lm_score, op8_toxicity, op9_best_fit_packing, op10_token_ids,
+        op7_lm_score, op8_toxicity, op9_best_fit_packing, op10_token_ids, op12_suffix_dedup,
     )
 }
-# The operators draw, train, sketch or tokenise: SQL cannot repeat their rows. tests/llm checks them by brute force.
-ORACLES: dict[str, str] = {}
+# The first ten operators draw, train, sketch or tokenise: SQL cannot repeat their rows. tests/llm checks them by brute force.
+ORACLES: dict[str, str] = {
+    "op12_suffix_dedup": """
+        WITH docs AS (
+            SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS body FROM documents
+        ),
+        starts AS (SELECT r, body, unnest(range(0, octet_length(body) - 199)) AS p FROM docs WHERE octet_length(body) >= 200),
+        keyed AS (SELECT r, p, md5(body[p + 1 : p + 200]) AS k FROM starts),
+        repeated AS (SELECT r, p FROM keyed QUALIFY count(*) OVER (PARTITION BY k) > 1),
+        stepped AS (
+            SELECT r, p, CASE WHEN p > lag(p) OVER w + 200 THEN 1 ELSE 0 END AS fresh
+            FROM repeated WINDOW w AS (PARTITION BY r ORDER BY p)
+        ),
+        islands AS (SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS island FROM stepped),
+        spans AS (SELECT r, min(p) AS s, max(p) + 200 AS e FROM islands GROUP BY r, island),
+        gaps AS (
+            SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS a, s AS b FROM spans
+            UNION ALL
+            SELECT r, coalesce(max(e), 0), any_value(octet_length(body)) FROM docs LEFT JOIN spans USING (r) GROUP BY r
+        ),
+        kept AS (
+            SELECT r, string_agg(hex(body[a + 1 : b]), '' ORDER BY a) AS rest FROM gaps JOIN docs USING (r) GROUP BY r
+        ),
+        counts AS (SELECT r, sum(e - s) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+        SELECT doc_id, octet_length(body)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+            coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(rest)) AS kept_sha256
+        FROM docs JOIN kept USING (r) LEFT JOIN counts USING (r)
+    """,
+}
