@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import (
-    fingerprints, lmscore, minhash, mixing, packing, quality, secrets, suffixes, tokenids, toxicity, vectors,
+    fingerprints, lexical, lmscore, minhash, mixing, packing, quality, secrets, suffixes, tokenids, toxicity, vectors,
 )
 from corpusloom.llm.common import table
 
@@ -70,11 +70,16 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*suffixes.digest_columns(found))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_mix_sources, op2_vector_near_dedup, op3_secret_scan, op4_quality, op5_fingerprints, op6_minhash_near_dedup,
         op7_lm_score, op8_toxicity, op9_best_fit_packing, op10_token_ids, op12_suffix_dedup,
+        op13_lexical_search,
     )
 }
 # The first ten operators draw, train, sketch or tokenise: SQL cannot repeat their rows. tests/llm checks them by brute force.
@@ -105,4 +110,35 @@ ORACLES: dict[str, str] = {
             coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(rest)) AS kept_sha256
         FROM docs JOIN kept USING (r) LEFT JOIN counts USING (r)
     """,
+    "op13_lexical_search": r"""
+        WITH terms AS (
+            SELECT d, doc_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM (SELECT row_number() OVER () AS d, doc_id, text FROM documents)
+        ),
+        lengths AS (SELECT d, any_value(doc_id) AS doc_id, count(*) AS n FROM terms GROUP BY d),
+        totals AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths),
+        tf AS (SELECT d, term, count(*) AS tf FROM terms GROUP BY d, term),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+        weights AS (
+            SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM df, totals
+        ),
+        asked AS (
+            SELECT item_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark
+        ),
+        wanted AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY item_id, term),
+        m AS (SELECT d, doc_id, 100 - 25 + (25 * n * n_docs) // n_terms AS m FROM lengths, totals),
+        scores AS (
+            SELECT item_id, d, any_value(doc_id) AS doc_id,
+                sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+            FROM wanted JOIN weights USING (term) JOIN tf USING (term) JOIN m USING (d) GROUP BY item_id, d
+        )
+        SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+        FROM scores WHERE score > 0
+        QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20
+    """,
 }
