@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import (
-    fingerprints, lexical, lmscore, minhash, mixing, packing, quality, secrets, suffixes, tokenids, toxicity, vectors,
+    fingerprints, lexical, lmscore, minhash, mixing, packing, phrases, quality, secrets, suffixes, tokenids, toxicity,
+    vectors,
 )
 from corpusloom.llm.common import table
 
@@ -65,6 +66,10 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.gather(folder, manifest)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.best(table(spark, sf_dir, "documents"))
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.removed(table(spark, sf_dir, "documents"))
     return found.select(*suffixes.digest_columns(found))
@@ -78,12 +83,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_mix_sources, op2_vector_near_dedup, op3_secret_scan, op4_quality, op5_fingerprints, op6_minhash_near_dedup,
-        op7_lm_score, op8_toxicity, op9_best_fit_packing, op10_token_ids, op12_suffix_dedup,
+        op7_lm_score, op8_toxicity, op9_best_fit_packing, op10_token_ids, op11_phrases, op12_suffix_dedup,
         op13_lexical_search,
     )
 }
 # The first ten operators draw, train, sketch or tokenise: SQL cannot repeat their rows. tests/llm checks them by brute force.
 ORACLES: dict[str, str] = {
+    "op11_phrases": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+            FROM documents
+        ),
+        pieces AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM docs),
+        totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM pieces GROUP BY lang),
+        sizes AS (SELECT unnest(range(1, 6)) AS m),
+        grams AS (
+            SELECT lang, m, unnest([array_to_string(w[i : i + m - 1], ' ') FOR i IN range(1, len(w) - m + 2)]) AS p
+            FROM pieces, sizes WHERE len(w) >= m
+        ),
+        f AS (SELECT lang, m, p, count(*)::HUGEINT AS f FROM grams GROUP BY lang, m, p HAVING count(*) >= 100),
+        cuts AS (
+            SELECT lang, m, p, f AS a, unnest(range(1, m)) AS k, string_split(p, ' ') AS w FROM f WHERE m >= 2
+        ),
+        weighed AS (
+            SELECT c.lang, c.m, c.p, c.a, c.k, x.f AS l, y.f AS r, n, (1000 * c.a * n) // (x.f * y.f) AS score
+            FROM cuts c JOIN totals USING (lang)
+            JOIN f x ON x.lang = c.lang AND x.m = c.k AND x.p = array_to_string(c.w[1 : c.k], ' ')
+            JOIN f y ON y.lang = c.lang AND y.m = c.m - c.k AND y.p = array_to_string(c.w[c.k + 1 : c.m], ' ')
+        ),
+        weakest AS (
+            SELECT * FROM weighed QUALIFY row_number() OVER (PARTITION BY lang, m, p ORDER BY score, k) = 1
+        ),
+        dropped AS (
+            SELECT DISTINCT c.lang, c.m, c.p FROM weakest c JOIN f g
+            ON g.lang = c.lang AND g.m > c.m AND g.f >= c.a AND contains(' ' || g.p || ' ', ' ' || c.p || ' ')
+        )
+        SELECT lang, row_number() OVER best AS rank, p AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r,
+            n::BIGINT AS n, score::BIGINT AS score
+        FROM weakest ANTI JOIN dropped USING (lang, m, p)
+        WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, p)
+        QUALIFY row_number() OVER best <= 2000
+    """,
     "op12_suffix_dedup": """
         WITH docs AS (
             SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS body FROM documents
