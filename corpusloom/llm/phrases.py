@@ -11,7 +11,7 @@ at the outer end and all its extensions by one word, and so settles the scores
 and the survival of the phrases with both ends in the frontier. The score of the
 last one wanted, ties included, is the bound that a word must still reach; the
 frontier grows until no word outside can (and by a factor while too few phrases
-survive), which the second wave ends as a rule.
+survive). Each phrase is counted in one wave.
 
 Texts are held in blocks of about ``BLOCK_WORDS`` words, as numbers of words. A
 block sends each of its different words, or phrases, once with its count to the
@@ -32,7 +32,9 @@ not read.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import discard, fresh_path, mix64, ship
 
+log = logging.getLogger(__name__)
+
 LONGEST = 5
 BLOCK_WORDS = 4 << 20
 BUCKET_BYTES = 16 << 20
@@ -219,22 +223,27 @@ def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Block:
-    """A block's words and whether each is in the frontier."""
+    """A block's words, whether each is in the frontier, and whether it was in the one before."""
 
-    def __init__(self, row: dict, limits: np.ndarray):
+    def __init__(self, row: dict, limits: np.ndarray, before: np.ndarray):
         self.block, self.codes, self.ids = row["block"], _numbers(row["codes"]), _numbers(row["ids"])
         self.langs = _numbers(row["langs"])
-        live = np.frombuffer(row["f"], "<u8").astype(np.int64) <= limits[self.langs]
+        f = np.frombuffer(row["f"], "<u8").astype(np.int64)
         place = np.searchsorted(self.ids, self.codes)
         self.place = np.minimum(place, max(0, len(self.ids) - 1))
-        self.live = live[self.place] & (self.codes > 0) if len(self.ids) else np.zeros(len(self.codes), dtype=bool)
+        self.live, self.done = (
+            (f <= some[self.langs])[self.place] & (self.codes > 0) if len(f) else np.zeros(len(self.codes), dtype=bool)
+            for some in (limits, before)
+        )
 
     def phrases(self, width: int, usable: np.ndarray, buckets: int) -> pa.RecordBatch | None:
-        """The different phrases of ``width`` words at ``usable`` places with an end in the frontier, by bucket."""
+        """The different phrases of ``width`` words at ``usable`` places with an end in the frontier, by bucket; those with an
+        end in the frontier before are counted already."""
         last = len(self.codes) - width + 1
         if last <= 0:
             return None
-        start = np.flatnonzero(usable[:last] & (self.live[:last] | self.live[width - 1 :]))
+        ends = (self.live[:last] | self.live[width - 1 :]) & ~(self.done[:last] | self.done[width - 1 :])
+        start = np.flatnonzero(usable[:last] & ends)
         if not len(start):
             return None
         keys = np.stack([self.codes[start + at] for at in range(width)], axis=1)
@@ -297,11 +306,19 @@ def _pairs_known(block: Block, blobs: list[bytes]) -> np.ndarray:
     return (hit | open_) & (block.codes[:-1] > 0) & (block.codes[1:] > 0)
 
 
+def _by_lang(values: list) -> Column:
+    """The value of a row's language; counts are long."""
+    pairs = [F.lit(v) if isinstance(v, str) else F.lit(int(v)).cast("bigint") for v in values]
+    return F.create_map(*[one for at, value in enumerate(pairs) for one in (F.lit(at), value)])[F.col("lang")]
+
+
 class Corpus:
     """Blocks of a corpus in numbers of frequent words, in tables of the shared folder."""
 
     def __init__(self, docs: DataFrame, least: int, block_words: int = BLOCK_WORDS):
         self.spark, self.least = docs.sparkSession, least
+        self.pairs: list[DataFrame] = []
+        self.counted: list[DataFrame] = []
         ship(self.spark)
         self.paths: list[str] = []
         rows = docs.select(
@@ -313,6 +330,7 @@ class Corpus:
         tokens = self._write(_tokens(rows, buckets, block_words), "phrase-tokens")
         counted = tokens.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").collect()
         #: A row of the driver for each language.
+        self.limits = np.zeros(len(counted), dtype=np.int64)
         self.langs, self.n = [row["lang"] for row in counted], np.array([row["n"] for row in counted], dtype=np.int64)
         number = {lang: at for at, lang in enumerate(self.langs)}
         judged = self._write(
@@ -331,14 +349,14 @@ class Corpus:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def phrases(self, limits: np.ndarray) -> DataFrame:
-        """(ids, f, lang) of every frequent phrase that starts or ends with a word of count ``limits[lang]`` or less."""
-        buckets, least = self.buckets, self.least
+    def grow(self, limits: np.ndarray) -> None:
+        """Count every phrase that starts or ends with a word of count ``limits[lang]`` or less and is not counted yet."""
+        buckets, least, before = self.buckets, self.least, self.limits
 
         def pairs(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in stream:
                 for at in range(batch.num_rows):
-                    block = Block(batch.slice(at, 1).to_pylist()[0], limits)
+                    block = Block(batch.slice(at, 1).to_pylist()[0], limits, before)
                     both = (block.codes[:-1] > 0) & (block.codes[1:] > 0)
                     found = block.phrases(2, np.append(both, False), buckets)
                     if found is not None:
@@ -348,7 +366,7 @@ class Corpus:
             out = [_table(KEYS, {"block": []})]
             texts = rows.filter(pa.compute.is_valid(rows["codes"])).to_pylist()
             if texts:
-                block = Block(texts[0], limits)
+                block = Block(texts[0], limits, before)
                 usable = _pairs_known(block, [blob for blob in rows["keys"].to_pylist() if blob is not None])
                 for width in range(3, LONGEST + 1):
                     ready = usable[: len(usable) - width + 2].copy()
@@ -363,20 +381,22 @@ class Corpus:
             return _frequent_phrases(rows, least)
 
         two = self._write(self.coded.mapInArrow(pairs, KEYS).groupBy("bucket").applyInArrow(frequent, PHRASES), "phrase-pairs")
-        back = two.where("block IS NOT NULL").select("block", "keys")
+        self.pairs.append(two.where("block IS NOT NULL"))
+        met = self.coded.withColumn("keys", F.lit(None).cast("binary"))
         nothing = [F.lit(None).cast("binary").alias(name) for name in ("codes", "ids", "f", "langs")]
-        met = self.coded.withColumn("keys", F.lit(None).cast("binary")).unionByName(back.select("block", *nothing, "keys"))
+        for known in self.pairs:
+            met = met.unionByName(known.select("block", *nothing, "keys"))
         more = met.groupBy("block").applyInArrow(longer, KEYS).groupBy("bucket").applyInArrow(frequent, PHRASES)
         found = two.where("ids IS NOT NULL").unionByName(more).select("ids", "f", "lang")
-        return self._write(found, "phrases")
+        self.counted.append(self._write(found, "phrases"))
+        self.limits = limits
 
-    def scored(self, limits: np.ndarray) -> DataFrame:
-        """(lang, ids, a, l, r, score) of the surviving phrases with both ends in the frontier of ``limits``."""
-        phrases = self.phrases(limits)
+    def scored(self) -> DataFrame:
+        """(lang, ids, a, l, r, score) of the surviving phrases with both ends in the frontier."""
+        phrases = reduce(DataFrame.unionAll, self.counted)
         single = self.words.select(F.array("id").alias("part"), F.col("count").alias("f"))
         parts = phrases.select(F.col("ids").alias("part"), "f").unionByName(single)
-        live = F.create_map(*[F.lit(int(v)) for pair in enumerate(limits) for v in pair]) if len(limits) else None
-        ends = self.words.where(F.col("count") <= live[F.col("lang")]).select(F.col("id").alias("end"))
+        ends = self.words.where(F.col("count") <= _by_lang(self.limits)).select(F.col("id").alias("end"))
         size = F.size("ids")
         candidates = (
             phrases.withColumn("end", F.col("ids")[0]).join(ends, "end").withColumn("end", F.col("ids")[size - 1]).join(ends, "end").drop("end")
@@ -391,12 +411,11 @@ class Corpus:
         )
         left = parts.select(F.col("part").alias("left"), F.col("f").alias("l"))
         right = parts.select(F.col("part").alias("right"), F.col("f").alias("r"))
-        n = F.create_map(*[F.lit(int(v)) for pair in enumerate(self.n) for v in pair])[F.col("lang")]
 
         def exact(value: Column) -> Column:
             return value.cast("decimal(18,0)")
 
-        over = (exact(F.col("f")) * exact(n * 1000)).cast("decimal(38,0)")
+        over = (exact(F.col("f")) * exact(_by_lang(self.n) * 1000)).cast("decimal(38,0)")
         under = (exact(F.col("l")) * exact(F.col("r"))).cast("decimal(38,0)")
         # The quotient is made to fit a scale of 0 by its remainder, so it is a floor.
         score = ((over - over % under) / under).cast("decimal(38,0)").cast("bigint")
@@ -437,20 +456,19 @@ def best(docs: DataFrame, top: int = 2000, least: int = 100, block_words: int =
         highest[row["lang"]] = row["most"]
     limits = np.minimum(corpus.first_limits(), highest)
     while True:
-        scored = corpus._write(corpus.scored(limits), "phrase-scores")
+        corpus.grow(limits)
+        scored = corpus._write(corpus.scored(), "phrase-scores")
         order = Window.partitionBy("lang").orderBy(F.col("score").desc())
         last = scored.select("lang", "score", F.row_number().over(order).alias("at")).where(F.col("at") == top).collect()
         bar = {row["lang"]: row["score"] for row in last}
         # Words outside have more than limits; those up to the next limit can still reach the last score.
-        reach = np.array([1000 * n // bar[at] if at in bar else GROWTH * limits[at] for at, n in enumerate(corpus.n.tolist())])
+        reach = np.array([1000 * n // max(bar[at], 1) if at in bar else GROWTH * limits[at] for at, n in enumerate(corpus.n.tolist())])
         reach = np.minimum(reach, highest)
+        log.info("frontier up to %s, still to reach %s", limits, reach)
         if (reach <= limits).all():
             break
         limits = np.maximum(limits, reach)
-    lang = F.create_map(*[F.lit(v) for pair in enumerate(corpus.langs) for v in pair])[F.col("lang")]
-    n = F.create_map(*[F.lit(int(v)) for pair in enumerate(corpus.n) for v in pair])[F.col("lang")]
-    settled = F.create_map(*[F.lit(int(v)) for at in range(len(corpus.langs)) for v in (at, bar.get(at, 0))])[F.col("lang")]
-    kept = scored.where(F.col("score") >= settled)
+    kept = scored.where(F.col("score") >= _by_lang([bar.get(at, 0) for at in range(len(corpus.langs))]))
     spelled = (
         kept.select("lang", "ids", "a", "l", "r", "score", F.posexplode("ids").alias("at", "id"))
         .join(corpus.words.select("id", F.col("word").cast("string").alias("word")), "id")
@@ -459,7 +477,7 @@ def best(docs: DataFrame, top: int = 2000, least: int = 100, block_words: int =
     )
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
     ranked = spelled.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= top)
-    out = ranked.select(lang.alias("lang"), "rank", "phrase", "a", "l", "r", n.alias("n"), "score")
+    out = ranked.select(_by_lang(corpus.langs).alias("lang"), "rank", "phrase", "a", "l", "r", _by_lang(corpus.n).alias("n"), "score")
     before = list(corpus.paths)
     result = corpus._write(out, "phrases-best")
     corpus.drop(before)
