@@ -177,6 +177,8 @@ class Postings:
         self.last, self.size = shard.last[a:b], shard.size[a:b]
         self.best = shard.best[a:b] * weight
         self.most = int(self.best.max())
+        #: The block unpacked last: windows and candidates come in order, so the next one often falls in it too.
+        self.held: tuple[int, tuple[np.ndarray, np.ndarray]] | None = None
 
     def limits(self, docs: np.ndarray) -> np.ndarray:
         """The best score each document can have here, from the maxima of blocks alone."""
@@ -184,13 +186,16 @@ class Postings:
         return np.where(block < len(self.best), self.best[np.minimum(block, len(self.best) - 1)], 0)
 
     def unpack(self, block: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.held is not None and self.held[0] == block:
+            return self.held[1]
         shard, at = self.shard, self.begin + block
         shard.unpacked += 1
         size, wide, thick, place = int(self.size[block]), int(shard.wide[at]), int(shard.thick[at]), int(shard.place[at])
         gap = np.frombuffer(shard.lists, f"<u{wide}", size, place)
         tf = np.frombuffer(shard.lists, f"<u{thick}", size, place + size * wide).astype(np.int64)
         before = int(self.last[block - 1]) if block else 0
-        return np.cumsum(gap, dtype=np.int64) + before, tf
+        self.held = block, (np.cumsum(gap, dtype=np.int64) + before, tf)
+        return self.held[1]
 
     def scores(self, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Documents of ``blocks`` and their scores."""
