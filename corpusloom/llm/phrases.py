@@ -47,7 +47,7 @@ from corpusloom.llm.common import discard, fresh_path, mix64, ship
 log = logging.getLogger(__name__)
 
 LONGEST = 5
-BLOCK_WORDS = 4 << 20
+BLOCK_WORDS = 1 << 20
 BUCKET_BYTES = 16 << 20
 #: Share of a language's words that the first frontier may hold, and by what a frontier grows that has too few phrases.
 FIRST_SHARE, GROWTH = 1 / 16, 16
