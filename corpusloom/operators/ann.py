@@ -2,36 +2,44 @@
 
 An index is a DataFrame: the vectors plus a ``cell``, ``codes`` or ``buckets``
 column. What is learned (centroids, code books) has a size set by parameters
-only. Queries travel to the executors under the bound of :mod:`search`, so a
-cell or bucket holding a third of the corpus is still spread over all tasks.
+only. Cells and all code books are trained together, each round in one pass over
+a bounded sample. Queries travel to the executors under the bound of
+:mod:`search`, so a cell or bucket holding a third of the corpus is still spread
+over all tasks. :func:`save_index` stores an index by cell with all that was
+learned, :func:`load_index` opens it in another session.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
+import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.search import (
     DEFAULT_K,
     HIT_SCHEMA,
     MAX_QUERY_ROWS,
+    Best,
+    Meetings,
     QuerySet,
+    _prune,
     _ranked,
     _scanner,
     first_per_group,
+    in_passes,
     nearest,
     small_queries,
     strategy,
 )
+from corpusloom.session import stage
 
 # Most cells of a clustered index, rows per cell below which
 # fewer are made, sub-vectors and bits of a code, cells probed by default.
@@ -43,9 +51,15 @@ DEFAULT_PROBES = 1
 
 SEED = 42
 KMEANS_ITERATIONS = 10
+#: Vectors an index is trained on at most; all are indexed.
+TRAINING_ROWS = 1_000_000
 RERANK = 50
 HASH_TABLES = 8
 BUCKET_LENGTH = 0.1
+#: The strategy the others are held against.
+EXACT = "Flat L2"
+#: Rows of a cell that one file of a stored index holds, about.
+FILE_ROWS = 1_000_000
 
 
 def cell_count(vectors: int) -> int:
@@ -53,105 +67,212 @@ def cell_count(vectors: int) -> int:
     return max(1, min(MAX_CELLS, vectors // ROWS_PER_CELL))
 
 
-def _fit(features: DataFrame, k: int, column: str) -> KMeansModel:
-    return KMeans(
-        k=k, seed=SEED, maxIter=KMEANS_ITERATIONS, featuresCol=column, predictionCol="cell"
-    ).fit(features)
+@dataclass
+class CellIndex:
+    """Vectors with the cell of their nearest centroid, and the centroids.
+
+    With several ``copies`` a vector is stored in as many of its nearest cells; ``nearer`` lists the cells of the copies
+    before this one, under which a query meets it first.
+    """
+
+    rows: DataFrame
+    centroids: object
+    copies: int = 1
 
 
 @dataclass
-class CellIndex:
-    """Vectors with the cell of their nearest centroid, and the centroids."""
+class CodeIndex:
+    """Cells plus quantised codes, with one code book per sub-vector."""
 
     rows: DataFrame
     centroids: object
+    books: list
+    copies: int = 1
+
+    def cells(self) -> CellIndex:
+        return CellIndex(self.rows, self.centroids, self.copies)
+
+
+def _gaps(rows, centers):
+    """Squared distances up to a number that each row has for all centers."""
+    return (centers * centers).sum(axis=1)[None, :] - 2.0 * rows @ centers.T
+
 
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1).astype(np.float64)
 
-def build_cells(corpus: DataFrame, cells: int | None = None) -> CellIndex:
-    cells = cells or cell_count(corpus.count())
-    features = corpus.withColumn("_features", array_to_vector("embedding"))
-    model = _fit(features.select("_features"), cells, "_features")
-    rows = model.transform(features).drop("_features")
-    return CellIndex(rows, np.array(model.clusterCenters()))
 
+def train(
+    corpus: DataFrame, cells: int | None = None, parts: int = 0, bits: int = CODE_BITS, sample_rows: int = TRAINING_ROWS
+) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Centroids of ``cells`` cells and, for ``parts`` > 0, a book of up to 2^``bits`` centers for each sub-vector.
 
-def with_probes(queries: DataFrame, centroids, probes: int, name: str = "cells") -> DataFrame:
-    """Add the ``probes`` nearest cells of every query."""
+    Lloyd's rounds for the cells and all sub-vectors go together: a round is one pass over the sample, whose tasks return a
+    sum and a count for each center. The sample is all vectors up to ``sample_rows``, beyond that the share of them that a
+    hash of vec_id picks.
+    """
+    known = corpus.filter(F.col("embedding").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    total = known.count()
+    cells = cells or cell_count(total)
+    if total > sample_rows:
+        share = int(sample_rows / total * (1 << 32))
+        known = known.filter(F.pmod(F.xxhash64(F.lit(SEED), "vec_id"), F.lit(1 << 32)) < share)
+    sample = stage(known, "training")
+    first = sample.orderBy(F.xxhash64(F.lit(SEED), "vec_id"), "vec_id").limit(max(cells, 2**bits if parts else 0)).toArrow()
+    if not first.num_rows:
+        return np.zeros((1, 0)), [np.zeros((1, 0))] * parts
+    start = _matrix(first["embedding"])
+    width = start.shape[1]
+    if parts and width % parts:
+        raise ValueError(f"dimension {width} does not divide by {parts}")
+    step = width // parts if parts else 0
+    # Sets of centers and the columns they look at: the cells first, then the books.
+    centers = [start[:cells].copy()] + [np.unique(start[:, at * step : (at + 1) * step], axis=0)[: 2**bits] for at in range(parts)]
+    columns = [slice(0, width)] + [slice(at * step, (at + 1) * step) for at in range(parts)]
+
+    def sums(batches):
+        total = [np.zeros_like(own) for own in centers]
+        count = [np.zeros(len(own), dtype=np.int64) for own in centers]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = _matrix(batch.column(0))
+            for number, (own, place) in enumerate(zip(centers, columns, strict=True)):
+                near = _gaps(rows[:, place], own).argmin(axis=1)
+                np.add.at(total[number], near, rows[:, place])
+                count[number] += np.bincount(near, minlength=len(own))
+        for number, own in enumerate(count):
+            held = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(held), number, dtype=np.int32)), pa.array(held.astype(np.int32)), pa.array(own[held]),
+                    pa.array(list(total[number][held]), pa.list_(pa.float64())),
+                ],
+                names=["book", "center", "n", "total"],
+            )
+
+    for _ in range(KMEANS_ITERATIONS):
+        partial = sample.select("embedding").mapInArrow(sums, "book int, center int, n bigint, total array<double>")
+        merged = partial.groupBy("book", "center").agg(
+            F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total")
+        )
+        # As many rows as there are centers.
+        moved = [own.copy() for own in centers]
+        for row in merged.collect():
+            moved[row["book"]][row["center"]] = np.array(row["total"]) / row["n"]
+        still = all(np.allclose(new, old, atol=1e-9) for new, old in zip(moved, centers, strict=True))
+        centers[:] = moved
+        if still:
+            break
+    return centers[0], centers[1:]
+
+
+def _placed(corpus: DataFrame, centroids: np.ndarray, books: list[np.ndarray], copies: int) -> DataFrame:
+    """Every vector with its cell, with several copies one row for each and the cells before it, and with its codes."""
+    copies = min(copies, len(centroids))
+    kind = "struct<cells: array<int>, codes: array<smallint>>"
+
+    @F.arrow_udf(kind)
+    def place(vectors: pa.Array) -> pa.Array:
+        rows = _matrix(vectors)
+        gaps = _gaps(rows, centroids) if centroids.shape[1] else np.zeros((len(rows), 1))
+        near = gaps.argsort(axis=1, kind="stable")[:, :copies] if copies > 1 else gaps.argmin(axis=1)[:, None]
+        step = rows.shape[1] // len(books) if books else 0
+        codes = np.zeros((len(rows), len(books)), dtype=np.int16)
+        for part, centers in enumerate(books):
+            codes[:, part] = _gaps(rows[:, part * step : (part + 1) * step], centers).argmin(axis=1)
+
+        def lists(values, dtype):
+            offsets = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+            return pa.ListArray.from_arrays(offsets, values.astype(dtype).reshape(-1))
+
+        return pa.StructArray.from_arrays([lists(near, np.int32), lists(codes, np.int16)], names=["cells", "codes"])
+
+    known = corpus.filter(F.col("embedding").isNotNull()).withColumn("_placed", place("embedding"))
+    kept = list(corpus.columns)
+    codes = [F.col("_placed.codes").alias("codes")] if books else []
+    if copies == 1:
+        return known.select(*kept, F.col("_placed.cells")[0].alias("cell"), *codes)
+    spread = known.select(*kept, "_placed", F.posexplode("_placed.cells").alias("_at", "cell"))
+    nearer = F.slice("_placed.cells", F.lit(1), F.col("_at")).alias("nearer")
+    return spread.select(*kept, "cell", nearer, *codes)
+
+
+def build_cells(corpus: DataFrame, cells: int | None = None, copies: int = 1) -> CellIndex:
+    """Vectors by cell. Each is stored in its ``copies`` nearest cells, so fewer cells need to be probed."""
+    centroids, _ = train(corpus, cells)
+    return CellIndex(_placed(corpus, centroids, [], copies), centroids, copies)
+
+
+def build_codes(
+    corpus: DataFrame, cells: int | None = None, parts: int = SUB_VECTORS, bits: int = CODE_BITS, copies: int = 1
+) -> CodeIndex:
+    """Cell and product code of every vector; the dimension must divide by ``parts``."""
+    centroids, books = train(corpus, cells, parts, bits)
+    return CodeIndex(_placed(corpus, centroids, books, copies), centroids, books, copies)
+
+
+def save_index(index: CellIndex | CodeIndex, path: str) -> None:
+    """Vectors in a folder per cell, each file with a bounded part of a cell; centroids and books as a table beside them."""
+    spark = index.rows.sparkSession
+    rows = stage(index.rows, "index-rows")
+    # One row a cell: how many files it takes.
+    files = rows.groupBy("cell").agg(F.ceil(F.count("*") / FILE_ROWS).cast("int").alias("_files"))
+    spread = rows.join(F.broadcast(files), "cell").withColumn("_file", F.pmod(F.xxhash64("vec_id"), F.col("_files")))
+    dealt = spread.repartition("cell", "_file").drop("_file", "_files")
+    dealt.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
+    sets = [index.centroids, *getattr(index, "books", [])]
+    centers = [(book - 1, at, [float(x) for x in row]) for book, own in enumerate(sets) for at, row in enumerate(own)]
+    table = spark.createDataFrame(centers, "book int, center int, place array<double>")
+    table.withColumn("copies", F.lit(index.copies)).coalesce(1).write.mode("overwrite").parquet(f"{path}/centers")
+
+
+def load_index(spark: SparkSession, path: str) -> CellIndex | CodeIndex:
+    """An index that :func:`save_index` stored; its size in the driver is that of the centroids and books."""
+    rows = spark.read.parquet(f"{path}/vectors")
+    held: dict[int, list] = {}
+    copies = 1
+    for row in spark.read.parquet(f"{path}/centers").orderBy("book", "center").collect():
+        held.setdefault(row["book"], []).append(row["place"])
+        copies = row["copies"]
+    centers = [np.array(held[book], dtype=np.float64) for book in sorted(held)]
+    return CodeIndex(rows, centers[0], centers[1:], copies) if len(centers) > 1 else CellIndex(rows, centers[0], copies)
+
+
+def with_probes(queries: DataFrame, centroids, probes: int | float, name: str = "cells") -> DataFrame:
+    """Add the ``probes`` nearest cells of every query; a number below 1 is a share of all cells, at least one cell."""
+    if 0 < probes < 1:
+        probes = max(1, int(probes * len(centroids)))
 
     @F.pandas_udf("array<int>")
     def cells(vectors: pd.Series) -> pd.Series:
         if not len(vectors):
             return pd.Series([], dtype=object)
         rows = np.array(vectors.tolist(), dtype=np.float64)
-        gaps = (centroids * centroids).sum(axis=1)[None, :] - 2.0 * rows @ centroids.T
-        return pd.Series(np.argsort(gaps, axis=1, kind="stable")[:, :probes].tolist())
+        return pd.Series(np.argsort(_gaps(rows, centroids), axis=1, kind="stable")[:, :probes].tolist())
 
     known = queries.filter(F.col("query_vector").isNotNull())
     return known.withColumn(name, cells(F.col("query_vector").cast("array<double>")))
 
 
-def search_cells(index: CellIndex, queries: DataFrame, k: int = DEFAULT_K, probes: int = DEFAULT_PROBES) -> DataFrame:
+def search_cells(
+    index: CellIndex, queries: DataFrame, k: int = DEFAULT_K, probes: int | float = DEFAULT_PROBES, counter: Observation | None = None
+) -> DataFrame:
     """Exact L2 over the probed cells only.
 
-    The probed cells also filter the scan: an index written by cell
-    (:func:`corpusloom.sinks.write_index`) is pruned to those folders.
+    The probed cells also filter the scan: an index stored by cell (:func:`save_index`) is pruned to those folders.
     """
     asked = with_probes(queries, index.centroids, probes)
-    return nearest(index.rows, asked, "l2", k, row_keys="cell", query_keys="cells")
+    nearer = {"nearer": "nearer"} if "nearer" in index.rows.columns else {}
+    return nearest(index.rows, asked, "l2", k, row_keys="cell", query_keys="cells", counter=counter, **nearer)
 
 
 @strategy("ivf_flat")
-def ivf_flat(corpus, queries, k=DEFAULT_K, cells=None, probes=DEFAULT_PROBES):
-    return search_cells(build_cells(corpus, cells), queries, k, probes)
-
-
-@dataclass
-class CodeIndex:
-    """Cells plus quantised codes, with one code book per sub-vector."""
-
-    rows: DataFrame
-    centroids: object
-    books: list
-
-
-def build_codes(
-    corpus: DataFrame, cells: int | None = None, parts: int = SUB_VECTORS, bits: int = CODE_BITS
-) -> CodeIndex:
-    """Cell and product code of every vector; the dimension must divide by ``parts``."""
-    width = corpus.select(F.size("embedding")).first()[0]
-    if width % parts:
-        raise ValueError(f"dimension {width} does not divide by {parts}")
-    step = width // parts
-    index = build_cells(corpus, cells)
-
-    def book(part: int):
-        piece = corpus.select(array_to_vector(F.slice("embedding", part * step + 1, step)).alias("_features"))
-        return np.array(_fit(piece, 2**bits, "_features").clusterCenters())
-
-    with ThreadPoolExecutor(max_workers=parts) as pool:
-        books = list(pool.map(book, range(parts)))
-
-    def encode(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            rows = rows.astype(np.float64)
-            codes = np.empty((batch.num_rows, parts), dtype=np.int16)
-            for part, centers in enumerate(books):
-                sub = rows[:, part * step : (part + 1) * step]
-                gaps = (centers * centers).sum(axis=1)[None, :] - 2.0 * sub @ centers.T
-                codes[:, part] = gaps.argmin(axis=1)
-            offsets = np.arange(0, codes.size + 1, parts, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(offsets, codes.reshape(-1)), batch.column(2)],
-                names=["vec_id", "codes", "cell"],
-            )
-
-    coded = index.rows.select("vec_id", "embedding", "cell").mapInArrow(
-        encode, "vec_id bigint, codes array<smallint>, cell int"
-    )
-    return CodeIndex(coded, index.centroids, books)
+def ivf_flat(corpus, queries, k=DEFAULT_K, cells=None, probes=DEFAULT_PROBES, copies=1, counter=None, index=None):
+    """``index`` is one built or loaded before."""
+    return search_cells(index or build_cells(corpus, cells, copies), queries, k, probes, counter)
 
 
 def search_codes(
@@ -159,72 +280,59 @@ def search_codes(
     corpus: DataFrame,
     queries: DataFrame,
     k: int = DEFAULT_K,
-    probes: int = DEFAULT_PROBES,
+    probes: int | float = DEFAULT_PROBES,
     rerank: int = RERANK,
-    max_rows: int = MAX_QUERY_ROWS,
-    depth: int = 0,
+    max_rows: int | None = None,
+    counter: Observation | None = None,
 ) -> DataFrame:
     """Best ``rerank`` rows per query by their codes, then exact L2 among them.
 
-    A query side beyond the bound is worked off in blocks of queries, each by
-    the same steps, so its size never changes a result.
+    A query side beyond the bound goes in passes, each by the same steps, so its size never changes a result.
     """
     asked = with_probes(queries, index.centroids, probes)
-    small = small_queries(asked, "cells", max_rows)
+    small = small_queries(asked, "cells", max_rows) if max_rows else small_queries(asked, "cells")
     if small is None:
-        if depth > 8:
-            raise ValueError("too many rows share a query id")
-        blocks = 2 * -(-queries.count() // max_rows)
-        place = F.pmod(F.xxhash64(F.lit(depth), "query_id"), F.lit(blocks))
-        found = [
-            search_codes(index, corpus, queries.filter(place == block), k, probes, rerank, max_rows, depth + 1)
-            for block in range(blocks)
-        ]
-        return reduce(DataFrame.unionByName, found)
-    keys = small.keys
-    probed = sorted({cell for own in keys for cell in own})
-    ids, matrix, books = small.ids, small.matrix, index.books
+        rows = max_rows or MAX_QUERY_ROWS
+        return in_passes(queries, rows, lambda share: search_codes(index, corpus, share, k, probes, rerank, max_rows, counter))
+    keys, ids, matrix, books = small.keys, small.ids, small.matrix, index.books
     keep = max(k, rerank)
     step = matrix.shape[1] // len(books) if len(ids) else 1
 
     def shortlist(batches):
-        import pyarrow as pa
-
         tables = [
             ((matrix[:, None, part * step : (part + 1) * step] - centers[None, :, :]) ** 2).sum(axis=2)
             for part, centers in enumerate(books)
-        ]
-        best = [(np.empty(0), np.empty(0, dtype=np.int64))] * len(ids)
-        lookers = {}
-        for position, own in enumerate(keys):
-            for cell in own:
-                lookers.setdefault(cell, []).append(position)
+        ] if len(ids) else []
+        best, meetings = Best(len(ids), keep), Meetings(keys)
         for batch in batches:
-            if not batch.num_rows:
+            if not batch.num_rows or not len(ids):
                 continue
             names = batch.column(0).to_numpy(zero_copy_only=False)
             codes = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            cells = batch.column(2).to_numpy(zero_copy_only=False)
-            for cell in np.unique(cells):
-                rows = np.flatnonzero(cells == cell)
-                for query in lookers.get(int(cell), []):
-                    cost = sum(table[query, codes[rows, part]] for part, table in enumerate(tables))
-                    cost = np.concatenate([best[query][0], np.round(cost, 6)])
-                    name = np.concatenate([best[query][1], names[rows]])
-                    order = np.lexsort((name, cost))[:keep]
-                    best[query] = (cost[order], name[order])
-        out = [(q, int(n), float(c)) for q, (cost, name) in enumerate(best) for c, n in zip(cost, name)]
+            nearer = batch.column(3).to_pylist() if batch.num_columns > 3 else None
+            for _, who, positions in meetings.of(batch.column(2).to_numpy(zero_copy_only=False)):
+                for at in range(0, len(positions), 4096):
+                    some = positions[at : at + 4096]
+                    for left in range(0, len(who), 1024):
+                        asked_by = who[left : left + 1024]
+                        cost = sum(table[asked_by][:, codes[some, part]] for part, table in enumerate(tables)).T
+                        met = None if nearer is None else ~meetings.asked([nearer[row] or () for row in some.tolist()], asked_by)
+                        best.offer(cost, names[some], asked_by, met)
+        first = np.ones(len(best.query), dtype=bool)
+        first[1:] = best.query[1:] != best.query[:-1]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([q for q, _, _ in out], pa.int32()),
-                pa.array([n for _, n, _ in out], pa.int64()),
-                pa.array([c for _, _, c in out], pa.float64()),
+                pa.array(best.query.astype(np.int32)), pa.array(best.name), pa.array(best.cost),
+                pa.array(np.where(first, best.scored[best.query], 0)),
             ],
-            names=["position", "vec_id", "cost"],
+            names=["position", "vec_id", "cost", "scored"],
         )
 
-    coded = index.rows.filter(F.col("cell").isin(probed)).select("vec_id", "codes", "cell")
-    found = coded.mapInArrow(shortlist, "position int, vec_id bigint, cost double")
+    columns = ["vec_id", "codes", "cell"] + (["nearer"] if "nearer" in index.rows.columns else [])
+    coded = _prune(index.rows, "cell", small).select(*columns)
+    found = coded.mapInArrow(shortlist, "position int, vec_id bigint, cost double, scored bigint")
+    if counter is not None:
+        found = found.observe(counter, F.coalesce(F.sum("scored"), F.lit(0)).alias("scored"))
     short = first_per_group(found, ["position"], [F.col("cost"), F.col("vec_id")], keep)
     # At most rerank * queries rows: a row is compared with exactly the queries
     # that short-listed it.
@@ -237,9 +345,12 @@ def search_codes(
 
 
 @strategy("ivf_pq")
-def ivf_pq(corpus, queries, k=DEFAULT_K, cells=None, probes=DEFAULT_PROBES, parts=SUB_VECTORS, bits=CODE_BITS, rerank=RERANK):
-    index = build_codes(corpus, cells, parts, bits)
-    return search_codes(index, corpus, queries, k, probes, rerank)
+def ivf_pq(
+    corpus, queries, k=DEFAULT_K, cells=None, probes=DEFAULT_PROBES, parts=SUB_VECTORS, bits=CODE_BITS, rerank=RERANK, copies=1,
+    counter=None, index=None,
+):
+    index = index or build_codes(corpus, cells, parts, bits, copies)
+    return search_codes(index, corpus, queries, k, probes, rerank, counter=counter)
 
 
 def hash_rows(corpus: DataFrame, vector: str, tables: int, length: float) -> tuple[object, DataFrame]:
@@ -267,17 +378,19 @@ def search_buckets(
     k: int = DEFAULT_K,
     tables: int = HASH_TABLES,
     length: float = BUCKET_LENGTH,
+    counter: Observation | None = None,
 ) -> DataFrame:
     """Exact L2 among the rows that share a bucket with the query in any table."""
     model, rows = hash_rows(corpus.select("vec_id", "embedding"), "embedding", tables, length)
     asked = queries.withColumn("_features", array_to_vector(F.col("query_vector").cast("array<double>")))
-    return nearest(rows, _buckets(model, asked), "l2", k, row_keys="buckets", query_keys="buckets")
+    return nearest(rows, _buckets(model, asked), "l2", k, row_keys="buckets", query_keys="buckets", counter=counter)
 
 
 @strategy("hnsw")
-def lsh(corpus, queries, k=DEFAULT_K, tables=HASH_TABLES, length=BUCKET_LENGTH):
-    """Hash buckets take the place of a neighbour graph, which does not distribute."""
-    return search_buckets(corpus, queries, k, tables, length)
+@strategy("lsh")
+def lsh(corpus, queries, k=DEFAULT_K, tables=HASH_TABLES, length=BUCKET_LENGTH, counter=None):
+    """Hash buckets; they also answer to the name of the neighbour graph, which does not distribute."""
+    return search_buckets(corpus, queries, k, tables, length, counter)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
@@ -296,40 +409,61 @@ def compare_indexes(
     k: int = DEFAULT_K,
     options: dict[str, dict] | None = None,
 ) -> DataFrame:
-    """One row per strategy: name, size estimate, hits and recall against exact L2."""
-    from functools import reduce
+    """One row per strategy: name, size estimate, hits, recall against exact L2, and pairs compared.
+
+    Cells and codes are trained once for all strategies that use them. Each search runs once; what it compared is counted
+    while it runs.
+    """
+    from inspect import signature
 
     from corpusloom.operators.evaluation import INDEX_TYPES, index_footprint
-    from corpusloom.operators.search import search
+    from corpusloom.operators.search import STRATEGIES, search
 
     options = options or {}
-    exact = search("flat_l2", corpus, queries, k).select("query_id", "vec_id")
-    found = [
-        search(kind, corpus, queries, k, **options.get(kind, {})).select(
-            F.lit(name).alias("index_name"), F.lit(kind).alias("index_type"), "query_id", "vec_id"
-        )
-        for name, kind in INDEX_TYPES.items()
-    ]
+    queries = stage(queries, "queries")
+    trained = {"cells", "parts", "bits", "copies"}
+    shared: dict[tuple, CodeIndex] = {}
+
+    def index_for(kind: str, own: dict) -> dict:
+        if kind not in ("ivf_flat", "ivf_pq") or "index" in own:
+            return own
+        known = {name: own[name] for name in trained if name in own}
+        key = tuple(sorted(known.items()))
+        if key not in shared:
+            index = build_codes(corpus, **known)
+            shared[key] = replace(index, rows=stage(index.rows, "index-rows"))
+        built = shared[key] if kind == "ivf_pq" else shared[key].cells()
+        return {**{name: value for name, value in own.items() if name not in trained}, "index": built}
+
+    found, scored = [], {}
+    for name, kind in INDEX_TYPES.items():
+        counter = Observation(f"{kind}-scored")
+        counted = {"counter": counter} if "counter" in signature(STRATEGIES[kind]).parameters else {}
+        hits = search(kind, corpus, queries, k, **index_for(kind, options.get(kind, {})), **counted)
+        found.append(stage(hits.select(F.lit(name).alias("index_name"), "query_id", "vec_id"), "hits"))
+        scored[name] = counter.get["scored"] if counted else None
     hits = reduce(DataFrame.unionByName, found).withColumn("_hit", F.lit(1))
-    names = F.array(*[F.struct(F.lit(n).alias("index_name"), F.lit(t).alias("index_type")) for n, t in INDEX_TYPES.items()])
-    wanted = exact.select("query_id", "vec_id", F.lit(1).alias("_wanted"), F.inline(names))
-    keys = ["index_name", "index_type", "query_id", "vec_id"]
+    exact = hits.filter(F.col("index_name") == EXACT)
+    labels = [(name, STRATEGIES[kind].__name__ if kind == "hnsw" else kind, scored[name]) for name, kind in INDEX_TYPES.items()]
+    names = corpus.sparkSession.createDataFrame(labels, "index_name string, index_type string, scored bigint")
+    wanted = exact.select("query_id", "vec_id", F.lit(1).alias("_wanted"), F.explode(F.lit([name for name, *_ in labels])).alias("index_name"))
     size = index_footprint(corpus).first()
     both = F.col("_hit") * F.col("_wanted")
-    return (
-        wanted.join(hits, keys, "full")
-        .groupBy("index_name", "index_type")
+    recalls = (
+        wanted.join(hits, ["index_name", "query_id", "vec_id"], "full")
+        .groupBy("index_name")
         .agg(
             F.count("_hit").alias("hits"),
             F.round(F.count(both) / F.nullif(F.count("_wanted"), F.lit(0)), 6).alias("recall_at_k"),
         )
-        .select(
-            "index_name",
-            "index_type",
-            F.lit(size["num_vectors"]).alias("num_vectors"),
-            F.lit(size["vector_dimension"]).alias("vector_dimension"),
-            F.lit(size["memory_usage_mb"]).alias("memory_usage_mb"),
-            "hits",
-            "recall_at_k",
-        )
+    )
+    return names.join(recalls, "index_name", "left").select(
+        "index_name",
+        "index_type",
+        F.lit(size["num_vectors"]).alias("num_vectors"),
+        F.lit(size["vector_dimension"]).alias("vector_dimension"),
+        F.lit(size["memory_usage_mb"]).alias("memory_usage_mb"),
+        F.coalesce("hits", F.lit(0).cast("bigint")).alias("hits"),
+        "recall_at_k",
+        "scored",
     )

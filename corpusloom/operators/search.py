@@ -1,10 +1,13 @@
 """Nearest-neighbour search of query vectors over a corpus of vectors.
 
-The query side is small by contract. It is read only up to a fixed number of
-rows and bytes; within that bound it travels to the executors inside the task
-and every partition of the corpus returns its k best rows per query, so the
-corpus is scanned once and never shuffled. A larger query set is handled by
-:func:`nearest_tiled`, which cuts both sides into tiles.
+The corpus is scanned where it lies and never shuffled: the queries travel to
+the tasks, and every task returns its k best rows per query, which are merged.
+A pass carries queries up to a fixed number of bytes, tens of thousands of
+them; a larger query set is staged and worked off in passes
+(:func:`nearest_tiled`), each over the corpus with its own share, and the hits
+of all passes are one table. Where rows and queries meet by keys (cells,
+sources, buckets) they do so inside the scan, so a key that holds a third of
+the rows is spread over all tasks, and the keys asked for prune the scan.
 
 Scores are rounded to six decimals before ranking and ties go to the smaller
 id: the same rows win whatever the batch borders or the order of summation.
@@ -15,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -23,18 +26,20 @@ from corpusloom.functions import render as R
 from corpusloom.functions import text as X
 from corpusloom.functions.vectors import normalized
 from corpusloom.operators.numbering import first_per_group
+from corpusloom.session import fresh_path, stage
 
 # The usual result size and the sizes an experiment compares.
 DEFAULT_K = 5
 K_CHOICES = (3, 5, 7, 10)
 
-MAX_QUERY_ROWS = 4096
+MAX_QUERY_ROWS = 1 << 17
 MAX_QUERY_BYTES = 64 * 1024 * 1024
-TILE_ROWS = 50_000
-MAX_PRUNED_KEYS = 1000
+TILE_ROWS = 4096
+TILE_CELLS = 4_000_000
+MAX_PRUNED_KEYS = 10_000
 DECIMALS = 6
 ASCENDING = {"l2": True, "ip": False, "cosine": False}
-HIT_SCHEMA = "query_id {qtype}, vec_id bigint, score double"
+HIT_SCHEMA = "query_id {qtype}, vec_id bigint, score double, scored bigint"
 
 
 @dataclass
@@ -50,40 +55,127 @@ class QuerySet:
 def small_queries(
     queries: DataFrame,
     keys: str | None = None,
-    max_rows: int = MAX_QUERY_ROWS,
+    max_rows: int | None = None,
     max_bytes: int = MAX_QUERY_BYTES,
 ) -> QuerySet | None:
-    """The query side when it is within the bound, else None.
+    """The query side when it is within the bound of one pass, else None.
 
-    At most ``max_rows + 1`` rows are ever read.
+    Sizes are counted first, so nothing beyond the bound is ever read.
     """
     import numpy as np
 
+    max_rows = max_rows or MAX_QUERY_ROWS
     columns = ["query_id", F.col("query_vector").cast("array<double>").alias("query_vector")]
     if keys:
         columns.append(F.col(keys).alias("keys"))
-    rows = queries.select(*columns).limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return None
-    rows.sort(key=lambda row: row["query_id"])
-    matrix = np.array([row["query_vector"] for row in rows], dtype=np.float64)
-    if matrix.nbytes > max_bytes:
+    asked = queries.select(*columns)
+    width = F.size("query_vector") + (F.size("keys") if keys else F.lit(0))
+    # One row more than the bound tells a larger set; the sum of its widths stands for the rest.
+    head = asked.select(width.alias("width")).limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum("width").alias("width")).first()
+    if head["n"] > max_rows or 8 * (head["width"] or 0) > max_bytes:
         return None
+    rows = asked.toArrow().sort_by("query_id")
+    matrix = np.zeros((0, 0))
+    if rows.num_rows:
+        vectors = rows["query_vector"].combine_chunks()
+        if len(set(np.diff(vectors.offsets.to_numpy()).tolist())) > 1:
+            raise ValueError("queries differ in their number of dimensions")
+        matrix = vectors.flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
     return QuerySet(
-        [row["query_id"] for row in rows],
+        rows["query_id"].to_pylist(),
         matrix,
-        [row["keys"] for row in rows] if keys else None,
+        rows["keys"].to_pylist() if keys else None,
         queries.schema["query_id"].dataType.simpleString(),
     )
 
 
-def _scanner(queries: QuerySet, metric: str, k: int, row_keys: str | None):
-    """Arrow kernel: batches of (vec_id, embedding[, keys]) to the k best per query."""
+class Best:
+    """The k best (cost, vec_id) of many queries, and how many rows each was compared with."""
+
+    def __init__(self, count: int, k: int):
+        import numpy as np
+
+        self.k, self.limit = k, np.full(count, np.inf)
+        self.query, self.cost, self.name = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        self.scored = np.zeros(count, dtype=np.int64)
+
+    def offer(self, costs, names, who, met=None) -> None:
+        """``costs`` of rows ``names`` (down) for the queries ``who`` (across); ``met`` leaves out pairs."""
+        import numpy as np
+
+        costs = np.round(costs, DECIMALS) + 0.0
+        if met is None:
+            self.scored[who] += len(names)
+        else:
+            self.scored[who] += met.sum(axis=0)
+            costs = np.where(met, costs, np.inf)
+        close = costs <= self.limit[who][None, :]
+        if met is not None:
+            close &= met
+        if len(names) > 4 * self.k and close.sum() > 4 * self.k * len(who):
+            # Many rows are still close: the k-th cost of each query cuts them first, its ties included.
+            close &= costs <= np.partition(costs, self.k - 1, axis=0)[self.k - 1]
+        row, column = np.nonzero(close)
+        if not len(row):
+            return
+        query = np.concatenate([self.query, who[column]])
+        cost = np.concatenate([self.cost, costs[row, column]])
+        name = np.concatenate([self.name, names[row]])
+        order = np.lexsort((name, cost, query))
+        query, cost, name = query[order], cost[order], name[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        kept = place < self.k
+        self.query, self.cost, self.name = query[kept], cost[kept], name[kept]
+        last = place == self.k - 1
+        self.limit[query[last]] = cost[last]
+
+
+class Meetings:
+    """Which queries ask for a key."""
+
+    def __init__(self, keys: list):
+        import numpy as np
+
+        held: dict = {}
+        for position, own in enumerate(keys):
+            for key in own or ():
+                held.setdefault(key, []).append(position)
+        self.lookers = {key: np.array(sorted(set(who))) for key, who in held.items()}
+
+    def of(self, seen):
+        """(key, queries, rows) for every key of ``seen``, the rows' keys, that some query asks for."""
+        import numpy as np
+
+        names, group = np.unique(seen, return_inverse=True)
+        order = np.argsort(group, kind="stable")
+        borders = np.searchsorted(group[order], np.arange(len(names) + 1))
+        for at, key in enumerate(names.tolist()):
+            if key in self.lookers:
+                yield key, self.lookers[key], order[borders[at] : borders[at + 1]]
+
+    def asked(self, keys: list, who):
+        """Whether each row, given its list of keys, shares one with each of the queries ``who``."""
+        import numpy as np
+
+        out = np.zeros((len(keys), len(who)), dtype=bool)
+        for place, own in enumerate(keys):
+            for key in own:
+                if key in self.lookers:
+                    out[place] |= np.isin(who, self.lookers[key], assume_unique=True)
+        return out
+
+
+def _scanner(queries: QuerySet, metric: str, k: int, row_keys: str | None, tile_rows: int = TILE_ROWS):
+    """Arrow kernel: batches of (vec_id, embedding[, keys[, nearer]]) to the k best per query.
+
+    ``nearer`` lists the keys under which a copy of the row is met with precedence: a query that asks for one of them leaves
+    this copy out.
+    """
     import pyarrow as pa
 
     ids, base, keys = queries.ids, queries.matrix, queries.keys
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[queries.id_type]
-    decimals, lowest_first = DECIMALS, ASCENDING[metric]
+    lowest_first = ASCENDING[metric]
 
     def scan(batches):
         import numpy as np
@@ -97,54 +189,29 @@ def _scanner(queries: QuerySet, metric: str, k: int, row_keys: str | None):
 
         wanted = unit(base) if metric == "cosine" and count else base
         wanted_sq = (wanted * wanted).sum(axis=1) if count else None
-        lookers = {}
-        if keys is not None:
-            for position, own in enumerate(keys):
-                for key in own:
-                    lookers.setdefault(key, []).append(position)
-            lookers = {key: np.array(sorted(set(who))) for key, who in lookers.items()}
-        best = [(np.empty(0), np.empty(0, dtype=np.int64))] * count
-        limit = np.full(count, np.inf)
-
-        def block(rows, who):
+        meetings = Meetings(keys) if keys is not None else None
+        best = Best(count, k)
+
+        def costs(rows, who):
             products = rows @ wanted[who].T
             if metric != "l2":
                 return -products
             squares = (rows * rows).sum(axis=1)[:, None] + wanted_sq[who][None, :]
             return np.maximum(squares - 2.0 * products, 0.0)
 
-        def offer(costs, row_ids, who):
-            costs = np.round(costs, decimals) + 0.0
-            close = costs <= limit[who][None, :]
-            for column in np.flatnonzero(close.any(axis=0)):
-                query = who[column]
-                rows = np.flatnonzero(close[:, column])
-                cost = np.concatenate([best[query][0], costs[rows, column]])
-                name = np.concatenate([best[query][1], row_ids[rows]])
-                if len(cost) > k:
-                    edge = np.partition(cost, k - 1)[k - 1]
-                    inside = cost <= edge
-                    cost, name = cost[inside], name[inside]
-                order = np.lexsort((name, cost))[:k]
-                best[query] = (cost[order], name[order])
-                if len(order) == k:
-                    limit[query] = cost[order][-1]
-
-        def meetings(row_keys_seen):
-            """Rows and queries that meet under each key, for keys some query has."""
-            names, group = np.unique(row_keys_seen, return_inverse=True)
-            order = np.argsort(group, kind="stable")
-            borders = np.searchsorted(group[order], np.arange(len(names) + 1))
-            for at, key in enumerate(names.tolist()):
-                if key in lookers:
-                    yield lookers[key], order[borders[at] : borders[at + 1]]
+        def compare(rows, names, who, met=None):
+            """Rows with queries in tiles of bounded size."""
+            wide = max(1, TILE_CELLS // max(1, min(tile_rows, len(rows))))
+            for at in range(0, len(rows), tile_rows):
+                for left in range(0, len(who), wide):
+                    part, some = slice(at, at + tile_rows), who[left : left + wide]
+                    best.offer(costs(rows[part], some), names[part], some, None if met is None else met[part, left : left + wide])
 
         everyone = np.arange(count)
-        step = max(1, 4_000_000 // max(1, count))
         for batch in batches:
             if not count or k <= 0 or not batch.num_rows:
                 continue
-            row_ids = batch.column(0).to_numpy(zero_copy_only=False)
+            names = batch.column(0).to_numpy(zero_copy_only=False)
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
             width = wanted.shape[1]
             if not (np.diff(batch.column(1).offsets.to_numpy()) == width).all():
@@ -153,38 +220,31 @@ def _scanner(queries: QuerySet, metric: str, k: int, row_keys: str | None):
             if metric == "cosine":
                 rows = unit(rows)
             if keys is None:
-                for at in range(0, len(rows), step):
-                    offer(block(rows[at : at + step], everyone), row_ids[at : at + step], everyone)
+                compare(rows, names, everyone)
                 continue
             held = batch.column(2)
             if pa.types.is_list(held.type):
-                # Several keys per row: a pair is scored once, whichever key they share.
-                width = len(held[0])
-                tables = held.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-                for at in range(0, len(rows), step):
-                    part = slice(at, at + step)
-                    seen = np.zeros((len(rows[part]), count), dtype=bool)
-                    for table in range(width):
-                        for who, positions in meetings(tables[part, table]):
-                            seen[np.ix_(positions, who)] = True
-                    for query in np.flatnonzero(seen.any(axis=0)):
-                        hit = np.flatnonzero(seen[:, query])
-                        who = np.array([query])
-                        offer(block(rows[part][hit], who), row_ids[part][hit], who)
+                # Several keys per row: a pair is scored once, under the first key they share.
+                tables = held.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                for table in range(tables.shape[1]):
+                    for _, who, positions in meetings.of(tables[:, table]):
+                        earlier = meetings.asked(tables[positions, :table].tolist(), who) if table else None
+                        compare(rows[positions], names[positions], who, None if earlier is None else ~earlier)
                 continue
-            for who, positions in meetings(held.to_numpy(zero_copy_only=False)):
-                for at in range(0, len(positions), step):
-                    chosen = positions[at : at + step]
-                    offer(block(rows[chosen], who), row_ids[chosen], who)
-        out_ids, out_vecs, out_scores = [], [], []
-        for query in range(count):
-            cost, name = best[query]
-            out_ids.extend([ids[query]] * len(cost))
-            out_vecs.extend(name.tolist())
-            out_scores.extend((cost if lowest_first else 0.0 - cost).tolist())
+            nearer = batch.column(3).to_pylist() if batch.num_columns > 3 else None
+            for _, who, positions in meetings.of(held.to_numpy(zero_copy_only=False)):
+                met = None if nearer is None else ~meetings.asked([nearer[at] or () for at in positions.tolist()], who)
+                compare(rows[positions], names[positions], who, met)
+        first = np.ones(len(best.query), dtype=bool)
+        first[1:] = best.query[1:] != best.query[:-1]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(out_ids, id_type), pa.array(out_vecs, pa.int64()), pa.array(out_scores, pa.float64())],
-            names=["query_id", "vec_id", "score"],
+            [
+                pa.array([ids[at] for at in best.query.tolist()], id_type),
+                pa.array(best.name),
+                pa.array(best.cost if lowest_first else 0.0 - best.cost),
+                pa.array(np.where(first, best.scored[best.query], 0)),
+            ],
+            names=["query_id", "vec_id", "score", "scored"],
         )
 
     return scan
@@ -196,6 +256,20 @@ def _ranked(hits: DataFrame, metric: str, k: int) -> DataFrame:
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
+def _prune(corpus: DataFrame, row_keys: str, small: QuerySet) -> DataFrame:
+    """Only rows under keys that are asked for: folders of cells, or row groups, of a stored table.
+
+    Up to a bound the keys are a filter of the scan; more of them meet the rows in a semi join, which Spark broadcasts, and
+    then uses to prune folders too, only where it finds their size small.
+    """
+    asked = {key for own in small.keys for key in own or ()}
+    if len(asked) <= MAX_PRUNED_KEYS:
+        return corpus.filter(F.col(row_keys).isin(list(asked)))
+    kind = corpus.schema[row_keys].dataType.simpleString()
+    table = corpus.sparkSession.createDataFrame([(key,) for key in asked], f"{row_keys} {kind}")
+    return corpus.join(table, row_keys, "left_semi")
+
+
 def nearest(
     corpus: DataFrame,
     queries: DataFrame,
@@ -203,7 +277,9 @@ def nearest(
     k: int = DEFAULT_K,
     row_keys: str | None = None,
     query_keys: str | None = None,
-    max_query_rows: int = MAX_QUERY_ROWS,
+    max_query_rows: int | None = None,
+    nearer: str | None = None,
+    counter: Observation | None = None,
 ) -> DataFrame:
     """The k nearest ``corpus(vec_id, embedding)`` rows of every query.
 
@@ -211,24 +287,54 @@ def nearest(
     descend, cosine normalising both sides (a zero vector stays zero).
     With ``row_keys`` (a value, or an array of fixed length, never NULL) a row
     is compared only with the queries whose ``query_keys`` array holds a key
-    of it.
+    of it. A row stored under several values names in ``nearer``, an array,
+    those that go before this one. ``counter`` observes, while the search runs,
+    how many pairs are compared (``scored``).
     """
     if metric not in ASCENDING:
         raise ValueError(f"unknown metric: {metric}")
     queries = queries.filter(F.col("query_vector").isNotNull())
     small = small_queries(queries, query_keys, max_query_rows)
     if small is None:
-        return nearest_tiled(corpus, queries, metric, k, row_keys, query_keys, max_query_rows)
+        rows = max_query_rows or MAX_QUERY_ROWS
+        return nearest_tiled(corpus, queries, metric, k, row_keys, query_keys, rows, nearer=nearer, counter=counter)
+    return _ranked(_hits(corpus, small, metric, k, row_keys, nearer, counter=counter), metric, k)
+
+
+def _hits(
+    corpus: DataFrame, small: QuerySet, metric: str, k: int, row_keys: str | None, nearer: str | None,
+    tile_rows: int = TILE_ROWS, counter: Observation | None = None,
+) -> DataFrame:
+    """The k best rows of each task for each query of one pass."""
     columns = ["vec_id", "embedding"] + ([F.col(row_keys).alias("keys")] if row_keys else [])
+    if nearer:
+        columns.append(F.col(nearer).alias("nearer"))
     if row_keys and not isinstance(corpus.schema[row_keys].dataType, ArrayType):
-        # The keys asked for also prune the scan: folders of cells, or row groups.
-        asked = {key for own in small.keys for key in own}
-        if len(asked) <= MAX_PRUNED_KEYS:
-            corpus = corpus.filter(F.col(row_keys).isin(list(asked)))
+        corpus = _prune(corpus, row_keys, small)
     hits = corpus.filter(F.col("embedding").isNotNull()).select(*columns).mapInArrow(
-        _scanner(small, metric, k, row_keys), HIT_SCHEMA.format(qtype=small.id_type)
+        _scanner(small, metric, k, row_keys, tile_rows), HIT_SCHEMA.format(qtype=small.id_type)
     )
-    return _ranked(hits, metric, k)
+    if counter is not None:
+        hits = hits.observe(counter, F.coalesce(F.sum("scored"), F.lit(0)).alias("scored"))
+    return hits
+
+
+def in_passes(queries: DataFrame, rows: int, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``run`` over shares of ``queries`` that one pass can carry, all results read back as one table.
+
+    Shares are cut by a hash of the row's number, planned at half the bound, and cut anew where one is larger still.
+    """
+    spark = queries.sparkSession
+    queries = stage(queries.withColumn("_row", F.monotonically_increasing_id()), "queries")
+    size = queries.agg(F.count("*").alias("n"), F.sum(F.size("query_vector")).alias("values")).first()
+    passes = 2 * max(-(-size["n"] // rows), -(-8 * (size["values"] or 0) // MAX_QUERY_BYTES), 1)
+    path = fresh_path(spark, "passes")
+    place = F.pmod(F.xxhash64("_row"), F.lit(passes))
+    result = None
+    for number in range(passes):
+        result = run(queries.filter(place == number).drop("_row"))
+        result.write.parquet(f"{path}/pass={number}")
+    return spark.read.schema(result.schema).parquet(path)
 
 
 def nearest_tiled(
@@ -238,64 +344,25 @@ def nearest_tiled(
     k: int = DEFAULT_K,
     row_keys: str | None = None,
     query_keys: str | None = None,
-    query_rows: int = MAX_QUERY_ROWS,
+    query_rows: int | None = None,
     corpus_rows: int = TILE_ROWS,
+    nearer: str | None = None,
+    counter: Observation | None = None,
 ) -> DataFrame:
-    """:func:`nearest` for a query side beyond the bound.
+    """:func:`nearest` for a query side beyond the bound of a pass.
 
-    Queries and corpus are cut by hash into tiles of bounded size; every pair
-    of tiles is one co-group, so no task and not the driver holds a whole side.
+    Each pass scans the corpus once for its share of at most ``query_rows`` queries; inside a task ``corpus_rows`` rows are
+    compared at a time. Neither number changes a row of the result. A ``counter`` sees the last pass alone.
     """
-    id_type = queries.schema["query_id"].dataType.simpleString()
-    query_tiles = -(-queries.count() // max(1, query_rows // 2)) or 1
-    corpus_tiles = -(-corpus.count() // max(1, corpus_rows // 2)) or 1
-    key_type = corpus.schema[row_keys].dataType.simpleString() if row_keys else "string"
-    wanted_type = queries.schema[query_keys].dataType.simpleString() if query_keys else "array<string>"
-    left = queries.select(
-        "query_id",
-        F.col("query_vector").cast("array<double>").alias("query_vector"),
-        (F.col(query_keys) if query_keys else F.lit(None).cast(wanted_type)).alias("keys"),
-        F.pmod(F.xxhash64("query_id"), F.lit(query_tiles)).alias("query_tile"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(corpus_tiles - 1).cast("bigint"))).alias("corpus_tile"),
-    )
-    right = corpus.filter(F.col("embedding").isNotNull()).select(
-        "vec_id",
-        "embedding",
-        (F.col(row_keys) if row_keys else F.lit(None).cast(key_type)).alias("keys"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(query_tiles - 1).cast("bigint"))).alias("query_tile"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(corpus_tiles)).alias("corpus_tile"),
-    )
-    keyed = row_keys is not None
+    rows = query_rows or MAX_QUERY_ROWS
 
-    def tile(query_frame, corpus_frame):
-        import numpy as np
-        import pyarrow as pa
+    def run(share: DataFrame) -> DataFrame:
+        small = small_queries(share, query_keys, rows)
+        if small is None:
+            return nearest_tiled(corpus, share, metric, k, row_keys, query_keys, rows, corpus_rows, nearer)
+        return _ranked(_hits(corpus, small, metric, k, row_keys, nearer, corpus_rows, counter), metric, k)
 
-        if query_frame.empty or corpus_frame.empty:
-            return pa.table({"query_id": [], "vec_id": [], "score": []}).to_pandas()
-        small = QuerySet(
-            query_frame["query_id"].tolist(),
-            np.array(query_frame["query_vector"].tolist(), dtype=np.float64),
-            [list(own) for own in query_frame["keys"]] if keyed else None,
-            id_type,
-        )
-        arrays = [
-            pa.array(corpus_frame["vec_id"], pa.int64()),
-            pa.array([row.tolist() for row in corpus_frame["embedding"]], pa.list_(pa.float64())),
-        ]
-        if keyed:
-            arrays.append(pa.array([k.tolist() if hasattr(k, "tolist") else k for k in corpus_frame["keys"]]))
-        batch = pa.RecordBatch.from_arrays(arrays, names=["vec_id", "embedding", "keys"][: len(arrays)])
-        found = list(_scanner(small, metric, k, row_keys)(iter([batch])))
-        return pa.Table.from_batches(found).to_pandas()
-
-    pair = ["query_tile", "corpus_tile"]
-    hits = (
-        left.groupBy(*pair)
-        .cogroup(right.groupBy(*pair))
-        .applyInPandas(tile, HIT_SCHEMA.format(qtype=id_type))
-    )
-    return _ranked(hits, metric, k)
+    return in_passes(queries, rows, run)
 
 
 def search_by_source(
@@ -392,10 +459,10 @@ def search(name: str, corpus: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
 
 
 @strategy("flat_l2")
-def flat_l2(corpus, queries, k=DEFAULT_K):
-    return nearest(corpus, queries, "l2", k)
+def flat_l2(corpus, queries, k=DEFAULT_K, counter=None):
+    return nearest(corpus, queries, "l2", k, counter=counter)
 
 
 @strategy("flat_ip")
-def flat_ip(corpus, queries, k=DEFAULT_K):
-    return nearest(corpus, queries, "cosine", k)
+def flat_ip(corpus, queries, k=DEFAULT_K, counter=None):
+    return nearest(corpus, queries, "cosine", k, counter=counter)
