@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import ship, stage
 
-SHARD_BYTES, SHARD_ROWS = 32 << 20, 1 << 16
+SHARD_BYTES, SHARD_ROWS = 24 << 20, 1 << 16
 BLOCK, WINDOW = 64, 4096
 QUERY_ROWS, QUERY_BYTES = 2048, 8 << 20
 #: Fixed values of the score: weights in thousandths, and how counts and lengths enter it.
@@ -87,9 +87,12 @@ def shard_row(shard: int, known: Numbers, codes: list[np.ndarray], ids: list[int
     lengths = np.array([len(own) for own in codes], dtype=np.int64)
     place = np.empty(len(order), dtype=np.int64)
     place[order] = np.arange(len(order))
-    owner = np.repeat(place, lengths)
-    word = np.concatenate([np.zeros(0, dtype=np.int64), *codes])
-    key, tf = np.unique(word << 32 | owner, return_counts=True)
+    key = np.concatenate([np.zeros(0, dtype=np.uint32), *codes]).astype(np.int64) << 32
+    key |= np.repeat(place, lengths)
+    key.sort()
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    tf = np.diff(np.append(head, len(key)))
+    key = key[head]
     term, doc = key >> 32, key & 0xFFFFFFFF
     df = np.bincount(term, minlength=len(known))
     lengths = lengths[order]
@@ -141,7 +144,7 @@ def build(docs: DataFrame, shard_bytes: int = SHARD_BYTES, shard_rows: int = SHA
                 found = terms_of(raw)
                 if not found:
                     continue
-                codes.append(np.fromiter(map(known.__getitem__, found), dtype=np.int64, count=len(found)))
+                codes.append(np.fromiter(map(known.__getitem__, found), dtype=np.uint32, count=len(found)))
                 ids.append(doc_id)
                 held += len(raw)
                 if held >= shard_bytes or len(ids) >= shard_rows:
