@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corpusloom.session import fresh_path, shared_dir, stage
 
 __all__ = [
-    "batches_of", "chance", "discard", "fresh_path", "held_out", "mix64", "parts_for", "per_batch", "shared_dir", "ship",
+    "batches_of", "chance", "dealt", "discard", "fresh_path", "held_out", "mix64", "parts_for", "per_batch", "shared_dir", "ship",
     "stage", "table",
 ]
 
@@ -56,6 +56,13 @@ def parts_for(df: DataFrame, megabytes: int = 64) -> int:
     return max(asked, min(1_000_000, int(str(size)) // (megabytes << 20)))
 
 
+def dealt(df: DataFrame, groups: int, *columns: str) -> DataFrame:
+    """``df`` by ``columns`` for ``groups`` groups of bounded size: the session's number of partitions, more where the groups
+    ask for it, so that the share of a task does not grow with the input."""
+    asked = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(asked, groups // 4), *columns)
+
+
 def batches_of(batch: pa.RecordBatch, rows: int = 256, text: str | None = None, megabytes: int = 4) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``rows`` rows whose ``text`` column holds about ``megabytes`` MB, one row at least."""
     if text is None or not batch.num_rows:

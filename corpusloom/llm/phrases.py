@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import discard, fresh_path, mix64, ship
+from corpusloom.llm.common import dealt, discard, fresh_path, mix64, ship
 
 log = logging.getLogger(__name__)
 
@@ -334,14 +334,14 @@ class Corpus:
         self.langs, self.n = [row["lang"] for row in counted], np.array([row["n"] for row in counted], dtype=np.int64)
         number = {lang: at for at, lang in enumerate(self.langs)}
         judged = self._write(
-            tokens.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(lambda rows: _frequent_words(rows, least, buckets, number), WORDS),
+            dealt(tokens.where("bucket IS NOT NULL"), buckets, "bucket").groupBy("bucket").applyInArrow(lambda rows: _frequent_words(rows, least, buckets, number), WORDS),
             "phrase-words",
         )
         self.words = judged.where("id IS NOT NULL").select("id", "lang", "word", "count")
         back = judged.where("block IS NOT NULL").select("block", "locals", "ids", "f", "langs")
         texts = tokens.where("bucket IS NULL AND lang IS NULL").select("block", "locals")
         texts = texts.select("block", "locals", *[F.lit(None).cast("binary").alias(name) for name in ("ids", "f", "langs")])
-        self.coded = self._write(texts.unionByName(back).groupBy("block").applyInArrow(_recode, CODED), "phrase-blocks")
+        self.coded = self._write(dealt(texts.unionByName(back), 2 * buckets, "block").groupBy("block").applyInArrow(_recode, CODED), "phrase-blocks")
 
     def _write(self, df: DataFrame, label: str) -> DataFrame:
         path = fresh_path(self.spark, label)
@@ -380,13 +380,15 @@ class Corpus:
         def frequent(rows: pa.Table) -> pa.Table:
             return _frequent_phrases(rows, least)
 
-        two = self._write(self.coded.mapInArrow(pairs, KEYS).groupBy("bucket").applyInArrow(frequent, PHRASES), "phrase-pairs")
+        met = dealt(self.coded.mapInArrow(pairs, KEYS), buckets, "bucket")
+        two = self._write(met.groupBy("bucket").applyInArrow(frequent, PHRASES), "phrase-pairs")
         self.pairs.append(two.where("block IS NOT NULL"))
         met = self.coded.withColumn("keys", F.lit(None).cast("binary"))
         nothing = [F.lit(None).cast("binary").alias(name) for name in ("codes", "ids", "f", "langs")]
         for known in self.pairs:
             met = met.unionByName(known.select("block", *nothing, "keys"))
-        more = met.groupBy("block").applyInArrow(longer, KEYS).groupBy("bucket").applyInArrow(frequent, PHRASES)
+        held = dealt(met, 2 * buckets, "block").groupBy("block").applyInArrow(longer, KEYS)
+        more = dealt(held, buckets, "bucket").groupBy("bucket").applyInArrow(frequent, PHRASES)
         found = two.where("ids IS NOT NULL").unionByName(more).select("ids", "f", "lang")
         self.counted.append(self._write(found, "phrases"))
         self.limits = limits

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import mix64, ship, stage
+from corpusloom.llm.common import dealt, mix64, ship, stage
 
 K = 32
 PIECE, CHUNK = 2 << 20, 24 << 20
@@ -397,7 +397,7 @@ def passages(
     def deal(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = Chunk(least, piece, hot_chunk)
 
-        def dealt() -> pa.RecordBatch:
+        def by_bucket() -> pa.RecordBatch:
             entries = chunk.entries()
             key = np.where(entries["flag"] & SPREAD, entries["anchor"] ^ entries["digest"], entries["anchor"])
             place = (mix64(key) % np.uint64(buckets)).astype(np.int64)
@@ -412,16 +412,16 @@ def passages(
             for null, doc_id, h, body in zip(nulls, ids, batch.column(1).to_pylist(), batch.column(2), strict=True):
                 chunk.add(int(null), doc_id, h, memoryview(body.as_buffer()))
                 if chunk.size >= chunk_bytes:
-                    yield dealt()
+                    yield by_bucket()
             # What is held refers to the batch's memory.
             chunk.flush()
-        yield dealt()
+        yield by_bucket()
 
     def judged(rows: pa.Table) -> pa.Table:
         entries = np.concatenate([np.frombuffer(blob, ENTRY) for blob in rows["entries"].to_pylist()])
         return pa.Table.from_batches(judge(entries, keep == "none", hot_bucket))
 
-    judged_rows = stage(long.mapInArrow(deal, DEALT).groupBy("bucket").applyInArrow(judged, JUDGED), "segments")
+    judged_rows = stage(dealt(long.mapInArrow(deal, DEALT), buckets, "bucket").groupBy("bucket").applyInArrow(judged, JUDGED), "segments")
     wanted = judged_rows.where("wanted > 0")
     asked_bytes = wanted.agg(
         F.coalesce(F.sum(F.when(F.col("wanted") == 1, F.col("n") + least).otherwise(F.col("n") * START.itemsize)), F.lit(0))
@@ -440,7 +440,7 @@ def passages(
 
     per_text = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("wanted", "at", "n", "anchor")).alias("asked"))
     cuts = with_text(bodies, per_text, "asked", "inner").mapInArrow(cut, CUT)
-    compared = cuts.groupBy("bucket").applyInArrow(factors, FOUND)
+    compared = dealt(cuts, parts, "bucket").groupBy("bucket").applyInArrow(factors, FOUND)
     return judged_rows.where("wanted = 0").select("doc_id", "h", "at", "n", "later").unionByName(compared)
 
 
