@@ -26,7 +26,7 @@ from corpusloom.functions import render as R
 from corpusloom.functions import text as X
 from corpusloom.functions.vectors import normalized
 from corpusloom.operators.numbering import first_per_group
-from corpusloom.session import fresh_path, stage
+from corpusloom.session import fresh_path, stage, write_once
 
 # The usual result size and the sizes an experiment compares.
 DEFAULT_K = 5
@@ -333,7 +333,7 @@ def in_passes(queries: DataFrame, rows: int, run: Callable[[DataFrame], DataFram
     result = None
     for number in range(passes):
         result = run(queries.filter(place == number).drop("_row"))
-        result.write.parquet(f"{path}/pass={number}")
+        write_once(result, f"{path}/pass={number}")
     return spark.read.schema(result.schema).parquet(path)
 
 
