@@ -13,11 +13,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.session import fresh_path, shared_dir, stage
+from corpusloom.session import fresh_path, shared_dir, stage, write_once
 
 __all__ = [
     "batches_of", "chance", "dealt", "discard", "fresh_path", "held_out", "mix64", "parts_for", "per_batch", "shared_dir", "ship",
-    "stage", "table",
+    "stage", "table", "write_once",
 ]
 
 _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -49,11 +49,11 @@ def ship(spark: SparkSession) -> None:
     context._corpusloom_shipped = True
 
 
-def parts_for(df: DataFrame, megabytes: int = 64) -> int:
-    """Partitions for a shuffle of ``df``: the session's number, more where its size asks for it."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+def parts_for(df: DataFrame, text: str = "text", megabytes: int = 64) -> int:
+    """Partitions for a shuffle of ``df``: the session's number, more where the counted bytes of ``text`` ask for it."""
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     asked = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(asked, min(1_000_000, int(str(size)) // (megabytes << 20)))
+    return max(asked, size // (megabytes << 20))
 
 
 def dealt(df: DataFrame, groups: int, *columns: str) -> DataFrame:

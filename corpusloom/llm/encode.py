@@ -2,9 +2,12 @@
 
 A cut before a space that stands between two visible characters never changes
 the pieces a tokenizer sees, nor does one around a line break between such
-characters, or one between a letter or digit and a full stop or comma. So a
-text is encoded word by word, a word part by part, and the ids of what was met
-before are reused. A text with other runs of white space is encoded as a whole.
+characters, or one between a letter or digit, that the tokenizer's normaliser
+leaves one, and a full stop or comma. So a text is encoded word by word, a word
+part by part, and the ids of what was met before are reused. Words of letters
+alone that are new are encoded many in a row, and their ids told apart by the
+tokenizer's own count of words. A text with other runs of white space is encoded
+as a whole.
 """
 
 from __future__ import annotations
@@ -13,6 +16,9 @@ import os
 from array import array
 from itertools import islice
 
+import numpy as np
+
+ROW_WORDS = 500
 WORDS_KEPT = 600_000
 MARKS = (".", ",")
 _ENCODERS: dict = {}
@@ -29,6 +35,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.first: dict[str, bytes | None] = {}
         self.later: dict[str, bytes | None] = {}
+        self.plain: dict[str, bool] = {}
         self.marks = dict(zip(MARKS, self._ids(list(MARKS)), strict=True))
         self.line = self._ids(["\n"])[0]
 
@@ -36,6 +43,32 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", one.ids).tobytes() for one in found]
 
+    def _stays(self, char: str) -> bool:
+        """Whether ``char`` is a letter or digit and ends as one when it is normalised, so that a mark after it stands apart."""
+        known = self.plain.get(char)
+        if known is None:
+            normal = self.tokenizer.normalizer.normalize_str(char) if self.tokenizer.normalizer else char
+            known = self.plain[char] = char.isalnum() and normal[-1:].isalnum()
+        return known
+
+    def _letters(self, words: list[str], lead: str) -> list[bytes]:
+        """Ids of words of letters alone, each after ``lead``."""
+        if not lead:
+            return self._ids(words)
+        out: list[bytes] = []
+        rows = [words[at : at + ROW_WORDS] for at in range(0, len(words), ROW_WORDS)]
+        texts = [lead + lead.join(row) for row in rows]
+        for row, found in zip(rows, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+            own = np.array(found.word_ids, dtype=np.int64)
+            begin = np.flatnonzero(np.diff(own, prepend=-1))
+            if len(begin) != len(row):  # some word is not one for the tokenizer
+                out += self._ids([lead + word for word in row])
+                continue
+            ids = array("I", found.ids).tobytes()
+            edges = [*(4 * begin).tolist(), len(ids)]
+            out += [ids[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+        return out
+
     def _learn(self, words: set[str], memory: dict, lead: str) -> None:
         fresh = words.difference(memory)
         if len(memory) + 2 * len(fresh) > WORDS_KEPT:  # forget the older half
@@ -44,15 +77,19 @@ class Encoder:
             memory.update(kept)
             fresh = words.difference(memory)
         marks = self.marks
-        ended = [word for word in fresh if word[-1:] in marks and word[-2:-1].isalnum()]
+        stays = self._stays
+        ended = [word for word in fresh if word[-1:] in marks and len(word) > 1 and stays(word[-2])]
         wanted = fresh.difference(ended)
         wanted.update([word[:-1] for word in ended])
-        new = list(wanted.difference(memory))
-        memory.update(zip(new, self._ids([lead + word for word in new] if lead else new), strict=True))
+        new = wanted.difference(memory)
+        letters = [word for word in new if word.isalpha()]
+        others = list(new.difference(letters))
+        memory.update(zip(letters, self._letters(letters, lead), strict=True))
+        memory.update(zip(others, self._ids([lead + word for word in others]), strict=True))
         for word in ended:
             start = memory[word[:-1]]
             memory[word] = start and start + marks[word[-1]]
-        for word in new:
+        for word in others:
             if not word or word[0].isspace() or word[-1].isspace():
                 memory[word] = None if word or lead else b""
 

@@ -11,8 +11,8 @@ document it scores. Every word scored is a word of the vocabulary.
 
 Counts are exact and cover every word of every text; their number grows with
 the corpus, so no task and not the driver holds them all. Documents are written
-in blocks of bounded size, as codes into the list of the block's own words.
-Each block sends every word and bigram it holds once, as a 64-bit key with its
+in blocks of bounded size, a row each, as codes into the list of the block's own
+words. Each block sends every word and bigram it holds once, as a 64-bit key with its
 count, to the bucket where the key is summed; the sums come back to the blocks
 that hold the key, but for keys of one block alone, which that block counts
 itself. A bucket is a range of keys, and the number of buckets follows the
@@ -42,7 +42,7 @@ VOCABULARY = 1 << 31
 DISCOUNT, LEAN = 0.75, 8.0
 BLOCK_WORDS, BLOCK_ROWS = 1 << 20, 1 << 16
 BUCKETS, BUCKET_KEYS = 1 << 8, 1 << 20
-CODED = "block bigint, doc_id bigint, codes binary, keys binary"
+CODED = "block bigint, ids array<bigint>, sizes binary, codes binary, keys binary"
 COUNTED = "bucket bigint, block bigint, keys binary, n binary"
 SUMMED = "block bigint, keys binary, near binary, far binary, totals array<bigint>"
 
@@ -74,6 +74,16 @@ def unpack(packed: bytes, width: int = 8) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
 
 
+def pack_codes(codes: np.ndarray) -> bytes:
+    """Codes in as many bytes as the largest needs, two at least."""
+    width = max(2, (int(codes.max(initial=0)).bit_length() + 7) // 8)
+    return pack(codes, 4)[: width * len(codes)]
+
+
+def unpack_codes(packed: bytes, size: int) -> np.ndarray:
+    return unpack(packed + bytes(4 * size - len(packed)), 4).astype(np.int64)
+
+
 def unpack_all(column: pa.ChunkedArray) -> np.ndarray:
     return np.concatenate([np.zeros(0, dtype=np.uint64), *map(unpack, column.to_pylist())])
 
@@ -87,35 +97,34 @@ class Codes(dict):
 
 
 def blocks(texts: DataFrame, size: int = BLOCK_WORDS, aim: bool = False) -> DataFrame:
-    """(block, doc_id, codes, keys): texts in blocks of about ``size`` words, then the keys of each block's words by code.
+    """A row a block of texts of about ``size`` words: ids, words and codes of its texts, and the keys of its words by code.
 
     Blocks of the target (``aim``) have negative numbers.
     """
     ship(texts.sparkSession)
 
-    def out(block: int, ids: pa.Array, codes: list[bytes | None], keys: list[bytes | None]) -> pa.RecordBatch:
-        place = np.full(len(codes), -1 - block if aim else block, dtype=np.int64)
-        columns = [pa.array(place), ids, pa.array(codes, pa.binary()), pa.array(keys, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=names(CODED))
-
-    def last(block: int, known: Codes) -> pa.RecordBatch:
+    def out(block: int, ids: list[pa.Array], codes: list[np.ndarray], known: Codes) -> pa.RecordBatch:
+        sizes = np.array(list(map(len, codes)), dtype=np.int64)
         keys = np.fromiter(map(word_key, known), dtype="<u8", count=len(known))
-        return out(block, pa.nulls(1, pa.int64()), [None], [pack(keys)])
+        row = (-1 - block if aim else block, pa.concat_arrays(ids), pack(sizes, 4), pack_codes(np.concatenate(codes)), pack(keys))
+        held = pa.ListArray.from_arrays(pa.array([0, len(row[1])], pa.int32()), row[1])
+        columns = [pa.array(row[:1], pa.int64()), held, *[pa.array([part], pa.binary()) for part in row[2:]]]
+        return pa.RecordBatch.from_arrays(columns, names=names(CODED))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, rows, known = TaskContext.get().partitionId() << 32, 0, 0, Codes()
+        block, held, known, ids, codes = TaskContext.get().partitionId() << 32, 0, Codes(), [], []
         for batch in stream:
             for some in batches_of(batch, 256, "text", 1):
                 found = [words_of(text) for text in some.column("text").to_pylist()]
                 more = sum(map(len, found))
-                if rows and (held + more > size or rows + some.num_rows > BLOCK_ROWS):
-                    yield last(block, known)
-                    block, held, rows, known = block + 1, 0, 0, Codes()
-                held, rows = held + more, rows + some.num_rows
-                codes = [pack(np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words)), 4) for words in found]
-                yield out(block, some.column("doc_id"), codes, [None] * len(codes))
-        if rows:
-            yield last(block, known)
+                if codes and (held + more > size or len(codes) + some.num_rows > BLOCK_ROWS):
+                    yield out(block, ids, codes, known)
+                    block, held, known, ids, codes = block + 1, 0, Codes(), [], []
+                held += more
+                ids.append(some.column("doc_id"))
+                codes += [np.fromiter(map(known.__getitem__, words), dtype=np.uint32, count=len(words)) for words in found]
+        if codes:
+            yield out(block, ids, codes, known)
 
     rows = texts.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return rows.mapInArrow(run, CODED)
@@ -124,15 +133,11 @@ def blocks(texts: DataFrame, size: int = BLOCK_WORDS, aim: bool = False) -> Data
 class Run:
     """The texts of a block one after the other: the codes of words, and the bigrams of all but the texts' first words."""
 
-    def __init__(self, texts: pa.Table):
-        codes, keys = texts.column("codes").to_pylist(), texts.column("keys").to_pylist()
-        #: Rows of texts; the other row has the keys of words.
-        self.rows = np.array([some is not None for some in codes], dtype=bool)
-        self.keys = np.concatenate([unpack(some) for some in keys if some is not None])
-        found = [unpack(some, 4).astype(np.int64) for some in codes if some is not None]
-        self.sizes = np.array(list(map(len, found)), dtype=np.int64)
-        self.owner = np.repeat(np.arange(len(found)), self.sizes)
-        self.word = np.concatenate([*found, np.zeros(0, dtype=np.int64)])
+    def __init__(self, block: dict):
+        self.keys = unpack(block["keys"])
+        self.sizes = unpack(block["sizes"], 4).astype(np.int64)
+        self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.word = unpack_codes(block["codes"], len(self.owner))
         self.later = np.zeros(len(self.word), dtype=bool)
         self.later[1:] = self.owner[1:] == self.owner[:-1]
         self.before = np.concatenate([self.word[:1], self.word[:-1]])
@@ -149,16 +154,19 @@ def key_counts(coded: DataFrame, buckets: int) -> DataFrame:
     """(bucket, block, keys, n) of the words and bigrams of each block, counted before anything moves; ``buckets`` is a power of two."""
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
-    def run(texts: pa.Table) -> pa.Table:
-        found = Run(texts)
-        order = np.argsort(found.all_keys)
-        keys, n = found.all_keys[order], found.counts[order]
-        bucket, starts = np.unique(keys >> shift, return_index=True)
-        place = np.full(len(bucket), texts.column("block")[0].as_py(), dtype=np.int64)
-        packed = [pa.array([pack(part) for part in np.split(some, starts)[1:]], pa.binary()) for some in (keys, n)]
-        return pa.Table.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(place), *packed], names=names(COUNTED))
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for at in range(batch.num_rows):
+                block = batch.slice(at, 1).to_pylist()[0]
+                found = Run(block)
+                order = np.argsort(found.all_keys)
+                keys, n = found.all_keys[order], found.counts[order]
+                bucket, starts = np.unique(keys >> shift, return_index=True)
+                place = np.full(len(bucket), block["block"], dtype=np.int64)
+                packed = [pa.array([pack(part) for part in np.split(some, starts)[1:]], pa.binary()) for some in (keys, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(place), *packed], names=names(COUNTED))
 
-    return coded.groupBy("block").applyInArrow(run, COUNTED)
+    return coded.select("block", "sizes", "codes", "keys").mapInArrow(run, COUNTED)
 
 
 def summed_counts(counted: DataFrame) -> DataFrame:
@@ -228,8 +236,8 @@ def score(docs: DataFrame, target: DataFrame, block_words: int = BLOCK_WORDS) ->
     """(doc_id, n_words, target_loss, background_loss, score) for each row of ``docs``; ``target`` has a ``text`` column."""
     passages = target.select(F.lit(None).alias("doc_id"), "text")
     both = stage(blocks(docs, block_words).unionByName(blocks(passages, block_words, aim=True)), "coded")
-    # Four bytes a word; a text has at most twice as many keys as words.
-    most = (both.agg(F.sum(F.octet_length("codes"))).first()[0] or 0) // 2
+    # Two bytes a word at least; a text has at most twice as many keys as words.
+    most = both.agg(F.sum(F.octet_length("codes"))).first()[0] or 0
     summed = stage(summed_counts(key_counts(both, max(BUCKETS, 1 << (most // BUCKET_KEYS).bit_length()))), "summed")
     sums = summed.where("block IS NULL").agg(*(F.coalesce(F.sum(F.col("totals")[at]), F.lit(0)) for at in range(5))).first()
     near_words, far_words, words, common, alone = sums
@@ -238,7 +246,10 @@ def score(docs: DataFrame, target: DataFrame, block_words: int = BLOCK_WORDS) ->
     far_model = Model(far_words, words, words + 1)
 
     def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        found = Run(texts)
+        if not texts.num_rows:
+            return pa.Table.from_pylist([], pa.schema(list(zip(names(SCHEMA), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True))))
+        block = texts.select(["sizes", "codes", "keys"]).to_pylist()[0]
+        found = Run(block)
         word, before, later, singles = found.word, found.before, found.later, found.singles
         near, far = np.zeros(len(found.counts), dtype=np.int64), found.counts
         order = np.argsort(found.all_keys)
@@ -258,7 +269,7 @@ def score(docs: DataFrame, target: DataFrame, block_words: int = BLOCK_WORDS) ->
         )
         sums = [np.bincount(found.owner, weights=loss, minlength=len(found.sizes)) for loss in losses]
         means = [total / np.maximum(found.sizes, 1) for total in sums]
-        columns = [texts.column("doc_id").filter(pa.array(found.rows)), pa.array(found.sizes), *map(pa.array, means)]
+        columns = [texts.column("ids").combine_chunks().flatten(), pa.array(found.sizes), *map(pa.array, means)]
         return pa.Table.from_arrays(columns, names=names(SCHEMA))
 
     coded = both.where(F.col("block") >= 0)

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import dealt, discard, fresh_path, mix64, ship
+from corpusloom.llm.common import dealt, discard, fresh_path, mix64, ship, write_once
 
 log = logging.getLogger(__name__)
 
@@ -346,7 +346,7 @@ class Corpus:
     def _write(self, df: DataFrame, label: str) -> DataFrame:
         path = fresh_path(self.spark, label)
         self.paths.append(path)
-        df.write.parquet(path)
+        write_once(df, path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def grow(self, limits: np.ndarray) -> None:

@@ -245,7 +245,7 @@ def gather(folder: str, manifest: DataFrame) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    dealt = shards.repartition(max(1, min(shards.count(), parts_for(shards) * 4)))
+    dealt = shards.repartition(max(1, shards.count()))
     return dealt.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 

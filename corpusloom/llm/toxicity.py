@@ -9,8 +9,9 @@ say which sentences offend.
 Features are lower-case words and their heads of three to five letters, hashed
 to a table of fixed size. From the labelled sample, features are counted by label in
 all tasks and merged by row; those that part the labels most become the inputs.
-The sample of labelled rows is bounded; its documents are met by a broadcast of
-its ids, no text moves.
+The sample of labelled rows is bounded, and so are the inputs that its sentences
+hold together; its documents are met by a broadcast of its ids, no text moves.
+Texts of any length are read whole, sentence by sentence.
 
 Empty and null texts have one empty sentence. Rows that repeat an id stay rows
 of their own; a null id is never held out and has no label. Without both labels
@@ -20,6 +21,7 @@ no rows. Extra columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import batches_of, held_out, per_batch, ship
+from corpusloom.llm.common import batches_of, held_out, per_batch, ship, stage
 from corpusloom.llm.learn import sample, sigmoid
 
 FEATURES = 1 << 18
 INPUTS = 1024
 SAMPLE = 30_000
+#: Inputs that the sentences of the sample hold together at most: what the driver fits is flat arrays of this length.
+ENTRIES = 1 << 23
 THRESHOLD = 0.5
 WORDS_KEPT = 400_000
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*\n?|[.!?\n]+")
@@ -160,26 +164,25 @@ class Model:
 
 
 def fit(
-    bags: list[list[np.ndarray]], labels: np.ndarray, inputs: int, blank: np.ndarray,
+    entry: np.ndarray, sentence: np.ndarray, owner: np.ndarray, labels: np.ndarray, inputs: int, blank: np.ndarray,
     epochs: int = 150, rate: float = 0.1, decay: float = 1e-4,
 ) -> tuple[np.ndarray, float]:
     """Weights and bias that make the noisy-or of each bag's sentences likely, by full-batch Adam.
 
-    A bag lists the inputs of each of its sentences; ``blank`` counts those without any.
+    ``entry`` are inputs, ``sentence`` numbers the sentence of each, ``owner`` the bag of each sentence; ``blank`` counts the
+    sentences of each bag without any input.
     """
-    flat = [s for bag in bags for s in bag]
-    entry = np.concatenate(flat) if flat else np.empty(0, dtype=np.int64)
-    sentence = np.repeat(np.arange(len(flat)), [len(s) for s in flat])
-    owner = np.repeat(np.arange(len(bags)), [len(bag) for bag in bags])
+    count = len(owner)
     w, b = np.zeros(inputs), -6.0
     first, second = np.zeros(inputs + 1), np.zeros(inputs + 1)
     for step in range(1, epochs + 1):
-        p = sigmoid(b + np.bincount(sentence, weights=w[entry], minlength=len(flat)))
+        p = sigmoid(b + np.bincount(sentence, weights=w[entry], minlength=count))
         empty = float(sigmoid(np.array(b)))
-        none = np.bincount(owner, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(bags)) + blank * np.log1p(-min(empty, 1 - 1e-9))
+        none = np.bincount(owner, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(labels))
+        none += blank * np.log1p(-min(empty, 1 - 1e-9))
         whole = np.clip(1 - np.exp(none), 1e-9, 1 - 1e-9)
         # d loss / d logit of a sentence: p for clean bags, -p (1 - P) / P for toxic ones.
-        pull = np.where(labels == 1, -(1 - whole) / whole, 1.0) / len(bags)
+        pull = np.where(labels == 1, -(1 - whole) / whole, 1.0) / len(labels)
         slope = p * pull[owner]
         grad = np.append(
             np.bincount(entry, weights=slope[sentence], minlength=inputs) + decay * w, slope.sum() + empty * (blank * pull).sum()
@@ -190,12 +193,15 @@ def fit(
     return w, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", bound: int = SAMPLE, inputs: int = INPUTS) -> Model:
-    """A model from at most about ``bound`` labelled documents, none held out."""
+def train(
+    docs: DataFrame, labels: DataFrame, column: str = "toxic", bound: int = SAMPLE, inputs: int = INPUTS, entries: int = ENTRIES
+) -> Model:
+    """A model from at most about ``bound`` labelled documents, none held out, fewer if their sentences have more than
+    ``entries`` inputs together: both are samples by a hash of the id."""
     bags = _sampled(docs, labels, column, bound)
-    chosen, share = informative(bags, inputs)
+    chosen, share_of_ones = informative(bags, inputs)
     if not len(chosen):
-        return Model(chosen, np.empty(0), 0.0, share)
+        return Model(chosen, np.empty(0), 0.0, share_of_ones)
 
     def make():
         number = {row: at for at, row in enumerate(chosen.tolist())}
@@ -213,11 +219,28 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", bound: int
 
         return step
 
-    found = per_batch(bags, make, "id bigint, label int, bag array<array<int>>", 256, "text").orderBy("id").toArrow()
-    bags_ = found.column("bag").to_pylist()
-    lists = [[np.array(s, dtype=np.int64) for s in bag[1:]] for bag in bags_]
-    blank = np.array([bag[0][0] for bag in bags_], dtype=float)
-    w, b = fit(lists, found.column("label").to_numpy(), len(chosen), blank)
+    held = stage(per_batch(bags, make, "id bigint, label int, bag array<array<int>>", 256, "text"), "bags")
+    size = F.aggregate("bag", F.lit(0).cast("bigint"), lambda total, own: total + F.size(own))
+    share = entries / max(1, held.agg(F.sum(size)).first()[0] or 0)
+    if share < 1:
+        held = held.where(F.pmod(F.xxhash64(F.lit(29), "id"), F.lit(1_000_000)) < math.floor(share * 1_000_000))
+    found = held.orderBy("id").toArrow()
+    if not found.num_rows:
+        return Model(chosen[:0], np.empty(0), 0.0, share_of_ones)
+    # Flat arrays: sentences of bags, inputs of sentences. The first of a bag has the number of those without inputs.
+    lists = found.column("bag").combine_chunks()
+    starts = lists.offsets.to_numpy()
+    own = lists.flatten()
+    edges = own.offsets.to_numpy()
+    lengths = np.diff(edges)
+    heads = np.zeros(len(lengths), dtype=bool)
+    heads[starts[:-1] - starts[0]] = True
+    flat = own.flatten().to_numpy()
+    blank = flat[edges[:-1][heads] - edges[0]].astype(float)
+    sentence = np.repeat((np.cumsum(~heads) - 1).astype(np.int32), np.where(heads, 0, lengths))
+    entry = flat[np.repeat(~heads, lengths)]
+    owner = np.repeat(np.arange(len(blank), dtype=np.int32), np.diff(starts) - 1)
+    w, b = fit(entry, sentence, owner, found.column("label").to_numpy(), len(chosen), blank)
     return Model(chosen, w, b)
 
 

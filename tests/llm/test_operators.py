@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpusloom.llm import (
-    encode, fingerprints, graph, learn, lmscore, minhash, mixing, packing, quality, queries, secrets, tokenids, toxicity, vectors,
+    common, encode, fingerprints, graph, learn, lmscore, minhash, mixing, packing, quality, queries, secrets, tokenids, toxicity, vectors,
 )
 
 FOLDER = "/root/testdata/sf0.001"
@@ -507,6 +507,29 @@ def test_encoder_equals_the_tokenizer(documents):
             assert [np.frombuffer(ids, "<u4").tolist() for ids in coder.encode(texts)] == wanted
 
 
+def test_encoder_equals_the_tokenizer_after_every_character():
+    """A letter that is normalised into one with a mark joins the stop after it."""
+    chars = [chr(code) for code in range(1, 0x20000) if not 0xD800 <= code < 0xE000]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        whole, coder = Tokenizer.from_file(path), encode.Encoder(path)
+        whole.encode_special_tokens = True
+        for form in ("a{}. {}, x{} {}y", "{}. q{}{},"):
+            texts = [form.replace("{}", char) for char in chars]
+            for at in range(0, len(texts), 4096):
+                wanted = whole.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)
+                found = coder.encode(texts[at : at + 4096])
+                assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == [e.ids for e in wanted]
+
+
+def test_partitions_follow_the_counted_bytes(spark):
+    """A frame that has no statistics has as many partitions as its texts ask for."""
+    rows = spark.createDataFrame([(1, "x" * 1000), (2, None)], "doc_id bigint, text string")
+    asked = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert common.parts_for(rows) == common.parts_for(rows.limit(0)) == asked
+    assert common.parts_for(spark.range(300).select(F.expr("repeat('x', 1 << 20)").alias("text")), megabytes=1) == 300
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_keeps_every_bound(rule):
     draw = np.random.default_rng(4)
