@@ -51,6 +51,7 @@ DEFAULT_PROBES = 1
 
 SEED = 42
 KMEANS_ITERATIONS = 10
+START_ROWS = 16
 #: Vectors an index is trained on at most; all are indexed.
 TRAINING_ROWS = 1_000_000
 RERANK = 50
@@ -104,6 +105,16 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1).astype(np.float64)
 
 
+def _spread_out(rows: np.ndarray, count: int) -> np.ndarray:
+    """``count`` different rows at most, each drawn with a chance that grows with its squared distance from those before."""
+    draw, chosen = np.random.default_rng(SEED), [0]
+    far = ((rows - rows[0]) ** 2).sum(axis=1)
+    while len(chosen) < min(count, len(rows)) and far.max() > 0:
+        chosen.append(int(draw.choice(len(rows), p=far / far.sum())))
+        far = np.minimum(far, ((rows - rows[chosen[-1]]) ** 2).sum(axis=1))
+    return rows[chosen]
+
+
 def train(
     corpus: DataFrame, cells: int | None = None, parts: int = 0, bits: int = CODE_BITS, sample_rows: int = TRAINING_ROWS
 ) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -120,7 +131,9 @@ def train(
         share = int(sample_rows / total * (1 << 32))
         known = known.filter(F.pmod(F.xxhash64(F.lit(SEED), "vec_id"), F.lit(1 << 32)) < share)
     sample = stage(known, "training")
-    first = sample.orderBy(F.xxhash64(F.lit(SEED), "vec_id"), "vec_id").limit(max(cells, 2**bits if parts else 0)).toArrow()
+    # The first centers come from a few rows for each, picked by hash.
+    size = START_ROWS * max(cells, 2**bits if parts else 0)
+    first = sample.orderBy(F.xxhash64(F.lit(SEED), "vec_id"), "vec_id").limit(size).toArrow()
     if not first.num_rows:
         return np.zeros((1, 0)), [np.zeros((1, 0))] * parts
     start = _matrix(first["embedding"])
@@ -129,7 +142,7 @@ def train(
         raise ValueError(f"dimension {width} does not divide by {parts}")
     step = width // parts if parts else 0
     # Sets of centers and the columns they look at: the cells first, then the books.
-    centers = [start[:cells].copy()] + [np.unique(start[:, at * step : (at + 1) * step], axis=0)[: 2**bits] for at in range(parts)]
+    centers = [_spread_out(start, cells)] + [_spread_out(start[:, at * step : (at + 1) * step], 2**bits) for at in range(parts)]
     columns = [slice(0, width)] + [slice(at * step, (at + 1) * step) for at in range(parts)]
 
     def sums(batches):

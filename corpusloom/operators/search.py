@@ -37,6 +37,8 @@ MAX_QUERY_BYTES = 64 * 1024 * 1024
 TILE_ROWS = 4096
 TILE_CELLS = 4_000_000
 MAX_PRUNED_KEYS = 10_000
+LOOKUP_IDS = 10_000
+LOOKUP_ROWS = 1_000_000
 DECIMALS = 6
 ASCENDING = {"l2": True, "ip": False, "cosine": False}
 HIT_SCHEMA = "query_id {qtype}, vec_id bigint, score double, scored bigint"
@@ -52,6 +54,13 @@ class QuerySet:
     id_type: str
 
 
+def arrow_type(kind: str):
+    """The Arrow type of an id column."""
+    import pyarrow as pa
+
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+
+
 def small_queries(
     queries: DataFrame,
     keys: str | None = None,
@@ -171,10 +180,8 @@ def _scanner(queries: QuerySet, metric: str, k: int, row_keys: str | None, tile_
     ``nearer`` lists the keys under which a copy of the row is met with precedence: a query that asks for one of them leaves
     this copy out.
     """
-    import pyarrow as pa
-
     ids, base, keys = queries.ids, queries.matrix, queries.keys
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[queries.id_type]
+    id_type = arrow_type(queries.id_type)
     lowest_first = ASCENDING[metric]
 
     def scan(batches):
@@ -333,8 +340,8 @@ def in_passes(queries: DataFrame, rows: int, run: Callable[[DataFrame], DataFram
     result = None
     for number in range(passes):
         result = run(queries.filter(place == number).drop("_row"))
-        write_once(result, f"{path}/pass={number}")
-    return spark.read.schema(result.schema).parquet(path)
+        write_once(result, f"{path}/pass-{number}")
+    return spark.read.schema(result.schema).option("recursiveFileLookup", True).parquet(path)
 
 
 def nearest_tiled(
@@ -381,10 +388,22 @@ def search_own_source(
     return nearest(corpus, scoped, metric, k, row_keys="source", query_keys="_scope")
 
 
-def with_documents(hits: DataFrame, documents: DataFrame, columns: list[str]) -> DataFrame:
-    """Look up the documents of ranked hits; runs after top-k, so k rows per query."""
-    docs = documents.select(F.col("doc_id").alias("vec_id"), *columns)
-    return hits.join(docs, "vec_id")
+def with_documents(hits: DataFrame, documents: DataFrame, columns: list[str], key: str = "vec_id", doc_id: str = "doc_id") -> DataFrame:
+    """Look up the documents of ranked hits; runs after top-k, so k rows per query.
+
+    The hits are made once and counted. Their ids become a filter of the documents' scan, and the hits travel to it, so
+    texts are read where an id is asked for and never shuffled. Beyond ``LOOKUP_IDS`` ids the filter is their range; hits
+    beyond ``LOOKUP_ROWS`` rows are more than a task should hold, and Spark joins the tables its own way.
+    """
+    held = stage(hits, "hits")
+    docs = documents.select(F.col(doc_id).alias(key), *columns).filter(F.col(key).isNotNull())
+    known = held.select(key).filter(F.col(key).isNotNull())
+    size = known.agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).first()
+    if size["n"] <= LOOKUP_ROWS:
+        ids = [row[key] for row in known.distinct().limit(LOOKUP_IDS + 1).collect()]
+        asked = F.col(key).isin(ids) if len(ids) <= LOOKUP_IDS else F.col(key).between(size["low"], size["high"])
+        docs, held = docs.filter(asked), F.broadcast(held)
+    return docs.join(held, key).select(*hits.columns, *columns)
 
 
 def previews(hits: DataFrame, text: str = "text", source: str = "source") -> DataFrame:

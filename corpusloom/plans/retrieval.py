@@ -204,8 +204,8 @@ def tfidf_search(spark, folder):
 def build_prompts(spark, folder):
     asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     found = tfidf_search(spark, folder).withColumnRenamed("item_id", "query_id")
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    contexts = search.assemble_short_context(found.join(docs, "doc_id"), asked, 500)
+    found = search.with_documents(found, table(spark, folder, "documents"), ["text"], "doc_id")
+    contexts = search.assemble_short_context(found, asked, 500)
     return search.build_prompts(contexts.join(asked, "query_id"), "question").select("query_id", "hits", "prompt")
 
 

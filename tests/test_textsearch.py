@@ -1,11 +1,12 @@
 import math
+import random
 import re
 from collections import Counter
 
 import pytest
 
 from corpusloom.operators.embed import HashedTfIdf, embed_documents, model_embedder
-from corpusloom.operators.textsearch import tfidf_search
+from corpusloom.operators.textsearch import _Searcher, build_index, search_index, tfidf_search
 
 DOCS = ["the cat sat", "the dog sat on the cat", "", "Élan vital the", "dog dog dog", "the the the", "the cat sat"]
 ASKED = ["cat sat", "DOG", "nothing known here", "élan"]
@@ -68,3 +69,40 @@ def test_terms_of_any_script_and_digits(spark):
     asked = spark.createDataFrame([(1, "ПРИВЕТ"), (2, "東京 2024")], "item_id bigint, text string")
     found = {r["item_id"]: r["doc_id"] for r in tfidf_search(docs, asked, 1).collect()}
     assert found == {1: 1, 2: 2}
+
+
+def many_texts(count):
+    pick = random.Random(3)
+    rare = [f"w{n}" for n in range(300)]
+    return [" ".join(["the"] * pick.randrange(9) + [pick.choice(rare) for _ in range(pick.randrange(12))]) for _ in range(count)]
+
+
+def test_shards_and_passes_change_nothing(spark):
+    texts = many_texts(900)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    asked = [texts[at] + " the" for at in range(0, 900, 60)] + ["the", "absent", ""]
+    queries = spark.createDataFrame(list(enumerate(asked)), "item_id int, text string")
+    wanted = brute(texts, asked, 5)
+    for size, bound in ((1 << 24, 200_000), (2000, 20)):
+        index, idf = build_index(docs, shard_bytes=size)
+        got = {}
+        for r in search_index(index, idf, queries, 5, max_broadcast_terms=bound).orderBy("item_id", "rank").collect():
+            got.setdefault(r["item_id"], []).append(r["doc_id"])
+        assert got == wanted
+
+
+def test_blocks_below_the_last_score_are_not_looked_up(spark):
+    texts = [f"the the the r{n % 200}" for n in range(4000)] + ["the rare"]
+    index, _ = build_index(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1))
+    row = index.filter("array_contains(ids, 4000)").first().asDict()
+    opened = _Searcher({name: value if name in ("shard", "ids") else bytes(value) for name, value in row.items()})
+    places, scores = opened.search([("rare", 0.99), ("r7", 0.1), ("the", 0.01)], 1, 0.0)
+    assert [row["ids"][at] for at in places] == [4000] and opened.looked_up <= 2 < len(row["ids"]) // 64
+
+
+def test_an_empty_table_has_no_hits(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "doc_id bigint, text string")
+    queries = spark.createDataFrame([(1, "a"), (2, None)], "item_id bigint, text string")
+    assert tfidf_search(docs.limit(0), queries).collect() == []
+    assert tfidf_search(docs, queries.limit(0)).collect() == []
+    assert [tuple(r)[:2] for r in tfidf_search(docs, queries).collect()] == [(1, 1)]
