@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,6 +139,26 @@ def whitespace_tokens(segment: Column) -> Column:
     return T.word_count(segment).cast("int")
 
 
+def tokenizer_counts(load: Callable[[], Callable[[list[str]], list[int]]]) -> Callable[[Column], Column]:
+    """Token counts by a tokenizer: ``load()`` runs once a worker and returns a function from texts to their counts.
+
+    The segments of a batch of rows, whatever row they are of, go to it together; a null segment counts as empty.
+    """
+    held: list = []
+
+    @F.arrow_udf("array<int>")
+    def count(rows: pa.Array) -> pa.Array:
+        if not held:
+            held.append(load())
+        texts = rows.flatten().fill_null("").to_pylist()
+        sizes = pa.array(held[0](texts) if texts else [], pa.int32())
+        lengths = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), sizes, mask=rows.is_null())
+
+    return count
+
+
 def pack_segments(
     df: DataFrame,
     keys: list[str],
@@ -144,9 +166,12 @@ def pack_segments(
     budget: int = TOKEN_BUDGET,
     tokens: Callable[[Column], Column] = whitespace_tokens,
     separator: str = "\n",
+    counts: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Pack consecutive segments greedily into chunks of at most ``budget`` tokens.
 
+    ``tokens`` counts a segment by an expression; ``counts``, if given, an array
+    of segments at once, as :func:`tokenizer_counts` does with a real tokenizer.
     A segment larger than the budget stands alone. Joining the chunks with the
     separator gives the text back. Only the token counts of a row leave the
     JVM; the chunk borders come back as offsets.
@@ -165,8 +190,8 @@ def pack_segments(
             return starts
 
         return pd.Series([borders(c) if c is not None else None for c in counts])
-    held = spread(df, keys[0]).select(*keys, T.col(segments).alias("_segments"))
-    held = held.withColumn("_tokens", F.transform("_segments", tokens))
+    held = spread(df, keys[0]).select(*keys, T.col(segments).alias("_segments")).filter(F.size("_segments") > 0)
+    held = held.withColumn("_tokens", counts(F.col("_segments")) if counts else F.transform("_segments", tokens))
     held = held.withColumn("_starts", chunk_starts("_tokens"))
     held = held.withColumn("_stops", F.concat(F.slice("_starts", F.lit(2), F.size("_starts")), F.array(F.size("_segments"))))
     spans = F.arrays_zip("_starts", "_stops")

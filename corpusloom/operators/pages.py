@@ -16,6 +16,9 @@ from corpusloom.session import spread
 USER_AGENT = "RAG-Bot-WebScraper/1.0 (Educational/Research Purpose)"
 ANY_AGENT = "*"
 
+#: Keys among which the pages of a host are dealt.
+SALTS = 16
+
 
 def extract_pages(
     pages: DataFrame,
@@ -92,6 +95,12 @@ def not_yet_done(rows: DataFrame, done: DataFrame, key: str, order: Sequence[str
     return first_seen(rows, key, order).join(done.select(key), key, "left_anti")
 
 
+def plain_path(path: Column | str) -> Column:
+    """A URL path with its percent escapes decoded; a ``%`` that starts none stays, a ``+`` is a plus sign."""
+    marked = F.regexp_replace(F.replace(T.col(path), F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.url_decode(marked)
+
+
 def robots_decisions(
     pages: DataFrame,
     rules: DataFrame,
@@ -102,10 +111,12 @@ def robots_decisions(
 
     A group naming the agent wins over the general group; inside it the first
     rule whose prefix matches decides; no policy or no match means allowed, and
-    an empty prefix to disallow means allow everything. The rules of a host are
+    an empty prefix to disallow means allow everything. Paths are compared after
+    percent-decoding, so ``/a%20b`` and ``/a b`` are one path. The rules of a host are
     folded into one ordered array first (a policy file has a size limit, so the
     array is small), so the join never multiplies pages and the decision needs
-    no second shuffle. Spark broadcasts the policies only when they are small.
+    no second shuffle. Pages meet the policy of their host under ``SALTS`` keys, so
+    a host with a third of all pages goes to as many tasks.
     """
     token = user_agent.split("/")[0].lower()
     named = (F.col("agent") != ANY_AGENT) & F.lit(token).contains(F.lower("agent"))
@@ -114,7 +125,9 @@ def robots_decisions(
         .groupBy(F.col("host").alias("_host"))
         .agg(
             F.array_sort(
-                F.collect_list(F.struct("rule_order", "path_prefix", "allow", "agent", named.alias("named")))
+                F.collect_list(
+                    F.struct("rule_order", plain_path("path_prefix").alias("path_prefix"), "allow", "agent", named.alias("named"))
+                )
             ).alias("_rules")
         )
         .withColumn("_own", F.filter("_rules", lambda r: r["named"]))
@@ -126,16 +139,18 @@ def robots_decisions(
             )
             .otherwise(F.col("_rules"))
             .alias("_rules"),
+            F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("_salt"),
         )
     )
-    target = T.url_target(url_col)
+    target = plain_path(T.url_target(url_col))
     matching = F.filter("_rules", lambda r: (r["path_prefix"] == "*") | F.startswith(F.col("_target"), r["path_prefix"]))
     first = F.try_element_at(matching, F.lit(1))
     decision = F.when(first["path_prefix"] == "", F.lit(True)).otherwise(first["allow"])
     return (
         pages.withColumn("_host", T.url_domain(url_col))
         .withColumn("_target", target)
-        .join(per_host, "_host", "left")
+        .withColumn("_salt", F.pmod(F.xxhash64(url_col), F.lit(SALTS)))
+        .join(per_host, ["_host", "_salt"], "left")
         .withColumn("allowed", F.coalesce(decision, F.lit(True)))
-        .drop("_host", "_target", "_rules")
+        .drop("_host", "_salt", "_target", "_rules")
     )

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.operators.pages import latest_version
+from corpusloom.session import discard, stage
 
 SALTS = 32
+BUCKETS = 64
 
 
 def stream_table(spark: SparkSession, path: str, glob: str | None = None, files_per_trigger: int | None = None) -> DataFrame:
@@ -57,18 +59,61 @@ def append_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
     )
 
 
+def _versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, list[tuple[int, str]]]:
+    """Folders of each bucket in finished batches, oldest first; ``before`` leaves out that batch and later ones."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def found(pattern: str) -> list[str]:
+        listed = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{pattern}"))
+        return [status.getPath().toString() for status in listed or []]
+
+    finished = {folder.rsplit("/", 2)[1] for folder in found("batch=*/_SUCCESS")}
+    out: dict[int, list[tuple[int, str]]] = {}
+    for folder in found("batch=*/bucket=*"):
+        batch, bucket = folder.rsplit("/", 2)[1:]
+        number = int(batch.split("=")[1])
+        if batch in finished and (before is None or number < before):
+            out.setdefault(int(bucket.split("=")[1]), []).append((number, folder))
+    return {bucket: sorted(folders) for bucket, folders in out.items()}
+
+
+def _read_folders(spark: SparkSession, path: str, folders: list[str], like: DataFrame | None = None) -> DataFrame:
+    reader = spark.read.option("basePath", path)
+    if like is not None:
+        reader = reader.schema(like.schema)
+    return reader.parquet(*folders)
+
+
 def upsert_pages(
-    pages: DataFrame, path: str, checkpoint: str, key: str = "url", version: str = "scraped_at"
+    pages: DataFrame, path: str, checkpoint: str, key: str = "url", version: str = "scraped_at", buckets: int = BUCKETS
 ) -> StreamingQuery:
-    """Keep page versions; every micro-batch lands in its own folder.
+    """Keep the newest row of each key in a snapshot cut into ``buckets`` by a hash of the key.
 
-    A batch that is repeated after a failure overwrites its folder. Only the
-    newest row of a key in the batch is written.
+    A micro-batch writes anew the buckets it touches, merged with what they held, to a folder of its own, which counts once
+    it is whole. A batch that is repeated after a failure merges with what stood before it and overwrites its folder, so it
+    changes nothing. The version of a bucket that was current is kept for those who read it; older ones are removed.
     """
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        newest = latest_version(batch, key, [version])
-        newest.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        newest = latest_version(batch, key, [version]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        newest = stage(newest, "batch")
+        touched = [row["bucket"] for row in newest.select("bucket").distinct().collect()]
+        if not touched:
+            return
+        held = _versions(spark, path, batch_id)
+        folders = [held[bucket][-1][1] for bucket in touched if bucket in held]
+        merged = newest.withColumn("_batch", F.lit(1))
+        if folders:
+            current = _read_folders(spark, path, folders).select(*newest.columns)
+            merged = merged.unionByName(current.withColumn("_batch", F.lit(0)))
+        # Of equal versions the later batch wins.
+        merged = latest_version(merged, key, [version, "_batch"]).drop("_batch")
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
+        for bucket in touched:
+            for _, folder in held.get(bucket, [])[:-1]:
+                discard(spark, folder)
 
     return (
         pages.writeStream.foreachBatch(land)
@@ -79,5 +124,8 @@ def upsert_pages(
 
 
 def read_latest(spark: SparkSession, path: str, key: str = "url", version: str = "scraped_at") -> DataFrame:
-    """The current content of every page; of equal times the later batch wins."""
-    return latest_version(spark.read.parquet(path), key, [version, "batch"]).drop("batch")
+    """The current content of every page: one folder for each bucket, in which each key is one row."""
+    folders = [versions[-1][1] for versions in _versions(spark, path).values()]
+    if not folders:
+        raise ValueError(f"no finished batch in {path}")
+    return _read_folders(spark, path, folders).drop("batch", "bucket")

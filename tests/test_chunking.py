@@ -107,3 +107,32 @@ def test_layout_chunks_and_counts(spark):
     assert counts == {"a": (4, 1), "b": (0, 2)}
     kept = chunks.select(C.without_margins("segments").alias("s")).first()["s"]
     assert [s["segment_type"] for s in kept] == types[1:-1]
+
+
+def test_packing_with_a_real_tokenizer(spark):
+    """Chunks by the counts of a public tokenizer equal greedy packing in plain Python."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+
+    def load():
+        tokenizer = tokenizers.Tokenizer.from_file(path)
+        return lambda texts: [len(one.ids) for one in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    rows = [(r["doc_id"], (r["text"] or "").split("\n")) for r in rows] + [(-1, None), (-2, []), (-3, ["a", None, "b " * 400])]
+    frame = spark.createDataFrame(rows, "doc_id bigint, segments array<string>")
+    found = {}
+    for r in C.pack_segments(frame, ["doc_id"], "segments", 128, counts=C.tokenizer_counts(load)).collect():
+        found.setdefault(r["doc_id"], []).append((r["chunk_id"], r["segment_count"], r["token_count"]))
+    count = load()
+    for doc_id, segments in rows:
+        wanted, used, held = [], 0, 0
+        for size in count([s or "" for s in segments]) if segments else []:
+            if held and used + size > 128:
+                wanted.append((len(wanted), held, used))
+                used = held = 0
+            used, held = used + size, held + 1
+        if held:
+            wanted.append((len(wanted), held, used))
+        assert sorted(found.get(doc_id, [])) == wanted

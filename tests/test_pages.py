@@ -2,6 +2,8 @@ from urllib.robotparser import RobotFileParser
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from corpusloom.operators import pages as P
 
 AGENT = P.USER_AGENT
@@ -76,3 +78,45 @@ def test_latest_version(spark):
 @pytest.mark.parametrize("url, ok", [("http://x", True), ("ftp://x", False)])
 def test_split_by_scheme(spark, url, ok):
     assert P.split_by_scheme(spark.createDataFrame([(url,)], "url string")).first()["accepted"] is ok
+
+
+QUOTED = {
+    "q.example": "User-agent: *\nDisallow: /a b\nDisallow: /caf%C3%A9/\nAllow: /x%2Fy\nDisallow: /x\nDisallow: /p%ZZ\nDisallow: /q?k=%20\nDisallow: /plus+",
+    "r.example": "User-agent: *\nDisallow: /%7Ejoe/\nDisallow: /ü",
+}
+QUOTED_PATHS = [
+    "/a%20b", "/a b/c", "/a+b", "/café/1", "/caf%c3%a9/2", "/cafe", "/x/y", "/x%2fy/z", "/x", "/p%ZZ1", "/p%25ZZ", "/q?k=%20v", "/q?k=v",
+    "/plus+", "/plus%2B", "/plus%20", "/~joe/a", "/%7ejoe/a", "/%C3%BCber", "/über", "/100%", "",
+]
+
+
+def test_quoted_paths_agree_with_the_standard_parser(spark):
+    rules = [rule for host, text in QUOTED.items() for rule in rules_of(host, text)]
+    urls = [f"http://{host}{path}" for host in QUOTED for path in QUOTED_PATHS]
+    expected = {}
+    for url in urls:
+        parser = RobotFileParser()
+        parser.parse(QUOTED[url.split("/")[2]].splitlines())
+        expected[url] = parser.can_fetch(AGENT, url)
+    assert len(set(expected.values())) == 2
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    table = spark.createDataFrame(rules, "host string, agent string, rule_order int, path_prefix string, allow boolean")
+    got = {r["url"]: r["allowed"] for r in P.robots_decisions(pages, table).collect()}
+    assert {u: a for u, a in got.items() if a != expected[u]} == {}
+
+
+def test_a_hot_host_goes_to_many_tasks(spark):
+    pages = spark.range(4000).selectExpr("concat('http://hot/', id) AS url", "id")
+    rules = spark.createDataFrame([("hot", "*", 1, "/1", False)], "host string, agent string, rule_order int, path_prefix string, allow boolean")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        decided = P.robots_decisions(pages, rules)
+        sizes = [r["n"] for r in decided.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert len(sizes) == 4 and max(sizes) < 2000
+        assert decided.filter("NOT allowed").count() == 1111
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
