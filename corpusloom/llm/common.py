@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.session import fresh_path, shared_dir, stage, write_once
+from corpusloom.session import discard, fresh_path, shared_dir, stage, write_once
 
 __all__ = [
     "batches_of", "chance", "dealt", "discard", "fresh_path", "held_out", "mix64", "parts_for", "per_batch", "shared_dir", "ship",
@@ -23,12 +23,6 @@ __all__ = [
 _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Remove a table that was staged."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

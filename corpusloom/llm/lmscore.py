@@ -14,8 +14,8 @@ the corpus, so no task and not the driver holds them all. Documents are written
 in blocks of bounded size, a row each, as codes into the list of the block's own
 words. Each block sends every word and bigram it holds once, as a 64-bit key with its
 count, to the bucket where the key is summed; the sums come back to the blocks
-that hold the key, but for keys of one block alone, which that block counts
-itself. A bucket is a range of keys, and the number of buckets follows the
+that hold the key, by its place among the block's sorted keys, but for keys of
+one block alone, which that block counts itself. A bucket is a range of keys, and the number of buckets follows the
 words; a key, however frequent, meets as often as there are blocks. The driver
 sees a few totals.
 
@@ -44,7 +44,7 @@ BLOCK_WORDS, BLOCK_ROWS = 1 << 20, 1 << 16
 BUCKETS, BUCKET_KEYS = 1 << 8, 1 << 20
 CODED = "block bigint, ids array<bigint>, sizes binary, codes binary, keys binary"
 COUNTED = "bucket bigint, block bigint, keys binary, n binary"
-SUMMED = "block bigint, keys binary, near binary, far binary, totals array<bigint>"
+SUMMED = "block bigint, bucket bigint, shared binary, near binary, far binary, totals array<bigint>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -150,9 +150,13 @@ class Run:
         self.counts = np.concatenate([np.bincount(self.word, minlength=self.singles), times]).astype(np.int64)
 
 
+def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of sorted ``keys`` and where each begins; ``buckets`` is a power of two."""
+    return np.unique(keys >> np.uint64(64 - (buckets.bit_length() - 1)), return_index=True)
+
+
 def key_counts(coded: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, block, keys, n) of the words and bigrams of each block, counted before anything moves; ``buckets`` is a power of two."""
-    shift = np.uint64(64 - (buckets.bit_length() - 1))
+    """(bucket, block, keys, n) of the words and bigrams of each block, sorted and counted before anything moves."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -161,7 +165,7 @@ def key_counts(coded: DataFrame, buckets: int) -> DataFrame:
                 found = Run(block)
                 order = np.argsort(found.all_keys)
                 keys, n = found.all_keys[order], found.counts[order]
-                bucket, starts = np.unique(keys >> shift, return_index=True)
+                bucket, starts = by_bucket(keys, buckets)
                 place = np.full(len(bucket), block["block"], dtype=np.int64)
                 packed = [pa.array([pack(part) for part in np.split(some, starts)[1:]], pa.binary()) for some in (keys, n)]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(place), *packed], names=names(COUNTED))
@@ -170,13 +174,15 @@ def key_counts(coded: DataFrame, buckets: int) -> DataFrame:
 
 
 def summed_counts(counted: DataFrame) -> DataFrame:
-    """(block, keys, near, far, totals): counts in target and documents of the keys a block of documents does not hold alone.
+    """(block, bucket, shared, near, far, totals): which keys a block of documents does not hold alone, one bit for each of its
+    sorted keys in the bucket, and for those the counts in target and documents.
 
     A row without a block has the totals of its bucket: words of target and
     documents, different words of documents, of both, and of the target alone.
     """
 
     def run(pieces: pa.Table) -> pa.Table:
+        bucket = pieces.column("bucket")[0].as_py()
         blocks = pieces.column("block").to_pylist()
         parts = [unpack(some) for some in pieces.column("keys").to_pylist()]
         keys, n = np.concatenate(parts), unpack_all(pieces.column("n")).astype(np.int64)
@@ -189,15 +195,15 @@ def summed_counts(counted: DataFrame) -> DataFrame:
         word = single & np.uint64(1) == 0  # keys of words are even
         a, b = near[word], far[word]
         totals = [a.sum(), b.sum(), (b > 0).sum(), ((a > 0) & (b > 0)).sum(), ((a > 0) & (b == 0)).sum()]
-        out = [(None, None, None, None, list(map(int, totals)))]
+        out = [(None, bucket, None, None, None, list(map(int, totals)))]
         for block, start, end in zip(blocks, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
             if block >= 0:
                 at = back[start:end]
-                kept = np.flatnonzero((near[at] > 0) | (far[at] > n[start:end]))
-                if len(kept):
+                kept = (near[at] > 0) | (far[at] > n[start:end])
+                if kept.any():
                     at = at[kept]
-                    out.append((block, pack(single[at]), pack(near[at]), pack(far[at]), None))
-        types = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+                    out.append((block, bucket, np.packbits(kept).tobytes(), pack(near[at]), pack(far[at]), None))
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
         columns = [pa.array(column, of) for column, of in zip(zip(*out, strict=True), types, strict=True)]
         return pa.Table.from_arrays(columns, names=names(SUMMED))
 
@@ -238,7 +244,8 @@ def score(docs: DataFrame, target: DataFrame, block_words: int = BLOCK_WORDS) ->
     both = stage(blocks(docs, block_words).unionByName(blocks(passages, block_words, aim=True)), "coded")
     # Two bytes a word at least; a text has at most twice as many keys as words.
     most = both.agg(F.sum(F.octet_length("codes"))).first()[0] or 0
-    summed = stage(summed_counts(key_counts(both, max(BUCKETS, 1 << (most // BUCKET_KEYS).bit_length()))), "summed")
+    buckets = max(BUCKETS, 1 << (most // BUCKET_KEYS).bit_length())
+    summed = stage(summed_counts(key_counts(both, buckets)), "summed")
     sums = summed.where("block IS NULL").agg(*(F.coalesce(F.sum(F.col("totals")[at]), F.lit(0)) for at in range(5))).first()
     near_words, far_words, words, common, alone = sums
     # One class more: the words that only the target has.
@@ -253,8 +260,13 @@ def score(docs: DataFrame, target: DataFrame, block_words: int = BLOCK_WORDS) ->
         word, before, later, singles = found.word, found.before, found.later, found.singles
         near, far = np.zeros(len(found.counts), dtype=np.int64), found.counts
         order = np.argsort(found.all_keys)
-        at = order[np.searchsorted(found.all_keys, unpack_all(counts.column("keys")), sorter=order)]
-        near[at], far[at] = unpack_all(counts.column("near")), unpack_all(counts.column("far"))
+        place, starts = by_bucket(found.all_keys[order], buckets)
+        edges = dict(zip(place.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=False), strict=False))
+        for row in counts.select(["bucket", "shared", "near", "far"]).to_pylist():
+            start, end = edges[row["bucket"]]
+            shared = np.unpackbits(np.frombuffer(row["shared"], np.uint8), count=end - start).astype(bool)
+            at = order[start:end][shared]
+            near[at], far[at] = unpack(row["near"]), unpack(row["far"])
         near_pair, far_pair, numbers = np.zeros((3, len(word)), dtype=np.int64)
         numbers[later] = found.pair
         near_pair[later], far_pair[later] = near[singles:][found.pair], far[singles:][found.pair]
