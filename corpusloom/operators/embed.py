@@ -64,5 +64,63 @@ def model_embedder(load: Callable[[], Callable], batch: int = 256) -> Embedder:
     return embed
 
 
+def guarded_embedder(load: Callable[[], Callable], batch: int = 256) -> Embedder:
+    """:func:`model_embedder` whose failures are rows: a text that the model cannot embed has a NULL vector and the reason in
+    ``<output>_error``. A batch that fails is tried text by text, so one text does not cost the others."""
+
+    def embed(df: DataFrame, text: str, output: str) -> DataFrame:
+        @F.pandas_udf("vector array<float>, error string")
+        def run(chunks: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            model, broken = None, None
+            try:
+                model = load()
+            except Exception as failure:  # noqa: BLE001
+                broken = _reason(failure)
+            for texts in chunks:
+                held = texts.fillna("").tolist()
+                vectors, errors = [None] * len(held), [broken] * len(held)
+                for at in range(0, len(held) if model else 0, batch):
+                    part = held[at : at + batch]
+                    try:
+                        found = list(model(part))
+                        if len(found) != len(part):
+                            raise ValueError(f"{len(found)} vectors for {len(part)} texts")
+                        vectors[at : at + len(part)] = found
+                    except Exception:  # noqa: BLE001
+                        for place, one in enumerate(part, at):
+                            try:
+                                vectors[place] = list(model([one]))[0]
+                            except Exception as failure:  # noqa: BLE001
+                                errors[place] = _reason(failure)
+                yield pd.DataFrame({"vector": vectors, "error": errors})
+
+        held = df.withColumn("_embedded", run(F.col(text)))
+        return held.select(*df.columns, F.col("_embedded.vector").alias(output), F.col("_embedded.error").alias(f"{output}_error"))
+
+    return embed
+
+
+def _reason(failure: Exception) -> str:
+    return str(failure) or type(failure).__name__
+
+
+EMBEDDERS: dict[str, Callable[..., Embedder]] = {}
+
+
+def register_embedder(name: str, make: Callable[..., Embedder]) -> None:
+    """Let ``make(texts, text, **options)`` answer to ``name``; ``texts`` are what a fitted embedder learns from."""
+    EMBEDDERS[name] = make
+
+
+def embedder_named(name: str, texts: DataFrame, text: str = "text", **options) -> Embedder:
+    """The embedder registered under ``name``; an unknown name is an error."""
+    if name not in EMBEDDERS:
+        raise ValueError(f"unknown embedding model: {name}")
+    return EMBEDDERS[name](texts, text, **options)
+
+
+register_embedder("hashed-tfidf", HashedTfIdf.fit)
+
+
 def embed_documents(documents: DataFrame, embedder: Embedder, text: str = "text", output: str = "embedding") -> DataFrame:
     return embedder(documents, text, output)

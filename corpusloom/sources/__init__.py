@@ -5,6 +5,9 @@ from corpusloom.sources.readers import (
     failed_tasks,
     inline_urls,
     layout_rows,
+    load_chunk_corpus,
+    load_pages_json,
+    load_web_chunks_json,
     read_chunk_corpus,
     read_index,
     read_pages,
@@ -23,6 +26,9 @@ __all__ = [
     "failed_tasks",
     "inline_urls",
     "layout_rows",
+    "load_chunk_corpus",
+    "load_pages_json",
+    "load_web_chunks_json",
     "read_chunk_corpus",
     "read_index",
     "read_pages",

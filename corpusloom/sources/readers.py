@@ -10,19 +10,29 @@ from pyspark.sql import functions as F
 
 from corpusloom import schemas as S
 from corpusloom.functions import text as T
+from corpusloom.session import stage
 
 # The suffix of chunk files, of documents, and the folder of chunks.
 CHUNK_SUFFIX = ".md"
 DOCUMENT_SUFFIX = ".pdf"
 CHUNK_FOLDER = "chunks"
 SUCCEEDED = "Succeeded"
+LOAD_FAILED = "Error loading from "
+BAD_JSON = "unreadable JSON"
+NO_CHUNKS = "No chunks directory found in "
 
 CORPUS = "content string, path string, source string, source_type string, content_source string, metadata map<string,string>"
 
 
 def decoded_path(path: Column | str) -> Column:
-    """A percent-encoded file path as plain text; ``+`` is a plus sign here."""
-    return F.url_decode(F.replace(T.col(path), F.lit("+"), F.lit("%2B")))
+    """A percent-encoded file path as plain text; ``+`` is a plus sign here. A path that is not encoded stays as it is."""
+    plain = F.try_url_decode(F.replace(T.col(path), F.lit("+"), F.lit("%2B")))
+    return F.coalesce(plain, T.col(path))
+
+
+def _local(path: Column) -> Column:
+    """A path without the scheme of the local file system."""
+    return F.regexp_replace(path, r"\Afile:/*", "/")
 
 
 def _from_end(path: Column, position: int) -> Column:
@@ -46,9 +56,10 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def read_chunk_corpus(spark: SparkSession, root: str) -> DataFrame:
     """One row per ``<root>/<source>/chunks/**/*.md`` file.
 
-    Files that cannot be read are skipped and found by
+    Files that cannot be read, or are not UTF-8, are skipped and found by
     :func:`unreadable_chunks`; sources without a chunk folder give
-    no rows (see :func:`sources_without_chunks`).
+    no rows (see :func:`sources_without_chunks`). :func:`load_chunk_corpus`
+    gives the rows and the rejects of one read.
     """
 
     def read():
@@ -58,8 +69,8 @@ def read_chunk_corpus(spark: SparkSession, root: str) -> DataFrame:
             .option("ignoreCorruptFiles", True)
             .text(root, wholetext=True)
         )
-        below = F.regexp_replace(decoded_path("_metadata.file_path"), r"\Afile:/*", "/")
-        located = files.select(F.col("value").alias("content"), below.alias("path"))
+        files = files.filter(F.is_valid_utf8("value"))
+        located = files.select(F.col("value").alias("content"), _local(decoded_path("_metadata.file_path")).alias("path"))
         parts = F.split(F.regexp_extract("path", _below(root), 1), "/")
         held = located.withColumn("_parts", parts).filter(F.get("_parts", F.lit(1)) == CHUNK_FOLDER)
         source = F.get("_parts", F.lit(0))
@@ -78,18 +89,45 @@ def read_chunk_corpus(spark: SparkSession, root: str) -> DataFrame:
     return _or_empty(spark, CORPUS, read)
 
 
-def unreadable_chunks(spark: SparkSession, root: str) -> DataFrame:
-    """Rejects of :func:`read_chunk_corpus`: ``path`` of every chunk file it returns no row for."""
+def _chunk_files(spark: SparkSession, root: str) -> DataFrame:
+    """``path`` of every chunk file; contents stay unread. The listing gives paths as they are, not encoded."""
     listed = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", f"*{CHUNK_SUFFIX}")
         .load(root)
-        .select(F.regexp_replace(decoded_path("path"), r"\Afile:/*", "/").alias("path"))
+        .select(_local(F.col("path")).alias("path"))
     )
     parts = F.split(F.regexp_extract("path", _below(root), 1), "/")
-    chunks = listed.filter(F.get(parts, F.lit(1)) == CHUNK_FOLDER)
-    return chunks.join(read_chunk_corpus(spark, root).select("path"), "path", "left_anti")
+    return listed.filter(F.get(parts, F.lit(1)) == CHUNK_FOLDER)
+
+
+def _rejected(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    return files.join(chunks.select("path"), "path", "left_anti")
+
+
+def unreadable_chunks(spark: SparkSession, root: str) -> DataFrame:
+    """Rejects of :func:`read_chunk_corpus`: ``path`` of every chunk file it returns no row for."""
+    return _or_empty(spark, "path string", lambda: _rejected(_chunk_files(spark, root), read_chunk_corpus(spark, root)))
+
+
+def load_chunk_corpus(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """The chunks below ``root``, read once into the shared folder, and the failures: ``source, path, error``.
+
+    A file that cannot be read and a source folder without chunks are one failure each, a source without any file none.
+    """
+    chunks = stage(read_chunk_corpus(spark, root), "chunks")
+
+    def read():
+        files = _rejected(_chunk_files(spark, root), chunks)
+        source = F.get(F.split(F.regexp_extract("path", _below(root), 1), "/"), F.lit(0))
+        unread = files.select(source.alias("source"), "path", F.concat(F.lit(LOAD_FAILED), source, F.lit(": unreadable or not UTF-8")).alias("error"))
+        bare = sources_without_chunks(spark, root).select(
+            "source", F.lit(None).cast("string").alias("path"), F.concat(F.lit(NO_CHUNKS), "source").alias("error")
+        )
+        return unread.unionByName(bare)
+
+    return chunks, _or_empty(spark, "source string, path string, error string", read)
 
 
 def _below(root: str) -> str:
@@ -103,7 +141,7 @@ def _below(root: str) -> str:
 def _listing(spark: SparkSession, root: str) -> DataFrame:
     """Every file below ``root`` as source and relative parts; contents stay unread."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    path = F.regexp_replace(F.col("path"), r"\Afile:/*", "/")
+    path = _local(F.col("path"))
     return files.select(F.split(F.regexp_extract(path, _below(root), 1), "/").alias("parts")).filter(
         F.size("parts") > 1
     )
@@ -152,7 +190,7 @@ def document_files(spark: SparkSession, path: str) -> DataFrame:
         reader = reader.option("pathGlobFilter", f"*{DOCUMENT_SUFFIX}")
     files = reader.load(path).select("path", "length", "modificationTime")
     if not single:
-        inside = F.regexp_extract(F.regexp_replace("path", r"\Afile:/*", "/"), _below(path), 1)
+        inside = F.regexp_extract(_local(F.col("path")), _below(path), 1)
         files = files.filter((inside != "") & ~inside.contains("/"))
     if files.isEmpty():
         raise ValueError(f"no PDF files found in {path}")
@@ -196,11 +234,41 @@ def read_web_chunks_json(spark: SparkSession, path: str, lines: bool = True) ->
 
 
 def _json(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
-    """What is no object of the asked form is an error, so no record goes unseen."""
+    """What is no object of the asked form is an error, so no record goes unseen; ``load_*`` make it a failure row instead."""
     reader = spark.read.schema(schema).option("multiLine", not lines).option("mode", "FAILFAST")
     return reader.json(path).withColumn("scraped_at", F.try_to_timestamp("scraped_at"))
 
 
+def load_pages_json(spark: SparkSession, path: str, lines: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Page records that are readable, and a failure row (``path, record, error``) for each line, or file, that is not."""
+    return _json_with_rejects(spark, path, S.PAGES_JSON, lines)
+
+
+def load_web_chunks_json(spark: SparkSession, path: str, lines: bool = True) -> tuple[DataFrame, DataFrame]:
+    return _json_with_rejects(spark, path, S.WEB_CHUNKS_JSON, lines)
+
+
+def _json_with_rejects(spark: SparkSession, path: str, schema: str, lines: bool) -> tuple[DataFrame, DataFrame]:
+    """Each line, or with ``lines=False`` each file with its array, is parsed once; what fails is a row beside the others."""
+    held = f"{schema}, _corrupt_record string"
+    kind = f"struct<{held}>" if lines else f"array<struct<{held}>>"
+    texts = spark.read.text(path, wholetext=not lines)
+    parsed = F.from_json("value", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = texts.select(_local(decoded_path("_metadata.file_path")).alias("path"), F.col("value").alias("record"), parsed.alias("p"))
+    rows = stage(rows.filter(~T.is_blank("record")), "json")
+    if lines:
+        good = F.col("p").isNotNull() & F.col("p._corrupt_record").isNull()
+        # A line that is no object gives an object without any field.
+        good &= F.ltrim("record").startswith("{")
+        found = rows.filter(good).select("p.*")
+    else:
+        good = F.col("p").isNotNull() & ~F.exists("p", lambda one: one.isNull() | one["_corrupt_record"].isNotNull())
+        good &= F.regexp_like("record", F.lit(r"\A\s*\["))
+        found = rows.filter(good).select(F.inline("p"))
+    rejects = rows.filter(~F.coalesce(good, F.lit(False))).select("path", "record", F.lit(BAD_JSON).alias("error"))
+    return found.drop("_corrupt_record").withColumn("scraped_at", F.try_to_timestamp("scraped_at")), rejects
+
+
 def read_parse_tasks(spark: SparkSession, path: str) -> DataFrame:
     """Parse-task envelopes; a broken file becomes a row with ``_corrupt_record``."""
     return (
@@ -215,7 +283,7 @@ def read_parse_tasks(spark: SparkSession, path: str) -> DataFrame:
 def failed_tasks(tasks: DataFrame) -> DataFrame:
     """Quarantine: envelopes that are broken or did not succeed."""
     failed = F.col("status").isNull() | (F.col("status") != SUCCEEDED)
-    reason = F.coalesce("message", F.when(F.col("_corrupt_record").isNotNull(), F.lit("unreadable JSON")))
+    reason = F.coalesce("message", F.when(F.col("_corrupt_record").isNotNull(), F.lit(BAD_JSON)))
     return tasks.filter(failed).select("source", "task_id", "status", reason.alias("message"))
 
 

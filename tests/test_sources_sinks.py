@@ -191,3 +191,37 @@ def test_json_lines_keep_every_record(spark, web, tmp_path):
 
 def test_unreadable_chunks(spark, corpus):
     assert sources.unreadable_chunks(spark, corpus).count() == 0
+
+
+def test_broken_files_and_bare_folders_are_failures(spark, corpus):
+    bad = os.path.join(corpus, "a+b%", "chunks", "chunk_1.md")
+    with open(bad, "wb") as out:
+        out.write(b"caf\xe9 \xff")
+    chunks, failures = sources.load_chunk_corpus(spark, corpus)
+    assert sorted(r["content"] for r in chunks.collect()) == ["first\nchunk", "plus", "second"]
+    assert sorted(map(tuple, failures.collect()), key=str) == [
+        ("a+b%", bad, "Error loading from a+b%: unreadable or not UTF-8"), ("bare", None, "No chunks directory found in bare"),
+    ]
+    assert [r["path"] for r in sources.unreadable_chunks(spark, corpus).collect()] == [bad]
+    assert [f.count() for f in sources.load_chunk_corpus(spark, corpus + "-absent")] == [0, 0]
+
+
+@pytest.mark.parametrize("lines", [True, False])
+def test_one_bad_record_is_one_failure(spark, tmp_path, lines):
+    path = tmp_path / "in.json"
+    good = [{"url": "u1", "word_count": 3, "scraped_at": "2025-01-01T00:00:00"}, {"url": "u2"}]
+    if lines:
+        bad = ['{"url"', "[1, 2]", '"text"', '{"url": "u", "word_count": "many"}', "null"]
+        path.write_text("\n".join([json.dumps(good[0]), *bad, "", json.dumps(good[1])]) + "\n", encoding="utf-8")
+        files = [str(path)]
+    else:
+        path.write_text(json.dumps(good, indent=1), encoding="utf-8")
+        broken = tmp_path / "broken.json"
+        bad = ['[{"url": "u"},\n {"url"']
+        broken.write_text(bad[0], encoding="utf-8")
+        files = [str(path), str(broken)]
+    rows, rejects = sources.load_pages_json(spark, files, lines)
+    assert sorted((r["url"], r["word_count"]) for r in rows.collect()) == [("u1", 3), ("u2", None)]
+    assert sorted(r["record"] for r in rejects.collect()) == sorted(bad)
+    assert {r["error"] for r in rejects.collect()} == {"unreadable JSON"}
+    assert rows.columns == sources.read_pages_json(spark, str(path), lines).columns
