@@ -40,7 +40,7 @@ from corpusloom.llm.common import batches_of, mix64, ship, stage
 #: Words one block can tell apart; the vocabulary of all blocks has no bound.
 VOCABULARY = 1 << 31
 DISCOUNT, LEAN = 0.75, 8.0
-BLOCK_WORDS, BLOCK_ROWS = 1 << 20, 1 << 16
+BLOCK_WORDS, BLOCK_ROWS = 1 << 19, 1 << 16
 BUCKETS, BUCKET_KEYS = 1 << 8, 1 << 20
 CODED = "block bigint, ids array<bigint>, sizes binary, codes binary, keys binary"
 COUNTED = "bucket bigint, block bigint, keys binary, n binary"
