@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators.numbering import running_start
+from corpusloom.session import stage
 
 # Configuration names, prices in USD per million tokens, token
 # estimates, default prices, and the weights of the overall index score.
@@ -45,6 +46,24 @@ INDEX_TYPES = {
 SEARCH_WEIGHT, CREATION_WEIGHT, MEMORY_WEIGHT = 0.5, 0.3, 0.2
 BYTES_PER_VALUE = 4
 NO_SUCCESS = "No successful test results"
+UNKNOWN_ERROR = "Unknown error"
+# Headings and closing lines of the report.
+REPORT_TITLE = "# RAG Agent Performance Test Results"
+REPORT_SUMMARY = "## Test Summary"
+REPORT_METRICS = "## Performance Metrics"
+REPORT_BEST = "## Top Performing Configurations"
+REPORT_FASTEST = "### Fastest Overall Configuration"
+REPORT_COMPARISON = "## Model Performance Comparison"
+REPORT_TABLE = ("| Model | Avg Time (s) | Min Time (s) | Max Time (s) |", "|-------|--------------|--------------|---------------|")
+REPORT_ADVICE = (
+    "## Recommendations",
+    "Based on the test results:",
+    "1. **For fastest response times**, use the configuration listed above",
+    "2. **For cost optimization**, consider using smaller embedding models",
+    "3. **For accuracy**, experiment with different chunk sizes",
+    "4. **Monitor rate limits** when using OpenAI models in production",
+)
+REPORT_REASONS = 20
 DIMENSIONS = ("embedding_model", "search_algorithm", "llm_model", "chunk_size")
 
 
@@ -250,7 +269,8 @@ def report_lines(runs: DataFrame) -> DataFrame:
 
     Every section is a small aggregate; ``section, line_no`` give the order.
     """
-    summary = run_summary(runs)
+    # Small tables that several sections share are made once.
+    summary = stage(run_summary(runs), "run-summary")
 
     def number(column, digits=3):
         return F.format_string(f"%.{digits}f", F.col(column).cast("double"))
@@ -262,8 +282,8 @@ def report_lines(runs: DataFrame) -> DataFrame:
     head = lines(
         summary,
         1,
-        F.lit("# RAG Agent Performance Test Results"),
-        F.lit("## Test Summary"),
+        F.lit(REPORT_TITLE),
+        F.lit(REPORT_SUMMARY),
         F.concat(F.lit("- **Total Tests:** "), F.col("total_tests").cast("string")),
         F.concat(F.lit("- **Successful Tests:** "), F.col("successful_tests").cast("string")),
         F.concat(F.lit("- **Success Rate:** "), number("success_rate", 1), F.lit("%")),
@@ -271,7 +291,7 @@ def report_lines(runs: DataFrame) -> DataFrame:
     metrics = lines(
         summary.filter("successful_tests > 0"),
         2,
-        F.lit("## Performance Metrics"),
+        F.lit(REPORT_METRICS),
         F.concat(F.lit("- **Average Retrieval Time:** "), number("avg_retrieval_time"), F.lit("s")),
         F.concat(F.lit("- **Average Generation Time:** "), number("avg_generation_time"), F.lit("s")),
         F.concat(F.lit("- **Average Total Time:** "), number("avg_total_time"), F.lit("s")),
@@ -281,14 +301,14 @@ def report_lines(runs: DataFrame) -> DataFrame:
     best = lines(
         best_configs(runs).filter("metric = 'fastest_overall'"),
         3,
-        F.lit("### Fastest Overall Configuration"),
+        F.lit(REPORT_FASTEST),
         F.concat(F.lit("- **Embedding Model:** "), F.col("embedding_model")),
         F.concat(F.lit("- **Search Algorithm:** "), F.col("search_algorithm")),
         F.concat(F.lit("- **LLM Model:** "), F.col("llm_model")),
         F.concat(F.lit("- **Chunk Size:** "), F.col("chunk_size").cast("string")),
         F.concat(F.lit("- **Total Time:** "), number("total_time"), F.lit("s")),
     )
-    compared = runs_by_dimension(runs)
+    compared = stage(runs_by_dimension(runs), "run-dimensions")
     order = F.create_map(*[F.lit(x) for at, d in enumerate(DIMENSIONS) for x in (d, at)])
     cells = F.concat_ws(" | ", F.col("value"), number("mean_time"), number("min_time"), number("max_time"))
     by_value = Window.partitionBy("dimension").orderBy("value")
@@ -302,9 +322,38 @@ def report_lines(runs: DataFrame) -> DataFrame:
             summary.filter("successful_tests > 0"),
             at + 4,
             F.lit("### By " + dimension.replace("_", " ").title()),
-            F.lit("| Model | Avg Time (s) | Min Time (s) | Max Time (s) |"),
-            F.lit("|-------|--------------|--------------|---------------|"),
+            F.lit(REPORT_TABLE[0]),
+            F.lit(REPORT_TABLE[1]),
         )
         for at, dimension in enumerate(DIMENSIONS)
     ]
     return reduce(DataFrame.unionByName, [head, metrics, best, *titled, table])
+
+
+def full_report_lines(runs: DataFrame, generated: str) -> DataFrame:
+    """:func:`report_lines` with the time of the report, headings of its parts, the reasons of failures, recommendations.
+
+    Lines of the plain report keep their order at even ``line_no``.
+    """
+    spark = runs.sparkSession
+    base = report_lines(runs).withColumn("line_no", F.col("line_no") * 2)
+    fixed = [(1, 1, f"**Generated:** {generated}")] + [(99, at, line) for at, line in enumerate(REPORT_ADVICE)]
+    always = spark.createDataFrame(fixed, "section int, line_no int, line string")
+    headings = F.array(
+        *[
+            F.struct(F.lit(section).alias("section"), F.lit(-1).alias("line_no"), F.lit(line).alias("line"))
+            for section, line in ((3, REPORT_BEST), (4, REPORT_COMPARISON))
+        ]
+    )
+    # Headings of parts that only successful runs fill.
+    some = runs.agg(F.count_if("success").alias("n")).filter("n > 0").select(F.inline(headings))
+    failed = runs.filter(~F.coalesce("success", F.lit(False))).groupBy(F.coalesce("error", F.lit(UNKNOWN_ERROR)).alias("error")).agg(
+        F.count("*").alias("n")
+    )
+    first = Window.orderBy(F.col("n").desc(), "error")
+    # The most frequent reasons; all are in the raw results.
+    reasons = failed.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= REPORT_REASONS).select(
+        F.lit(2).alias("section"), (F.col("at") + 100).alias("line_no"),
+        F.concat(F.lit("- **Failed:** "), F.col("n").cast("string"), F.lit(" x "), F.col("error")).alias("line"),
+    )
+    return reduce(DataFrame.unionByName, [base, always, some, reasons])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import evaluation as E
-from corpusloom.plans.registry import query, table
+from corpusloom.plans.registry import RUN_DATE_ISO, query, table
 
 
 def runs(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,9 +119,7 @@ def run_ranking(spark, folder):
     return E.run_ranking(runs(spark, folder))
 
 
-@query(
-    "run_report",
-    f"""WITH {_RUNS}, {_SUMMARY}, {_BY_DIMENSION}, best AS (
+_REPORT = f"""WITH {_RUNS}, {_SUMMARY}, {_BY_DIMENSION}, best AS (
       SELECT * FROM runs WHERE success ORDER BY total_time, run_id LIMIT 1)
     SELECT 1 AS section, unnest(range(5))::INTEGER AS line_no, unnest(['# RAG Agent Performance Test Results',
       '## Test Summary', concat('- **Total Tests:** ', total_tests),
@@ -148,12 +146,39 @@ def run_ranking(spark, folder):
     UNION ALL
     SELECT (3 + list_position(['embedding_model', 'search_algorithm', 'llm_model', 'chunk_size'], dimension))::INTEGER,
       2 + row_number() OVER (PARTITION BY dimension ORDER BY value)::INTEGER,
-      printf('| %s | %.3f | %.3f | %.3f |', value, mean_time, min_time, max_time) FROM by_dimension""",
-)
+      printf('| %s | %.3f | %.3f | %.3f |', value, mean_time, min_time, max_time) FROM by_dimension"""
+
+
+@query("run_report", _REPORT)
 def run_report(spark, folder):
     return E.report_lines(runs(spark, folder))
 
 
+# Headings and closing lines of the report.
+_ADVICE = """VALUES (99, 0, '## Recommendations'), (99, 1, 'Based on the test results:'),
+      (99, 2, '1. **For fastest response times**, use the configuration listed above'),
+      (99, 3, '2. **For cost optimization**, consider using smaller embedding models'),
+      (99, 4, '3. **For accuracy**, experiment with different chunk sizes'),
+      (99, 5, '4. **Monitor rate limits** when using OpenAI models in production')"""
+
+
+@query(
+    "run_report_full",
+    f"""WITH report AS ({_REPORT}), {_RUNS},
+    failed AS (SELECT 'error event' AS error, count(*) AS n FROM runs WHERE NOT success HAVING count(*) > 0)
+    SELECT section, line_no * 2 AS line_no, line FROM report
+    UNION ALL SELECT 1, 1, '**Generated:** {RUN_DATE_ISO}'
+    UNION ALL SELECT * FROM (VALUES (3, -1, '## Top Performing Configurations'), (4, -1, '## Model Performance Comparison'))
+      WHERE (SELECT count(*) FROM runs WHERE success) > 0
+    UNION ALL SELECT 2, 100 + row_number() OVER (ORDER BY n DESC, error)::INTEGER, concat('- **Failed:** ', n, ' x ', error)
+      FROM failed QUALIFY row_number() OVER (ORDER BY n DESC, error) <= 20
+    UNION ALL ({_ADVICE})""",
+)
+def run_report_full(spark, folder):
+    """The report with its time, headings, reasons of failures and recommendations."""
+    return E.full_report_lines(runs(spark, folder), RUN_DATE_ISO)
+
+
 @query(
     "experiment_grid",
     """SELECT item_id, text AS query, embedding_model, search_algorithm, llm_model, chunk_size

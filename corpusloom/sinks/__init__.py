@@ -6,6 +6,7 @@ from corpusloom.sinks.writers import (
     write_content_summary,
     write_corpus_text,
     write_index,
+    write_index_runs,
     write_lines,
     write_pages_json,
     write_report,
@@ -20,6 +21,7 @@ __all__ = [
     "write_content_summary",
     "write_corpus_text",
     "write_index",
+    "write_index_runs",
     "write_lines",
     "write_pages_json",
     "write_report",

@@ -138,6 +138,18 @@ def write_results(runs: DataFrame, path: str, prefix: str | None = None) -> None
         "by_dimension": E.runs_by_dimension(runs),
     }.items():
         table.write.mode("overwrite").json(f"{base}_analysis/{name}")
+    report = E.full_report_lines(runs, datetime.now().isoformat())
+    write_lines(report, ["section", "line_no"], f"{base}_summary")
+
+
+def write_index_runs(runs: DataFrame, path: str, prefix: str | None = None) -> None:
+    """All runs of an index comparison, failures too, as JSON, and their ranking beside them.
+
+    Without a prefix the name carries the time of the call.
+    """
+    prefix = prefix or datetime.now().strftime("vector_benchmark_%Y%m%d_%H%M%S")
+    runs.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/{prefix}.json")
+    E.index_ranking(runs.filter("success")).write.mode("overwrite").json(f"{path}/{prefix}_ranking")
 
 
 def write_report(runs: DataFrame, path: str) -> None:

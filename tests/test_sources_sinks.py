@@ -225,3 +225,22 @@ def test_one_bad_record_is_one_failure(spark, tmp_path, lines):
     assert sorted(r["record"] for r in rejects.collect()) == sorted(bad)
     assert {r["error"] for r in rejects.collect()} == {"unreadable JSON"}
     assert rows.columns == sources.read_pages_json(spark, str(path), lines).columns
+
+
+def test_results_come_with_their_report_and_index_runs_with_failures(spark, tmp_path):
+    runs = spark.createDataFrame([run(1), run(2, ok=False), run(3, ok=False)], schemas.RUNS)
+    sinks.write_results(runs, str(tmp_path), "t")
+    lines = lines_of(f"{tmp_path}/t_summary")
+    assert lines[0] == "# RAG Agent Performance Test Results" and lines[1].startswith("**Generated:** 20")
+    assert "- **Failed:** 2 x boom" in lines and lines[-6] == "## Recommendations"
+    assert lines.index("## Top Performing Configurations") < lines.index("### Fastest Overall Configuration") < lines.index("## Model Performance Comparison")
+    none = [r["line"] for r in E.full_report_lines(runs.filter("NOT success"), "now").collect()]
+    assert "## Model Performance Comparison" not in none and "- **Success Rate:** 0.0%" in none
+    rows = [
+        (0, "Flat L2", "flat_l2", True, None, 1.0, 0.5, 0.5, 2.0, 3.0, 1.0, 4.0, 0.5, 10, 4),
+        (1, "IVF PQ", "ivf_pq", False, "too few vectors", None, None, None, None, None, None, None, None, None, None),
+    ]
+    sinks.write_index_runs(spark.createDataFrame(rows, schemas.INDEX_RUNS), str(tmp_path), "v")
+    written = {r["index_name"]: r for r in map(json.loads, lines_of(f"{tmp_path}/v.json"))}
+    assert written["IVF PQ"]["error"] == "too few vectors" and written["Flat L2"]["num_vectors"] == 10
+    assert [json.loads(line)["index_name"] for line in lines_of(f"{tmp_path}/v_ranking")] == ["Flat L2"]
