@@ -17,7 +17,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -56,6 +56,8 @@ START_ROWS = 16
 TRAINING_ROWS = 1_000_000
 RERANK = 50
 HASH_TABLES = 8
+#: Bits of a bucket, the share of buckets probed by default, and the mark of what they learn in a stored index.
+BUCKET_BITS, BUCKET_PROBES, BUCKET_BOOK = 8, 0.6, -2
 BUCKET_LENGTH = 0.1
 #: The strategy the others are held against.
 EXACT = "Flat L2"
@@ -94,6 +96,15 @@ class CodeIndex:
         return CellIndex(self.rows, self.centroids, self.copies)
 
 
+@dataclass
+class BucketIndex:
+    """Vectors with the bucket of their bits: on which side of the middle they are along each of a few directions."""
+
+    rows: DataFrame
+    directions: object
+    middles: object
+
+
 def _gaps(rows, centers):
     """Squared distances up to a number that each row has for all centers."""
     return (centers * centers).sum(axis=1)[None, :] - 2.0 * rows @ centers.T
@@ -115,6 +126,16 @@ def _spread_out(rows: np.ndarray, count: int) -> np.ndarray:
     return rows[chosen]
 
 
+def _sample(corpus: DataFrame, most: int = TRAINING_ROWS) -> tuple[DataFrame, int]:
+    """Vectors to learn from, and the number of all: all of them up to ``most``, beyond that a share that a hash picks."""
+    known = corpus.filter(F.col("embedding").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    total = known.count()
+    if total > most:
+        share = int(most / total * (1 << 32))
+        known = known.filter(F.pmod(F.xxhash64(F.lit(SEED), "vec_id"), F.lit(1 << 32)) < share)
+    return stage(known, "training"), total
+
+
 def train(
     corpus: DataFrame, cells: int | None = None, parts: int = 0, bits: int = CODE_BITS, sample_rows: int = TRAINING_ROWS
 ) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -124,13 +145,8 @@ def train(
     sum and a count for each center. The sample is all vectors up to ``sample_rows``, beyond that the share of them that a
     hash of vec_id picks.
     """
-    known = corpus.filter(F.col("embedding").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    total = known.count()
+    sample, total = _sample(corpus, sample_rows)
     cells = cells or cell_count(total)
-    if total > sample_rows:
-        share = int(sample_rows / total * (1 << 32))
-        known = known.filter(F.pmod(F.xxhash64(F.lit(SEED), "vec_id"), F.lit(1 << 32)) < share)
-    sample = stage(known, "training")
     # The first centers come from a few rows for each, picked by hash.
     size = START_ROWS * max(cells, 2**bits if parts else 0)
     first = sample.orderBy(F.xxhash64(F.lit(SEED), "vec_id"), "vec_id").limit(size).toArrow()
@@ -227,23 +243,86 @@ def build_codes(
     return CodeIndex(_placed(corpus, centroids, books, copies), centroids, books, copies)
 
 
-def save_index(index: CellIndex | CodeIndex, path: str) -> None:
-    """Vectors in a folder per cell, each file with a bounded part of a cell; centroids and books as a table beside them."""
+def build_buckets(corpus: DataFrame, bits: int = BUCKET_BITS) -> BucketIndex:
+    """Vectors by bucket: a bit for each of the ``bits`` directions along which a bounded sample varies most, parted at its
+    median, so buckets are of like size."""
+    sample, _ = _sample(corpus)
+    features = sample.select(array_to_vector("embedding").alias("_features"))
+    head = sample.select(F.size("embedding").alias("width")).first()
+    if head is None:
+        return BucketIndex(corpus.withColumn("bucket", F.lit(0)), np.zeros((0, 0)), np.zeros(0))
+    model = PCA(k=min(bits, head["width"]), inputCol="_features", outputCol="_along").fit(features)
+    along = model.transform(features).select(F.posexplode(vector_to_array("_along")).alias("bit", "at"))
+    middles = along.groupBy("bit").agg(F.percentile_approx("at", 0.5, 10_000).alias("middle")).orderBy("bit").collect()
+    directions = model.pc.toArray().T
+    held = np.array([row["middle"] for row in middles])
+
+    @F.arrow_udf("int")
+    def place(vectors: pa.Array) -> pa.Array:
+        return pa.array(((_matrix(vectors) @ directions.T > held) @ (1 << np.arange(len(held)))).astype(np.int32))
+
+    known = corpus.filter(F.col("embedding").isNotNull())
+    return BucketIndex(known.withColumn("bucket", place("embedding")), directions, held)
+
+
+def with_buckets(queries: DataFrame, index: BucketIndex, probes: int | float, name: str = "asked") -> DataFrame:
+    """Add the buckets to probe: the query's own first, then those for which it crosses the least squared distance to the
+    middles. A number below 1 is a share of all buckets, at least one."""
+    directions, middles = index.directions, index.middles
+    count = 1 << len(middles)
+    probes = max(1, int(probes * count)) if 0 < probes < 1 else probes
+
+    @F.pandas_udf("array<int>")
+    def buckets(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        gap = np.array(vectors.tolist(), dtype=np.float64) @ directions.T - middles
+        bits = np.arange(count)[:, None] >> np.arange(len(middles)) & 1
+        side, cost = gap > 0, gap * gap
+        # Bits that differ: those set on the wrong side, each at the square of its gap.
+        away = np.where(side, 0.0, cost) @ bits.T + np.where(side, cost, 0.0) @ (1 - bits.T)
+        return pd.Series(np.argsort(away, axis=1, kind="stable")[:, :probes].tolist())
+
+    known = queries.filter(F.col("query_vector").isNotNull())
+    return known.withColumn(name, buckets(F.col("query_vector").cast("array<double>")))
+
+
+def search_probed(
+    index: BucketIndex, queries: DataFrame, k: int = DEFAULT_K, probes: int | float = 1, counter: Observation | None = None
+) -> DataFrame:
+    """Exact L2 over the probed buckets only; a stored index is pruned to their folders."""
+    if not len(index.middles):
+        return nearest(index.rows, queries, "l2", k, counter=counter)
+    asked = with_buckets(queries, index, probes)
+    return nearest(index.rows, asked, "l2", k, row_keys="bucket", query_keys="asked", counter=counter)
+
+
+@strategy("lsh")
+def lsh(corpus, queries, k=DEFAULT_K, bits=BUCKET_BITS, probes=BUCKET_PROBES, counter=None, index=None):
+    return search_probed(index or build_buckets(corpus, bits), queries, k, probes, counter)
+
+
+def save_index(index: CellIndex | CodeIndex | BucketIndex, path: str) -> None:
+    """Vectors in a folder per cell or bucket, each file with a bounded part of it; what was learned as a table beside them."""
     spark = index.rows.sparkSession
+    column = "bucket" if isinstance(index, BucketIndex) else "cell"
     rows = stage(index.rows, "index-rows")
-    # One row a cell: how many files it takes.
-    files = rows.groupBy("cell").agg(F.ceil(F.count("*") / FILE_ROWS).cast("int").alias("_files"))
-    spread = rows.join(F.broadcast(files), "cell").withColumn("_file", F.pmod(F.xxhash64("vec_id"), F.col("_files")))
-    dealt = spread.repartition("cell", "_file").drop("_file", "_files")
-    dealt.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
-    sets = [index.centroids, *getattr(index, "books", [])]
-    centers = [(book - 1, at, [float(x) for x in row]) for book, own in enumerate(sets) for at, row in enumerate(own)]
+    # One row a folder: how many files it takes.
+    files = rows.groupBy(column).agg(F.ceil(F.count("*") / FILE_ROWS).cast("int").alias("_files"))
+    spread = rows.join(F.broadcast(files), column).withColumn("_file", F.pmod(F.xxhash64("vec_id"), F.col("_files")))
+    dealt = spread.repartition(column, "_file").drop("_file", "_files")
+    dealt.write.mode("overwrite").partitionBy(column).parquet(f"{path}/vectors")
+    if isinstance(index, BucketIndex):
+        sets = {BUCKET_BOOK: np.column_stack([index.directions, index.middles])}
+    else:
+        sets = dict(enumerate([index.centroids, *getattr(index, "books", [])], -1))
+    centers = [(book, at, [float(x) for x in row]) for book, own in sets.items() for at, row in enumerate(own)]
     table = spark.createDataFrame(centers, "book int, center int, place array<double>")
-    table.withColumn("copies", F.lit(index.copies)).coalesce(1).write.mode("overwrite").parquet(f"{path}/centers")
+    table.withColumn("copies", F.lit(getattr(index, "copies", 1))).coalesce(1).write.mode("overwrite").parquet(f"{path}/centers")
 
 
-def load_index(spark: SparkSession, path: str) -> CellIndex | CodeIndex:
-    """An index that :func:`save_index` stored; its size in the driver is that of the centroids and books."""
+def load_index(spark: SparkSession, path: str) -> CellIndex | CodeIndex | BucketIndex:
+    """An index that :func:`save_index` stored; its size in the driver is that of what was learned."""
     rows = spark.read.parquet(f"{path}/vectors")
     held: dict[int, list] = {}
     copies = 1
@@ -251,6 +330,8 @@ def load_index(spark: SparkSession, path: str) -> CellIndex | CodeIndex:
         held.setdefault(row["book"], []).append(row["place"])
         copies = row["copies"]
     centers = [np.array(held[book], dtype=np.float64) for book in sorted(held)]
+    if BUCKET_BOOK in held:
+        return BucketIndex(rows, centers[0][:, :-1], centers[0][:, -1])
     return CodeIndex(rows, centers[0], centers[1:], copies) if len(centers) > 1 else CellIndex(rows, centers[0], copies)
 
 
@@ -400,9 +481,8 @@ def search_buckets(
 
 
 @strategy("hnsw")
-@strategy("lsh")
-def lsh(corpus, queries, k=DEFAULT_K, tables=HASH_TABLES, length=BUCKET_LENGTH, counter=None):
-    """Hash buckets; they also answer to the name of the neighbour graph, which does not distribute."""
+def hash_tables(corpus, queries, k=DEFAULT_K, tables=HASH_TABLES, length=BUCKET_LENGTH, counter=None):
+    """Buckets of several hash tables take the place of a neighbour graph, which does not distribute."""
     return search_buckets(corpus, queries, k, tables, length, counter)
 
 

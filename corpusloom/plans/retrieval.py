@@ -268,17 +268,21 @@ def index_comparison_rows(spark, folder):
     return ann.compare_indexes(vectors(spark, folder), row_queries(spark, folder), options=OPTIONS)
 
 
-def stored_index(spark: SparkSession, folder: str, kind: str) -> ann.CellIndex | ann.CodeIndex:
+def stored_index(spark: SparkSession, folder: str, kind: str) -> ann.CellIndex | ann.CodeIndex | ann.BucketIndex:
     """An index over the whole table, written to the shared folder and opened again."""
-    build = ann.build_codes if kind == "ivf_pq" else ann.build_cells
+    corpus = vectors(spark, folder)
+    if kind == "lsh":
+        built = ann.build_buckets(corpus)
+    else:
+        built = (ann.build_codes if kind == "ivf_pq" else ann.build_cells)(corpus, copies=COPIES)
     path = fresh_path(spark, "index")
-    ann.save_index(build(vectors(spark, folder), copies=COPIES), path)
+    ann.save_index(built, path)
     return ann.load_index(spark, path)
 
 
-def _stored(spark, folder, kind, **options):
+def _stored(spark, folder, kind, probes=PROBES, **options):
     corpus, asked = vectors(spark, folder), row_queries(spark, folder)
-    found = search.search(kind, corpus, asked, index=stored_index(spark, folder, kind), probes=PROBES, **options)
+    found = search.search(kind, corpus, asked, index=stored_index(spark, folder, kind), probes=probes, **options)
     exact = search.search("flat_l2", corpus, asked)
     return found.join(ann.recall(found, exact), "query_id").select("query_id", "rank", "vec_id", "score", "recall")
 
@@ -293,3 +297,9 @@ def stored_ivf_rows(spark, folder):
 def stored_ivfpq_rows(spark, folder):
     """Hits of a stored index of product codes, each query with its recall."""
     return _stored(spark, folder, "ivf_pq", rerank=RERANK)
+
+
+@query("stored_lsh_rows")
+def stored_lsh_rows(spark, folder):
+    """Hits of a stored index of buckets, each query with its recall; less than the whole table is read."""
+    return _stored(spark, folder, "lsh", ann.BUCKET_PROBES)

@@ -211,7 +211,7 @@ def test_many_queries_go_through_tiles_for_approximate_search_too(data, monkeypa
     same(result(ann.ivf_flat(corpus, queries, 5, cells=4, probes=4)), expected)
     # Two bits tell too little for a short list of 50 rows to hold the exact hits, so all rows are compared anew.
     same(result(ann.ivf_pq(corpus, queries, 5, cells=4, probes=4, bits=2, rerank=300)), expected)
-    assert set(result(ann.lsh(corpus, queries, 5, tables=2, length=1000.0))) <= set(expected)
+    assert set(result(ann.hash_tables(corpus, queries, 5, tables=2, length=1000.0))) <= set(expected)
 
 
 def test_ragged_vectors_are_refused(spark):
@@ -295,25 +295,44 @@ def test_training_is_one_pass_a_round(spark, data):
     assert sampled.shape == (5, DIM)
 
 
-@pytest.mark.parametrize("kind", ["ivf_flat", "ivf_pq"])
+@pytest.mark.parametrize("kind", ["ivf_flat", "ivf_pq", "lsh"])
 def test_a_stored_index_gives_the_same_hits(spark, data, tmp_path, kind):
     corpus, queries, *_ = data
-    built = ann.build_codes(corpus, 6, parts=4, bits=3, copies=2) if kind == "ivf_pq" else ann.build_cells(corpus, 6, copies=2)
+    if kind == "lsh":
+        built = ann.build_buckets(corpus, 4)
+    else:
+        built = ann.build_codes(corpus, 6, parts=4, bits=3, copies=2) if kind == "ivf_pq" else ann.build_cells(corpus, 6, copies=2)
     ann.save_index(built, str(tmp_path))
     # Nothing but the folder is known in the other session.
     opened = ann.load_index(spark.newSession(), str(tmp_path))
-    assert type(opened) is type(built) and opened.copies == 2
+    assert type(opened) is type(built) and getattr(opened, "copies", 2) == 2
     options = {"rerank": 20} if kind == "ivf_pq" else {}
     wanted = search.search(kind, corpus, queries, 5, index=built, probes=2, **options)
     found = search.search(kind, corpus, queries, 5, index=opened, probes=2, **options)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PartitionFilters: \[[^\]]*cell#", plan)
+    assert re.search(r"PartitionFilters: \[[^\]]*(cell|bucket)#", plan)
+
+
+def test_all_buckets_are_exact_and_a_share_finds_most(spark, data):
+    corpus, queries, matrix, asked, _ = data
+    index = ann.build_buckets(corpus, 5)
+    same(result(ann.search_probed(index, queries, 5, probes=32)), brute(matrix, asked, "l2", 5))
+    selves = corpus.filter("vec_id < 7").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    own = {r["query_id"]: r["asked"] for r in ann.with_buckets(selves, index, 1).collect()}
+    assert own == {r["vec_id"]: [r["bucket"]] for r in index.rows.filter("vec_id < 7").collect()}
+    assert search.search("lsh", corpus.limit(0), queries).count() == 0
+    for folder in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        table, rows = retrieval.vectors(spark, folder), retrieval.row_queries(spark, folder)
+        counter = Observation("scored")
+        found = search.search("lsh", table, rows, counter=counter)
+        got = ann.recall(found, search.search("flat_l2", table, rows)).agg(F.avg("recall")).first()[0]
+        assert got >= 0.9 and counter.get["scored"] < 0.7 * table.count() * rows.count()
 
 
 def test_comparison_counts_what_is_compared(data):
     corpus, queries, *_ = data
     rows = {r["index_type"]: r for r in ann.compare_indexes(corpus, queries, 5, {"ivf_flat": {"probes": 3}, "ivf_pq": {"bits": 3, "probes": 30}}).collect()}
-    assert set(rows) == {"flat_l2", "flat_ip", "ivf_flat", "ivf_pq", "lsh"}
+    assert set(rows) == {"flat_l2", "flat_ip", "ivf_flat", "ivf_pq", "hash_tables"}
     assert rows["flat_l2"]["scored"] == rows["flat_ip"]["scored"] == rows["ivf_pq"]["scored"] == 300 * 4
     assert 0 < rows["ivf_flat"]["scored"] < 300 * 4 and rows["flat_l2"]["recall_at_k"] == 1.0
