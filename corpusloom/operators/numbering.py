@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-from operator import and_
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusloom.session import shared_dir
 
@@ -24,8 +26,9 @@ def running_start(
     """Sum of ``weight`` over the earlier rows of the same group, from 0.
 
     The rows are sorted over the cluster and checkpointed once, which fixes how
-    they fall into sorted runs. Positions are then counted inside a run, and a
-    small table of totals per (group, run) shifts them. A group of any size is
+    they fall into sorted runs; that sort is the only shuffle. Positions are
+    counted inside a run. Only the first group of a run can have begun before
+    it, so a row per run says where that group stands. A group of any size is
     spread over as many runs as it needs. Pass narrow rows: keys, not texts.
     """
     shared_dir(rows.sparkSession)
@@ -33,30 +36,89 @@ def running_start(
     placed = (
         rows.orderBy(*group, *order)
         .withColumn("_place", F.monotonically_increasing_id())
-        .withColumn("_amount", amount.cast("bigint"))
+        .withColumn("_amount", F.coalesce(amount.cast("bigint"), F.lit(0)))
         .checkpoint()
-        .withColumn("_run", F.shiftright("_place", PARTITION_BITS))
     )
-    keys = [*group, "_run"]
-    totals = placed.groupBy(*keys).agg(F.sum("_amount").alias("_total"))
-    earlier_runs = (
-        Window.partitionBy(*group).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    shifts = totals.select(
-        *keys, F.coalesce(F.sum("_total").over(earlier_runs), F.lit(0)).alias("_shift")
-    )
-    earlier_rows = (
-        Window.partitionBy(*keys).orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    inside = placed.withColumn("_ahead", F.coalesce(F.sum("_amount").over(earlier_rows), F.lit(0)))
-    # Null-safe, so rows without a group are numbered as one more group.
-    shifts = shifts.select("_shift", *[F.col(key).alias(f"_of_{key}") for key in keys])
-    same = reduce(and_, [F.col(key).eqNullSafe(F.col(f"_of_{key}")) for key in keys])
-    return (
-        inside.join(shifts, same)
-        .withColumn(name, (F.col("_ahead") + F.col("_shift")).cast("bigint"))
-        .drop("_place", "_amount", "_run", "_ahead", "_shift", *[f"_of_{key}" for key in keys])
+    group = list(group)
+    kind = ", ".join(f"{key}: {placed.schema[key].dataType.simpleString()}" for key in group) or "_all: bigint"
+    # One row a run: its first and last group, what each holds of it, and whether they are one.
+    held = placed.select("_place", "_amount", *group).mapInArrow(
+        _edges(group), f"run bigint, first struct<{kind}>, head bigint, last struct<{kind}>, tail bigint, one boolean"
     )
+    shifts, open_, carried = {}, None, 0
+    for run in sorted(held.collect(), key=lambda row: row["run"]):
+        shift = carried if open_ == run["first"] else 0
+        shifts[run["run"]] = shift
+        open_, carried = run["last"], run["tail"] + (shift if run["one"] else 0)
+    fields = [*rows.columns, name]
+    schema = StructType([*(field for field in placed.schema if field.name in rows.columns), StructField(name, LongType())])
+    return placed.mapInArrow(_positions(group, shifts, rows.columns, name), schema).select(*fields)
+
+
+def _borders(batch: pa.RecordBatch, group: list[str], before: list | None) -> np.ndarray:
+    """Whether each row begins a group, given the keys of the row before the batch."""
+    fresh = np.zeros(batch.num_rows, dtype=bool)
+    for key in group:
+        codes = pc.dictionary_encode(batch.column(key), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        fresh[1:] |= codes[1:] != codes[:-1]
+    fresh[0] = before is not None and before != _keys(batch, group, 0)
+    return fresh
+
+
+def _keys(batch: pa.RecordBatch, group: list[str], at: int) -> list:
+    return [batch.column(key)[at].as_py() for key in group]
+
+
+def _edges(group: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = first = last = ends = None
+        head = tail = 0
+        one = True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            amount = batch.column("_amount").to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(_borders(batch, group, last))
+            if number is None:
+                number, first = batch.column("_place")[0].as_py() >> PARTITION_BITS, batch.slice(0, 1)
+            if one:
+                head += int(amount[: starts[0]].sum()) if len(starts) else int(amount.sum())
+            tail = int(amount[starts[-1] :].sum()) if len(starts) else tail + int(amount.sum())
+            one = one and not len(starts)
+            last, ends = _keys(batch, group, batch.num_rows - 1), batch.slice(batch.num_rows - 1)
+        if number is not None:
+
+            def named(row: pa.RecordBatch) -> pa.StructArray:
+                columns = [row.column(key) for key in group] or [pa.array([0], pa.int64())]
+                return pa.StructArray.from_arrays(columns, names=group or ["_all"])
+
+            columns = [pa.array([number]), named(first), pa.array([head]), named(ends), pa.array([tail]), pa.array([one])]
+            yield pa.RecordBatch.from_arrays(columns, names=["run", "first", "head", "last", "tail", "one"])
+
+    return run
+
+
+def _positions(group: list[str], shifts: dict[int, int], columns: list[str], name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ahead = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if last is None:
+                ahead = shifts[batch.column("_place")[0].as_py() >> PARTITION_BITS]
+            amount = batch.column("_amount").to_numpy(zero_copy_only=False)
+            fresh = _borders(batch, group, last)
+            sums = np.cumsum(amount) - amount
+            # Each row counts from the start of its group; the rows before the first border go on from what is ahead.
+            begin = np.flatnonzero(fresh)
+            base = np.concatenate([[-ahead], sums[begin]])[np.cumsum(fresh)]
+            start = sums - base
+            ahead = int(start[-1] + amount[-1])
+            last = _keys(batch, group, batch.num_rows - 1)
+            arrays = [batch.column(column) for column in columns]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(start.astype(np.int64))], names=[*columns, name])
+
+    return run
 
 
 def with_next(
@@ -75,17 +137,14 @@ def with_next(
     following = Window.partitionBy(group, "_block").orderBy(order)
     payload = F.struct(*columns)
     inside = blocked.withColumn("_next", F.lead(payload).over(following))
-    heads = blocked.groupBy(group, "_block").agg(F.min(order).alias("_head"))
+    # The first row of each block is all that another block needs; one row a block travels.
+    heads = blocked.groupBy(group, "_block").agg(F.min_by(payload, order).alias("_head"))
     by_block = Window.partitionBy(group).orderBy("_block")
     crossing = heads.select(
-        group, "_block", F.lead("_head").over(by_block).alias("_next_head")
-    ).filter("_next_head is not null")
-    here = rows.select(F.col(group).alias("_group"), F.col(order).alias("_order"), payload.alias("_carried"))
-    carried = crossing.join(
-        here, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_next_head") == F.col("_order"))
-    ).select("_group", F.col("_block").alias("_end"), "_carried")
+        F.col(group).alias("_group"), F.col("_block").alias("_end"), F.lead("_head").over(by_block).alias("_carried")
+    ).filter("_carried is not null")
     return (
-        inside.join(carried, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_block") == F.col("_end")), "left")
+        inside.join(crossing, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_block") == F.col("_end")), "left")
         .withColumn("next", F.coalesce("_next", "_carried"))
         .drop("_block", "_next", "_carried", "_group", "_end")
     )

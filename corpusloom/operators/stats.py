@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import render as R
 from corpusloom.functions import text as T
 from corpusloom.operators.chunking import CHUNK_WORDS, MIN_CHUNK_CHARS, chunk_rows
+from corpusloom.session import stage
 
 # Fixed value: the source name of a document without one.
 MISSING_SOURCE = "unknown"
@@ -18,7 +19,9 @@ def source_stats(documents: DataFrame, source: str = "source") -> DataFrame:
     counts = documents.groupBy(F.coalesce(F.col(source), F.lit(MISSING_SOURCE)).alias("source")).agg(
         F.count("*").alias("documents")
     )
-    total = documents.agg(F.count("*").alias("n")).scalar()
+    # A row a source: the total is theirs, and the documents are scanned once.
+    counts = stage(counts, "source-counts")
+    total = counts.agg(F.sum("documents").alias("n")).scalar()
     share = F.lit(100.0) * F.col("documents") / total
     return counts.withColumn("percentage", F.round(share, 6))
 

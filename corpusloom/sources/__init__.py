@@ -9,6 +9,7 @@ from corpusloom.sources.readers import (
     load_pages_json,
     load_web_chunks_json,
     read_chunk_corpus,
+    read_chunk_export,
     read_index,
     read_pages,
     read_pages_json,
@@ -30,6 +31,7 @@ __all__ = [
     "load_pages_json",
     "load_web_chunks_json",
     "read_chunk_corpus",
+    "read_chunk_export",
     "read_index",
     "read_pages",
     "read_pages_json",

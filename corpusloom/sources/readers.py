@@ -89,6 +89,33 @@ def read_chunk_corpus(spark: SparkSession, root: str) -> DataFrame:
     return _or_empty(spark, CORPUS, read)
 
 
+def read_chunk_export(spark: SparkSession, path: str) -> DataFrame:
+    """The chunk files that the writer exports (``source=…/chunk_id=…``) in the form of :func:`read_chunk_corpus`, with their
+    ``chunk_id``; the line break at the end of a file is the writer's."""
+
+    def read():
+        files = spark.read.schema("value string, source string, chunk_id bigint").option("wholetext", True).option("basePath", path)
+        rows = files.format("text").load(path).filter(F.is_valid_utf8("value"))
+        folder = F.concat(F.lit(path.rstrip("/") + "/source="), F.col("source"))
+        located = _local(decoded_path("_metadata.file_path"))
+        return rows.select(
+            F.regexp_replace("value", r"\n\z", "").alias("content"),
+            located.alias("path"),
+            located.alias("_path"),
+            F.col("source").alias("source_type"),
+            folder.alias("content_source"),
+            "chunk_id",
+        ).select(
+            "content", "path", F.col("_path").alias("source"), "source_type", "content_source",
+            F.create_map(
+                F.lit("source"), F.col("_path"), F.lit("source_type"), F.col("source_type"), F.lit("content_source"), F.col("content_source")
+            ).alias("metadata"),
+            "chunk_id",
+        )
+
+    return _or_empty(spark, f"{CORPUS}, chunk_id bigint", read)
+
+
 def _chunk_files(spark: SparkSession, root: str) -> DataFrame:
     """``path`` of every chunk file; contents stay unread. The listing gives paths as they are, not encoded."""
     listed = (

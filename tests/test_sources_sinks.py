@@ -244,3 +244,14 @@ def test_results_come_with_their_report_and_index_runs_with_failures(spark, tmp_
     written = {r["index_name"]: r for r in map(json.loads, lines_of(f"{tmp_path}/v.json"))}
     assert written["IVF PQ"]["error"] == "too few vectors" and written["Flat L2"]["num_vectors"] == 10
     assert [json.loads(line)["index_name"] for line in lines_of(f"{tmp_path}/v_ranking")] == ["Flat L2"]
+
+
+def test_exported_chunk_files_are_read_again(spark, tmp_path):
+    rows = [("a b%", 0, "zero\n\nline"), ("a b%", 1, "x\n"), ("c", 7, "ü"), ("2024", 12, "digits")]
+    sinks.write_chunk_files(spark.createDataFrame(rows, "source string, chunk_id bigint, content string"), f"{tmp_path}/out")
+    found = sources.read_chunk_export(spark, f"{tmp_path}/out").collect()
+    assert sorted((r["source_type"], r["chunk_id"], r["content"]) for r in found) == sorted(
+        (s, n, c.removesuffix("\n")) for s, n, c in rows
+    )
+    assert all(r["metadata"]["source_type"] == r["source_type"] and r["path"].startswith(f"{tmp_path}/out/source=") for r in found)
+    assert sources.read_chunk_export(spark, f"{tmp_path}/absent").count() == 0
