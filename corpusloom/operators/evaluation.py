@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators.numbering import running_start
-from corpusloom.session import stage
 
 # Configuration names, prices in USD per million tokens, token
 # estimates, default prices, and the weights of the overall index score.
@@ -269,8 +268,7 @@ def report_lines(runs: DataFrame) -> DataFrame:
 
     Every section is a small aggregate; ``section, line_no`` give the order.
     """
-    # Small tables that several sections share are made once.
-    summary = stage(run_summary(runs), "run-summary")
+    summary = run_summary(runs)
 
     def number(column, digits=3):
         return F.format_string(f"%.{digits}f", F.col(column).cast("double"))
@@ -279,18 +277,14 @@ def report_lines(runs: DataFrame) -> DataFrame:
         rows = F.array(*texts)
         return df.select(F.lit(section).alias("section"), F.posexplode(rows).alias("line_no", "line"))
 
-    head = lines(
-        summary,
-        1,
+    head = (
         F.lit(REPORT_TITLE),
         F.lit(REPORT_SUMMARY),
         F.concat(F.lit("- **Total Tests:** "), F.col("total_tests").cast("string")),
         F.concat(F.lit("- **Successful Tests:** "), F.col("successful_tests").cast("string")),
         F.concat(F.lit("- **Success Rate:** "), number("success_rate", 1), F.lit("%")),
     )
-    metrics = lines(
-        summary.filter("successful_tests > 0"),
-        2,
+    metrics = (
         F.lit(REPORT_METRICS),
         F.concat(F.lit("- **Average Retrieval Time:** "), number("avg_retrieval_time"), F.lit("s")),
         F.concat(F.lit("- **Average Generation Time:** "), number("avg_generation_time"), F.lit("s")),
@@ -298,6 +292,19 @@ def report_lines(runs: DataFrame) -> DataFrame:
         F.concat(F.lit("- **Fastest Response:** "), number("fastest_total_time"), F.lit("s")),
         F.concat(F.lit("- **Slowest Response:** "), number("slowest_total_time"), F.lit("s")),
     )
+    titles = [
+        (F.lit("### By " + dimension.replace("_", " ").title()), F.lit(REPORT_TABLE[0]), F.lit(REPORT_TABLE[1]))
+        for dimension in DIMENSIONS
+    ]
+    # All that the one row of the summary says, in one pass; without a successful run only the head.
+    said = F.array(
+        *[
+            F.struct(F.lit(section).alias("section"), F.lit(at).alias("line_no"), line.alias("line"))
+            for section, texts in enumerate((head, metrics, (), *titles), 1)
+            for at, line in enumerate(texts)
+        ]
+    )
+    opening = summary.select("successful_tests", F.inline(said)).filter("section = 1 OR successful_tests > 0").drop("successful_tests")
     best = lines(
         best_configs(runs).filter("metric = 'fastest_overall'"),
         3,
@@ -308,7 +315,7 @@ def report_lines(runs: DataFrame) -> DataFrame:
         F.concat(F.lit("- **Chunk Size:** "), F.col("chunk_size").cast("string")),
         F.concat(F.lit("- **Total Time:** "), number("total_time"), F.lit("s")),
     )
-    compared = stage(runs_by_dimension(runs), "run-dimensions")
+    compared = runs_by_dimension(runs)
     order = F.create_map(*[F.lit(x) for at, d in enumerate(DIMENSIONS) for x in (d, at)])
     cells = F.concat_ws(" | ", F.col("value"), number("mean_time"), number("min_time"), number("max_time"))
     by_value = Window.partitionBy("dimension").orderBy("value")
@@ -317,17 +324,7 @@ def report_lines(runs: DataFrame) -> DataFrame:
         (F.row_number().over(by_value) + 2).alias("line_no"),
         F.concat(F.lit("| "), cells, F.lit(" |")).alias("line"),
     )
-    titled = [
-        lines(
-            summary.filter("successful_tests > 0"),
-            at + 4,
-            F.lit("### By " + dimension.replace("_", " ").title()),
-            F.lit(REPORT_TABLE[0]),
-            F.lit(REPORT_TABLE[1]),
-        )
-        for at, dimension in enumerate(DIMENSIONS)
-    ]
-    return reduce(DataFrame.unionByName, [head, metrics, best, *titled, table])
+    return reduce(DataFrame.unionByName, [opening, best, table])
 
 
 def full_report_lines(runs: DataFrame, generated: str) -> DataFrame:
