@@ -8,7 +8,7 @@ digests adds the steps between quartiles, each bounded by 3, and the bounded
 difference of lengths; likeness is one minus its share of the expected
 difference of unrelated digests, held within 0 and 1.
 
-Null text counts as empty and has the digest of no triplets; equal texts have
+Texts of any length are read whole. Null text counts as empty and has the digest of no triplets; equal texts have
 equal digests. Repeated ids follow each other in the order of their texts'
 hash, null ids come first. A single document is its own next one. An empty
 table gives no rows. Extra columns are not read.

@@ -19,7 +19,8 @@ and level, so a rerun gives the same mix.
 
 Null text has no words and is never counted; null sources are a source, the
 last. Rows that repeat id, source and words are one unit and are taken equally
-often. Documents without words count as taken the whole part only. An empty
+often. A text of any length is one document with its number of words; one that is
+longer than its source's share is taken whole or not at all. Documents without words count as taken the whole part only. An empty
 table gives no rows.
 """
 

@@ -11,7 +11,8 @@ place (a cycle) is not read again, and the list runs until it is empty. Each
 character of a layer knows the range of the original text it came from, so
 every span is given in code points of the original.
 
-Null text is empty and has no secrets. Equal spans found in several layers
+Texts of any length are read whole, and so is every layer. Null text is empty and
+has no secrets. Equal spans found in several layers
 count once. Rows are independent: repeated rows, null or equal ids give rows of
 their own, an empty table none. Extra columns are kept by ``redact`` and not
 read otherwise.

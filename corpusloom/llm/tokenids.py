@@ -5,15 +5,19 @@ written. A shard is two files: the raw ids (little-endian, 16 bits where the
 vocabulary allows it, else 32) and an index. The index maps a key, a doc_id and
 its occurrence among equal ids, to a slot by cascaded bit arrays: a key takes
 the first array in which no other key of the shard meets it, and its slot is
-the number of bits set before. Slots store a 32-bit fingerprint of the key, the
-place and the number of ids, so one look-up reads one slot and one range of raw
-ids, and an absent key is refused but for one in 2^32.
+the number of bits set before, which is kept for every ``RANKED`` bits. Slots
+store a 32-bit fingerprint of the key, the place and the number of ids. So one
+look-up reads the head of the index, one block of bits and its rank for each
+array it tries, two or three as a rule, one slot and one range of raw ids, all by
+position and whatever the size of the shard; an absent key is refused but for
+one in 2^32.
 
 Files are named by task attempt and only a committed attempt's shards get into
 the manifest, so a lost executor leaves at most files that nothing refers to.
 ``gather`` reads shards back over the cluster, ``fetch`` one document.
 
-Null text is empty and yields the end id; null ids sort first; repeated ids are
+Texts of any length are encoded whole, a shard holds one document at least. Null
+text is empty and yields the end id; null ids sort first; repeated ids are
 told apart by their occurrence, ties in the order of their texts' hash. An
 empty table gives an empty manifest. Extra columns are not read.
 """
@@ -34,9 +38,11 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import batches_of, fresh_path, mix64, parts_for, ship, stage
 from corpusloom.llm.encode import encoder
 
-MAGIC = b"CLIDS001"
+MAGIC = b"CLIDS002"
 SHARD_BYTES = 32 << 20
 GAMMA = 2.0
+#: Bits of an array for which the number of bits set before them is kept.
+RANKED = 512
 MANIFEST = "part int, seq int, name string, docs bigint, ids bigint, first_id bigint, last_id bigint"
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -81,21 +87,84 @@ def slots(levels: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
 
 
 def index_bytes(keys: np.ndarray, starts: np.ndarray, lengths: np.ndarray, nulls: np.ndarray, width: int) -> bytes:
-    """The index file: header, bit arrays, slots by hash, then the keys in order."""
+    """The index file: head, bit arrays with their ranks, slots by hash, then the keys in order."""
     levels = build(keys)
     slot = slots(levels, keys)
     mark, start, length = np.zeros(len(keys), "<u4"), np.zeros(len(keys), "<u8"), np.zeros(len(keys), "<u8")
     mark[slot], start[slot], length[slot] = fingerprints(keys), starts, lengths
     head = MAGIC + struct.pack("<QII", len(keys), width, len(levels))
-    head += np.array([len(bits) for bits in levels], "<u8").tobytes()
-    parts = [np.packbits(bits, bitorder="little").tobytes() for bits in levels]
+    head += np.array([(len(bits), int(bits.sum())) for bits in levels], "<u8").tobytes()
+    parts = []
+    for bits in levels:
+        whole = np.zeros(-(-len(bits) // RANKED) * RANKED, dtype=bool)
+        whole[: len(bits)] = bits
+        counts = whole.reshape(-1, RANKED).sum(axis=1)
+        parts += [np.packbits(whole, bitorder="little").tobytes(), (np.cumsum(counts) - counts).astype("<u8").tobytes()]
     parts += [mark.tobytes(), start.tobytes(), length.tobytes()]
     parts += [keys.astype("<i8").tobytes(), nulls.astype("u1").tobytes()]
     return head + b"".join(parts)
 
 
+HEAD = 24
+
+
+def _places(head: bytes, sizes: bytes) -> tuple[int, int, list[tuple[int, int, int, int]], int]:
+    """(keys, width, levels, first byte of the slots) of an index; a level is its bits, bits set before it, and where its bits
+    and ranks begin."""
+    n, width, _ = struct.unpack_from("<QII", head, 8)
+    at, before, levels = HEAD + len(sizes), 0, []
+    for size, ones in np.frombuffer(sizes, "<u8").reshape(-1, 2).tolist():
+        blocks = -(-size // RANKED)
+        levels.append((size, before, at, at + blocks * RANKED // 8))
+        at += blocks * (RANKED // 8 + 8)
+        before += ones
+    return n, width, levels, at
+
+
+class Lookup:
+    """Keyed access to a shard by position; ``taken`` counts the bytes read."""
+
+    def __init__(self, folder: str, name: str):
+        self.files, self.root = opened(folder)
+        self.name, self.taken = name, 0
+        self.index = self.files.open_input_file(f"{self.root}/{name}.idx")
+        head = self._read(self.index, HEAD, 0)
+        if head[:8] != MAGIC:
+            raise ValueError(f"{name} is no shard index")
+        sizes = self._read(self.index, 16 * struct.unpack_from("<I", head, 20)[0], HEAD)
+        self.n, self.width, self.levels, self.slots = _places(head, sizes)
+
+    def _read(self, source, size: int, at: int) -> bytes:
+        self.taken += size
+        return source.read_at(size, at)
+
+    def find(self, doc_id: int, number: int) -> int:
+        """The slot of a key, -1 if it is absent."""
+        key = np.array([[doc_id, number]], dtype=np.int64)
+        for level, (size, before, bits, ranks) in enumerate(self.levels):
+            place = int(_position(key, level)[0] % np.uint64(size))
+            block, inside = divmod(place, RANKED)
+            held = np.unpackbits(np.frombuffer(self._read(self.index, RANKED // 8, bits + block * RANKED // 8), np.uint8), bitorder="little")
+            if held[inside]:
+                rank = struct.unpack("<Q", self._read(self.index, 8, ranks + 8 * block))[0]
+                slot = before + rank + int(held[:inside].sum())
+                mark = struct.unpack("<I", self._read(self.index, 4, self.slots + 4 * slot))[0]
+                return slot if mark == int(fingerprints(key)[0]) else -1
+        return -1
+
+    def ids(self, slot: int) -> np.ndarray:
+        start = struct.unpack("<Q", self._read(self.index, 8, self.slots + 4 * self.n + 8 * slot))[0]
+        length = struct.unpack("<Q", self._read(self.index, 8, self.slots + 12 * self.n + 8 * slot))[0]
+        with self.files.open_input_file(f"{self.root}/{self.name}.ids") as raw:
+            data = self._read(raw, length * self.width, start * self.width)
+        return np.frombuffer(data, "<u2" if self.width == 2 else "<u4").astype("<u4")
+
+    def close(self) -> None:
+        self.index.close()
+
+
 class Shard:
-    """A shard opened for keyed access."""
+    """A shard with its whole index, for reading all its documents."""
 
     def __init__(self, folder: str, name: str):
         self.files, root = opened(folder)
@@ -104,16 +173,12 @@ class Shard:
             data = stream.read()
         if data[:8] != MAGIC:
             raise ValueError(f"{name} is no shard index")
-        n, self.width, levels = struct.unpack_from("<QII", data, 8)
-        at = 24
-        sizes = np.frombuffer(data, "<u8", levels, at).astype(np.int64)
-        at += 8 * levels
+        count = struct.unpack_from("<I", data, 20)[0]
+        n, self.width, levels, at = _places(data, data[HEAD : HEAD + 16 * count])
         self.levels = []
-        for size in sizes.tolist():
-            taken = (size + 7) // 8
-            bits = np.frombuffer(data, np.uint8, taken, at)
-            self.levels.append(np.unpackbits(bits, count=size, bitorder="little").astype(bool))
-            at += taken
+        for size, _, bits, ranks in levels:
+            held = np.frombuffer(data, np.uint8, ranks - bits, bits)
+            self.levels.append(np.unpackbits(held, count=size, bitorder="little").astype(bool))
         self.marks = np.frombuffer(data, "<u4", n, at)
         self.starts = np.frombuffer(data, "<u8", n, at + 4 * n)
         self.lengths = np.frombuffer(data, "<u8", n, at + 12 * n)
@@ -250,11 +315,11 @@ def gather(folder: str, manifest: DataFrame) -> DataFrame:
 
 
 def fetch(folder: str, manifest: DataFrame, doc_id: int, occurrence: int = 0) -> np.ndarray | None:
-    """Ids of one document, or None. Reads the index of the shards whose range holds the id."""
+    """Ids of one document, or None, by look-ups in the shards whose range holds the id: one, but for an id that repeats."""
     names = manifest.where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)).orderBy("part", "seq")
     for row in names.select("name").collect():
-        shard = Shard(folder, row["name"])
-        slot = int(shard.find(np.array([[doc_id, 2 * occurrence]], dtype=np.int64))[0])
+        shard = Lookup(folder, row["name"])
+        slot = shard.find(doc_id, 2 * occurrence)
         ids = shard.ids(slot) if slot >= 0 else None
         shard.close()
         if ids is not None:

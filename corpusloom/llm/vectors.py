@@ -14,6 +14,7 @@ Within a cell, blocks of residents meet blocks of residents and visitors in
 tasks of their own, by products in double precision. A task returns numbers of
 links per vector and a spanning forest of the links it found.
 
+Vectors have any number of dimensions; texts play no part.
 Vectors that are null, empty, zero or hold null or non-finite numbers link with
 nothing; vectors of different lengths do not link. A repeated id stays a row of
 its own. A null id is larger than all others when the smallest is sought. Extra

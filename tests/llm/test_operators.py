@@ -522,6 +522,30 @@ def test_encoder_equals_the_tokenizer_after_every_character():
                 assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == [e.ids for e in wanted]
 
 
+def test_a_look_up_reads_blocks_whatever_the_size_of_the_shard(tmp_path):
+    draw = np.random.default_rng(3)
+    for count in (1, 50, 20_000):
+        keys = np.column_stack([draw.permutation(10 * count)[:count], 2 * draw.integers(0, 3, count)]).astype(np.int64)
+        lengths = draw.integers(1, 9, count).astype(np.uint64)
+        starts = np.cumsum(lengths) - lengths
+        data = tokenids.index_bytes(keys, starts, lengths, np.zeros(count, dtype=bool), 2)
+        (tmp_path / "s.idx").write_bytes(data)
+        raw = draw.integers(0, 1 << 16, int(lengths.sum())).astype("<u2")
+        (tmp_path / "s.ids").write_bytes(raw.tobytes())
+        whole = tokenids.Shard(f"file:{tmp_path}", "s")
+        found = whole.find(keys)
+        whole.close()
+        for at in range(min(count, 200)):
+            one = tokenids.Lookup(f"file:{tmp_path}", "s")
+            slot = one.find(*keys[at].tolist())
+            assert slot == found[at]
+            start, length = int(starts[at]), int(lengths[at])
+            assert one.ids(slot).tolist() == raw[start : start + length].tolist()
+            assert one.taken <= 24 + 16 * len(one.levels) + 72 * len(one.levels) + 20 + 2 * length < 3000
+            assert one.find(-7, 1) == -1
+            one.close()
+
+
 def test_partitions_follow_the_counted_bytes(spark):
     """A frame that has no statistics has as many partitions as its texts ask for."""
     rows = spark.createDataFrame([(1, "x" * 1000), (2, None)], "doc_id bigint, text string")
