@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from corpusloom.session import discard, fresh_path, shared_dir, stage, write_once
 
 __all__ = [
-    "batches_of", "chance", "dealt", "discard", "fresh_path", "held_out", "mix64", "parts_for", "per_batch", "shared_dir", "ship",
-    "stage", "table", "write_once",
+    "batches_of", "chance", "dealt", "discard", "fresh_path", "held_out", "memory", "mix64", "parts_for", "per_batch", "shared_dir", "ship",
+    "stage", "table", "use_memory",
+    "write_once",
 ]
 
 _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -91,6 +92,22 @@ def per_batch(
     return df.mapInArrow(run, schema)
 
 
+_MEMORIES: dict[str, dict] = {}
+
+
+def memory(name: str, held: dict) -> dict:
+    """What an operator remembers from task to task in a worker, under its name."""
+    _MEMORIES[name] = held
+    return held
+
+
+def use_memory(name: str) -> None:
+    """Called where a task of an operator begins: a worker that served others before forgets what they remembered."""
+    for other, held in _MEMORIES.items():
+        if other != name:
+            held.clear()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (shifts and odd multipliers), element by element."""
     x = x.astype(np.uint64, copy=True)

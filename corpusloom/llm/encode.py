@@ -18,10 +18,12 @@ from itertools import islice
 
 import numpy as np
 
+from corpusloom.llm.common import memory, use_memory
+
 ROW_WORDS = 500
 WORDS_KEPT = 600_000
 MARKS = (".", ",")
-_ENCODERS: dict = {}
+_ENCODERS: dict = memory("encode", {})
 
 
 class Encoder:
@@ -117,6 +119,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """One encoder a worker and file."""
+    use_memory("encode")
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

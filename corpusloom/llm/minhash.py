@@ -20,6 +20,8 @@ probability 5e-7, and pairs below 0.2 share one with 0.3 %. Exact copies of a
 set are one node from the start. Families cost the square of their number of
 different sets, in parallel tasks.
 
+Texts of any length are read whole, and their full sets compared.
+
 Words are runs of characters other than space and the five control characters
 that ASCII counts as white space, A-Z in lower case. A document of fewer words
 than a shingle has one, all its words; one without words, or null, has an empty
@@ -38,11 +40,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import batches_of, mix64, parts_for, per_batch, ship, stage
+from corpusloom.llm.common import batches_of, memory, mix64, parts_for, per_batch, ship, stage, use_memory
 from corpusloom.llm.graph import components
 
 BANDS, ROWS, BLOCK = 48, 6, 256
-WORDS_KEPT = 300_000
+WORDS_KEPT = 200_000
 _U = np.uint64
 _FULL = _U(0xFFFFFFFFFFFFFFFF)
 
@@ -57,7 +59,7 @@ class Words(dict):
         return found
 
 
-_WORDS = Words()
+_WORDS = memory("minhash", Words())
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -111,6 +113,8 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, th, n_shingles, d1, d2, bands): digest of the set and band keys; nulls for an empty set."""
 
     def make():
+        use_memory("minhash")
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingles(text, width) for text in batch.column("text").to_pylist()]
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -210,6 +214,8 @@ def confirmed(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, width: int
     found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th")))
 
     def make():
+        use_memory("minhash")
+
         seen: set[int] = set()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:

@@ -11,6 +11,10 @@ and of the index vectors of its words. A two-layer network, trained on a
 bounded sample of labelled rows, scores it; a temperature fitted on rows apart
 from training makes scores probabilities.
 
+Texts of any length are read whole; a document is a mean, whatever its length. The
+table has ``BUCKETS`` rows at any size of the corpus, so words share rows the more
+the larger the vocabulary is, and the statistics of rare words blur.
+
 Documents without words, and null, pool to zeros and are scored like any other.
 Rows that repeat an id stay rows of their own; a null id is never held out and
 has no label. Without two labels to learn from, every score is the share of
@@ -31,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import batches_of, held_out, mix64, per_batch, ship, stage
+from corpusloom.llm.common import batches_of, held_out, memory, mix64, per_batch, ship, stage, use_memory
 from corpusloom.llm.learn import Network, sample
 
 BUCKETS, DIM, ENTRIES, REACH = 1 << 14, 48, 4, 2
 SAMPLE = 20_000
 THRESHOLD = 0.3
-WORDS_KEPT = 400_000
+WORDS_KEPT = 300_000
 _SPLIT = re.compile(r"^(\W*)(.*?)(\W*)$", re.DOTALL)
 
 
@@ -72,7 +76,7 @@ class Parts(dict):
         return found
 
 
-_PARTS = Parts()
+_PARTS = memory("quality", Parts())
 
 
 def rows_of(text: str | None) -> np.ndarray:
@@ -149,6 +153,8 @@ def pooled(docs: DataFrame, context: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(context)  # BUCKETS x DIM numbers
 
     def make():
+        use_memory("quality")
+
         table = np.concatenate([shared.value, index_vectors()], axis=1)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -188,6 +194,8 @@ def score(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, threshold: fl
     net = train(vectors, labels, bound=bound)
 
     def make():
+        use_memory("quality")
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = np.frombuffer(b"".join(batch.column("vector").to_pylist()), np.float32).reshape(batch.num_rows, -1)
             found = net.scores(rows.astype(np.float64))
@@ -209,6 +217,8 @@ def accepted(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, threshold:
     shared = docs.sparkSession.sparkContext.broadcast(context)
 
     def make():
+        use_memory("quality")
+
         table = np.concatenate([shared.value, index_vectors()], axis=1)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import batches_of, held_out, per_batch, ship, stage
+from corpusloom.llm.common import batches_of, held_out, memory, per_batch, ship, stage, use_memory
 from corpusloom.llm.learn import sample, sigmoid
 
 FEATURES = 1 << 18
@@ -67,7 +67,7 @@ class Features(dict):
         return found
 
 
-_FEATURES = Features()
+_FEATURES = memory("toxicity", Features())
 
 
 def features(sentence: str) -> set[int]:
@@ -204,6 +204,8 @@ def train(
         return Model(chosen, np.empty(0), 0.0, share_of_ones)
 
     def make():
+        use_memory("toxicity")
+
         number = {row: at for at, row in enumerate(chosen.tolist())}
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -249,6 +251,8 @@ def score(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, threshold: fl
     model = train(docs, labels, bound=bound)
 
     def make():
+        use_memory("toxicity")
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [model.document(text or "") for text in batch.column("text").to_pylist()]
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "score"])
@@ -265,6 +269,8 @@ def offending(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
     """(doc_id, start, end, score) of every sentence that scores at least ``threshold``, in code points."""
 
     def make():
+        use_memory("toxicity")
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: list[list] = [[], [], [], []]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
