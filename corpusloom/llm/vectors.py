@@ -34,7 +34,7 @@ from corpusloom.llm.common import parts_for, per_batch, ship, stage
 from corpusloom.llm.graph import components
 from corpusloom.llm.minhash import forest
 
-CELLS, PASSES, BLOCK = 64, 4, 1024
+CELLS, PASSES, BLOCK = 64, 4, 2048
 #: Room for rounding in the border test.
 SLACK = 1e-9
 
@@ -180,28 +180,34 @@ def links(cells: DataFrame, width: int, cosine: float, block: int) -> DataFrame:
     ship(cells.sparkSession)
     sizes = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
     blocked = cells.join(F.broadcast(sizes), "cell").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    # Residents of block i meet block j in task (i, j): a row goes to (its block, j), and to (i, its block).
-    lives = F.col("home") == F.col("cell")
-    every = F.sequence(F.lit(0), F.col("nb") - 1)
-    to = F.array_union(
-        F.when(lives, F.transform(every, lambda j: F.struct(F.col("blk").alias("i"), j.alias("j")))).otherwise(
-            F.array().cast("array<struct<i:int,j:int>>")
-        ),
-        F.transform(every, lambda i: F.struct(i.alias("i"), F.col("blk").alias("j"))),
-    )
-    sent = blocked.withColumn("t", F.explode(to)).select(
-        "cell", F.col("t.i").alias("i"), F.col("t.j").alias("j"), "node", "embedding", "size", "copies", "home", "visits", "blk"
-    )
+    held = ["node", "embedding", "size", "copies", "home", "visits"]
+
+    def pack(table: pa.Table) -> pa.Table:
+        body = pa.BufferOutputStream()
+        rows = table.select(held).combine_chunks()
+        with pa.ipc.new_stream(body, rows.schema) as out:
+            out.write_table(rows)
+        first = table.slice(0, 1).select(["cell", "blk", "nb"])
+        return first.append_column("body", pa.array([body.getvalue().to_pybytes()], pa.binary()))
+
+    # A block is one row. Block i meets block j in the task (i, j), i <= j, both ways.
+    packed = blocked.groupBy("cell", "blk").applyInArrow(pack, "cell int, blk int, nb int, body binary")
+    met = packed.select("cell", "blk", "body", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    sent = met.select("cell", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "body")
 
     def one(key: tuple, table: pa.Table) -> pa.Table:
-        batch = table.combine_chunks().to_batches()[0]
         cell, i, j = (part.as_py() for part in key)
-        rows = {name: batch.column(name).to_numpy() for name in ("node", "size", "copies", "home", "blk")}
+        tables = [pa.ipc.open_stream(body).read_all() for body in table.column("body").to_pylist()]
+        batch = pa.concat_tables(tables).combine_chunks().to_batches()[0]
+        rows = {name: batch.column(name).to_numpy() for name in ("node", "size", "copies", "home")}
+        rows["blk"] = np.repeat(table.column("blk").to_numpy(), [own.num_rows for own in tables])
         rows["x"] = _matrix(batch.column("embedding"), width)
-        packed = np.frombuffer(b"".join(batch.column("visits").to_pylist()), np.uint8).reshape(len(rows["node"]), -1)
-        rows["bits"] = np.unpackbits(packed, axis=1, bitorder="little").astype(bool)
-        counts, edges = _compare(rows, cell, i, j, cosine)
-        found = [(0, a, b) for a, b in counts] + [(1, a, b) for a, b in edges]
+        bits = np.frombuffer(b"".join(batch.column("visits").to_pylist()), np.uint8).reshape(len(rows["node"]), -1)
+        rows["bits"] = np.unpackbits(bits, axis=1, bitorder="little").astype(bool)
+        found: list[tuple[int, int, int]] = []
+        for left, right in ((i, j), (j, i))[: 1 if i == j else 2]:
+            counts, edges = _compare(rows, cell, left, right, cosine)
+            found += [(0, a, b) for a, b in counts] + [(1, a, b) for a, b in edges]
         return pa.table(
             {
                 "kind": pa.array([f[0] for f in found], pa.int32()), "a": pa.array([f[1] for f in found], pa.int64()),
