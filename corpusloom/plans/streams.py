@@ -10,6 +10,8 @@ from corpusloom.session import fresh_path
 from corpusloom.streaming import append_threads, dedup_pages, read_latest, stream_table, thread_log, upsert_pages
 from corpusloom.streaming.pages import append_stream
 
+#: What tells the pages of the table apart: some share a URL.
+_PAGE = ["page_id", "url"]
 _FIRST, _SECOND = "2025-01-01 00:00:00", "2025-02-01 00:00:00"
 
 
@@ -25,7 +27,7 @@ def stream_dedup_pages(spark, folder):
     pages = stream_table(spark, folder, "pages.parquet")
     twice = pages.unionByName(stream_table(spark, folder, "pages.parquet"))
     path = fresh_path(spark, "stream-pages")
-    _finish(append_stream(dedup_pages(twice), f"{path}/table", f"{path}/checkpoint"))
+    _finish(append_stream(dedup_pages(twice, _PAGE), f"{path}/table", f"{path}/checkpoint"))
     return spark.read.parquet(f"{path}/table")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,25 +16,40 @@ BUCKETS = 64
 
 
 def stream_table(spark: SparkSession, path: str, glob: str | None = None, files_per_trigger: int | None = None) -> DataFrame:
-    """A folder of parquet files as a stream; the schema comes from one file."""
+    """A folder of parquet files as a stream; the schema comes from one file.
+
+    ``glob`` names the files of the folder that are read, or tables in it that are folders of files themselves.
+    """
     source = f"{path}/{glob}" if glob else path
     reader = spark.readStream.schema(spark.read.parquet(source).schema)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    if not glob or _holds_folders(spark, source):
+        return reader.parquet(source)
+    # One file is no place a stream can start from: its folder is, with a filter by name.
+    return reader.option("pathGlobFilter", glob).parquet(path)
+
+
+def _holds_folders(spark: SparkSession, pattern: str) -> bool:
+    """Whether ``pattern`` matches a folder, which a filter by name would look into for files of that name."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
+    return any(status.isDirectory() for status in found or [])
+
+
+def _columns(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
 
 
 def dedup_pages(
     pages: DataFrame,
-    key: str = "url",
+    key: str | Sequence[str] = "url",
     spread_by: str = "page_id",
     event_time: str | None = None,
     delay: str = "1 day",
 ) -> DataFrame:
     """Each page once over the life of the stream; failed fetches are not
-    remembered, so a later success still gets through.
+    remembered, so a later success still gets through. ``key`` is a column or several.
 
     Two steps: copies of a hot page first meet on a salted key, so they do not
     all go to one task, then the few survivors meet on the key itself. With
@@ -43,8 +60,8 @@ def dedup_pages(
     salted = good.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)))
     if event_time:
         salted = salted.withWatermark(event_time, delay)
-        return salted.dropDuplicatesWithinWatermark([key, "_salt"]).dropDuplicatesWithinWatermark([key]).drop("_salt")
-    return salted.dropDuplicates([key, "_salt"]).dropDuplicates([key]).drop("_salt")
+        return salted.dropDuplicatesWithinWatermark([*_columns(key), "_salt"]).dropDuplicatesWithinWatermark(_columns(key)).drop("_salt")
+    return salted.dropDuplicates([*_columns(key), "_salt"]).dropDuplicates(_columns(key)).drop("_salt")
 
 
 def append_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

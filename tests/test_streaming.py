@@ -5,6 +5,7 @@ import shutil
 from pyspark.sql import functions as F
 
 from corpusloom import streaming as S
+from corpusloom.plans import QUERIES
 from corpusloom.streaming.pages import _versions, append_stream
 
 PAGES = "page_id bigint, url string, html string, at timestamp"
@@ -113,3 +114,28 @@ def test_remembered_messages_go_after_their_time(spark, tmp_path):
     assert held == 2 and late == 1
     log = S.thread_log(spark, f"{tmp_path}/out").collect()
     assert len(log) == 23 and len({(r["conv_id"], r["turn"]) for r in log}) == 23
+
+
+def tables(spark, folder):
+    """Tables that are folders of several files, two pages sharing a URL."""
+    rows = [(n, f"http://h/{n // 2 if n < 2 else n}", f"<p>{n}</p>") for n in range(12)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3).write.parquet(f"{folder}/pages.parquet")
+    said = [(c, t, "user", f"{c}-{t}") for c in range(3) for t in range(4)]
+    frame = spark.createDataFrame(said, "conv_id bigint, turn bigint, role string, text string")
+    frame.repartition(3).write.parquet(f"{folder}/conversations.parquet")
+    return rows, said
+
+
+def test_tables_of_several_files_are_deduplicated(spark, tmp_path):
+    rows, _ = tables(spark, tmp_path)
+    assert sorted(map(tuple, QUERIES["stream_dedup_pages"](spark, str(tmp_path)).collect())) == rows
+
+
+def test_a_glob_takes_files_and_folders(spark, tmp_path):
+    rows, _ = tables(spark, tmp_path)
+    spark.createDataFrame([(99, "z", "z")], "page_id bigint, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/one")
+    shutil.copy(glob.glob(f"{tmp_path}/one/part-*.parquet")[0], f"{tmp_path}/pages-single.parquet")
+    for name, wanted in (("pages*.parquet", [*rows, (99, "z", "z")]), ("pages-*.parquet", [(99, "z", "z")])):
+        out = f"{tmp_path}/out-{len(wanted)}"
+        done(append_stream(S.stream_table(spark, str(tmp_path), name), f"{out}/table", f"{out}/cp"))
+        assert sorted(map(tuple, spark.read.parquet(f"{out}/table").collect())) == wanted
