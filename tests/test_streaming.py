@@ -131,6 +131,11 @@ def test_tables_of_several_files_are_deduplicated(spark, tmp_path):
     assert sorted(map(tuple, QUERIES["stream_dedup_pages"](spark, str(tmp_path)).collect())) == rows
 
 
+def test_messages_of_several_files_are_appended(spark, tmp_path):
+    _, said = tables(spark, tmp_path)
+    assert sorted(map(tuple, QUERIES["stream_threads"](spark, str(tmp_path)).collect())) == said
+
+
 def test_a_glob_takes_files_and_folders(spark, tmp_path):
     rows, _ = tables(spark, tmp_path)
     spark.createDataFrame([(99, "z", "z")], "page_id bigint, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/one")
