@@ -81,7 +81,7 @@ def first_seen(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
-def latest_version(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+def latest_version(rows: DataFrame, key: str | Sequence[str], order: Sequence[str]) -> DataFrame:
     """The newest row of every key, cut per task in the same way."""
     last = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
     return rows.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")

@@ -39,7 +39,7 @@ def stream_upsert_pages(spark, folder):
         return stream_table(spark, folder, "pages.parquet").withColumn("scraped_at", F.lit(at).cast("timestamp"))
 
     path = fresh_path(spark, "stream-versions")
-    _finish(upsert_pages(crawl(_FIRST).unionByName(crawl(_SECOND)), f"{path}/table", f"{path}/checkpoint"))
+    _finish(upsert_pages(crawl(_FIRST).unionByName(crawl(_SECOND)), f"{path}/table", f"{path}/checkpoint", _PAGE))
     return read_latest(spark, f"{path}/table").select(
         "page_id", "url", F.date_format("scraped_at", "yyyy-MM-dd HH:mm:ss").alias("scraped_at"), "html"
     )

@@ -103,18 +103,25 @@ def _read_folders(spark: SparkSession, path: str, folders: list[str], like: Data
 
 
 def upsert_pages(
-    pages: DataFrame, path: str, checkpoint: str, key: str = "url", version: str = "scraped_at", buckets: int = BUCKETS
+    pages: DataFrame,
+    path: str,
+    checkpoint: str,
+    key: str | Sequence[str] = "url",
+    version: str = "scraped_at",
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
-    """Keep the newest row of each key in a snapshot cut into ``buckets`` by a hash of the key.
+    """Keep the newest row of each key, a column or several, in a snapshot cut into ``buckets`` by a hash of the key.
 
     A micro-batch writes anew the buckets it touches, merged with what they held, to a folder of its own, which counts once
     it is whole. A batch that is repeated after a failure merges with what stood before it and overwrites its folder, so it
     changes nothing. The version of a bucket that was current is kept for those who read it; older ones are removed.
     """
 
+    keys = _columns(key)
+
     def land(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        newest = latest_version(batch, key, [version]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        newest = latest_version(batch, keys, [version]).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
         newest = stage(newest, "batch")
         touched = [row["bucket"] for row in newest.select("bucket").distinct().collect()]
         if not touched:
@@ -126,7 +133,7 @@ def upsert_pages(
             current = _read_folders(spark, path, folders).select(*newest.columns)
             merged = merged.unionByName(current.withColumn("_batch", F.lit(0)))
         # Of equal versions the later batch wins.
-        merged = latest_version(merged, key, [version, "_batch"]).drop("_batch")
+        merged = latest_version(merged, keys, [version, "_batch"]).drop("_batch")
         merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
         for bucket in touched:
             for _, folder in held.get(bucket, [])[:-1]:

@@ -136,6 +136,12 @@ def test_messages_of_several_files_are_appended(spark, tmp_path):
     assert sorted(map(tuple, QUERIES["stream_threads"](spark, str(tmp_path)).collect())) == said
 
 
+def test_pages_of_several_files_are_versioned(spark, tmp_path):
+    rows, _ = tables(spark, tmp_path)
+    got = sorted(map(tuple, QUERIES["stream_upsert_pages"](spark, str(tmp_path)).collect()))
+    assert got == [(page, url, "2025-02-01 00:00:00", html) for page, url, html in rows]
+
+
 def test_a_glob_takes_files_and_folders(spark, tmp_path):
     rows, _ = tables(spark, tmp_path)
     spark.createDataFrame([(99, "z", "z")], "page_id bigint, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/one")
