@@ -27,9 +27,8 @@ from corpusloom.operators.search import (
     DEFAULT_K,
     HIT_SCHEMA,
     MAX_QUERY_ROWS,
-    Best,
-    Meetings,
     QuerySet,
+    _pair_scanner,
     _prune,
     _ranked,
     _scanner,
@@ -388,52 +387,38 @@ def search_codes(
     if small is None:
         rows = max_rows or MAX_QUERY_ROWS
         return in_passes(queries, rows, lambda share: search_codes(index, corpus, share, k, probes, rerank, max_rows, counter))
-    keys, ids, matrix, books = small.keys, small.ids, small.matrix, index.books
-    keep = max(k, rerank)
-    step = matrix.shape[1] // len(books) if len(ids) else 1
+    books, keep = index.books, max(k, rerank)
+    by_position = QuerySet(list(range(len(small.ids))), small.matrix, small.keys, "int")
+    scan = _scanner(by_position, "l2", keep, "cell")
 
     def shortlist(batches):
-        tables = [
-            ((matrix[:, None, part * step : (part + 1) * step] - centers[None, :, :]) ** 2).sum(axis=2)
-            for part, centers in enumerate(books)
-        ] if len(ids) else []
-        best, meetings = Best(len(ids), keep), Meetings(keys)
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            names = batch.column(0).to_numpy(zero_copy_only=False)
-            codes = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            nearer = batch.column(3).to_pylist() if batch.num_columns > 3 else None
-            for _, who, positions in meetings.of(batch.column(2).to_numpy(zero_copy_only=False)):
-                for at in range(0, len(positions), 4096):
-                    some = positions[at : at + 4096]
-                    for left in range(0, len(who), 1024):
-                        asked_by = who[left : left + 1024]
-                        cost = sum(table[asked_by][:, codes[some, part]] for part, table in enumerate(tables)).T
-                        met = None if nearer is None else ~meetings.asked([nearer[row] or () for row in some.tolist()], asked_by)
-                        best.offer(cost, names[some], asked_by, met)
-        first = np.ones(len(best.query), dtype=bool)
-        first[1:] = best.query[1:] != best.query[:-1]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(best.query.astype(np.int32)), pa.array(best.name), pa.array(best.cost),
-                pa.array(np.where(first, best.scored[best.query], 0)),
-            ],
-            names=["position", "vec_id", "cost", "scored"],
-        )
+        """The distance to a code is the one to the vector it stands for."""
+
+        def decoded():
+            for batch in batches:
+                codes = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(books))
+                rows = np.concatenate([centers[codes[:, part]] for part, centers in enumerate(books)], axis=1)
+                offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+                vectors = pa.ListArray.from_arrays(offsets, rows.reshape(-1))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), vectors, *batch.columns[2:]], names=["vec_id", "embedding", *batch.schema.names[2:]]
+                )
+
+        return scan(decoded())
 
     columns = ["vec_id", "codes", "cell"] + (["nearer"] if "nearer" in index.rows.columns else [])
     coded = _prune(index.rows, "cell", small).select(*columns)
-    found = coded.mapInArrow(shortlist, "position int, vec_id bigint, cost double, scored bigint")
+    found = coded.mapInArrow(shortlist, HIT_SCHEMA.format(qtype="int"))
     if counter is not None:
         found = found.observe(counter, F.coalesce(F.sum("scored"), F.lit(0)).alias("scored"))
-    short = first_per_group(found, ["position"], [F.col("cost"), F.col("vec_id")], keep)
+    short = first_per_group(found, ["query_id"], [F.col("score"), F.col("vec_id")], keep)
     # At most rerank * queries rows: a row is compared with exactly the queries
     # that short-listed it.
-    candidates = corpus.select("vec_id", "embedding").join(short.select("vec_id", "position"), "vec_id")
-    exact = QuerySet(ids, matrix, [[position] for position in range(len(ids))], small.id_type)
+    asked_for = short.select("vec_id", F.col("query_id").alias("position"))
+    candidates = corpus.select("vec_id", "embedding").join(asked_for, "vec_id")
+    exact = QuerySet(small.ids, small.matrix, None, small.id_type)
     hits = candidates.select("vec_id", "embedding", "position").mapInArrow(
-        _scanner(exact, "l2", k, "position"), HIT_SCHEMA.format(qtype=small.id_type)
+        _pair_scanner(exact, k), HIT_SCHEMA.format(qtype=small.id_type)
     )
     return _ranked(hits, "l2", k)
 
@@ -520,10 +505,12 @@ def compare_indexes(
     def index_for(kind: str, own: dict) -> dict:
         if kind not in ("ivf_flat", "ivf_pq") or "index" in own:
             return own
-        known = {name: own[name] for name in trained if name in own}
+        # Cells alone do without codes, so they take any that belong to the same cells.
+        coded = {name: value for name, value in options.get("ivf_pq", {}).items() if name in ("parts", "bits")}
+        known = {name: own[name] for name in ("cells", "copies") if name in own}
         key = tuple(sorted(known.items()))
         if key not in shared:
-            index = build_codes(corpus, **known)
+            index = build_codes(corpus, **known, **coded)
             shared[key] = replace(index, rows=stage(index.rows, "index-rows"))
         built = shared[key] if kind == "ivf_pq" else shared[key].cells()
         return {**{name: value for name, value in own.items() if name not in trained}, "index": built}

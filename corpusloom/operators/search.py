@@ -35,11 +35,13 @@ K_CHOICES = (3, 5, 7, 10)
 MAX_QUERY_ROWS = 1 << 17
 MAX_QUERY_BYTES = 64 * 1024 * 1024
 TILE_ROWS = 4096
-TILE_CELLS = 4_000_000
+TILE_CELLS = 1_000_000
 MAX_PRUNED_KEYS = 10_000
 LOOKUP_IDS = 10_000
 LOOKUP_ROWS = 1_000_000
 DECIMALS = 6
+#: More than rounding moves a cost by; pairs that wait at least before they are sorted.
+TOLERANCE, SETTLE_ROWS = 1e-6, 1 << 18
 ASCENDING = {"l2": True, "ip": False, "cosine": False}
 HIT_SCHEMA = "query_id {qtype}, vec_id bigint, score double, scored bigint"
 
@@ -99,7 +101,11 @@ def small_queries(
 
 
 class Best:
-    """The k best (cost, vec_id) of many queries, and how many rows each was compared with."""
+    """The k best (cost, vec_id) of many queries, and how many rows each was compared with.
+
+    What is offered waits until it is half as much as what is held; then both are sorted once. So the work grows with what
+    is offered, not with the number of offers.
+    """
 
     def __init__(self, count: int, k: int):
         import numpy as np
@@ -107,29 +113,44 @@ class Best:
         self.k, self.limit = k, np.full(count, np.inf)
         self.query, self.cost, self.name = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
         self.scored = np.zeros(count, dtype=np.int64)
+        self.waiting: list[tuple] = []
+        self.count = 0
 
     def offer(self, costs, names, who, met=None) -> None:
         """``costs`` of rows ``names`` (down) for the queries ``who`` (across); ``met`` leaves out pairs."""
         import numpy as np
 
-        costs = np.round(costs, DECIMALS) + 0.0
-        if met is None:
-            self.scored[who] += len(names)
-        else:
-            self.scored[who] += met.sum(axis=0)
-            costs = np.where(met, costs, np.inf)
-        close = costs <= self.limit[who][None, :]
+        self.scored[who] += len(names) if met is None else met.sum(axis=0)
+        close = costs <= (self.limit[who] + TOLERANCE)[None, :]
         if met is not None:
             close &= met
-        if len(names) > 4 * self.k and close.sum() > 4 * self.k * len(who):
+        if len(names) > 4 * self.k and np.count_nonzero(close) > 4 * self.k * len(who):
             # Many rows are still close: the k-th cost of each query cuts them first, its ties included.
-            close &= costs <= np.partition(costs, self.k - 1, axis=0)[self.k - 1]
+            kth = np.partition(costs if met is None else np.where(met, costs, np.inf), self.k - 1, axis=0)[self.k - 1]
+            close &= costs <= kth + TOLERANCE
         row, column = np.nonzero(close)
-        if not len(row):
+        self.add(who[column], costs[row, column], names[row])
+
+    def add(self, query, cost, name) -> None:
+        """Pairs of a query and a row, one by one."""
+        import numpy as np
+
+        cost = np.round(cost, DECIMALS) + 0.0
+        kept = cost <= self.limit[query]
+        self.waiting.append((query[kept], cost[kept], name[kept]))
+        self.count += int(np.count_nonzero(kept))
+        if self.count > max(len(self.query) // 2, SETTLE_ROWS):
+            self.settle()
+
+    def settle(self) -> None:
+        """Only the k best stay; to be called before they are read."""
+        import numpy as np
+
+        if not self.count:
             return
-        query = np.concatenate([self.query, who[column]])
-        cost = np.concatenate([self.cost, costs[row, column]])
-        name = np.concatenate([self.name, names[row]])
+        held = [(self.query, self.cost, self.name), *self.waiting]
+        query, cost, name = (np.concatenate(column) for column in zip(*held, strict=True))
+        self.waiting, self.count = [], 0
         order = np.lexsort((name, cost, query))
         query, cost, name = query[order], cost[order], name[order]
         place = np.arange(len(query)) - np.searchsorted(query, query)
@@ -138,6 +159,24 @@ class Best:
         last = place == self.k - 1
         self.limit[query[last]] = cost[last]
 
+    def batch(self, ids: list, id_type, lowest_first: bool):
+        """The k best as a batch of hits."""
+        import numpy as np
+        import pyarrow as pa
+
+        self.settle()
+        first = np.ones(len(self.query), dtype=bool)
+        first[1:] = self.query[1:] != self.query[:-1]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([ids[at] for at in self.query.tolist()], id_type),
+                pa.array(self.name),
+                pa.array(self.cost if lowest_first else 0.0 - self.cost),
+                pa.array(np.where(first, self.scored[self.query], 0)),
+            ],
+            names=["query_id", "vec_id", "score", "scored"],
+        )
+
 
 class Meetings:
     """Which queries ask for a key."""
@@ -149,6 +188,7 @@ class Meetings:
         for position, own in enumerate(keys):
             for key in own or ():
                 held.setdefault(key, []).append(position)
+        self.count = len(keys)
         self.lookers = {key: np.array(sorted(set(who))) for key, who in held.items()}
 
     def of(self, seen):
@@ -167,10 +207,20 @@ class Meetings:
         import numpy as np
 
         out = np.zeros((len(keys), len(who)), dtype=bool)
-        for place, own in enumerate(keys):
-            for key in own:
-                if key in self.lookers:
-                    out[place] |= np.isin(who, self.lookers[key], assume_unique=True)
+        flat = np.array([key for own in keys for key in own])
+        if not len(flat):
+            return out
+        row = np.repeat(np.arange(len(keys)), [len(own) for own in keys])
+        asks = np.zeros(self.count, dtype=bool)
+        # Rows share their keys, so each key is looked up once.
+        names, group = np.unique(flat, return_inverse=True)
+        order = np.argsort(group, kind="stable")
+        borders = np.searchsorted(group[order], np.arange(len(names) + 1))
+        for at, key in enumerate(names.tolist()):
+            if key in self.lookers:
+                asks[self.lookers[key]] = True
+                out[row[order[borders[at] : borders[at + 1]]]] |= asks[who]
+                asks[self.lookers[key]] = False
         return out
 
 
@@ -206,13 +256,15 @@ def _scanner(queries: QuerySet, metric: str, k: int, row_keys: str | None, tile_
             squares = (rows * rows).sum(axis=1)[:, None] + wanted_sq[who][None, :]
             return np.maximum(squares - 2.0 * products, 0.0)
 
-        def compare(rows, names, who, met=None):
-            """Rows with queries in tiles of bounded size."""
+        def compare(rows, names, who, before=None):
+            """Rows with queries in tiles of bounded size; ``before`` lists the keys of each row under which a pair was met."""
             wide = max(1, TILE_CELLS // max(1, min(tile_rows, len(rows))))
             for at in range(0, len(rows), tile_rows):
+                part = slice(at, at + tile_rows)
+                met = None if before is None else ~meetings.asked(before[part], who)
                 for left in range(0, len(who), wide):
-                    part, some = slice(at, at + tile_rows), who[left : left + wide]
-                    best.offer(costs(rows[part], some), names[part], some, None if met is None else met[part, left : left + wide])
+                    some = who[left : left + wide]
+                    best.offer(costs(rows[part], some), names[part], some, None if met is None else met[:, left : left + wide])
 
         everyone = np.arange(count)
         for batch in batches:
@@ -235,24 +287,41 @@ def _scanner(queries: QuerySet, metric: str, k: int, row_keys: str | None, tile_
                 tables = held.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                 for table in range(tables.shape[1]):
                     for _, who, positions in meetings.of(tables[:, table]):
-                        earlier = meetings.asked(tables[positions, :table].tolist(), who) if table else None
-                        compare(rows[positions], names[positions], who, None if earlier is None else ~earlier)
+                        earlier = tables[positions, :table].tolist() if table else None
+                        compare(rows[positions], names[positions], who, earlier)
                 continue
             nearer = batch.column(3).to_pylist() if batch.num_columns > 3 else None
             for _, who, positions in meetings.of(held.to_numpy(zero_copy_only=False)):
-                met = None if nearer is None else ~meetings.asked([nearer[at] or () for at in positions.tolist()], who)
-                compare(rows[positions], names[positions], who, met)
-        first = np.ones(len(best.query), dtype=bool)
-        first[1:] = best.query[1:] != best.query[:-1]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([ids[at] for at in best.query.tolist()], id_type),
-                pa.array(best.name),
-                pa.array(best.cost if lowest_first else 0.0 - best.cost),
-                pa.array(np.where(first, best.scored[best.query], 0)),
-            ],
-            names=["query_id", "vec_id", "score", "scored"],
-        )
+                compare(rows[positions], names[positions], who, nearer and [nearer[at] or () for at in positions.tolist()])
+        yield best.batch(ids, id_type, lowest_first)
+
+    return scan
+
+
+def _pair_scanner(queries: QuerySet, k: int):
+    """Arrow kernel: batches of (vec_id, embedding, position of a query) to the k nearest (L2) per query.
+
+    A row is compared with the one query beside it, all rows of a batch at once.
+    """
+    ids, wanted, id_type = queries.ids, queries.matrix, arrow_type(queries.id_type)
+
+    def scan(batches):
+        import numpy as np
+
+        best = Best(len(ids), k)
+        wanted_sq = (wanted * wanted).sum(axis=1)
+        for batch in batches:
+            if k <= 0 or not batch.num_rows:
+                continue
+            names = batch.column(0).to_numpy(zero_copy_only=False)
+            if not (np.diff(batch.column(1).offsets.to_numpy()) == wanted.shape[1]).all():
+                raise ValueError(f"a vector of the corpus does not have the {wanted.shape[1]} dimensions of the queries")
+            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
+            who = batch.column(2).to_numpy(zero_copy_only=False)
+            best.scored += np.bincount(who, minlength=len(ids))
+            products = np.einsum("ij,ij->i", rows, wanted[who])
+            best.add(who, np.maximum((rows * rows).sum(axis=1) + wanted_sq[who] - 2.0 * products, 0.0), names)
+        yield best.batch(ids, id_type, True)
 
     return scan
 

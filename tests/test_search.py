@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -336,3 +337,59 @@ def test_comparison_counts_what_is_compared(data):
     assert set(rows) == {"flat_l2", "flat_ip", "ivf_flat", "ivf_pq", "hash_tables"}
     assert rows["flat_l2"]["scored"] == rows["flat_ip"]["scored"] == rows["ivf_pq"]["scored"] == 300 * 4
     assert 0 < rows["ivf_flat"]["scored"] < 300 * 4 and rows["flat_l2"]["recall_at_k"] == 1.0
+
+
+def test_many_small_offers_are_sorted_together(monkeypatch):
+    draw = np.random.default_rng(7)
+    costs, sorts = draw.random((600, 40)).round(3), []
+    lexsort = np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sorts.append(1) or lexsort(keys))
+    best = search.Best(40, 3)
+    for at in range(0, 600, 2):  # two rows at a time meet some of the queries
+        who = np.sort(draw.choice(40, 15, replace=False))
+        met = np.isin(np.arange(40), who)
+        costs[at : at + 2, ~met] = np.inf
+        best.offer(costs[at : at + 2][:, who], np.arange(at, at + 2), who)
+    found = best.batch(list(range(40)), pa.int64(), True).to_pydict()
+    wanted = [(q, row) for q in range(40) for row in lexsort((np.arange(600), costs[:, q]))[:3].tolist()]
+    assert list(zip(found["query_id"], found["vec_id"], strict=True)) == wanted
+    assert sum(found["scored"]) == np.isfinite(costs).sum()
+    assert len(sorts) <= 3
+
+
+def test_rows_that_share_keys_look_each_key_up_once(monkeypatch):
+    meetings = search.Meetings([[1, 2], [2], None, [3]])
+    lookers = dict(meetings.lookers)
+
+    class Counted(dict):
+        asked: list = []
+
+        def __getitem__(self, key):
+            self.asked.append(key)
+            return dict.__getitem__(self, key)
+
+    meetings.lookers = Counted(lookers)
+    got = meetings.asked([[1, 9], [2], [], [2, 1]] * 100, np.array([0, 1, 3]))
+    assert got.tolist() == [[True, False, False], [True, True, False], [False] * 3, [True, True, False]] * 100
+    assert len(Counted.asked) <= 4
+
+
+def test_short_lists_are_compared_a_batch_at_a_time(monkeypatch):
+    draw = np.random.default_rng(8)
+    rows, asked = draw.random((50, 4)), draw.random((30, 4))
+    who, names = np.repeat(np.arange(30), 20), np.concatenate([draw.choice(50, 20, replace=False) for _ in range(30)])
+    vectors = pa.array(rows[names].tolist(), pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(names), vectors, pa.array(who.astype(np.int32))], names=["vec_id", "embedding", "position"])
+    adds, add = [], search.Best.add
+    monkeypatch.setattr(search.Best, "add", lambda self, *pairs: adds.append(1) or add(self, *pairs))
+    queries = search.QuerySet(list(range(100, 130)), asked, None, "bigint")
+    found = [b.to_pydict() for b in search._pair_scanner(queries, 5)([batch.slice(0, 300), batch.slice(300)])][0]
+    cost = ((rows[None] - asked[:, None]) ** 2).sum(axis=2).round(6)
+    wanted = [(100 + q, row) for q in range(30) for row in sorted(names[who == q].tolist(), key=lambda row: (cost[q, row], row))[:5]]
+    assert list(zip(found["query_id"], found["vec_id"], strict=True)) == wanted
+    assert sum(found["scored"]) == 600 and len(adds) == 2
+
+
+def test_codes_of_the_row_queries_are_fine_enough_for_larger_tables():
+    assert retrieval.ROWS_OPTIONS["ivf_pq"]["parts"] == retrieval.ROWS_PARTS == 16
+    assert {name: value for name, value in retrieval.ROWS_OPTIONS["ivf_pq"].items() if name != "parts"} == retrieval.OPTIONS["ivf_pq"]
