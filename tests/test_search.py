@@ -393,3 +393,12 @@ def test_short_lists_are_compared_a_batch_at_a_time(monkeypatch):
 def test_codes_of_the_row_queries_are_fine_enough_for_larger_tables():
     assert retrieval.ROWS_OPTIONS["ivf_pq"]["parts"] == retrieval.ROWS_PARTS == 16
     assert {name: value for name, value in retrieval.ROWS_OPTIONS["ivf_pq"].items() if name != "parts"} == retrieval.OPTIONS["ivf_pq"]
+
+
+def test_cells_and_codes_are_trained_once_whatever_the_codes(data, monkeypatch):
+    corpus, queries, *_ = data
+    built, build = [], ann.build_codes
+    monkeypatch.setattr(ann, "build_codes", lambda corpus, **own: built.append(own) or build(corpus, **own))
+    same_cells = {"cells": 4, "probes": 4}
+    rows = ann.compare_indexes(corpus, queries, 5, {"ivf_flat": same_cells, "ivf_pq": {**same_cells, "parts": 4, "bits": 3}}).collect()
+    assert built == [{"cells": 4, "parts": 4, "bits": 3}] and len(rows) == 5
