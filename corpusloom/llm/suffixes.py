@@ -21,7 +21,8 @@ equal anchors can share ``least`` bytes:
   the factor arrays of each bucket are made in its task;
 * an anchor with very many different segments (beside a passage that a third of
   all documents share) is settled start by start instead, by digests of its
-  ``least`` bytes, which spread over all buckets.
+  ``least`` bytes: starts that are equal within a batch of documents are settled
+  there, run by run, and one of them goes on; these spread over all buckets.
 
 Positions are UTF-8 byte offsets, the order of the corpus is doc_id (null
 first), then the hash of the text, then the offset. Segments and starts are
@@ -55,10 +56,12 @@ BUCKET_BYTES, TEXT_BYTES = 16 << 20, 2 << 20
 #: its digest as part of a hot anchor, it is no segment but a passage already settled.
 SEVERAL, MARK, SPREAD, SETTLED = 1, 2, 4, 8
 ENTRY = np.dtype([("anchor", "<u8"), ("digest", "<u8"), ("null", "u1"), ("id", "<i8"), ("h", "<i8"), ("at", "<u4"), ("n", "<u4"), ("flag", "u1")])
-START = np.dtype([("a", "<u8"), ("b", "<u8"), ("null", "u1"), ("id", "<i8"), ("h", "<i8"), ("at", "<u4")])
+#: A single start; ``known`` says that it is settled as a repeated one and only tells others.
+START = np.dtype([("a", "<u8"), ("b", "<u8"), ("null", "u1"), ("id", "<i8"), ("h", "<i8"), ("at", "<u4"), ("known", "u1")])
+RUN = np.dtype([("null", "u1"), ("id", "<i8"), ("h", "<i8"), ("at", "<i8"), ("n", "<i8"), ("later", "u1")])
 DEALT = "bucket bigint, entries binary"
 JUDGED = "wanted int, doc_id bigint, h bigint, at bigint, n bigint, anchor bigint, later boolean"
-CUT = "bucket bigint, doc_id bigint, h bigint, at bigint, n bigint, body binary, starts binary"
+CUT = "bucket bigint, doc_id bigint, h bigint, at bigint, n bigint, body binary, starts binary, runs binary"
 FOUND = "doc_id bigint, h bigint, at bigint, n bigint, later boolean"
 
 
@@ -286,11 +289,33 @@ def _key(entries: np.ndarray) -> np.ndarray:
     return out
 
 
-def _cut(bodies: pa.Array, asked: pa.ListArray, ids: pa.Array, h: np.ndarray, least: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Texts and starts that were asked for, by the bucket of their anchor or digest."""
+def _together(found: np.ndarray, all_known: bool) -> tuple[np.ndarray, np.ndarray]:
+    """What the starts of a batch settle among themselves, as runs, and one start of each digest, the first.
+
+    With ``all_known`` it is not asked whether a start that is known is a later one.
+    """
+    order = np.lexsort((found["at"], found["h"], found["id"], 1 - found["null"], found["b"], found["a"]))
+    found = found[order]
+    head = np.ones(len(found), dtype=bool)
+    head[1:] = (found["a"][1:] != found["a"][:-1]) | (found["b"][1:] != found["b"][:-1])
+    several = ~(head & np.append(head[1:], True))
+    fresh = found["known"] == 0
+    told = several & (fresh | ~(head | all_known))
+    runs = _runs_of(found[told], ~head[told])
+    found["known"] |= several
+    return runs, found[head]
+
+
+def _cut(
+    bodies: pa.Array, asked: pa.ListArray, ids: pa.Array, h: np.ndarray, least: int, buckets: int, all_known: bool
+) -> Iterator[pa.RecordBatch]:
+    """Texts and starts that were asked for, by the bucket of their anchor or digest, and the runs that the starts settle."""
+    names = ["bucket", "doc_id", "h", "at", "n", "body", "starts", "runs"]
     fields = asked.flatten()
     owner = np.repeat(np.arange(len(asked)), np.diff(asked.offsets.to_numpy()))
-    wanted, at, n, anchor = (fields.field(name).to_numpy(zero_copy_only=False) for name in ("wanted", "at", "n", "anchor"))
+    wanted, at, n, anchor, known = (
+        fields.field(name).to_numpy(zero_copy_only=False) for name in ("wanted", "at", "n", "anchor", "later")
+    )
     views = [memoryview(body.as_buffer()) for body in bodies]
     plain = np.flatnonzero(wanted == 1)
     if len(plain):
@@ -298,9 +323,9 @@ def _cut(bodies: pa.Array, asked: pa.ListArray, ids: pa.Array, h: np.ndarray, le
         place = (mix64(anchor[plain].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         columns = [
             pa.array(place), ids.take(pa.array(owner[plain])), pa.array(h[owner[plain]]), pa.array(at[plain]), pa.array(n[plain]),
-            pa.array(cuts, pa.binary()), pa.nulls(len(cuts), pa.binary()),
+            pa.array(cuts, pa.binary()), *[pa.nulls(len(cuts), pa.binary())] * 2,
         ]
-        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "doc_id", "h", "at", "n", "body", "starts"])
+        yield pa.RecordBatch.from_arrays(columns, names=names)
     spread = np.flatnonzero(wanted == 2)
     if len(spread):
         starts = np.repeat(at[spread], n[spread]) + np.arange(n[spread].sum()) - np.repeat(np.cumsum(n[spread]) - n[spread], n[spread])
@@ -312,30 +337,49 @@ def _cut(bodies: pa.Array, asked: pa.ListArray, ids: pa.Array, h: np.ndarray, le
         found["a"], found["b"], found["at"], found["h"] = pair[:, 0], pair[:, 1], starts, h[own]
         found["null"] = np.asarray(ids.is_null())[own]
         found["id"] = ids.fill_null(0).to_numpy(zero_copy_only=False)[own]
+        found["known"] = np.repeat(known[spread], n[spread])
+        runs, found = _together(found, all_known)
         place = (found["a"] % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(place, kind="stable")
-        names, heads = np.unique(place[order], return_index=True)
+        places, heads = np.unique(place[order], return_index=True)
         blobs = [part.tobytes() for part in np.split(found[order], heads[1:])]
-        size = len(names)
+        told: list[bytes | None] = [None] * len(blobs)
+        told[0] = runs.tobytes()
+        size = len(places)
         columns = [
-            pa.array(names), *[pa.nulls(size, pa.int64())] * 4, pa.nulls(size, pa.binary()), pa.array(blobs, pa.binary()),
+            pa.array(places), *[pa.nulls(size, pa.int64())] * 4, pa.nulls(size, pa.binary()), pa.array(blobs, pa.binary()),
+            pa.array(told, pa.binary()),
         ]
-        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "doc_id", "h", "at", "n", "body", "starts"])
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _runs_of(starts: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """Starts side by side as runs; ``later`` is told of each."""
+    order = np.lexsort((starts["at"], starts["h"], starts["id"], starts["null"], later))
+    starts, later = starts[order], later[order]
+    heads, n = _joined(starts["at"], np.ones(len(starts), dtype=np.int64), starts["null"], starts["id"], starts["h"], later)
+    out = np.zeros(len(heads), dtype=RUN)
+    for name in ("null", "id", "h", "at"):
+        out[name] = starts[name][heads]
+    out["n"], out["later"] = n, later[heads]
+    return out
 
 
-def _spans(null: np.ndarray, ids: np.ndarray, h: np.ndarray, at: np.ndarray, later: np.ndarray) -> pa.RecordBatch:
-    """Starts side by side as runs."""
-    order = np.lexsort((at, h, ids, null, later))
-    null, ids, h, at, later = null[order], ids[order], h[order], at[order].astype(np.int64), later[order]
-    heads, n = _joined(at, np.ones(len(at), dtype=np.int64), null, ids, h, later)
+def _found(runs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids[heads], mask=null[heads].astype(bool)), pa.array(h[heads]), pa.array(at[heads]), pa.array(n), pa.array(later[heads])],
+        [
+            pa.array(runs["id"], mask=runs["null"].astype(bool)), pa.array(runs["h"]), pa.array(runs["at"]), pa.array(runs["n"]),
+            pa.array(runs["later"].astype(bool)),
+        ],
         names=["doc_id", "h", "at", "n", "later"],
     )
 
 
-def factors_of(rows: pa.Table, least: int) -> list[pa.RecordBatch]:
-    """Repeated starts among the texts of a bucket by their factor arrays, and among its single starts by their digests."""
+def factors_of(rows: pa.Table, least: int, all_known: bool) -> list[pa.RecordBatch]:
+    """Repeated starts among the texts of a bucket by their factor arrays, and among its single starts by their digests.
+
+    With ``all_known`` it is not asked whether a start that is known is a later one.
+    """
     out = []
     texts = rows.filter(pa.compute.is_valid(rows["body"])).combine_chunks()
     if texts.num_rows > 1:
@@ -356,7 +400,9 @@ def factors_of(rows: pa.Table, least: int) -> list[pa.RecordBatch]:
         hit = length >= least
         for places, later in ((suffixes[hit], True), (np.unique(source[hit]), False)):
             own = owner[np.searchsorted(starts, places)]
-            out.append(_spans(null[own], ids[own], h[own], at[own] + places - begin[own], np.full(len(own), later)))
+            single = np.zeros(len(own), dtype=START)
+            single["null"], single["id"], single["h"], single["at"] = null[own], ids[own], h[own], at[own] + places - begin[own]
+            out.append(_found(_runs_of(single, np.full(len(own), later))))
     blobs = [blob for blob in rows["starts"].to_pylist() if blob is not None]
     if blobs:
         found = np.frombuffer(b"".join(blobs), START)
@@ -364,8 +410,10 @@ def factors_of(rows: pa.Table, least: int) -> list[pa.RecordBatch]:
         found = found[order]
         same = np.zeros(len(found) + 1, dtype=bool)
         same[1:-1] = (found["a"][1:] == found["a"][:-1]) & (found["b"][1:] == found["b"][:-1])
-        kept = found[same[1:] | same[:-1]]
-        out.append(_spans(kept["null"], kept["id"], kept["h"], kept["at"], same[:-1][same[1:] | same[:-1]]))
+        later = same[:-1]
+        told = (same[1:] | later) & ((found["known"] == 0) | (later & (not all_known)))
+        out.append(_found(_runs_of(found[told], later[told])))
+    out += [_found(np.frombuffer(blob, RUN)) for blob in rows["runs"].to_pylist() if blob]
     return out
 
 
@@ -430,15 +478,15 @@ def passages(
 
     def cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            yield from _cut(batch.column(2), batch.column(3), batch.column(0), batch.column(1).to_numpy(), least, parts)
+            yield from _cut(batch.column(2), batch.column(3), batch.column(0), batch.column(1).to_numpy(), least, parts, keep == "none")
 
     def factors(rows: pa.Table) -> pa.Table:
         empty = pa.RecordBatch.from_arrays(
             [pa.array([], pa.int64())] * 4 + [pa.array([], pa.bool_())], names=["doc_id", "h", "at", "n", "later"]
         )
-        return pa.Table.from_batches([empty, *factors_of(rows, least)])
+        return pa.Table.from_batches([empty, *factors_of(rows, least, keep == "none")])
 
-    per_text = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("wanted", "at", "n", "anchor")).alias("asked"))
+    per_text = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("wanted", "at", "n", "anchor", "later")).alias("asked"))
     cuts = with_text(bodies, per_text, "asked", "inner").mapInArrow(cut, CUT)
     compared = dealt(cuts, parts, "bucket").groupBy("bucket").applyInArrow(factors, FOUND)
     return judged_rows.where("wanted = 0").select("doc_id", "h", "at", "n", "later").unionByName(compared)

@@ -154,6 +154,24 @@ def test_removed_passages_equal_brute_force(spark, keep, held):
     assert removed(docs, 80, keep, **held) == brute_removed(rows, 80, keep)
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_starts_of_a_hot_anchor_are_told_in_runs(spark, keep):
+    """A passage that many documents share is a few rows of each, not one for each of its starts."""
+    pick = random.Random(8)
+
+    def some(size):
+        return "".join(pick.choice("abcdefghé ") for _ in range(size))
+
+    common = some(500)
+    rows = [(at if at else None, some(150) + common + some(150), "en") for at in range(60)]
+    docs = frame(spark, rows).repartition(3, "doc_id")
+    found = suffixes.passages(docs, 80, keep, hot_chunk=1, hot_bucket=1).collect()
+    starts = len(common.encode()) - 80 + 1
+    assert len({(r["doc_id"], at) for r in found for at in range(r["at"], r["at"] + r["n"])}) >= 60 * starts
+    assert len(found) < 60 * starts // 10
+    assert removed(docs, 80, keep, hot_chunk=1, hot_bucket=1) == brute_removed(rows, 80, keep)
+
+
 def test_factor_arrays_equal_brute_force():
     pick = np.random.default_rng(2)
     for _ in range(30):
