@@ -45,9 +45,8 @@ def pieces(docs: DataFrame, path: str, end_id: int = 0, length: int = LENGTH) ->
         coder, end = encoder(path), int(end_id).to_bytes(4, "little")
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [text or "" for text in batch.column("text").to_pylist()]
             out: list[list] = [[], [], [], [], []]
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(texts), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text")), strict=True):
                 ids += end
                 for number, (start, size) in enumerate(cut(len(ids) // 4, length)):
                     crc = zlib.crc32(ids[4 * start : 4 * (start + size)])

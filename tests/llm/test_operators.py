@@ -8,6 +8,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -522,6 +523,65 @@ def test_encoder_equals_the_tokenizer_after_every_character():
                 assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == [e.ids for e in wanted]
 
 
+class Counted:
+    """A tokenizer that counts the words it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.words = tokenizer, 0
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+    def encode_batch(self, texts, **how):
+        self.words += sum(len(text.split()) for text in texts)
+        return self.tokenizer.encode_batch(texts, **how)
+
+    def encode_batch_fast(self, texts, **how):
+        self.words += sum(len(text.split()) for text in texts)
+        return self.tokenizer.encode_batch_fast(texts, **how)
+
+
+def test_encoder_gives_each_word_to_the_tokenizer_once(monkeypatch):
+    """A full memory forgets words that are not met again, not the common ones, and a word with a mark is no other word."""
+    monkeypatch.setattr(encode, "WORDS_KEPT", 1000)
+    letters = "abcdefghijklmnop"
+    word = lambda n: "".join(letters[n >> shift & 15] for shift in (12, 8, 4, 0))
+    common = [word(n) for n in range(200)]
+    for path in (queries.BYTE_TOKENIZER, queries.WORD_TOKENIZER):
+        whole, coder = Tokenizer.from_file(path), encode.Encoder(path)
+        counted = [name for name, value in vars(coder).items() if isinstance(value, Tokenizer)]
+        for name in counted:
+            setattr(coder, name, Counted(getattr(coder, name)))
+        for turn in range(20):
+            rare = [word(1000 + 300 * turn + n) for n in range(300)]
+            texts = [f"x {a} {a}, {b} {b}. {b}" for a, b in zip(common + common[:100], rare, strict=True)]
+            wanted = whole.encode_batch(texts, add_special_tokens=False)
+            assert [np.frombuffer(ids, "<u4").tolist() for ids in coder.encode(texts)] == [e.ids for e in wanted]
+        assert sum(getattr(coder, name).words for name in counted) <= 210 + 20 * 300
+
+
+def test_encoder_tells_words_apart_by_all_their_bytes(monkeypatch):
+    """Words on both sides of the length of a key, with zero bytes, of any script; nulls, slices, small blocks, much forgotten."""
+    monkeypatch.setattr(encode, "WORDS_KEPT", 50)
+    if hasattr(encode, "BLOCK"):
+        monkeypatch.setattr(encode, "BLOCK", 7)
+    parts = ["ab", "ab\0", "ab\0\0", "b", "\u00e9t\u00e9", "\u0130I", "\u1112\u1161\u11ab", "\u4e2d\u6587", "a\u0301", "\u0149x", "\u01c5", "it's", "3.14", "--"]
+    parts += [letter * size + end for size in (*range(6, 10), *range(14, 18), *range(20, 27), 300) for letter in ("a", "\u00fc") for end in ("", "z", ".", ",", "!", "\t")]
+    draw = np.random.default_rng(8)
+    texts = [None, "", " ", "\n", ".", ",", "a,", " a", "a\n b", "a \nb", "a\n\nb", "a,\n.\n,b", "x  y"]
+    for size in draw.integers(1, 30, 300).tolist():
+        chosen = [parts[at] for at in draw.integers(0, len(parts), size)]
+        texts.append("".join(one + str(draw.choice([" ", " ", " ", "\n", "\n ", ", ", ". "])) for one in chosen) + "end")
+    column = pa.array(["cut off", *texts, "cut off"], pa.string()).slice(1, len(texts))
+    for path in (queries.BYTE_TOKENIZER, queries.WORD_TOKENIZER):
+        whole, coder = Tokenizer.from_file(path), encode.Encoder(path)
+        wanted = [e.ids for e in whole.encode_batch([text or "" for text in texts], add_special_tokens=False)]
+        for size in (40, 313):
+            found = [ids for at in range(0, len(texts), size) for ids in coder.encode(column.slice(at, size))]
+            assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == wanted
+    assert coder.encode(column.slice(0, 0)) == coder.encode([]) == []
+
+
 def test_a_look_up_reads_blocks_whatever_the_size_of_the_shard(tmp_path):
     draw = np.random.default_rng(3)
     for count in (1, 50, 20_000):
