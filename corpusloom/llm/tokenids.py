@@ -264,8 +264,7 @@ def write(
 
         for batch in stream:
             for some in batches_of(batch, 256, "text"):
-                texts = [text or "" for text in some.column("text").to_pylist()]
-                for doc_id, ids in zip(some.column("doc_id").to_pylist(), coder.encode(texts), strict=True):
+                for doc_id, ids in zip(some.column("doc_id").to_pylist(), coder.encode(some.column("text")), strict=True):
                     times = times + 1 if last == (doc_id,) else 0
                     last = (doc_id,)
                     ids += end
