@@ -140,6 +140,32 @@ def test_vectors_that_cannot_link(spark):
     assert rows(vectors.groups(frame.where("vec_id > 99"))) == []
 
 
+@pytest.mark.parametrize("settings", [{"cells": 4, "passes": 1, "block": 8}, {}])
+def test_vectors_pairs_of_blocks_are_not_written(spark, monkeypatch, settings):
+    """Blocks meet without a shuffle; a cell of near copies that reaches into many blocks counts every link once."""
+    draw = np.random.default_rng(8)
+    alike = draw.normal(size=(1, 6)) + draw.normal(size=(70, 6)) * 0.3
+    matrix = np.concatenate([alike, draw.normal(size=(500, 6)), draw.normal(size=(40, 6)) * [1, 1, 1, 1, 0, 0], alike[:3] * 1e100])
+    data = [(at, [float(x) for x in (v if v[4:].any() else v[:4])]) for at, v in enumerate(matrix)]
+    frame = spark.createDataFrame(data, "vec_id bigint, embedding array<double>").repartition(3)
+    plans = {}
+
+    def staged(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return common.stage(df, label)
+
+    monkeypatch.setattr(vectors, "stage", staged)
+    found = {row["vec_id"]: row for row in rows(vectors.groups(frame, **settings))}
+    assert "Exchange" not in plans["links"]
+    sizes = np.array([len(v) for _, v in data])
+    near = links(matrix) & (sizes[:, None] == sizes[None, :])
+    label = minhash.forest(near)
+    assert near[:70, :70].sum() > 1000 and near[610:].sum() > 20
+    for at in range(len(matrix)):
+        assert (found[at]["n_links"], found[at]["component_id"]) == (near[at].sum(), label[at])
+        assert found[at]["kept"] == (label[at] == at)
+
+
 # 3
 
 
